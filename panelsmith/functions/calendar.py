@@ -116,3 +116,13 @@ def peak_columns(ts) -> dict[str, Column]:
         "is_midday": h.between(10, 15),
         "is_late_night": (h >= 22) | (h <= 5),
     }
+
+
+def as_times(days: Column) -> Column:
+    """ARRAY<DATE> -> ARRAY<TIMESTAMP_NTZ>, ready to explode."""
+    return days.cast("array<timestamp_ntz>")
+
+
+def month_list(first, last) -> Column:
+    """Month starts from first to last (DATE expressions), as time stamps."""
+    return as_times(F.sequence(F.trunc(first, "month"), F.trunc(last, "month"), F.expr("interval 1 month")))

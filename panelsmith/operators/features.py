@@ -37,7 +37,7 @@ def add_weather_features(df: DataFrame, series: str = "series", ts: str = "ts",
 
 def add_station_features(df: DataFrame, series: str = "series", hubs: list | None = None) -> DataFrame:
     """Hub flag; mode and capacity where an agency column exists; distance where coordinates exist."""
-    out = df.withColumn("is_hub_station", F.col(series).isin(hubs or HUB_STATIONS))
+    out = df.withColumn("is_hub_station", F.col(series).cast("string").isin(hubs or HUB_STATIONS))
     if "agency_id" in df.columns:
         mode = F.coalesce(S.map_lookup(S.AGENCY_MODES, "agency_id"), F.lit("unknown"))
         out = out.withColumn("transit_mode", mode).withColumn("capacity_tier", S.map_lookup(S.MODE_TIERS, "transit_mode"))

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.calendar import NTZ, col, month_start, months_between
+from ..functions.calendar import NTZ, as_times, col, month_list, month_start, months_between
 
 Z90 = 1.2815515655446004
 FORECAST_FIELDS = ["p10", "p50", "p90"]
@@ -170,7 +170,7 @@ def history_by_origin(panel: DataFrame, origins: list[str], ts: str = "ts") -> D
     """Each row once per origin it precedes (origins are a short configured list)."""
     listed = F.array(*[F.lit(o).cast("date") for o in origins])
     seen = F.filter(listed, lambda o: o >= F.col(ts).cast("date"))
-    return panel.withColumn("origin", F.explode(seen).cast(NTZ))
+    return panel.withColumn("origin", F.explode(as_times(seen)))
 
 
 def rolling_pool(
@@ -193,7 +193,7 @@ def rolling_pool(
     actual = panel.select(series, ts, y)
     if as_of is not None:
         actual = actual.where(F.col(ts) <= F.lit(as_of).cast(NTZ))
-    wanted = actual.withColumn("origin", F.explode(mine).cast(NTZ))
+    wanted = actual.withColumn("origin", F.explode(as_times(mine)))
     pool = wanted.join(fc.select(*keys, ts, *FORECAST_FIELDS), [*keys, ts], "left")
     return pool.withColumn("horizon", months_between("origin", ts))
 
@@ -240,8 +240,8 @@ def standardise_exog(panel: DataFrame, cols: list[str], train_end, series: str =
 def future_exog(scaled: DataFrame, cols: list[str], last_train, horizon: int, series: str = "series", ts: str = "ts") -> DataFrame:
     """The next ``horizon`` months' covariates; ``missing`` marks a month without all values."""
     start = F.trunc(col(last_train).cast("date"), "month")
-    months = F.sequence(F.add_months(start, 1), F.add_months(start, horizon), F.expr("interval 1 month"))
-    grid = scaled.select(series).distinct().select(series, F.explode(months).cast(NTZ).alias(ts))
+    months = month_list(F.add_months(start, 1), F.add_months(start, horizon))
+    grid = scaled.select(series).distinct().select(series, F.explode(months).alias(ts))
     out = grid.join(scaled.select(series, ts, *cols), [series, ts], "left")
     missing = F.lit(False)
     for c in cols:

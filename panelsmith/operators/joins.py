@@ -45,7 +45,7 @@ def weather_or_region(panel: DataFrame, weather: DataFrame, mapping: DataFrame,
 def with_station_name(df: DataFrame, dim: DataFrame, code: str, name: str, fallback: str | None = None, out: str = "station_name") -> DataFrame:
     """Code -> name; the source's own name is kept where the code is unknown."""
     d = dim.select(F.col(code).alias("_code"), F.col(name).alias("_name"))
-    j = df.join(d, df[code] == d["_code"], "left") if code in df.columns else df
+    j = df.join(d, F.col(code) == F.col("_code"), "left")
     return j.withColumn(out, F.coalesce("_name", F.col(fallback)) if fallback else F.col("_name")).drop("_code", "_name")
 
 

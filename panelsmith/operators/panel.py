@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.calendar import NTZ, col, epoch_seconds, month_index, month_start
+from ..functions.calendar import col, epoch_seconds, month_index, month_list, month_start
 from .ordered import windowed_by_rows
 
 MONTHLY_LAGS = [1, 2, 3, 6, 12]
@@ -127,16 +127,16 @@ def month_grid(df: DataFrame, series: str = "series", ts: str = "ts") -> DataFra
     """Every month between each series' first and last row; built by sequence, not by a cross join."""
     return df.groupBy(series).agg(F.min(ts).alias("_a"), F.max(ts).alias("_b")).select(
         series,
-        F.explode(F.sequence(F.trunc(F.col("_a").cast("date"), "month"), F.trunc(F.col("_b").cast("date"), "month"), F.expr("interval 1 month"))).cast(NTZ).alias(ts),
+        F.explode(month_list(F.col("_a").cast("date"), F.col("_b").cast("date"))).alias(ts),
     )
 
 
 def shared_grid(df: DataFrame, series: str = "series", ts: str = "ts") -> DataFrame:
     """Every series on the panel's whole month range: each series carries the two bounds."""
     ends = df.agg(F.min(ts).alias("_a"), F.max(ts).alias("_b"))
-    months = F.sequence(F.trunc(F.col("_a").cast("date"), "month"), F.trunc(F.col("_b").cast("date"), "month"), F.expr("interval 1 month"))
+    months = month_list(F.col("_a").cast("date"), F.col("_b").cast("date"))
     names = df.select(series).distinct()
-    return names.join(F.broadcast(ends), F.lit(True), "left").select(series, F.explode(months).cast(NTZ).alias(ts))
+    return names.join(F.broadcast(ends), F.lit(True), "left").select(series, F.explode(months).alias(ts))
 
 
 def interpolate_months(df: DataFrame, series: str = "series", ts: str = "ts", y: str = "y") -> DataFrame:

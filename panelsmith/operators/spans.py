@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.calendar import NTZ, month_start
+from ..functions.calendar import month_list, month_start
 
 # Fixed pattern: the end date in an event archive's file name.
 EVENT_FILE_END = r"events_\d{4}-\d{2}-\d{2}_(\d{4}-\d{2}-\d{2})\.parquet$"
@@ -64,7 +64,7 @@ def covered_months(spans: DataFrame) -> DataFrame:
         F.add_months(F.trunc("span_end", "month"), -1)
     )
     months = merged.select(first.alias("a"), last.alias("b")).where("a <= b")
-    return months.select(F.explode(F.sequence("a", "b", F.expr("interval 1 month"))).cast(NTZ).alias("month_ts")).distinct()
+    return months.select(F.explode(month_list(F.col("a"), F.col("b"))).alias("month_ts")).distinct()
 
 
 def with_coverage(df: DataFrame, spans: DataFrame, ts: str = "ts", out: str = "covered") -> DataFrame:
