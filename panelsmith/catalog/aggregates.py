@@ -71,10 +71,11 @@ def _(t):
     return A.network_years(X.p1(t), 1996)
 
 
-@query("agg_network_absent_years", "SELECT o_custkey AS year FROM orders WHERE false UNION ALL SELECT y FROM (SELECT unnest(generate_series(min(y), max(y))) AS y FROM (SELECT year(o_orderdate) AS y FROM orders WHERE o_orderpriority = '1-URGENT' AND month(o_orderdate) = 2)) WHERE y NOT IN (SELECT year(o_orderdate) FROM orders WHERE o_orderpriority = '1-URGENT' AND month(o_orderdate) = 2)")
+@query("agg_network_absent_years", "SELECT y AS year FROM (SELECT unnest(generate_series(min(y), max(y))) AS y FROM (SELECT 2 * year(o_orderdate) - 1995 AS y FROM orders)) WHERE y NOT IN (SELECT 2 * year(o_orderdate) - 1995 FROM orders)")
 def _(t):
-    df = t.orders.where("o_orderpriority = '1-URGENT' and month(o_orderdate) = 2")
-    return A.absent_years(df, "o_orderdate")
+    # Every second year is empty once the calendar is stretched.
+    later = F.add_months(F.col("o_orderdate").cast("date"), (F.year("o_orderdate") - 1995) * 12)
+    return A.absent_years(t.orders.select(later.cast("timestamp_ntz").alias("ts")))
 
 
 @query("agg_like_for_like", with_(["p1"], """SELECT year(ts) AS year, sum(y) AS total, sum(y) / sum(sum(CASE WHEN year(ts) = 1996 THEN y END)) OVER () AS share FROM (SELECT series, ts, CASE WHEN series % 5 = 0 AND year(ts) = 1996 THEN 0 ELSE y END AS y FROM p1)
