@@ -1 +1,226 @@
-"""..."""
+"""Conformal calibration."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import calibration as K
+from ..plans import backtest as B
+from . import fixtures as X
+from .common import flag, rnd, ts_lit
+from .fixtures import TRAIN_END, with_
+from .registry import query
+
+LEVEL = 0.8
+BIG = 1e12  # infinity as a plain number in results
+
+
+def plain(df, *cols):
+    """Infinite quantiles as +-1e12, rounded: the two engines print them alike."""
+    return df.withColumns({c: F.round(F.greatest(F.least(F.col(c), F.lit(BIG)), F.lit(-BIG)), 6) for c in cols})
+
+
+def resolved(t):
+    return K.resolved_pool(X.p6(t), TRAIN_END)
+
+
+def _ratio(n, d):
+    return f"CASE WHEN {d} <> 0 THEN {n} / {d} WHEN {n} = 0 THEN 0 WHEN {n} > 0 THEN 'inf'::DOUBLE ELSE '-inf'::DOUBLE END"
+
+
+_SCALED = f"greatest({_ratio('(p50 - y)', '(p50 - p10)')}, {_ratio('(y - p50)', '(p90 - p50)')})"
+_REL = f"abs({_ratio('(y - p50)', 'p50')})"
+_ASYM = _ratio("(y - p50)", "p50")
+_AGE = "((1999 * 12 + 12) - (year(ts) * 12 + month(ts)))"
+# Resolved rows with an actual and a forecast; the pool has no incomplete rows unless a query makes some.
+POOL = {"pool": f"SELECT *, {_SCALED} AS s_scaled, {_REL} AS s_rel, {_ASYM} AS s_asym, power(0.5::DOUBLE, {_AGE} / 6.0::DOUBLE) AS w6, {_AGE} AS age FROM p6 WHERE y IS NOT NULL AND p50 IS NOT NULL"}
+
+
+def _kth(src, group, score, level):
+    """ceil((n+1) level)-th smallest score of each group, 1e12 when there are too few rows."""
+    return f"SELECT {group} AS g, count(*) AS n, coalesce(list_sort(list({score}))[CAST(ceil((count(*) + 1) * {level!r}::DOUBLE) AS BIGINT)], 1e12) AS q FROM {src} GROUP BY 1"
+
+
+def _weighted(src, group, score, weight, need):
+    """Smallest score whose running weight reaches ``need`` (an expression of tot)."""
+    return f"""SELECT g, any_value(n) AS n, coalesce(min(CASE WHEN cum >= ({need}) * (1 - 1e-12) THEN s END), 1e12) AS q, any_value(tot) AS tot FROM (SELECT {group} AS g, {score} AS s, sum({weight}) OVER (PARTITION BY {group} ORDER BY {score} RANGE UNBOUNDED PRECEDING) AS cum,
+      sum({weight}) OVER (PARTITION BY {group}) AS tot, count(*) OVER (PARTITION BY {group}) AS n FROM {src}) GROUP BY g"""
+
+
+@query("cal_scores", with_(["p6"], "SELECT series, ts, origin, round(least(s_scaled, 1e12), 8) AS scaled, round(least(s_rel, 1e12), 8) AS relative, round(least(s_asym, 1e12), 8) AS asym_relative FROM pool", POOL))
+def _(t):
+    p = resolved(t).where("y is not null and p50 is not null")
+    return p.select("series", "ts", "origin", *[F.round(F.least(K.conformity(m), F.lit(BIG)), 8).alias(m) for m in K.METHODS])
+
+
+@query("cal_quantile", with_(["p6"], f"SELECT g AS horizon, n, round(q, 6) AS q FROM ({_kth('pool', 'horizon', 's_rel', LEVEL)})", POOL))
+def _(t):
+    p = resolved(t).where("y is not null and p50 is not null").withColumn("s", K.conformity("relative"))
+    return plain(K.conformal_quantile(p, ["horizon"], "s", LEVEL).drop("mass_total"), "q")
+
+
+@query("cal_weighted_quantile", with_(["p6"], f"SELECT g AS horizon, n, round(q, 6) AS q FROM ({_weighted('pool', 'horizon', 's_rel', 'w6', f'{LEVEL} * (tot + 1)')})", POOL))
+def _(t):
+    p = resolved(t).where("y is not null and p50 is not null").withColumns({"s": K.conformity("relative"), "w": K.decay(6.0)})
+    return plain(K.weighted_quantile(p, ["horizon"], "s", "w", LEVEL).drop("mass_total"), "q")
+
+
+@query("cal_weighted_median", with_(["p6"], f"SELECT g AS series, round(q, 6) AS m FROM ({_weighted('pool', 'series', 's_asym', 'w6', '0.5 * tot')})", POOL))
+def _(t):
+    p = resolved(t).where("y is not null and p50 is not null").withColumns({"s": K.conformity("asym_relative"), "w": K.decay(6.0)})
+    return plain(K.weighted_median(p, ["series"], "s", "w").select("series", "m"), "m")
+
+
+# Split calibration on the test window, for the three scores and groups; the oracle covers one of each.
+_SC = {"sc": f"SELECT *, {_SCALED} AS s_scaled, {_ASYM} AS s_asym FROM scored WHERE y IS NOT NULL"}
+
+
+@query("cal_fit_split", with_(["scored"], f"""SELECT 'scaled pooled' AS fit, 'all' AS group_key, n, round(q, 6) AS q_lo, round(q, 6) AS q_hi FROM ({_kth('sc', "'all'", 's_scaled', LEVEL)}) UNION ALL
+  SELECT 'scaled horizon', CAST(g AS VARCHAR), n, round(q, 6), round(q, 6) FROM ({_kth('sc', 'horizon', 's_scaled', LEVEL)}) UNION ALL
+  SELECT 'asym series', CAST(h.g AS VARCHAR), h.n, round(-l.q, 6), round(h.q, 6) FROM ({_kth('sc', 'series', 's_asym', 1 - (1 - LEVEL) / 2)}) h JOIN ({_kth('sc', 'series', '-s_asym', 1 - (1 - LEVEL) / 2)}) l ON h.g = l.g""", _SC))
+def _(t):
+    s = X.scored(t)
+    specs = [K.Spec("scaled pooled", "scaled"), K.Spec("scaled horizon", "scaled", "horizon"), K.Spec("asym series", "asym_relative", "series")]
+    return plain(K.fit(s, specs).select(F.col("candidate").alias("fit"), "group_key", "n", "q_lo", "q_hi"), "q_lo", "q_hi")
+
+
+_FITQ = {**POOL, "qh": _kth("pool", "horizon", "s_scaled", LEVEL)}
+
+
+@query("cal_apply", with_(["p6", "scored"], """SELECT s.series, s.ts, s.p50, s.p10 AS p10_raw, s.p90 AS p90_raw, round(greatest(least(CASE WHEN s.p50 = s.p10 THEN s.p50 ELSE s.p50 - q.q * (s.p50 - s.p10) END, s.p50), 0), 4) AS p10, round(greatest(CASE WHEN s.p90 = s.p50 THEN s.p50 ELSE s.p50 + q.q * (s.p90 - s.p50) END, s.p50), 4) AS p90
+  FROM scored s LEFT JOIN qh q ON q.g = s.horizon""", _FITQ))
+def _(t):
+    spec = [K.Spec("rolling", "scaled", "horizon")]
+    out = K.apply(X.scored(t), K.fit(resolved(t), spec), spec)
+    return rnd(out.select("series", "ts", "p50", "p10_raw", "p90_raw", "p10", "p90"), 4, "p10", "p90")
+
+
+@query("cal_horizon_origin", with_(["p6"], "SELECT origin, horizon, count(*) AS n FROM p6 GROUP BY 1, 2"))
+def _(t):
+    return K.with_origin_horizon(X.p6(t).drop("horizon")).groupBy("origin", "horizon").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("cal_pool", with_(["p6"], "SELECT origin, (1999 * 12 + 9) - (year(ts) * 12 + month(ts)) AS age, count(*) AS n FROM p6 WHERE origin < TIMESTAMP '1999-09-30' AND ts <= TIMESTAMP '1999-09-30' GROUP BY 1, 2"))
+def _(t):
+    return K.resolved_pool(X.p6(t), "1999-09-30").groupBy("origin", "age").agg(F.count(F.lit(1)).alias("n"))
+
+
+_A2 = 1 - (1 - LEVEL) / 2
+
+
+@query("cal_fit_rolling", with_(["p6"], f"""SELECT 'rel pooled hl6' AS fit, 'all' AS group_key, n, round(q, 6) AS q_lo, round(q, 6) AS q_hi FROM ({_weighted('pool', "'all'", 's_rel', 'w6', f'{LEVEL} * (tot + 1)')}) UNION ALL
+  SELECT 'scaled horizon eq', CAST(g AS VARCHAR), n, round(q, 6), round(q, 6) FROM ({_kth('pool', 'horizon', 's_scaled', LEVEL)}) UNION ALL
+  SELECT 'asym horizon hl6', CAST(h.g AS VARCHAR), h.n, round(-l.q, 6), round(h.q, 6) FROM ({_weighted('pool', 'horizon', 's_asym', 'w6', f'{_A2} * (tot + 1)')}) h JOIN ({_weighted('pool', 'horizon', '-s_asym', 'w6', f'{_A2} * (tot + 1)')}) l ON h.g = l.g""", POOL))
+def _(t):
+    specs = [K.Spec("rel pooled hl6", "relative", half_life=6.0), K.Spec("scaled horizon eq", "scaled", "horizon"), K.Spec("asym horizon hl6", "asym_relative", "horizon", half_life=6.0)]
+    return plain(K.fit(resolved(t).where("p50 is not null"), specs).select(F.col("candidate").alias("fit"), "group_key", "n", "q_lo", "q_hi"), "q_lo", "q_hi")
+
+
+@query("cal_fit_aci")
+def _(t):
+    specs = [K.Spec("aci scaled"), K.Spec("aci asym", "asym_relative")]
+    return plain(K.fit_adaptive(X.p6(t).where("p50 is not null"), TRAIN_END, specs), "q_lo", "q_hi", "weight_sum", "alpha_lo", "alpha_hi")
+
+
+_SHIFT = f"""SELECT b.g AS group_key, round(b.q - w.q, 6) AS q_lo, round(b.q + w.q, 6) AS q_hi, round(b.q, 6) AS bias, round(w.q, 6) AS width, {flag('abs(b.q) > w.q', 'clipped')}, w.n"""
+
+
+@query("cal_fit_shift", with_(["p6"], f"""{_SHIFT} FROM b JOIN ({_weighted('(SELECT pool.*, abs(s_asym - b.q) AS dev FROM pool JOIN b ON b.g = CAST(horizon AS VARCHAR))', 'CAST(horizon AS VARCHAR)', 'dev', 'w6', f'{LEVEL} * (tot + 1)')}) w ON w.g = b.g""",
+  {**POOL, "b": _weighted("pool", "CAST(horizon AS VARCHAR)", "s_asym", "power(0.5::DOUBLE, age / 4.0::DOUBLE)", "0.5 * tot")}))
+def _(t):
+    s = K.fit_shift(X.p6(t).where("p50 is not null"), TRAIN_END, "horizon", LEVEL, 4.0, 6.0)
+    return plain(s.select("group_key", "q_lo", "q_hi", "bias", "width", "clipped", "n"), "q_lo", "q_hi", "bias", "width")
+
+
+_SEEN = "SELECT a.oi, p.s_asym, power(0.5::DOUBLE, (a.oi - (year(p.ts) * 12 + month(p.ts))) / 4.0::DOUBLE) AS w FROM (SELECT DISTINCT year(origin) * 12 + month(origin) AS oi FROM pool) a JOIN pool p ON year(p.ts) * 12 + month(p.ts) <= a.oi"
+
+
+@query("cal_fit_shift_origin", with_(["p6"], f"""{_SHIFT}, (SELECT count(*) FROM dev WHERE dev IS NULL) AS n_no_bias FROM b JOIN ({_weighted('(SELECT * FROM dev WHERE dev IS NOT NULL)', "'all'", 'dev', 'w6', f'{LEVEL} * (tot + 1)')}) w ON w.g = b.g""",
+  {**POOL, "b": _weighted("pool", "'all'", "s_asym", "power(0.5::DOUBLE, age / 4.0::DOUBLE)", "0.5 * tot"), "seen": _SEEN, "bo": _weighted("seen", "oi", "s_asym", "w", "0.5 * tot"),
+   "dev": "SELECT pool.*, abs(s_asym - bo.q) AS dev FROM pool LEFT JOIN bo ON bo.g = year(origin) * 12 + month(origin)"}))
+def _(t):
+    s = K.fit_shift(X.p6(t).where("p50 is not null"), TRAIN_END, "pooled", LEVEL, 4.0, 6.0, bias_at="origin")
+    return plain(s.select("group_key", "q_lo", "q_hi", "bias", "width", "clipped", "n", "n_no_bias"), "q_lo", "q_hi", "bias", "width")
+
+
+@query("cal_within_window_aci")
+def _(t):
+    out = K.adaptive_within_window(X.p6(t).where("p50 is not null"), X.scored(t), TRAIN_END, [K.Spec("hl6", "scaled", half_life=6.0)])
+    return rnd(out.select("candidate", "series", "ts", "y", "p10", "p50", "p90"), 4, "p10", "p90")
+
+
+_CUT = "CASE WHEN k = 0 THEN TIMESTAMP '1999-12-31' ELSE CAST(last_day(DATE '1999-12-31' + to_months(k)) AS TIMESTAMP) END"
+
+
+@query("cal_monthly_recal", with_(["p6", "scored"], f"""SELECT s.series, s.ts, round(greatest(s.p50 * (1 - least(q.q, 1e12)), 0), 4) AS p10, round(s.p50 * (1 + q.q), 4) AS p90 FROM scored s JOIN cuts c ON c.ts = s.ts JOIN ({_kth('(SELECT f.*, c.cutoff FROM full_pool f JOIN cuts c ON f.origin < c.cutoff AND f.ts <= c.cutoff)', 'cutoff', 's', LEVEL)}) q ON q.g = c.cutoff""",
+  {"cuts": f"SELECT ts, {_CUT} AS cutoff FROM (SELECT ts, CAST(row_number() OVER (ORDER BY ts) - 1 AS INTEGER) AS k FROM (SELECT DISTINCT ts FROM scored))",
+   "full_pool": f"SELECT series, ts, origin, {_REL} AS s FROM p6 WHERE y IS NOT NULL AND p50 IS NOT NULL UNION ALL SELECT series, ts, origin, {_REL} FROM scored WHERE y IS NOT NULL AND p50 IS NOT NULL"}))
+def _(t):
+    full = X.p6(t).where("p50 is not null").unionByName(X.scored(t))
+    out = K.monthly_recalibration(full, X.scored(t), TRAIN_END, [K.Spec("recal", "relative")])
+    return rnd(out.select("series", "ts", "p10", "p90"), 4, "p10", "p90")
+
+
+@query("cal_run", with_(["scored"], f"""SELECT 'none' AS run, 'own band' AS interval_method, count(*) AS n, count(p10) AS n_bands, round(sum(p10), 2) AS p10 FROM scored UNION ALL
+  SELECT 'split', 'split relative/pooled', count(*), count(*), round(sum(greatest(s.p50 * (1 - q), 0)), 2) FROM scored s, ({_kth('(SELECT * FROM (SELECT *, ' + _REL + ' AS s FROM scored) WHERE y IS NOT NULL)', "'all'", 's', LEVEL)}) UNION ALL SELECT 'broken', 'FAILED', count(*), 0, NULL FROM scored"""))
+def _(t):
+    s, spec = X.scored(t), K.Spec("run", "relative")
+    broken = s.withColumn("p10", F.when(F.col("series") != 3, F.col("p10")))
+    runs = {
+        "none": B.calibrate(s, s, spec, "none", TRAIN_END),
+        "split": B.calibrate(s, s, spec, "split", TRAIN_END),
+        "broken": B.calibrate(s, broken, spec, "split", TRAIN_END),
+    }
+    out = None
+    for name, df in runs.items():
+        row = df.groupBy("interval_method").agg(F.count(F.lit(1)).alias("n"), F.count("p10").alias("n_bands"), F.round(F.sum("p10"), 2).alias("p10")).withColumn("run", F.lit(name))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("cal_station_folds", with_(["scored"], """SELECT series, ts, fold, round(greatest(p50 * (1 - q), 0), 4) AS p10, round(p50 * (1 + q), 4) AS p90 FROM f JOIN (SELECT k.fold AS kf, coalesce(list_sort(list(s))[CAST(ceil((count(*) + 1) * 0.8::DOUBLE) AS BIGINT)], 1e12) AS q FROM (SELECT DISTINCT fold FROM f) k JOIN f ON f.fold <> k.fold GROUP BY 1) ON kf = fold""",
+  {"f": f"SELECT scored.*, {_REL} AS s, (dense_rank() OVER (ORDER BY CAST(series AS VARCHAR)) - 1) % 5 AS fold FROM scored WHERE y IS NOT NULL"}))
+def _(t):
+    return rnd(K.cross_fit(X.scored(t), "relative", "pooled").select("series", "ts", "fold", "p10", "p90"), 4, "p10", "p90")
+
+
+CAND_WINDOWS = {"B": "1999-06-30", "V": TRAIN_END}
+
+
+def candidate_frames(t):
+    """Pools and scored rows of two windows with a window column."""
+    pool = X.p6(t).where("p50 is not null")
+    both = pool.withColumn("window", F.explode(F.array(F.lit("B"), F.lit("V"))))
+    b = pool.where(F.col("origin") == ts_lit("1999-06-30")).withColumn("window", F.lit("B"))
+    return both, b.unionByName(X.scored(t).withColumn("window", F.lit("V")))
+
+
+_CS = """round(100 * avg(CAST(y >= lo AND y <= hi AS INTEGER)), 2) AS coverage, round(100 * sum((hi - lo) + 10 * (CASE WHEN y < lo THEN lo - y WHEN y > hi THEN y - hi ELSE 0 END)) / sum(y), 2) AS interval_score"""
+
+
+@query("cal_candidates", with_(["p6", "scored"], f"""SELECT "window", 'rolling_eq relative/pooled' AS candidate, count(*) AS n, {_CS} FROM (SELECT s.*, greatest(p50 * (1 - q), 0) AS lo, p50 * (1 + q) AS hi FROM sw s JOIN ({_kth('pw', '"window"', 's_rel', LEVEL)}) q ON q.g = s."window") GROUP BY 1
+  UNION ALL SELECT "window", 'rolling_hl6 relative/pooled', count(*), {_CS} FROM (SELECT s.*, greatest(p50 * (1 - q), 0) AS lo, p50 * (1 + q) AS hi FROM sw s JOIN ({_weighted('pw', '"window"', 's_rel', 'w', f'{LEVEL} * (tot + 1)')}) q ON q.g = s."window") GROUP BY 1
+  UNION ALL SELECT "window", 'incumbent', count(*), {_CS} FROM (SELECT *, p10 AS lo, p90 AS hi FROM sw) GROUP BY 1""",
+  {"pw": f"""SELECT w AS "window", p6.*, {_REL} AS s_rel, power(0.5::DOUBLE, (wi - (year(ts) * 12 + month(ts))) / 6.0::DOUBLE) AS w FROM p6, (VALUES ('B', TIMESTAMP '1999-06-30', 1999 * 12 + 6), ('V', TIMESTAMP '1999-12-31', 1999 * 12 + 12)) v(w, at_, wi) WHERE origin < at_ AND ts <= at_ AND y IS NOT NULL AND p50 IS NOT NULL""",
+   "sw": """SELECT 'B' AS "window", series, ts, y, p10, p50, p90 FROM p6 WHERE origin = TIMESTAMP '1999-06-30' AND p50 IS NOT NULL UNION ALL SELECT 'V', series, ts, y, p10, p50, p90 FROM scored"""}))
+def _(t):
+    pool, scored = candidate_frames(t)
+    specs = [K.Spec("rolling_hl6 relative/pooled", "relative", "pooled", LEVEL, 6.0), K.Spec("rolling_eq relative/pooled", "relative")]
+    return B.calibration_candidates(pool, scored, CAND_WINDOWS, specs).select("window", "candidate", "n", "coverage", "interval_score")
+
+
+@query("cal_candidates_all")
+def _(t):
+    pool, scored = candidate_frames(t)
+    out = B.calibration_candidates(pool, scored, CAND_WINDOWS, B.candidate_specs())
+    return out.withColumn("interval_score", F.least("interval_score", F.lit(BIG)))
+
+
+@query("cal_save_load", with_(["p6"], f"SELECT CAST(g AS VARCHAR) AS group_key, n, round(q, 6) AS q_lo, round(q, 6) AS q_hi FROM ({_kth('pool', 'horizon', 's_scaled', LEVEL)})", POOL))
+def _(t):
+    from ..session import scratch_dir
+
+    cal = K.fit(resolved(t).where("p50 is not null"), [K.Spec("rolling", "scaled", "horizon")])
+    path, prov = scratch_dir(t.spark, "calibrator"), {"model": "naive", "method": "scaled", "group": "horizon", "level": LEVEL, "as_of": TRAIN_END, "checkpoint": None}
+    K.save_calibrator(cal, path, **prov)
+    return plain(K.load_calibrator(t.spark, path, **prov).select("group_key", "n", "q_lo", "q_hi"), "q_lo", "q_hi")

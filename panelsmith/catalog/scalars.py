@@ -30,7 +30,7 @@ def _(t):
     return df.select("o_orderkey", *[c.alias(n) for n, c in C.calendar_columns("ts").items()])
 
 
-@query("cyclic", "SELECT event_id, " + ", ".join(f"round({f}(2 * pi() * {e} / {n}), 8) AS {k}_{f}" for k, e, n in (("hour", "hour(ts)", 24), ("dow", "(isodow(ts) - 1)", 7), ("month", "(month(ts) - 1)", 12)) for f in ("sin", "cos")) + " FROM events")
+@query("cyclic", "SELECT event_id, " + ", ".join(f"round({f}(2 * pi() * {e} / {n}), 8) + 0.0 AS {k}_{f}" for k, e, n in (("hour", "hour(ts)", 24), ("dow", "(isodow(ts) - 1)", 7), ("month", "(month(ts) - 1)", 12)) for f in ("sin", "cos")) + " FROM events")
 def _(t):
     # + 0.0 folds the sign of a rounded zero.
     return t.events.select("event_id", *[(F.round(c, 8) + 0.0).alias(n) for n, c in C.cyclic_columns("ts").items()])
@@ -138,9 +138,9 @@ def _(t):
     return t.events.groupBy("event_type", F.from_json("props", "k bigint")["k"].alias("k")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("array_map", "SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 'BA' WHEN 'MACHINERY' THEN 'CT' END AS code, (SELECT string_agg(strftime(o_orderdate, '%Y-%m'), ' ' ORDER BY strftime(o_orderdate, '%Y-%m')) FROM orders WHERE o_custkey = c_custkey) AS months FROM customer")
+@query("array_map", "SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 'BA' WHEN 'MACHINERY' THEN 'CT' END AS code, (SELECT string_agg(DISTINCT strftime(o_orderdate, '%Y-%m'), ' ' ORDER BY strftime(o_orderdate, '%Y-%m')) FROM orders WHERE o_custkey = c_custkey) AS months FROM customer")
 def _(t):
-    months = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.array_join(F.array_sort(F.collect_list(S.month_text("o_orderdate"))), " ").alias("months"))
+    months = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.array_join(F.array_sort(F.collect_set(S.month_text("o_orderdate"))), " ").alias("months"))
     return t.customer.select("c_custkey", S.map_lookup({"BUILDING": "BA", "MACHINERY": "CT"}, "c_mktsegment").alias("code")).join(months, "c_custkey", "left")
 
 

@@ -112,7 +112,7 @@ def _(t):
     return rows.select("model", "n", "n_expected", M.rejection(ceiling=8.0).alias("reason"))
 
 
-@query("m_simple_eval", with_(["p6"], "SELECT series, count(*) AS n, round(avg(abs(y - p50)), 4) AS mae, round(sqrt(avg((y - p50) * (y - p50))), 4) AS rmse, round(avg(CASE WHEN y <> 0 THEN abs(y - p50) / abs(y) END) * 100, 4) AS mape, round(sum(abs(y - p50)) / sum(abs(y)) * 100, 4) AS wape FROM hp WHERE y IS NOT NULL AND p50 IS NOT NULL GROUP BY series", _HOLED))
+@query("m_simple_eval", with_(["p6"], "SELECT series, count(*) AS n, round(avg(abs(y - p50)), 4) AS mae, round(sqrt(avg((y - p50) * (y - p50))), 4) AS rmse, round(avg(CASE WHEN y <> 0 THEN abs(y - p50) / abs(y) END) * 100, 4) AS mape, round(sum(abs(y - p50)) / sum(CASE WHEN p50 IS NOT NULL THEN abs(y) END) * 100, 4) AS wape FROM hp GROUP BY series", _HOLED))
 def _(t):
     return rnd(M.simple_evaluation(holed(t), ["series"]), 4, "mae", "rmse", "mape", "wape")
 

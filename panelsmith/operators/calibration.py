@@ -9,13 +9,14 @@ exact weighted selection per (candidate, tail, group) gives the quantiles.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.calendar import NTZ, col, month_end, month_index, months_between
 from ..functions.scalars import INF, no_nan, safe_ratio
-from .order_stats import select_by_mass
+from .order_stats import select_by_mass, value_bucket
 
 METHODS = ("scaled", "relative", "asym_relative")
 GROUPS = ("pooled", "horizon", "series")
@@ -268,79 +269,149 @@ def clip_alpha(a: float, n: float) -> float:
     return min(max(a, (1.0 + 1e-9) / (n + 1)), 0.5)
 
 
-def _step(alpha, gamma, target, miss):
-    return tuple(a + gamma * (t - e) for a, t, e in zip(alpha, target, miss))
+class _ScoreIndex:
+    """Scores by bucket: a histogram of fixed size on the driver, the rows on the executors.
+
+    A month-by-month rule needs one quantile and one miss count per step.  The
+    histogram names the bucket that holds the wanted rank; a small job then
+    orders only that bucket's distinct scores, so every step is exact and no
+    step touches more than a sliver of the rows.
+    """
+
+    def __init__(self, rows: DataFrame):
+        self.rows = rows.withColumn("b", value_bucket("s")).persist()
+        # Buckets are about 0.1 % of the score wide: their number depends on the score range, not on the rows.
+        self.hist = self.rows.groupBy("candidate", "side", "part", "b").agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("n")).toPandas().sort_values("b")
+
+    def close(self) -> None:
+        self.rows.unpersist()
+
+    def parts(self) -> list[int]:
+        return sorted(self.hist["part"].unique())
+
+    def totals(self, before: int) -> dict[tuple, tuple[float, int]]:
+        h = self.hist[self.hist["part"] < before].groupby(["candidate", "side"])[["w", "n"]].sum()
+        return {k: (float(r["w"]), int(r["n"])) for k, r in h.iterrows()}
+
+    def step(self, need: dict[tuple, float], before: int, batch: int) -> dict[tuple, tuple[float, float]]:
+        """(quantile of the parts before, share of the batch above it) per (candidate, side)."""
+        targets, above, size, out = [], {}, {}, {}
+        for key, wanted in need.items():
+            mine = self.hist[(self.hist["candidate"] == key[0]) & (self.hist["side"] == key[1])]
+            seen = mine[mine["part"] < before].groupby("b", sort=True)["w"].sum()
+            cum = seen.cumsum()
+            now = mine[mine["part"] == batch]
+            size[key] = float(now["n"].sum())
+            hit = int((cum < wanted * (1 - 1e-12)).sum())
+            if hit >= len(cum):
+                out[key] = (INF, 0.0)
+                continue
+            # The next bucket is kept as well: bucket sums and running sums may differ in the last bit.
+            buckets = [int(x) for x in cum.index[hit : hit + 2]]
+            base = float(cum.iloc[hit - 1]) if hit else 0.0
+            targets += [(*key, x, base, float(wanted)) for x in buckets]
+            above[key] = (buckets, now)
+        if targets:
+            # A handful of configured candidates: their buckets are literals, no join is needed.
+            here = lambda t: (F.col("candidate") == t[0]) & (F.col("side") == t[1])
+            kept = reduce(lambda x, z: x | z, [here(t) & (F.col("b") == t[2]) for t in targets])
+            literal = lambda i: F.coalesce(*[F.when(here(t), F.lit(t[i])) for t in targets])
+            merged = self.rows.where(kept).groupBy("candidate", "side", "s").agg(
+                F.sum(F.when(F.col("part") < before, F.col("w")).otherwise(0.0)).alias("old"), F.count_if(F.col("part") == batch).alias("new"),
+            ).withColumns({"base": literal(3), "need": literal(4)})
+            key_w = Window.partitionBy("candidate", "side")
+            run = F.col("base") + F.sum("old").over(key_w.orderBy("s").rowsBetween(Window.unboundedPreceding, 0))
+            found = merged.withColumn("_q", F.when((F.col("old") > 0) & (run >= F.col("need") * (1 - 1e-12)), F.col("s"))).withColumn("q", F.min("_q").over(key_w))
+            got = found.groupBy("candidate", "side").agg(F.max("q").alias("q"), F.sum(F.when(F.col("s") > F.col("q"), F.col("new")).otherwise(0)).alias("n")).collect()
+            for r in got:
+                buckets, now = above[(r["candidate"], r["side"])]
+                higher = float(now[~now["b"].isin(buckets) & (now["b"] > buckets[0])]["n"].sum()) + float(r["n"])
+                total = size[(r["candidate"], r["side"])]
+                out[(r["candidate"], r["side"])] = (float(r["q"]), higher / total if total else 0.0)
+        return out
+
+
+def _indexed(pool: DataFrame, specs: list[Spec], part: Column, y: str, series: str) -> DataFrame:
+    entries = [t for s in specs for t in _tails(s, y, series)]
+    return pool.where(F.col(y).isNotNull()).select(part.alias("part"), F.inline(F.array(*entries))).select(
+        "part", "candidate", "side", F.col("score").alias("s"), F.col("weight").alias("w")
+    )
+
+
+def _sides(spec: Spec) -> list[str]:
+    return ["lo", "hi"] if spec.method == "asym_relative" else ["both"]
 
 
-def _miss_rates(scored: DataFrame, calibrator: DataFrame, methods: dict[str, str], y: str) -> dict[str, tuple]:
-    """Share of a batch outside its tail quantiles, per candidate: a few scalars to the driver."""
-    entries = [F.struct(F.lit(n).alias("candidate"), F.lit(m == "asym_relative").alias("asym"), conformity(m, y).alias("s")) for n, m in methods.items()]
-    rows = scored.select(F.inline(F.array(*entries))).join(calibrator.select("candidate", "q_lo", "q_hi"), "candidate")
-    got = rows.groupBy("candidate").agg(
-        F.avg((F.col("s") < F.col("q_lo")).cast("double")).alias("lo"), F.avg((F.col("s") > F.col("q_hi")).cast("double")).alias("hi"), F.max("asym").alias("asym")
-    ).collect()
-    return {r["candidate"]: (r["lo"], r["hi"]) if r["asym"] else (r["hi"],) for r in got}
+def _targets(specs: list[Spec]) -> dict[tuple, float]:
+    """Allowed miss rate per (candidate, tail)."""
+    return {(s.name, side): (1 - s.level) / len(_sides(s)) for s in specs for side in _sides(s)}
+
+
+def _need(spec_unit: bool, alpha: float, total: float, n: int) -> float:
+    import math
+
+    return float(math.ceil((n + 1) * (1.0 - alpha))) if spec_unit else (1.0 - alpha) * (total + 1.0)
 
 
 def fit_adaptive(pool: DataFrame, as_of, specs: list[Spec], gamma: float = 0.1, y: str = "y", series: str = "series", ts: str = "ts") -> DataFrame:
-    """Adaptive conformal inference over monthly target batches.
+    """Adaptive conformal inference over monthly target batches (pooled, equal weights).
 
     The rule is sequential over months: each month's level depends on the last
-    month's miss rate.  The loop therefore runs one distributed job per month
-    and brings back only those rates; rows stay on the executors.  Adds
-    ``alpha_lo`` and ``alpha_hi`` (the final levels) to the calibrator.
+    month's miss rate.  One small distributed job per month brings back only
+    that rate.  Adds ``alpha_lo`` and ``alpha_hi`` (the final levels).
     """
-    seen = resolved_pool(pool, as_of, ts).where(F.col(y).isNotNull()).withColumn("_m", month_index(ts)).persist()
+    seen = resolved_pool(pool, as_of, ts)
+    index = _ScoreIndex(_indexed(seen, specs, month_index(ts), y, series))
+    target = _targets(specs)
+    alpha = dict(target)
     try:
-        sizes = {r["_m"]: r["n"] for r in seen.groupBy("_m").agg(F.count(F.lit(1)).alias("n")).collect()}
-        months = sorted(sizes)
-        methods = {s.name: s.method for s in specs}
-        target = {s.name: ((1 - s.level) / 2,) * 2 if s.method == "asym_relative" else (1 - s.level,) for s in specs}
-        alpha = dict(target)
-        n = 0
-        for before, m in zip(months, months[1:]):
-            n += sizes[before]
-            alpha = {k: tuple(clip_alpha(x, n) for x in a) for k, a in alpha.items()}
-            cal = fit(seen.where(F.col("_m") < m), specs, y=y, series=series, alphas=alpha)
-            miss = _miss_rates(seen.where(F.col("_m") == m), cal, methods, y)
-            alpha = {k: _step(a, gamma, target[k], miss[k]) for k, a in alpha.items()}
-        total = sum(sizes.values())
-        alpha = {k: tuple(clip_alpha(x, total) for x in a) for k, a in alpha.items()}
+        months = index.parts()
+        for m in months[1:]:
+            sizes = index.totals(m)
+            alpha = {k: clip_alpha(a, sizes[k][1]) for k, a in alpha.items()}
+            got = index.step({k: _need(True, a, *sizes[k]) for k, a in alpha.items()}, m, m)
+            alpha = {k: a + gamma * (target[k] - got[k][1]) for k, a in alpha.items()}
+        sizes = index.totals(months[-1] + 1)
+        alpha = {k: clip_alpha(a, sizes[k][1]) for k, a in alpha.items()}
     finally:
-        seen.unpersist()
+        index.close()
     # The plan returned recomputes from the pool; nothing depends on cached blocks.
-    final = fit(seen.drop("_m"), specs, y=y, series=series, alphas=alpha)
-    lookup = lambda i: F.coalesce(*[F.when(F.col("candidate") == k, F.lit(float(a[min(i, len(a) - 1)]))) for k, a in alpha.items()])
+    chosen = {s.name: tuple(alpha[(s.name, side)] for side in _sides(s)) for s in specs}
+    final = fit(seen, specs, y=y, series=series, alphas=chosen)
+    lookup = lambda i: F.coalesce(*[F.when(F.col("candidate") == k, F.lit(float(a[min(i, len(a) - 1)]))) for k, a in chosen.items()])
     return final.withColumns({"alpha_lo": lookup(0), "alpha_hi": lookup(1)})
 
 
 def adaptive_within_window(pool: DataFrame, scored: DataFrame, as_of, specs: list[Spec], gamma: float = 0.1, y: str = "y", series: str = "series", ts: str = "ts") -> DataFrame:
-    """Diagnostic: each scored month's level reacts to the month before it.
+    """Diagnostic: each scored month's level reacts to the miss rates of the month before it.
 
-    ``specs`` carry the half-life; one small job per scored month.
+    ``specs`` carry the half-life and are pooled.  Two small jobs per scored month.
     """
-    base = resolved_pool(pool, as_of, ts)
-    target = {s.name: ((1 - s.level) / 2,) * 2 if s.method == "asym_relative" else (1 - s.level,) for s in specs}
-    weights = {s.name: base.where(F.col(y).isNotNull()).agg(F.sum(decay(s.half_life)).alias("w")).first()["w"] or 0.0 for s in specs}
-    alpha, parts = dict(target), []
-    months = [r[ts] for r in scored.select(ts).distinct().orderBy(ts).collect()]
-    for m in months:
-        alpha = {k: tuple(clip_alpha(x, weights[k]) for x in a) for k, a in alpha.items()}
-        cal = fit(base, specs, y=y, series=series, alphas=alpha)
-        out = apply(scored.where(F.col(ts) == F.lit(m)), cal, specs, series=series)
-        parts.append(out)
-        rates = {
-            r["candidate"]: (r["b"], r["a"])
-            for r in out.groupBy("candidate").agg(
-                F.avg(F.coalesce(F.col(y) < F.col("p10"), F.lit(False)).cast("double")).alias("b"),
-                F.avg(F.coalesce(F.col(y) > F.col("p90"), F.lit(False)).cast("double")).alias("a"),
-            ).collect()
-        }
-        alpha = {k: _step(a, gamma, target[k], rates[k] if len(a) == 2 else (sum(rates[k]),)) for k, a in alpha.items()}
-    result = parts[0]
-    for p in parts[1:]:
-        result = result.unionByName(p)
-    return result
+    index = _ScoreIndex(_indexed(resolved_pool(pool, as_of, ts), specs, F.lit(0), y, series))
+    target = _targets(specs)
+    unit = {s.name: s.half_life is None for s in specs}
+    alpha, rows = dict(target), []
+    by_month = [F.col(ts).alias("_at")]
+    spark = pool.sparkSession
+    schema = "candidate string, group_key string, q_lo double, q_hi double, n_incomplete long, _at timestamp_ntz"
+    try:
+        sizes = index.totals(1)
+        for m in [r[ts] for r in scored.select(ts).distinct().orderBy(ts).collect()]:
+            alpha = {k: clip_alpha(a, sizes[k][0]) for k, a in alpha.items()}
+            q = {k: v[0] for k, v in index.step({k: _need(unit[k[0]], a, *sizes[k]) for k, a in alpha.items()}, 1, 1).items()}
+            cal = [(s.name, "all", *((-q[(s.name, "lo")], q[(s.name, "hi")]) if len(_sides(s)) == 2 else (q[(s.name, "both")],) * 2), 0, m) for s in specs]
+            rows += cal
+            banded = apply(scored.where(F.col(ts) == F.lit(m)).select("*", *by_month), spark.createDataFrame(cal, schema), specs, by=["_at"], series=series)
+            for r in banded.groupBy("candidate").agg(
+                F.avg(F.coalesce(F.col(y) < F.col("p10"), F.lit(False)).cast("double")).alias("below"),
+                F.avg(F.coalesce(F.col(y) > F.col("p90"), F.lit(False)).cast("double")).alias("above"),
+            ).collect():
+                miss = {"lo": r["below"], "hi": r["above"], "both": r["below"] + r["above"]}
+                for k in [k for k in alpha if k[0] == r["candidate"]]:
+                    alpha[k] += gamma * (target[k] - miss[k[1]])
+    finally:
+        index.close()
+    return apply(scored.select("*", *by_month), spark.createDataFrame(rows, schema), specs, by=["_at"], series=series).drop("_at")
 
 
 def monthly_recalibration(pool_full: DataFrame, scored: DataFrame, as_of: str, specs: list[Spec], y: str = "y", series: str = "series", ts: str = "ts") -> DataFrame:

@@ -332,12 +332,12 @@ def leaderboard_check(recomputed: DataFrame, published: DataFrame, keys: list[st
 
 
 def simple_evaluation(df: DataFrame, by: list[str] | None = None, y: str = "y", p50: str = "p50") -> DataFrame:
-    """MAE, RMSE, MAPE over non-zero actuals and WAPE, on rows that have both values."""
+    """MAE, RMSE, MAPE over non-zero actuals and WAPE on rows with both values; ``n`` counts all matched rows."""
     a, f = F.col(y), F.col(p50)
     err = F.abs(f - a)
-    whole = df.where(a.isNotNull() & f.isNotNull())
-    total = F.sum(F.abs(a))
-    return whole.groupBy(*(by or [])).agg(
+    both = a.isNotNull() & f.isNotNull()
+    total = F.sum(F.when(both, F.abs(a)))
+    return df.groupBy(*(by or [])).agg(
         F.count(F.lit(1)).alias("n"), F.avg(err).alias("mae"), F.sqrt(F.avg(err * err)).alias("rmse"),
         (F.avg(F.when(a != 0, err / F.abs(a))) * 100).alias("mape"), F.when(total > 0, F.sum(err) / total * 100).alias("wape"),
     )

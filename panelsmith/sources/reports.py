@@ -44,7 +44,7 @@ def figures(reports: DataFrame, text: str = "text", keys: list[str] | None = Non
     prose = hits.select(*keys, F.inline(F.array(entry(month_key(g(1), g(2)), number(g(3)), 0), entry(month_key(g(4), g(5)), number(g(6)), 2)))).withColumn("layout", F.lit("prose"))
     # The heading of a table is the last month before its last "Total Ridership" row.
     row = F.regexp_extract("_t", TABLE, 0)
-    t = r.withColumn("_row", row).where(F.col("_row") != "").withColumn("_head", F.substring_index(F.col("_t"), F.col("_row"), 1))
+    t = r.withColumn("_row", row).where(F.col("_row") != "").withColumn("_head", F.call_function("substring_index", F.col("_t"), F.col("_row"), F.lit(1)))
     t = t.where(F.col("_head").contains("Total Ridership")).withColumn("_head", F.substring_index("_head", "Total Ridership", -2))
     t = t.withColumn("_head", F.substring_index("_head", "Total Ridership", 1))
     c = lambda i: _group(F.col("_head"), COLUMNS, i)
