@@ -174,3 +174,31 @@ def with_(names: list[str], body: str, extra: dict[str, str] | None = None) -> s
         add(n)
     parts = [f"{n} AS ({CTE[n][1]})" for n in order] + [f"{k} AS ({v})" for k, v in (extra or {}).items()]
     return (f"WITH {', '.join(parts)} " if parts else "") + body
+
+
+# ---- backtest windows --------------------------------------------------------------------------------
+
+
+def naive(history: DataFrame, horizon: int, keys: list[str]) -> DataFrame:
+    return FC.naive_ahead_full(history, horizon, keys)
+
+
+BACKTESTS = [{"name": "1999-H1", "as_of": "1998-12-31"}, {"name": "1999-H2", "as_of": "1999-06-30"}, {"name": "2000-H1", "as_of": "1999-12-31"}]
+MODELS = {"naive": naive, "recent": recent_mean}
+
+
+def backtest(t: Tables) -> DataFrame:
+    """(model, window, series, ts, y, bands) for the configured windows."""
+    from ..plans import backtest as B
+
+    return B.backtest_frame(p1(t), BACKTESTS, MODELS, HORIZON)
+
+
+_BW = "(VALUES " + ", ".join(f"('{w['name']}', TIMESTAMP '{w['as_of']}')" for w in BACKTESTS) + ") AS w(name, o)"
+BT_SQL = {
+    "bh": f"SELECT w.name, w.o, p.series, p.y, row_number() OVER (PARTITION BY w.name, p.series ORDER BY p.ts DESC) AS rn, count(*) OVER (PARTITION BY w.name, p.series) AS n FROM p1 p, {_BW} WHERE p.ts <= w.o",
+    "bt": f"""SELECT a.name AS window, m.model, a.series, a.ts, a.y, CASE m.model WHEN 'naive' THEN h.y * 0.8 ELSE r.l * 0.7 END AS p10, CASE m.model WHEN 'naive' THEN h.y ELSE r.l END AS p50, CASE m.model WHEN 'naive' THEN h.y * 1.2 ELSE r.l * 1.3 END AS p90 FROM
+      (SELECT w.name, p.series, p.ts, p.y, (year(p.ts) * 12 + month(p.ts)) - (year(w.o) * 12 + month(w.o)) AS hz FROM p1 p, {_BW} WHERE p.ts > w.o AND (year(p.ts) * 12 + month(p.ts)) - (year(w.o) * 12 + month(w.o)) <= {HORIZON}) a CROSS JOIN (VALUES ('naive'), ('recent')) m(model)
+      LEFT JOIN (SELECT * FROM bh WHERE n >= 12) h ON h.name = a.name AND h.series = a.series AND h.rn = 12 - (a.hz - 1) % 12
+      LEFT JOIN (SELECT name, series, avg(y) AS l FROM bh WHERE rn <= 3 GROUP BY 1, 2) r ON r.name = a.name AND r.series = a.series""",
+}

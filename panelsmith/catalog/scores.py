@@ -9,8 +9,7 @@ from ..operators import panel as P
 from ..plans import backtest as B
 from . import fixtures as X
 from .common import flag, rnd, ts_lit
-from .fixtures import HORIZON, ORIGINS, TRAIN_END, with_
-from .forecasts import BACKTESTS, BT_SQL, MODELS, backtest
+from .fixtures import BACKTESTS, BT_SQL, HORIZON, MODELS, ORIGINS, TRAIN_END, backtest, with_
 from .registry import query
 
 

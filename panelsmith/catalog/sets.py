@@ -25,23 +25,15 @@ def _(t):
     return tail_per_group(t.orders.select(F.col("o_custkey").alias("series"), "o_orderkey", "o_orderdate"), ["series"], "o_orderkey", 3)
 
 
-@query("rank_leaderboard", with_(["actuals", "p5", "p5r"], """SELECT model, n, n_expected, round(wape, 2) AS wape, round(mae, 2) AS mae, row_number() OVER (ORDER BY round(wape, 2), model) AS rank FROM (
-  SELECT model, count(*) FILTER (WHERE f.p50 IS NOT NULL) AS n, count(*) AS n_expected, CASE WHEN count(*) FILTER (WHERE f.p50 IS NULL) = 0 THEN sum(abs(a.y - f.p50)) / sum(abs(a.y)) * 100 END AS wape,
-    CASE WHEN count(*) FILTER (WHERE f.p50 IS NULL) = 0 THEN avg(abs(a.y - f.p50)) END AS mae
-  FROM (SELECT *, unnest(['naive', 'recent']) AS model FROM actuals) a LEFT JOIN (SELECT 'naive' AS model, * FROM p5 UNION ALL SELECT 'recent', * FROM p5r) f USING (model, series, ts) GROUP BY model) WHERE n = n_expected AND wape <= 100"""))
+@query("rank_leaderboard", with_(["p1"], """SELECT model, n, n_expected, round(wape, 2) AS wape, round(mae, 2) AS mae, row_number() OVER (ORDER BY round(wape, 2), model) AS rank FROM (
+  SELECT model, count(p50) AS n, count(*) AS n_expected, sum(abs(y - p50)) / sum(y) * 100 AS wape, avg(abs(y - p50)) AS mae FROM bt WHERE "window" = '2000-H1' GROUP BY model HAVING count(p50) = count(*)) WHERE wape <= 100""", X.BT_SQL))
 def _(t):
     from ..plans.backtest import leaderboard
 
-    lb = leaderboard(X.p1(t), X.TRAIN_END, X.TEST_END, {"naive": naive, "recent": X.recent_mean}, X.HORIZON, {})
+    lb = leaderboard(X.p1(t), X.TRAIN_END, X.TEST_END, X.MODELS, X.HORIZON, {})
     return lb.select("model", "n", "n_expected", "wape", "mae", "rank")
 
 
-def naive(history, horizon, keys):
-    from ..operators.forecast import naive_ahead_full
-
-    return naive_ahead_full(history, horizon, keys)
-
-
 @query("sort_abs_corr", with_(["p3"], """SELECT feature, round(r, 4) AS pearson, row_number() OVER (ORDER BY abs(round(r, 4)) DESC, feature) AS position FROM (
   SELECT 'precip_mm' AS feature, corr(precip_mm, temp_f) AS r FROM p3 UNION ALL SELECT 'windspeed_mph', corr(windspeed_mph, temp_f) FROM p3 UNION ALL SELECT 'weather_code', corr(weather_code, temp_f) FROM p3)"""))
 def _(t):

@@ -41,6 +41,8 @@ def compare(got: pd.DataFrame, want: pd.DataFrame) -> str | None:
         return f"columns {sorted(got.columns)} != {sorted(want.columns)}"
     if len(got) != len(want):
         return f"rows {len(got)} != {len(want)}"
+    if not len(got):
+        return None
     a, b = canonical(got), canonical(want)
     if a.equals(b):
         return None
