@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import col, month_start
 from ..functions.scalars import known
-from .order_stats import average_ranks, exact_quantiles, positions_by_value, running_mass
+from .order_stats import average_ranks, exact_quantiles, positions_by_value, running_mass, trimmed_mean
 
 
 def station_months(od: DataFrame, period: str = "period", key: str = "destination", value: str = "riders") -> DataFrame:
@@ -111,10 +111,7 @@ def describe(entities: DataFrame, value: str, groups: list[str] | None = None, t
     join = lambda a, b: a.join(b, groups) if groups else a.join(b, F.lit(True))
     dev = join(e, q.select(*groups, "median")).select(*groups, F.abs(F.col(value) - F.col("median")).alias("_d"))
     mad = exact_quantiles(dev, groups, "_d", {"mad": 0.5}).drop("n")
-    placed = join(positions_by_value(e, groups, value, [], "_pos"), basic.select(*groups, F.col("n").alias("_n")))
-    cut = F.floor(F.col("_n") * trim)
-    trimmed = placed.where((F.col("_pos") > cut) & (F.col("_pos") <= F.col("_n") - cut)).groupBy(*groups).agg(F.avg(value).alias("trimmed_mean"))
-    return join(join(join(basic, q), mad), trimmed).withColumn("iqr", F.col("q3") - F.col("q1"))
+    return join(join(join(basic, q), mad), trimmed_mean(e, groups, value, trim)).withColumn("iqr", F.col("q3") - F.col("q1"))
 
 
 def daytype_stats(od: DataFrame, day_type: str = "day_type", value: str = "riders") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.calendar import epoch_seconds, hours_between, month_start, plus_hours
@@ -14,45 +14,83 @@ APPROACH_HOURS = 3.0
 DEPARTURE_HOURS = 1.5
 
 
-def interval_pairs(points: DataFrame, intervals: DataFrame, ts: str, lo: str, hi: str, slot_s: int = 3600) -> DataFrame:
-    """Pairs with lo <= ts <= hi, by an equi-join on time slots and the exact test.
+def stabbing(points: DataFrame, intervals: DataFrame, ts: str, lo: str, hi: str, aggs: dict[str, tuple[str, str]], slot_s: int = 3600) -> DataFrame:
+    """Aggregates over all intervals that contain each point, without listing pairs.
 
-    An interval is listed once per slot it touches (event windows are hours
-    long), a point sits in one slot, so no pair is tested twice.
+    ``aggs``: out -> ("sum" or "max", interval column).  Time is cut into slots
+    no longer than the shortest interval, so within a slot an interval opens,
+    closes or covers it whole:
+
+    * covering intervals fold into one row per slot;
+    * opening ones are a running aggregate from the slot's start, closing ones
+      a running aggregate from its end.
+
+    The work grows with points + intervals x (slots per interval), even where a
+    third of all events share an hour with as many points.
     """
-    slots = F.sequence(F.floor(epoch_seconds(lo) / slot_s), F.floor(epoch_seconds(hi) / slot_s))
-    spread = intervals.withColumn("_slot", F.explode(slots))
-    placed = points.withColumn("_slot", F.floor(epoch_seconds(ts) / slot_s))
-    return placed.join(spread, "_slot").where((F.col(ts) >= F.col(lo)) & (F.col(ts) <= F.col(hi))).drop("_slot")
+    slot = lambda c: F.floor(epoch_seconds(c) / slot_s)
+    fold = {"sum": F.sum, "max": F.max}
+    names = list(aggs)
+    values = [F.col(c).alias(o) for o, (_, c) in aggs.items()]
+    blank = [F.lit(None).cast(intervals.schema[c].dataType).alias(o) for o, (_, c) in aggs.items()]
+    iv = intervals.select(F.col(lo).alias("_lo"), F.col(hi).alias("_hi"), *values).withColumns({"_a": slot("_lo"), "_b": slot("_hi")})
+
+    whole = (
+        iv.where(F.col("_b") > F.col("_a") + 1).withColumn("_slot", F.explode(F.sequence(F.col("_a") + 1, F.col("_b") - 1)))
+        .groupBy("_slot").agg(*[fold[k](o).alias(f"{o}_whole") for o, (k, _) in aggs.items()])
+    )
+    rows = (
+        points.select(ts).distinct().select(slot(ts).alias("_slot"), F.col(ts).alias("_t"), F.lit(1).alias("_kind"), *blank)
+        .unionByName(iv.select(F.col("_a").alias("_slot"), F.col("_lo").alias("_t"), F.lit(0).alias("_kind"), *names))
+        .unionByName(iv.where(F.col("_b") > F.col("_a")).select(F.col("_b").alias("_slot"), F.col("_hi").alias("_t"), F.lit(2).alias("_kind"), *names))
+    )
+    # Equal times: openings sort before points, closings after, so both bounds are inclusive.
+    ahead = Window.partitionBy("_slot").orderBy("_t", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    behind = Window.partitionBy("_slot").orderBy("_t", "_kind").rowsBetween(0, Window.unboundedFollowing)
+    near = rows.withColumns(
+        {f"{o}_open": fold[k](F.when(F.col("_kind") == 0, F.col(o))).over(ahead) for o, (k, _) in aggs.items()}
+        | {f"{o}_close": fold[k](F.when(F.col("_kind") == 2, F.col(o))).over(behind) for o, (k, _) in aggs.items()}
+    ).where(F.col("_kind") == 1)
+    out = near.join(whole, "_slot", "left")
+    combined = []
+    for o, (k, _) in aggs.items():
+        parts = [F.col(f"{o}_{p}") for p in ("open", "close", "whole")]
+        if k == "max":
+            combined.append(F.greatest(*parts).alias(o))
+        else:
+            combined.append(F.nullif(sum((F.coalesce(p, F.lit(0)) for p in parts), F.lit(0)), F.lit(0)).alias(o))
+    return out.select(F.col("_t").alias(ts), *combined)
 
 
 def event_windows(
     times: DataFrame, events: DataFrame, ts: str = "ts", start: str = "timestamp_start", end: str = "timestamp_end",
     major: str = "is_sharks_game", approach: float = APPROACH_HOURS, departure: float = DEPARTURE_HOURS,
 ) -> DataFrame:
-    """Per distinct time: pre/during/post flags, proximity, tier of the events around it.
+    """Per distinct time with an active event: pre/post flags, major flag, proximity, count.
 
-    Event effects depend on the time only, so times and events are made distinct
-    first; the pair join then grows with events times window length, not with
-    the number of series.
+    An event is active from ``approach`` hours before its start to ``departure``
+    hours after its end.  Its effects depend on the time only, so times are made
+    distinct and equal events merged first.  The closest start is the next one
+    (if inside the approach) or the latest one still active.
     """
     ev = (
-        events.groupBy(start, end).agg(F.max(F.coalesce(F.col(major), F.lit(False))).alias("_major"))
-        .withColumns({"_lo": plus_hours(start, -approach), "_hi": plus_hours(F.greatest(start, end), departure)})
+        events.groupBy(F.col(start).alias("_start"), F.greatest(start, end).alias("_end"))
+        .agg(F.max(F.coalesce(F.col(major), F.lit(False))).alias("_major"), F.count(F.lit(1)).alias("_n"))
+        .withColumns({"_lo": plus_hours("_start", -approach), "_hi": plus_hours("_end", departure)})
     )
-    pairs = interval_pairs(times.select(ts).distinct(), ev, ts, "_lo", "_hi").withColumns({
-        "_ds": hours_between(ts, start), "_de": hours_between(ts, end),
-    })
-    pre = (F.col("_ds") >= 0) & (F.col("_ds") <= approach)
-    during = (F.col("_ds") <= 0) & (F.col("_de") >= 0)
-    post = (F.col("_de") < 0) & (F.col("_de") >= -departure)
-    active = pairs.withColumns({"_pre": pre, "_post": post}).where(pre | during | post)
-    return active.groupBy(ts).agg(
-        F.max("_pre").alias("is_pre_event_window"),
-        F.max("_post").alias("is_post_event_window"),
-        F.max("_major").alias("is_sharks_game_window"),
-        F.max(F.exp(F.pow(F.col("_ds") / approach, 2) * -0.5)).alias("event_proximity_score"),
-        F.count(F.lit(1)).alias("n_active"),
+    slot_s = int(min(3600.0, departure * 3600.0)) or 60
+    points = times.select(ts).distinct()
+    active = stabbing(points, ev, ts, "_lo", "_hi", {"n_active": ("sum", "_n"), "_big": ("max", "_major")}, slot_s)
+    begun = stabbing(points, ev, ts, "_start", "_hi", {"_latest": ("max", "_start")}, slot_s)
+    nxt = nearest_after(points, ev.select((F.col("_start") + F.expr("interval 1 microsecond")).alias(ts)), ts, "_next")
+    last = nearest_before(points, ev.select(F.col("_end").alias(ts)), ts, "_ended")
+    j = active.where("n_active is not null").join(begun, ts, "left").join(nxt, ts, "left").join(last, ts, "left")
+    ahead = hours_between(ts, F.col("_next") - F.expr("interval 1 microsecond"))
+    pre = F.coalesce(ahead <= approach, F.lit(False))
+    near = F.least(F.when(pre, ahead), hours_between("_latest", ts))
+    return j.select(
+        ts, pre.alias("is_pre_event_window"), F.coalesce(hours_between("_ended", ts) <= departure, F.lit(False)).alias("is_post_event_window"),
+        F.col("_big").alias("is_sharks_game_window"), F.exp(F.pow(near / approach, 2) * -0.5).alias("event_proximity_score"), "n_active",
     )
 
 

@@ -29,11 +29,16 @@ def value_bucket(x) -> Column:
 
 
 def _merged(df: DataFrame, groups: list[str], value: str, mass: Column) -> DataFrame:
-    """Equal values of a group merged, with their bucket."""
+    """Equal values of a group merged, with their bucket.
+
+    The (always true) test on the count keeps both aggregates in every use of
+    this plan, so its shuffle is written once and reused.
+    """
     return (
         df.where(F.col(value).isNotNull())
         .groupBy(*groups, F.col(value).cast("double").alias("_v"))
         .agg(F.sum(mass).alias("_mass"), F.count(F.lit(1)).alias("_rows"))
+        .where((F.col("_rows") > 0) & F.col("_mass").isNotNull())
         .withColumn("_bucket", value_bucket("_v"))
     )
 
@@ -123,22 +128,56 @@ def exact_quantiles(df: DataFrame, groups: list[str], value: str, probs: dict[st
     return wide.join(sizes, groups) if groups else wide.join(sizes, F.lit(True))
 
 
+def _tie_bucket(df: DataFrame, column: str) -> Column:
+    """A coarse bucket that never decreases along the column's own order."""
+    kind = df.schema[column].dataType.typeName()
+    if kind == "string":
+        return F.substring(column, 1, 3)
+    if kind in ("timestamp_ntz", "timestamp", "date"):
+        return F.col(column).cast("date")
+    return value_bucket(column)
+
+
 def running_mass(df: DataFrame, groups: list[str], value: str, mass: str, tie: list[str] | None = None, out: str = "cum") -> DataFrame:
-    """Every row with its inclusive running mass in value order (ties by ``mass`` and ``tie``)."""
-    b = df.withColumn("_bucket", value_bucket(value))
+    """Every row with its inclusive running mass in value order (ties by ``mass``, then ``tie``).
+
+    A value that fills a third of the table is split further by the mass and the
+    first tie column, so one value is never one task.
+    """
+    tie = tie or []
+    cells = ["_bucket", "_split", "_massb", "_tieb"]
+    b = df.withColumn("_bucket", value_bucket(value)).withColumns({
+        # Each value is a cell of its own; a heavily repeated one is cut further by mass and tie.
+        "_split": F.col(value).cast("double"), "_massb": value_bucket(mass), "_tieb": _tie_bucket(df, tie[0]) if tie else F.lit(0),
+    })
+    totals = b.groupBy(*groups, *cells).agg(F.sum(mass).alias("_own"))
+    per_bucket = Window.partitionBy(*groups, "_bucket").orderBy("_split", "_massb", "_tieb").rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    base = (
-        b.groupBy(*groups, "_bucket").agg(F.sum(mass).alias("_own"))
-        .select(*groups, "_bucket", F.coalesce(F.sum("_own").over(upto), F.lit(0.0)).alias("_base"))
+    buckets = totals.groupBy(*groups, "_bucket").agg(F.sum("_own").alias("_b")).select(
+        *groups, "_bucket", F.coalesce(F.sum("_b").over(upto), F.lit(0.0)).alias("_base")
     )
-    inside = Window.partitionBy(*groups, "_bucket").orderBy(value, mass, *(tie or [])).rowsBetween(Window.unboundedPreceding, 0)
+    base = totals.join(buckets, [*groups, "_bucket"]).select(
+        *groups, *cells, (F.col("_base") + F.coalesce(F.sum("_own").over(per_bucket), F.lit(0.0))).alias("_base")
+    )
+    inside = Window.partitionBy(*groups, *cells).orderBy(mass, *tie).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        b.join(base, [*groups, "_bucket"])
+        b.join(base, [*groups, *cells])
         .withColumn(out, F.col("_base") + F.sum(mass).over(inside))
-        .drop("_bucket", "_base")
+        .drop(*cells, "_base")
     )
 
 
+def trimmed_mean(df: DataFrame, groups: list[str], value: str, share: float = 0.1, out: str = "trimmed_mean") -> DataFrame:
+    """Mean without the lowest and highest ``share`` of rows, from merged values only."""
+    merged = _merged(df, groups, value, F.lit(1))
+    base = _bucket_totals(merged, groups).select(*groups, "_bucket", "_base", "_count")
+    inside = Window.partitionBy(*groups, "_bucket").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    cut = F.floor(F.col("_count") * share)
+    run = merged.join(base, [*groups, "_bucket"]).withColumn("_end", F.col("_base") + F.sum("_mass").over(inside))
+    kept = F.greatest(F.least(F.col("_end"), F.col("_count") - cut) - F.greatest(F.col("_end") - F.col("_mass"), cut), F.lit(0))
+    return run.withColumn("_k", kept).groupBy(*groups).agg((F.sum(F.col("_v") * F.col("_k")) / F.sum("_k")).alias(out))
+
+
 def positions_by_value(df: DataFrame, groups: list[str], value: str, tie: list[str], out: str = "pos") -> DataFrame:
     """1-based position of every row in ascending value order."""
     numbered = running_mass(df.withColumn("_one", F.lit(1.0)), groups, value, "_one", tie, out)

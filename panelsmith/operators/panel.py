@@ -160,10 +160,12 @@ def median_step_hours(df: DataFrame, series: str | None = "series", ts: str = "t
     from .order_stats import exact_quantiles
 
     if series:
-        stepped = df.withColumn("_prev", F.lag(ts).over(Window.partitionBy(series).orderBy(ts)))
+        # The cadence is not known yet, so a series is taken to be long and split by month.
+        chunk = F.trunc(F.col(ts).cast("date"), "month")
+        stepped = windowed_by_rows(df.select(series, ts), [series], [ts], 1, lambda w: {"_prev": F.lag(ts).over(w)}, chunk)
     else:
-        # Distinct time stamps of one panel: ordered by year so no task gets the whole range.
-        d = df.select(ts).distinct().withColumn("_y", F.year(ts))
+        # Distinct time stamps of one panel: ordered within days, the last one carried over days.
+        d = df.select(ts).distinct().withColumn("_y", F.col(ts).cast("date"))
         edge = d.groupBy("_y").agg(F.max(ts).alias("_m")).withColumn("_carry", F.max("_m").over(Window.orderBy("_y").rowsBetween(Window.unboundedPreceding, -1)))
         stepped = d.withColumn("_in", F.lag(ts).over(Window.partitionBy("_y").orderBy(ts))).join(edge, "_y").withColumn("_prev", F.coalesce("_in", "_carry"))
     steps = stepped.where("_prev is not null").select(((epoch_seconds(ts) - epoch_seconds("_prev")) / 3600.0).alias("_h"))
@@ -202,10 +204,10 @@ def add_lags(df: DataFrame, series: str = "series", ts: str = "ts", y: str = "y"
     return row_rolling(row_lags(df, ROW_LAGS, series, ts, y, chunk), series, ts, y, chunk)
 
 
-def mase_scale(train: DataFrame, season: int, series: str = "series", ts: str = "ts", y: str = "y", by: list[str] | None = None) -> DataFrame:
+def mase_scale(train: DataFrame, season: int, series: str = "series", ts: str = "ts", y: str = "y", by: list[str] | None = None, chunk: Column | None = None) -> DataFrame:
     """Mean |y(t) - y(t-season)| by row position within each series, over rows with an actual."""
     seen = train.where(F.col(y).isNotNull())
-    lagged = seen.withColumn("_d", F.abs(F.col(y) - F.lag(y, season).over(Window.partitionBy(series).orderBy(ts))))
+    lagged = windowed_by_rows(seen, [series], [ts], season, lambda w: {"_d": F.abs(F.col(y) - F.lag(y, season).over(w))}, chunk)
     scale = F.avg("_d")
     keys = by or []
     return lagged.groupBy(*keys).agg(F.when(scale >= 1e-8, scale).alias("mase_scale"), F.count("_d").alias("n_diffs"))

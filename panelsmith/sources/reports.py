@@ -26,8 +26,9 @@ def number(text: Column) -> Column:
     return F.regexp_replace(text, ",", "").try_cast("long")
 
 
-def _group(text: Column, pattern: str, i: int) -> Column:
-    return F.regexp_extract(text, pattern, i)
+def _groups(text: Column, pattern: str, n: int) -> Column:
+    """All n groups of a text that is one match, with a single pass of the pattern."""
+    return F.split(F.regexp_replace(text, pattern, "|".join(f"${i}" for i in range(1, n + 1))), "\\|")
 
 
 def figures(reports: DataFrame, text: str = "text", keys: list[str] | None = None) -> DataFrame:
@@ -40,18 +41,21 @@ def figures(reports: DataFrame, text: str = "text", keys: list[str] | None = Non
     r = reports.select(*keys, flat.alias("_t"))
     hits = r.select(*keys, F.explode(F.regexp_extract_all("_t", F.lit(PROSE), F.lit(0))).alias("_h"))
     entry = lambda m, v, rank: F.struct(m.alias("month"), v.alias("value"), F.lit(rank).alias("rank"))
-    g = lambda i: _group(F.col("_h"), PROSE, i)
+    hits = hits.withColumn("_g", _groups(F.col("_h"), PROSE, 6))
+    g = lambda i: F.get("_g", F.lit(i - 1))
     prose = hits.select(*keys, F.inline(F.array(entry(month_key(g(1), g(2)), number(g(3)), 0), entry(month_key(g(4), g(5)), number(g(6)), 2)))).withColumn("layout", F.lit("prose"))
     # The heading of a table is the last month before its last "Total Ridership" row.
     row = F.regexp_extract("_t", TABLE, 0)
     t = r.withColumn("_row", row).where(F.col("_row") != "").withColumn("_head", F.call_function("substring_index", F.col("_t"), F.col("_row"), F.lit(1)))
     t = t.where(F.col("_head").contains("Total Ridership")).withColumn("_head", F.substring_index("_head", "Total Ridership", -2))
     t = t.withColumn("_head", F.substring_index("_head", "Total Ridership", 1))
-    c = lambda i: _group(F.col("_head"), COLUMNS, i)
-    v = lambda i: number(_group(F.col("_row"), TABLE, i))
-    last = F.element_at(F.regexp_extract_all("_head", F.lit(MONTH_YEAR), F.lit(0)), -1)
+    t = t.withColumns({
+        "_v": _groups(F.col("_row"), TABLE, 3), "_c": _groups(F.regexp_extract("_head", COLUMNS, 0), COLUMNS, 6), "_m": F.regexp_extract_all("_head", F.lit(MONTH_YEAR), F.lit(0)),
+    }).where(F.size("_m") > 0)
+    c = lambda i: F.coalesce(F.get("_c", F.lit(i - 1)), F.lit(""))
+    v = lambda i: number(F.get("_v", F.lit(i - 1)))
+    last = F.element_at("_m", -1)
     current = month_key(F.regexp_extract(last, MONTH_YEAR, 1), F.regexp_extract(last, MONTH_YEAR, 2))
-    t = t.where(F.size(F.regexp_extract_all("_head", F.lit(MONTH_YEAR), F.lit(0))) > 0)
     table = t.select(*keys, F.inline(F.array(
         entry(current, v(3), 0), entry(month_key(c(1), c(2)), v(1), 2), entry(month_key(c(3), c(4)), v(2), 2),
     ))).withColumn("layout", F.lit("table"))
