@@ -62,11 +62,11 @@ def stabbing(points: DataFrame, intervals: DataFrame, ts: str, lo: str, hi: str,
     return out.select(F.col("_t").alias(ts), *combined)
 
 
-def event_windows(
+def event_profile(
     times: DataFrame, events: DataFrame, ts: str = "ts", start: str = "timestamp_start", end: str = "timestamp_end",
     major: str = "is_sharks_game", approach: float = APPROACH_HOURS, departure: float = DEPARTURE_HOURS,
 ) -> DataFrame:
-    """Per distinct time with an active event: pre/post flags, major flag, proximity, count.
+    """Every distinct time with the events around it.
 
     An event is active from ``approach`` hours before its start to ``departure``
     hours after its end.  Its effects depend on the time only, so times are made
@@ -82,18 +82,24 @@ def event_windows(
     points = times.select(ts).distinct()
     active = stabbing(points, ev, ts, "_lo", "_hi", {"n_active": ("sum", "_n"), "_big": ("max", "_major")}, slot_s)
     begun = stabbing(points, ev, ts, "_start", "_hi", {"_latest": ("max", "_start")}, slot_s)
-    nxt = nearest_after(points, ev.select((F.col("_start") + F.expr("interval 1 microsecond")).alias(ts)), ts, "_next")
+    nxt = nearest_after(points, ev.select(F.col("_start").alias(ts)), ts, "_next", same="_now")
     last = nearest_before(points, ev.select(F.col("_end").alias(ts)), ts, "_ended")
-    j = active.where("n_active is not null").join(begun, ts, "left").join(nxt, ts, "left").join(last, ts, "left")
-    ahead = hours_between(ts, F.col("_next") - F.expr("interval 1 microsecond"))
+    j = active.join(begun, ts).join(nxt, ts).join(last, ts)
+    ahead, gone = F.when(F.col("_now"), F.lit(0.0)).otherwise(hours_between(ts, "_next")), hours_between("_ended", ts)
     pre = F.coalesce(ahead <= approach, F.lit(False))
     near = F.least(F.when(pre, ahead), hours_between("_latest", ts))
     return j.select(
-        ts, pre.alias("is_pre_event_window"), F.coalesce(hours_between("_ended", ts) <= departure, F.lit(False)).alias("is_post_event_window"),
-        F.col("_big").alias("is_sharks_game_window"), F.exp(F.pow(near / approach, 2) * -0.5).alias("event_proximity_score"), "n_active",
+        ts, pre.alias("is_pre_event_window"), F.coalesce(gone <= departure, F.lit(False)).alias("is_post_event_window"),
+        F.coalesce("_big", F.lit(False)).alias("is_sharks_game_window"), F.coalesce(F.exp(F.pow(near / approach, 2) * -0.5), F.lit(0.0)).alias("event_proximity_score"),
+        F.coalesce("n_active", F.lit(0)).alias("n_active"), hours_between(ts, "_next").alias("hours_to_next_event"), gone.alias("hours_since_last_event"),
     )
 
 
+def event_windows(times: DataFrame, events: DataFrame, ts: str = "ts", **names) -> DataFrame:
+    """The distinct times with at least one active event: flags, proximity, count."""
+    return event_profile(times, events, ts, **names).where("n_active > 0").drop("hours_to_next_event", "hours_since_last_event")
+
+
 def hours_to_next(times: DataFrame, events: DataFrame, ts: str = "ts", start: str = "timestamp_start") -> DataFrame:
     """Hours to the nearest strictly future start, per distinct time."""
     near = nearest_after(times, events.select(F.col(start).alias(ts)), ts, "_m")
@@ -109,27 +115,11 @@ def hours_since_last(times: DataFrame, events: DataFrame, ts: str = "ts", end: s
 def add_event_features(df: DataFrame, events: DataFrame, spans: DataFrame | None = None, ts: str = "ts",
                        start: str = "timestamp_start", end: str = "timestamp_end", major: str = "is_sharks_game") -> DataFrame:
     """Hour-scale event features; rows outside the archive's months are unknown (NULL)."""
-    times = df.select(ts).distinct()
     spans = archive_span(events, start) if spans is None else spans
-    feats = (
-        with_coverage(times, spans, ts)
-        .join(event_windows(times, events, ts, start, end, major), ts, "left")
-        .join(hours_to_next(times, events, ts, start), ts, "left")
-        .join(hours_since_last(times, events, ts, end), ts, "left")
-    )
-    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
-    any_event = F.coalesce(F.col("n_active") > 0, F.lit(False))
-    big = flag("is_sharks_game_window")
-    columns = {
-        "hours_to_next_event": F.col("hours_to_next_event"),
-        "hours_since_last_event": F.col("hours_since_last_event"),
-        "is_pre_event_window": flag("is_pre_event_window"),
-        "is_post_event_window": flag("is_post_event_window"),
-        "is_sharks_game_window": big,
-        "is_any_event_day": any_event,
-        "event_proximity_score": F.coalesce(F.col("event_proximity_score"), F.lit(0.0)),
-        "nearest_event_attendance_tier": F.when(big, 2.0).when(any_event, 1.0).otherwise(0.0),
-    }
+    feats = with_coverage(event_profile(df, events, ts, start, end, major), spans, ts)
+    columns = {c: F.col(c) for c in ("hours_to_next_event", "hours_since_last_event", "is_pre_event_window", "is_post_event_window", "is_sharks_game_window", "event_proximity_score")}
+    columns["is_any_event_day"] = F.col("n_active") > 0
+    columns["nearest_event_attendance_tier"] = F.when(F.col("is_sharks_game_window"), 2.0).when(F.col("n_active") > 0, 1.0).otherwise(0.0)
     known = feats.select(ts, *[unless_null("covered", c).alias(n) for n, c in columns.items()])
     return df.join(known, ts, "left")
 

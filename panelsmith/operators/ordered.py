@@ -71,8 +71,8 @@ def windowed_by_rows(
     return copies.withColumns(columns(w)).where(~F.col("_halo")).drop("_pos", "_block", "_at", "_halo")
 
 
-def _nearest(points: DataFrame, marks: DataFrame, ts: str, out: str, keys: list[str], slot_s: int, later: bool) -> DataFrame:
-    """Nearest mark strictly before (or after) every distinct point time."""
+def _nearest(points: DataFrame, marks: DataFrame, ts: str, out: str, keys: list[str], slot_s: int, later: bool, same: str | None) -> DataFrame:
+    """Nearest mark strictly before (or after) every distinct point time; ``same`` flags a mark at that very time."""
     p = points.select(*keys, ts).distinct().select(*keys, F.col(ts).alias("_t"), F.lit(None).cast("timestamp_ntz").alias("_m"))
     m = marks.select(*keys, ts).distinct().select(*keys, F.col(ts).alias("_t"), F.col(ts).alias("_m"))
     # A point sorts before a mark of the same time in the scan direction, so equal times do not match.
@@ -89,20 +89,21 @@ def _nearest(points: DataFrame, marks: DataFrame, ts: str, out: str, keys: list[
     carry = rows.groupBy(*keys, "_slot").agg(edge("_m").alias("_edge")).withColumn("_carry", edge("_edge").over(prior))
     return (
         rows.withColumn("_near", F.last("_m", ignorenulls=True).over(inside))
+        .withColumns({same: F.max("_m").over(Window.partitionBy(*keys, "_slot", "_t")).isNotNull()} if same else {})
         .where(~F.col("_k"))
         .join(carry.drop("_edge"), [*keys, "_slot"])
-        .select(*keys, F.col("_t").alias(ts), F.coalesce("_near", "_carry").alias(out))
+        .select(*keys, F.col("_t").alias(ts), F.coalesce("_near", "_carry").alias(out), *([same] if same else []))
     )
 
 
-def nearest_before(points, marks, ts: str, out: str, keys: list[str] | None = None, slot_s: int = 3600) -> DataFrame:
+def nearest_before(points, marks, ts: str, out: str, keys: list[str] | None = None, slot_s: int = 3600, same: str | None = None) -> DataFrame:
     """(keys, ts, out): the latest mark strictly before each distinct point time."""
-    return _nearest(points, marks, ts, out, keys or [], slot_s, later=False)
+    return _nearest(points, marks, ts, out, keys or [], slot_s, False, same)
 
 
-def nearest_after(points, marks, ts: str, out: str, keys: list[str] | None = None, slot_s: int = 3600) -> DataFrame:
+def nearest_after(points, marks, ts: str, out: str, keys: list[str] | None = None, slot_s: int = 3600, same: str | None = None) -> DataFrame:
     """(keys, ts, out): the earliest mark strictly after each distinct point time."""
-    return _nearest(points, marks, ts, out, keys or [], slot_s, later=True)
+    return _nearest(points, marks, ts, out, keys or [], slot_s, True, same)
 
 
 def keep_latest(df: DataFrame, keys: list[str], recency: list) -> DataFrame:
