@@ -17,7 +17,7 @@ from .registry import query
 @query("wall_clock", "SELECT event_id, timezone('America/Los_Angeles', timezone('UTC', ts + to_days(CAST(event_id % 365 AS INTEGER)))) AS local_ts FROM events")
 def _(t):
     at = F.col("ts") + F.make_dt_interval((F.col("event_id") % 365).cast("int"))
-    return t.events.select("event_id", C.wall_clock(F.date_format(at, "yyyy-MM-dd HH:mm:ss.SSSSSS")).alias("local_ts"))
+    return t.events.select("event_id", C.wall_clock(at, source="UTC").alias("local_ts"))
 
 
 _CAL = f"""hour(ts) AS hour_of_day, isodow(ts) - 1 AS day_of_week, month(ts) AS month, weekofyear(ts) AS week_of_year, quarter(ts) AS quarter, year(ts) AS year,

@@ -23,9 +23,14 @@ def ntz(text: str) -> Column:
     return F.lit(text).cast(NTZ)
 
 
-def wall_clock(ts, zone: str = LOCAL_ZONE) -> Column:
-    """UTC instant given as wall clock text or timestamp -> local wall clock."""
-    return F.from_utc_timestamp(col(ts).cast("timestamp"), zone).cast(NTZ)
+def wall_clock(ts, zone: str = LOCAL_ZONE, source: str | None = None) -> Column:
+    """Local wall clock of an instant, or of a wall clock in the ``source`` zone.
+
+    An instant (TIMESTAMP) is first read in the session zone, whatever it is, so
+    the result does not depend on it.
+    """
+    origin = F.current_timezone() if source is None else F.lit(source)
+    return F.convert_timezone(origin, F.lit(zone), col(ts).cast(NTZ))
 
 
 def month_start(ts) -> Column:

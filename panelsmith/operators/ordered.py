@@ -113,6 +113,8 @@ def keep_latest(df: DataFrame, keys: list[str], recency: list) -> DataFrame:
     key with a third of all rows costs no more than any other.
     """
     rest = [c for c in df.columns if c not in keys]
+    if not rest:
+        return df.distinct()
     picked = df.groupBy(*keys).agg(
         F.max_by(F.struct(*rest), F.struct(*[col(c).alias(f"_r{i}") for i, c in enumerate(recency)])).alias("_row")
     )
@@ -122,6 +124,8 @@ def keep_latest(df: DataFrame, keys: list[str], recency: list) -> DataFrame:
 def keep_first(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """One row per key, the smallest by ``order``."""
     rest = [c for c in df.columns if c not in keys]
+    if not rest:
+        return df.distinct()
     picked = df.groupBy(*keys).agg(
         F.min_by(F.struct(*rest), F.struct(*[col(c).alias(f"_r{i}") for i, c in enumerate(order)])).alias("_row")
     )

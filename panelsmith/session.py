@@ -45,12 +45,3 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
         base = tempfile.mkdtemp(prefix="panelsmith-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
-
-
-def cut_lineage(df):
-    """Reliable checkpoint in the shared folder; reruns of later stages start here."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(scratch_dir(spark, "checkpoint"))
-    return df.checkpoint(eager=True)

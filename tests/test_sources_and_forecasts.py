@@ -29,7 +29,7 @@ def test_holidays_equal_pandas():
 
 def test_wall_clock_and_closed_month(spark):
     r = spark.sql("select '2024-01-01 03:30:00' as a, date'2024-03-06' as b, date'2024-03-07' as c").select(
-        wall_clock("a").alias("w"), last_closed_month_end("b").alias("x"), last_closed_month_end("c").alias("y"), epoch_seconds(F.lit("1970-01-02 00:00:01.5").cast("timestamp_ntz")).alias("e")
+        wall_clock("a", source="UTC").alias("w"), last_closed_month_end("b").alias("x"), last_closed_month_end("c").alias("y"), epoch_seconds(F.lit("1970-01-02 00:00:01.5").cast("timestamp_ntz")).alias("e")
     ).first()
     assert r.w == dt.datetime(2023, 12, 31, 19, 30) and r.x == dt.date(2024, 1, 31) and r.y == dt.date(2024, 2, 29) and r.e == 86401.5
 
@@ -199,3 +199,14 @@ def test_splits_need_a_test_end(spark, tmp_path):
         FS.write_splits(panel(spark), str(tmp_path), "2021-12-31", "2022-06-30", None)
     paths = FS.write_splits(panel(spark), str(tmp_path / "x"), "2021-12-31", "2022-06-30", "2022-12-31")
     assert {k: spark.read.parquet(p).count() for k, p in paths.items()} == {"train": 48, "val": 12, "test": 12}
+
+
+def test_wall_clock_ignores_the_session_zone(spark):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("UTC", "Asia/Tokyo", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            r = spark.sql("select '2024-07-01T02:00:00Z' as s").select(wall_clock(F.try_to_timestamp("s")).alias("w")).first()
+            assert r.w == dt.datetime(2024, 6, 30, 19)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
