@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -34,14 +33,13 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str =
 
 
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder under the cluster's ``spark.checkpoint.dir``.
+    """A fresh folder for written tables and checkpoints that every executor can read.
 
-    Written tables and checkpoints must be readable by every executor and
-    outlive any one of them, so the cluster names the folder.  Only where it is
-    unset (tests on one machine) is a temporary folder taken.
+    It lies under the cluster's ``spark.checkpoint.dir``.  Where that is unset
+    (tests), it lies under ``spark.sql.warehouse.dir``, which is shared as well;
+    no machine-local temporary folder is ever taken.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        base = tempfile.mkdtemp(prefix="panelsmith-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
