@@ -41,3 +41,28 @@ def materialise(df: DataFrame, purpose: str) -> DataFrame:
     path = scratch_dir(spark, purpose)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class RecentValues:
+    """Values worked out for keys met lately, in two generations of at most ``most`` / 2 keys.
+
+    A key met again moves to the young generation; the old one is dropped when
+    the young one is full, so frequent keys stay and rare ones go.
+    """
+
+    def __init__(self, work_out: Callable[[list], list], most: int):
+        self.work_out, self.most, self.known, self.old = work_out, most, {}, {}
+
+    def hold(self, groups: list[list]) -> dict:
+        """A mapping that holds every key of ``groups`` until the next call."""
+        if len(self.known) > self.most // 2:
+            self.old, self.known = self.known, {}
+        known, old = self.known, self.old
+        new = []
+        for key in {k for g in groups for k in g if k not in known}:
+            if (value := old.get(key)) is not None:
+                known[key] = value
+            else:
+                new.append(key)
+        known.update(zip(new, self.work_out(new), strict=True))
+        return known

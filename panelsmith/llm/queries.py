@@ -7,14 +7,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .licenses import BASE_PHRASES, scan_licenses
+from .packing import pack_documents
 from .secret_scan import BASE_KINDS, scan_secrets
 from .sentencepiece_bpe import encode_pieces
+from .simhash import simhash_classes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_classes(table(spark, sf_dir, "documents"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -56,5 +62,9 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-LLM_QUERIES = {f.__name__: f for f in (op2_secret_scan, op4_sentencepiece, op5_license_scan)}
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+LLM_QUERIES = {f.__name__: f for f in (op1_simhash, op2_secret_scan, op4_sentencepiece, op5_license_scan, op8_best_fit_packing)}
 LLM_ORACLES: dict[str, str] = {}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from array import array
+from functools import partial
 from heapq import heapify, heappop, heappush
 from itertools import pairwise
 
@@ -12,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_columns
+from .common import RecentValues, map_columns
 
 SPACE = "▁"
 SHORT, NONE = 40, float("inf")
@@ -152,43 +153,21 @@ def _utf8(run: bytearray) -> str:
         return "".join(out)
 
 
-class PartCache:
-    """Ids (as bytes) and text of parts met lately; new parts of a batch are held against the library.
+def work_out(v: MergeVocabulary, check: bool, parts: list[str]) -> list[tuple[bytes, str]]:
+    """(ids as bytes, text) of parts; with ``check`` their ids are held against the library, all in one call.
 
-    Two generations of at most ``most`` / 2 parts: what is met again moves to
-    the young one, the old one is dropped when the young one is full.
+    The library puts a blank before each text, so a part with a leading blank is
+    given without it, any other behind a line break.
     """
-
-    def __init__(self, vocabulary: MergeVocabulary, most: int, check: bool):
-        self.v, self.most, self.check, self.known, self.old = vocabulary, most, check, {}, {}
-
-    def learn(self, texts: list[list[str]]) -> None:
-        """Make ``known`` hold every part of ``texts``."""
-        if len(self.known) > self.most // 2:
-            self.old, self.known = self.known, {}
-        known, old, v = self.known, self.old, self.v
-        missing = {p for parts in texts for p in parts if p not in known}
-        new = []
-        for p in missing:
-            if (entry := old.get(p)) is not None:
-                known[p] = entry
-            else:
-                new.append(p)
-        every = [v.encode_part(p) for p in new]
-        for p, ids in zip(new, every, strict=True):
-            known[p] = (array("i", ids).tobytes(), v.decode([v.ids[SPACE], *ids]))
-        if self.check:
-            self._compare(new, every)
-
-    def _compare(self, new: list[str], every: list[list[int]]) -> None:
-        """The library puts a blank before each text, so a part with a leading blank is given without it, others behind a line break."""
-        led = [p[0] == SPACE for p in new]
-        given = [p[1:].replace(SPACE, " ") if x else "\n" + p for p, x in zip(new, led, strict=True)]
-        lead = [] if all(led) else self.v.library.encode("\n")
-        for p, ids, x, theirs, text in zip(new, every, led, self.v.library.encode(given, num_threads=1), given, strict=True):
-            ours = ids if x else lead + ids
-            if ours != theirs and text:
+    every = [v.encode_part(p) for p in parts]
+    if check and parts:
+        lead = v.library.encode("\n")
+        given = [p[1:].replace(SPACE, " ") if p[0] == SPACE else "\n" + p for p in parts]
+        for p, ids, theirs in zip(parts, every, v.library.encode(given, num_threads=1), strict=True):
+            ours = (ids if p != SPACE else []) if p[0] == SPACE else lead + ids
+            if ours != theirs:
                 raise ValueError(f"ids of {p!r} differ from the library's: {ours} and {theirs}")
+    return [(array("i", ids).tobytes(), v.decode([v.ids[SPACE], *ids])) for ids in every]
 
 
 SCHEMA = "ids array<int>, decoded string"
@@ -207,13 +186,12 @@ def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
 
     def make():
         v = MergeVocabulary(model_path)
-        cache = PartCache(v, most_parts, check)
+        recent = RecentValues(partial(work_out, v, check), most_parts)
 
         def fn(ids, texts):
             texts = [t or "" for t in texts]
             parts = [v.parts(t) for t in texts]
-            cache.learn(parts)
-            known = cache.known
+            known = recent.hold(parts)
             rows, decoded = [], []
             for p in parts:
                 found = [known[x] for x in p]
