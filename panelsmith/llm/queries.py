@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import langid, quality
 from .licenses import BASE_PHRASES, scan_licenses
 from .packing import pack_documents
 from .secret_scan import BASE_KINDS, scan_secrets
@@ -62,9 +63,20 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    machine = quality.learn_quality(docs, table(spark, sf_dir, "labels"))
+    return quality.score_quality(docs, machine).select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-LLM_QUERIES = {f.__name__: f for f in (op1_simhash, op2_secret_scan, op4_sentencepiece, op5_license_scan, op8_best_fit_packing)}
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict_languages(docs, langid.learn_languages(docs)).select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+LLM_QUERIES = {f.__name__: f for f in (op1_simhash, op2_secret_scan, op4_sentencepiece, op5_license_scan, op7_quality, op8_best_fit_packing, op9_language_id)}
 LLM_ORACLES: dict[str, str] = {}
