@@ -12,6 +12,7 @@ from .packing import pack_documents
 from .secret_scan import BASE_KINDS, scan_secrets
 from .sentencepiece_bpe import encode_pieces
 from .simhash import simhash_classes
+from .spotsigs import fingerprints_and_edits
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,5 +79,9 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict_languages(docs, langid.learn_languages(docs)).select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-LLM_QUERIES = {f.__name__: f for f in (op1_simhash, op2_secret_scan, op4_sentencepiece, op5_license_scan, op7_quality, op8_best_fit_packing, op9_language_id)}
+def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints_and_edits(table(spark, sf_dir, "documents"))
+
+
+LLM_QUERIES = {f.__name__: f for f in (op1_simhash, op2_secret_scan, op4_sentencepiece, op5_license_scan, op7_quality, op8_best_fit_packing, op9_language_id, op10_spotsigs)}
 LLM_ORACLES: dict[str, str] = {}
