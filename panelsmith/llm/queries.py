@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, quality
+from ..session import scratch_dir
+from . import langid, quality, warc
+from .common import materialise
 from .licenses import BASE_PHRASES, scan_licenses
 from .packing import pack_documents
 from .secret_scan import BASE_KINDS, scan_secrets
@@ -36,6 +38,13 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archive = scratch_dir(spark, "warc")
+    warc.page_records(table(spark, sf_dir, "pages"), archive)
+    chunks = materialise(warc.read_warc(spark, archive, with_data=False).drop("data"), "chunks")
+    return warc.resolved_records(chunks).withColumnRenamed("id", "page_id")
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = encode_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
     return found.select(
@@ -83,5 +92,17 @@ def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints_and_edits(table(spark, sf_dir, "documents"))
 
 
-LLM_QUERIES = {f.__name__: f for f in (op1_simhash, op2_secret_scan, op4_sentencepiece, op5_license_scan, op7_quality, op8_best_fit_packing, op9_language_id, op10_spotsigs)}
-LLM_ORACLES: dict[str, str] = {}
+LLM_QUERIES = {f.__name__: f for f in (op1_simhash, op2_secret_scan, op3_warc, op4_sentencepiece, op5_license_scan, op7_quality, op8_best_fit_packing, op9_language_id, op10_spotsigs)}
+LLM_ORACLES: dict[str, str] = {
+    "op3_warc": f"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+        d AS (
+            SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes,
+                   array_to_string(list_transform(range(32), lambda i: substr('{warc.BASE32}', CAST(1 + ((CAST('0x' || substr(sha1(payload), CAST(i // 4 * 5 + 1 AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31) AS BIGINT), 1)), '') AS payload_digest
+            FROM p),
+        h AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS holder FROM d)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN page_id = holder THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> holder THEN holder END AS refers_to
+        FROM h""",
+}
