@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..session import scratch_dir
 from . import langid, quality, warc
 from .common import materialise
+from .embeddings import near_vectors
 from .licenses import BASE_PHRASES, scan_licenses
 from .packing import pack_documents
 from .secret_scan import BASE_KINDS, scan_secrets
@@ -73,6 +74,10 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     machine = quality.learn_quality(docs, table(spark, sf_dir, "labels"))
@@ -92,7 +97,7 @@ def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints_and_edits(table(spark, sf_dir, "documents"))
 
 
-LLM_QUERIES = {f.__name__: f for f in (op1_simhash, op2_secret_scan, op3_warc, op4_sentencepiece, op5_license_scan, op7_quality, op8_best_fit_packing, op9_language_id, op10_spotsigs)}
+LLM_QUERIES = {f.__name__: f for f in (op1_simhash, op2_secret_scan, op3_warc, op4_sentencepiece, op5_license_scan, op6_embeddings, op7_quality, op8_best_fit_packing, op9_language_id, op10_spotsigs)}
 LLM_ORACLES: dict[str, str] = {
     "op3_warc": f"""
         WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
