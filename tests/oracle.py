@@ -27,9 +27,9 @@ def canonical(df: pd.DataFrame) -> pd.DataFrame:
             df[c] = df[c].astype("datetime64[us]").astype(str)
         elif pd.api.types.is_bool_dtype(df[c]):
             df[c] = "bool:" + df[c].astype(str)
-        elif pd.api.types.is_integer_dtype(df[c]):
+        elif pd.api.types.is_integer_dtype(df[c]) and not df[c].isna().any():
             df[c] = "i:" + df[c].astype("int64").astype(str)
-        elif pd.api.types.is_float_dtype(df[c]):
+        elif pd.api.types.is_numeric_dtype(df[c]):
             df[c] = "f:" + df[c].map(lambda v: "null" if pd.isna(v) else repr(float(v) + 0.0))
         else:
             df[c] = "o:" + df[c].map(lambda v: "null" if v is None or (not isinstance(v, (list, dict)) and pd.isna(v)) else f"{type(v).__name__}:{v}")
