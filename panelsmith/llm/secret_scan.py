@@ -123,8 +123,12 @@ def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
     return "".join(out) + text[at:]
 
 
-def redact_secrets(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", chars_per_token: float = 2.0) -> DataFrame:
-    """``docs`` with the secrets of ``text_col`` masked; all columns and rows stay, null texts stay null."""
+def redact_secrets(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", size_col: str | None = None, chars_per_token: float = 2.0) -> DataFrame:
+    """``docs`` with the secrets of ``text_col`` masked; all columns and rows stay, null texts stay null.
+
+    ``size_col`` names a column to hold the length of the masked text in code
+    points; it keeps its type, and its value where the text is null.
+    """
 
     @F.pandas_udf("string")
     def masked(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -132,7 +136,10 @@ def redact_secrets(docs: DataFrame, ranks_path: str, pattern: str, text_col: str
         for texts in batches:
             yield texts.map(lambda t: _masked(t, encode, chars_per_token), na_action="ignore")
 
-    return docs.withColumn(text_col, masked(F.col(text_col)))
+    out = docs.withColumn(text_col, masked(F.col(text_col)))
+    if size_col is None:
+        return out
+    return out.withColumn(size_col, F.coalesce(F.char_length(text_col).cast(docs.schema[size_col].dataType), F.col(size_col)))
 
 
 def _masked(text: str, encode, most: float) -> str:
