@@ -66,3 +66,11 @@ class RecentValues:
                 new.append(key)
         known.update(zip(new, self.work_out(new), strict=True))
         return known
+
+
+def free_name(df: DataFrame, wanted: str) -> str:
+    """``wanted``, with as many underscores before it as make it no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted = f"_{wanted}"
+    return wanted

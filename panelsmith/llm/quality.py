@@ -91,7 +91,7 @@ class FactorisationMachine:
 def fit_machine(rows: list[tuple[np.ndarray, np.ndarray, int]], rank: int = 6, epochs: int = 12, rate: float = 0.15, decay: float = 1e-5) -> FactorisationMachine:
     """Logistic loss by AdaGrad, one row at a time in a fixed shuffled order."""
     rng = np.random.default_rng(7)
-    linear, factors = np.zeros(FEATURES), rng.normal(0, 0.05, (FEATURES, rank))
+    linear, factors = np.zeros(FEATURES), rng.normal(0, 0.05 if rows else 0, (FEATURES, rank))
     g_linear, g_factors = np.full(FEATURES, 1e-6), np.full((FEATURES, rank), 1e-6)
     good = sum(y for _, _, y in rows)
     bias, g_bias = math.log((good + 1) / (len(rows) - good + 1)), 1.0

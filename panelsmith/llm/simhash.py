@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_columns, materialise
+from .common import free_name, map_columns, materialise
 from .components import connected_components
 
 BITS = 64
@@ -246,6 +246,7 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     named = docs.where(F.col(id_col).isNotNull())
     classes = simhash_classes(named, id_col, text_col, **(how or NEAR_COPIES))
     kept = classes.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    order = Window.partitionBy(id_col, "_text").orderBy(id_col)
-    stay = named.join(kept, id_col, "left_semi").withColumn("_text", F.xxhash64(text_col)).withColumn("_row", F.row_number().over(order))
-    return stay.where("_row = 1").drop("_row", "_text").unionByName(docs.where(F.col(id_col).isNull()))
+    text, row = free_name(docs, "text_hash"), free_name(docs, "row")
+    order = Window.partitionBy(id_col, text).orderBy(id_col)
+    stay = named.join(kept, id_col, "left_semi").withColumn(text, F.xxhash64(text_col)).withColumn(row, F.row_number().over(order))
+    return stay.where(F.col(row) == 1).drop(row, text).unionByName(docs.where(F.col(id_col).isNull()))
