@@ -12,7 +12,7 @@ from ..sources import od as O
 from . import fixtures as X
 from .common import flag, rnd
 from .fixtures import with_
-from .joins import _hourly
+from .joins import hourly_weather
 from .registry import query
 
 
@@ -39,7 +39,7 @@ _H = """SELECT event_type AS station, TIMESTAMP '1999-01-01' + to_months(CAST(ev
   (SELECT station, mon, k, row_number() OVER (PARTITION BY station, mon ORDER BY count(*) DESC, k) AS rn FROM h GROUP BY 1, 2, 3 UNION ALL SELECT NULL, mon, k, row_number() OVER (PARTITION BY mon ORDER BY count(*) DESC, k) FROM h GROUP BY mon, k) m
   ON m.rn = 1 AND m.station IS NOT DISTINCT FROM a.station AND m.mon = a.mon""")
 def _(t):
-    return J.monthly_weather(_hourly(t), "station", "ts", ["temp_f"])
+    return J.monthly_weather(hourly_weather(t), "station", "ts", ["temp_f"])
 
 
 _COV = "EXISTS (SELECT 1 FROM merged_spans s WHERE s.span_start <= p.ts AND last_day(p.ts) <= s.span_end)"

@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import forecast as FC
 from ..operators import joins as J
-from ..operators import panel as P
 from ..operators import places as PL
 from ..operators import spans as SP
 from ..plans import feature_store as FS
@@ -15,7 +13,9 @@ from ..sources import od as O
 from . import fixtures as X
 from .common import flag, rnd
 from .fixtures import TRAIN_END, with_
+from .joins import HOURLY_SQL, hourly_weather
 from .registry import query
+from .scalars import HOLIDAY_SQL
 
 VAL_END = "2000-06-30"
 
@@ -144,12 +144,28 @@ def od_panel(t):
 
 @query("build_feature_store", with_(["p2", "p3", "p4m", "merged_spans", "p7"], f"""SELECT b.series, b.ts, b.y, b.y / 22 AS ridership_daily, CASE WHEN cov THEN coalesce(e.n, 0) END AS hours_to_event,
   CAST(CAST(CASE WHEN cov THEN coalesce(e.n > 0, false) END AS INTEGER) AS DOUBLE) AS is_game_day, CAST(CAST(CASE WHEN cov THEN coalesce(e.big, false) END AS INTEGER) AS DOUBLE) AS is_sharks_game,
-  CAST(CASE WHEN cov THEN hm.h END AS DOUBLE) AS game_start_hour, CAST(CAST(CASE WHEN cov THEN coalesce(e.play, false) END AS INTEGER) AS DOUBLE) AS is_playoff, weekofyear(b.ts) AS week_of_year, isodow(b.ts) - 1 AS day_of_week
+  CAST(CASE WHEN cov THEN hm.h END AS DOUBLE) AS game_start_hour, CAST(CAST(CASE WHEN cov THEN coalesce(e.play, false) END AS INTEGER) AS DOUBLE) AS is_playoff,
+  hour(b.ts) AS hour_of_day, isodow(b.ts) - 1 AS day_of_week, {flag('isodow(b.ts) >= 6', 'is_weekend')}, month(b.ts) AS month, weekofyear(b.ts) AS week_of_year,
+  (SELECT {flag(f'({HOLIDAY_SQL})', 'v')} FROM (SELECT b.ts AS d)) AS is_holiday, coalesce(s.v, r.v) AS temp_f, coalesce(sm.k, rm.k) AS weather_code
   FROM (SELECT *, {_COVERED} AS cov FROM (SELECT CAST(origin AS VARCHAR) AS series, period AS ts, sum(riders) AS y FROM p2 WHERE day_type = 'Total Trips' GROUP BY 1, 2) b) b
-  LEFT JOIN ({_EVENTS_BY_MONTH}) e ON e.m = b.ts LEFT JOIN ({_HOUR_MODE}) hm ON hm.m = b.ts"""))
+  LEFT JOIN ({_EVENTS_BY_MONTH}) e ON e.m = b.ts LEFT JOIN ({_HOUR_MODE}) hm ON hm.m = b.ts LEFT JOIN p7 ON CAST(p7.series AS VARCHAR) = b.series
+  LEFT JOIN (SELECT station, mon, sum(v) / count(*) AS v FROM h GROUP BY 1, 2) s ON s.station = p7.weather_station AND s.mon = b.ts LEFT JOIN (SELECT mon, sum(v) / count(*) AS v FROM h GROUP BY 1) r ON r.mon = b.ts
+  LEFT JOIN (SELECT station, mon, k, row_number() OVER (PARTITION BY station, mon ORDER BY count(*) DESC, k) AS rn FROM h GROUP BY 1, 2, 3) sm ON sm.rn = 1 AND sm.station = p7.weather_station AND sm.mon = b.ts
+  LEFT JOIN (SELECT mon, k, row_number() OVER (PARTITION BY mon ORDER BY count(*) DESC, k) AS rn FROM h GROUP BY 1, 2) rm ON rm.rn = 1 AND rm.mon = b.ts""",
+  {"h": f"SELECT station, mon, round(value * 100) AS v, k FROM ({HOURLY_SQL})"}))
 def _(t):
-    fs = FS.build_feature_store(od_panel(t), None, X.p4_monthly(t), spans=X.spans(t))
-    return fs.select("series", "ts", "y", "ridership_daily", "hours_to_event", "is_game_day", "is_sharks_game", "game_start_hour", "is_playoff", "week_of_year", "day_of_week")
+    mapping = X.p7(t).select(F.col("series").cast("string").alias("series"), "weather_station")
+    return FS.build_feature_store(od_panel(t), hourly_weather(t), X.p4_monthly(t), mapping, X.spans(t), ambiguous="drop")
+
+
+# Every sixth month has lost its Total block, every sixth other one has two.
+@query("store_refused_months", with_(["p2"], """SELECT period, count(DISTINCT CASE WHEN lower(d) LIKE '%total%' THEN d END) AS n_total_blocks FROM
+  (SELECT period, CASE WHEN month(period) % 6 = 0 AND day_type = 'Total Trips' THEN 'Trips' WHEN month(period) % 6 = 1 AND day_type = 'Avg Weekday' THEN 'Total Weekday' ELSE day_type END AS d FROM p2)
+  GROUP BY 1 HAVING count(DISTINCT CASE WHEN lower(d) LIKE '%total%' THEN d END) <> 1"""))
+def _(t):
+    sixth, kind = F.month("period") % 6, F.col("day_type")
+    changed = F.when((sixth == 0) & (kind == "Total Trips"), "Trips").when((sixth == 1) & (kind == "Avg Weekday"), "Total Weekday").otherwise(kind)
+    return FS.refused_months(od_panel(t).withColumn("day_type", changed))
 
 
 @query("build_features", with_(["p1", "p4m", "merged_spans"], f"""SELECT b.series, b.ts, round(sin(2 * pi() * (month(b.ts) - 1) / 12), 6) AS month_sin, CASE WHEN cov THEN coalesce(e.n, 0) / greatest(peak, 1) END AS event_proximity_score,
@@ -160,6 +176,3 @@ def _(t):
 def _(t):
     out = FS.build_features(X.p1(t), X.p4_monthly(t), X.spans(t))
     return rnd(out, 6, "month_sin").select("series", "ts", "month_sin", "event_proximity_score", "nearest_event_attendance_tier", "y_lag_12")
-
-
-_ = (FC, P)

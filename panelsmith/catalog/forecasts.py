@@ -8,7 +8,7 @@ from ..operators import forecast as FC
 from ..plans import backtest as B
 from . import fixtures as X
 from .common import flag, rnd, ts_lit
-from .fixtures import BACKTESTS, BT_SQL, HORIZON, MODELS, ORIGINS, TRAIN_END, backtest, with_
+from .fixtures import BACKTESTS, BT_SQL, HORIZON, MODELS, TRAIN_END, backtest, with_
 from .registry import query
 
 
@@ -134,6 +134,3 @@ def _(t):
   count(*) FILTER (WHERE p50 IS NULL) AS miss FROM bt GROUP BY 1, 2) WHERE miss = 0 GROUP BY 1""", BT_SQL))
 def _(t):
     return B.beats(B.series_wape(backtest(t)), "naive", "recent")
-
-
-_ = ORIGINS

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.calendar import plus_hours
+
 from ..operators import events as E
 from ..operators import forecast as FC
 from ..operators import gate as G
@@ -19,10 +19,10 @@ from .fixtures import HORIZON, ORIGINS, TRAIN_END, with_
 from .registry import query
 
 # Four covariate stations on the panel's calendar: the hourly rows moved to twelve months.
-_HOURLY = "SELECT event_type AS station, ts, value, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, TIMESTAMP '1999-01-01' + to_months(CAST(event_id % 24 AS INTEGER)) AS mon FROM events"
+HOURLY_SQL = "SELECT event_type AS station, ts, value, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, TIMESTAMP '1999-01-01' + to_months(CAST(event_id % 24 AS INTEGER)) AS mon FROM events"
 
 
-def _hourly(t):
+def hourly_weather(t):
     return t.events.select(
         F.col("event_type").alias("station"), F.add_months(F.lit("1999-01-01").cast("date"), (F.col("event_id") % 24).cast("int")).cast("timestamp_ntz").alias("ts"),
         F.round(F.col("value") * 100).alias("temp_f"), F.get_json_object("props", "$.k").cast("long").alias("weather_code"),
@@ -32,11 +32,11 @@ def _hourly(t):
 @query("join_weather_station_or_region", with_(["p1", "p7"], """SELECT p.series, p.ts, coalesce(s.v, r.v) AS temp_f, coalesce(sm.k, rm.k) AS weather_code FROM p1 p LEFT JOIN p7 USING (series)
   LEFT JOIN (SELECT station, mon, sum(v) / count(*) AS v FROM h GROUP BY 1, 2) s ON s.station = p7.weather_station AND s.mon = p.ts LEFT JOIN (SELECT mon, sum(v) / count(*) AS v FROM h GROUP BY 1) r ON r.mon = p.ts
   LEFT JOIN (SELECT station, mon, k, row_number() OVER (PARTITION BY station, mon ORDER BY count(*) DESC, k) AS rn FROM h GROUP BY 1, 2, 3) sm ON sm.rn = 1 AND sm.station = p7.weather_station AND sm.mon = p.ts
-  LEFT JOIN (SELECT mon, k, row_number() OVER (PARTITION BY mon ORDER BY count(*) DESC, k) AS rn FROM h GROUP BY 1, 2) rm ON rm.rn = 1 AND rm.mon = p.ts WHERE coalesce(s.v, r.v) IS NOT NULL""",
-  {"h": f"SELECT station, mon, round(value * 100) AS v, k FROM ({_HOURLY})"}))
+  LEFT JOIN (SELECT mon, k, row_number() OVER (PARTITION BY mon ORDER BY count(*) DESC, k) AS rn FROM h GROUP BY 1, 2) rm ON rm.rn = 1 AND rm.mon = p.ts""",
+  {"h": f"SELECT station, mon, round(value * 100) AS v, k FROM ({HOURLY_SQL})"}))
 def _(t):
-    w = J.monthly_weather(_hourly(t), "station", "ts", ["temp_f"])
-    return J.weather_or_region(X.p1(t), w, X.p7(t).select("series", "weather_station")).where("temp_f is not null").select("series", "ts", "temp_f", "weather_code")
+    w = J.monthly_weather(hourly_weather(t), "station", "ts", ["temp_f"])
+    return J.weather_or_region(X.p1(t), w, X.p7(t).select("series", "weather_station")).select("series", "ts", "temp_f", "weather_code")
 
 
 @query("join_station_dim", "SELECT c_custkey, coalesce(n_name, c_name) AS station_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND n_regionkey <> 4")
@@ -249,6 +249,3 @@ def _(t):
     k = F.col("c_custkey")
     other = F.when(k % 3 == 0, F.concat(F.lit("  "), F.initcap("c_mktsegment"), F.lit(", San Francisco Bay Area, CA"))).otherwise("building")
     return t.customer.select("c_custkey", PL.same_place_text("c_mktsegment", other).alias("same_text"), PL.same_place_points(F.lit(37.0), F.lit(-122.0), k % 7 * F.lit(0.0005) + 37.0, F.lit(-122.0)).alias("same_point"))
-
-
-_ = plus_hours

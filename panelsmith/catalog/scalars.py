@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import calendar as C
 from ..functions import scalars as S
-from ..functions.holidays import federal_holidays, holiday_dimension, holiday_flags
+from ..functions.holidays import holiday_dimension, holiday_flags
 from ..operators import features as FE
 from . import fixtures as X
 from .common import flag, rnd
@@ -53,14 +53,14 @@ def _fixed(month, day):
     return _FIX.format(m=md, fri=nxt, mon=prv)
 
 
-_HOL = " OR ".join([
+HOLIDAY_SQL = " OR ".join([
     _fixed(1, 1), _fixed(7, 4), _fixed(11, 11), _fixed(12, 25), "(year(d) >= 2021 AND " + _fixed(6, 19) + ")",
     f"(month(d) = 1 AND {_NTH.format(wd=1, k=2)})", f"(month(d) = 2 AND {_NTH.format(wd=1, k=2)})", f"(month(d) = 9 AND {_NTH.format(wd=1, k=0)})",
     f"(month(d) = 10 AND {_NTH.format(wd=1, k=1)})", f"(month(d) = 11 AND {_NTH.format(wd=4, k=3)})", "(month(d) = 5 AND isodow(d) = 1 AND month(d + INTERVAL 7 DAY) = 6)",
 ])
 
 
-@query("holidays", f"""SELECT o_orderkey, {flag(f'({_HOL})', 'is_holiday')}, CAST(CAST(({_HOL.replace('d ', 'e ').replace('d)', 'e)')}) AS INTEGER) AS DOUBLE) AS is_holiday_eve
+@query("holidays", f"""SELECT o_orderkey, {flag(f'({HOLIDAY_SQL})', 'is_holiday')}, CAST(CAST(({HOLIDAY_SQL.replace('d ', 'e ').replace('d)', 'e)')}) AS INTEGER) AS DOUBLE) AS is_holiday_eve
   FROM (SELECT o_orderkey, d, d + INTERVAL 1 DAY AS e FROM (SELECT o_orderkey, o_orderdate + INTERVAL 24 YEAR + to_days(CAST(o_custkey % 365 AS INTEGER)) AS d FROM orders)) WHERE year(d) BETWEEN 2019 AND 2029""")
 def _(t):
     day = F.add_months(F.col("o_orderdate").cast("date"), 288).cast(C.NTZ) + F.make_dt_interval((F.col("o_custkey") % 365).cast("int"))
@@ -68,7 +68,7 @@ def _(t):
     return df.select("o_orderkey", *[c.alias(n) for n, c in holiday_flags("d").items()])
 
 
-@query("holiday_frame", f"SELECT CAST(d AS TIMESTAMP) AS ds, count(o_orderkey) AS n_orders FROM (SELECT unnest(generate_series(TIMESTAMP '2019-01-01', TIMESTAMP '2030-12-31', INTERVAL 1 DAY)) AS d) LEFT JOIN orders ON o_orderdate + INTERVAL 24 YEAR = d WHERE {_HOL} GROUP BY 1")
+@query("holiday_frame", f"SELECT CAST(d AS TIMESTAMP) AS ds, count(o_orderkey) AS n_orders FROM (SELECT unnest(generate_series(TIMESTAMP '2019-01-01', TIMESTAMP '2030-12-31', INTERVAL 1 DAY)) AS d) LEFT JOIN orders ON o_orderdate + INTERVAL 24 YEAR = d WHERE {HOLIDAY_SQL} GROUP BY 1")
 def _(t):
     o = t.orders.select(F.add_months(F.col("o_orderdate").cast("date"), 288).cast(C.NTZ).alias("ds"), "o_orderkey")
     return holiday_dimension(t.spark).select("ds").join(o, "ds", "left").groupBy("ds").agg(F.count("o_orderkey").alias("n_orders"))
@@ -150,6 +150,3 @@ def _(t):
     b = F.when(F.col("o_custkey") % 10 != 0, F.col("o_totalprice"))
     df = t.orders.select("o_orderkey", a.alias("a"), b.alias("b"))
     return df.select("o_orderkey", S.close_or_both_null("a", "b", 1e-6).alias("close"), S.close_or_both_null("a", "b", None).alias("exact"))
-
-
-_ = federal_holidays

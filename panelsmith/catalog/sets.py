@@ -6,11 +6,10 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregates as A
 from ..operators import joins as J
-from ..operators import metrics as M
 from ..operators import spans as S
 from ..operators.ordered import first_k, keep_first, keep_latest, tail_per_group
 from . import fixtures as X
-from .common import rnd, ts_lit
+from .common import rnd
 from .fixtures import with_
 from .registry import query
 
@@ -104,6 +103,3 @@ def _(t):
     out = S.file_spans(t.events.withColumn("file", name), "file", "ts")
     named = F.regexp_extract("file", "^/data/([a-z]+)/events", 1)
     return out.withColumn("file", F.when(named != "", F.concat(F.lit("/data/events_2024-01-01_2024-12-31.parquet?"), named)).otherwise(F.col("file")))
-
-
-_ = (M, ts_lit)

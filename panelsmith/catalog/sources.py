@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.calendar import hour_start, month_start
+from ..functions.calendar import hour_start
 from ..operators import metrics as M
 from ..session import scratch_dir
 from ..sources import feeds as FD
@@ -240,7 +240,10 @@ def report_texts(t):
     num = lambda x: F.format_number(x, 0)
     prose = F.concat(F.lit("Staff report.  In "), at(0), F.lit(", Caltrain's Average Weekday\nRidership (AWR) increased by 3.1 percent to "), num(v), F.lit(" from "), at(1), F.lit(" AWR of "), num(v + 7), F.lit(". End."))
     table = F.concat(F.lit("Table A  "), at(2), F.lit(" "), at(1), F.lit(" "), at(0), F.lit(" % Change\nTotal Ridership 9 9 9 0.1%\nAverage Weekday Ridership 1,234* "), num(v + 7), F.lit(" "), num(v), F.lit(" -3.2% tail"))
-    return t.orders.select(F.col("o_orderkey").alias("url"), F.when(F.col("o_orderkey") % 3 == 0, table).otherwise(prose).alias("text"))
+    text = F.when(F.col("o_orderkey") % 3 == 0, table).otherwise(prose)
+    # Every fifth text is badly spaced, as printed reports are.
+    spaced = F.when(F.col("o_orderkey") % 5 == 1, F.replace(F.replace(text, F.lit("Weekday"), F.lit("Week day")), F.lit("Average"), F.lit("Ave rage"))).otherwise(text)
+    return t.orders.select(F.col("o_orderkey").alias("url"), spaced.alias("text"))
 
 
 @query("report_value_choose", """SELECT month, CAST(CASE WHEN nt > 1 OR np > 1 THEN NULL ELSE coalesce(tv, v) END AS DOUBLE) AS value, CASE WHEN nt > 1 OR np > 1 THEN 'conflicting values' END AS error FROM (SELECT strftime(o_orderdate, '%Y-%m') || '/' || (o_orderkey % 50) AS month, max(CAST(floor(o_totalprice) AS BIGINT)) AS v,
@@ -293,6 +296,3 @@ def _(t):
     served = FL.read_published(t.spark, root)
     second, failed = FL.publish_if_passed(p, served, True, root, "run-2"), FL.publish_if_passed(p, served, False, root, "run-3")
     return served.agg(F.lit(first).alias("first_run"), F.lit(second).alias("second_run"), F.lit(failed).alias("failed_run"), F.count(F.lit(1)).alias("n"), F.sum("y").alias("y"))
-
-
-_ = month_start

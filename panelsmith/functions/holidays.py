@@ -1,4 +1,4 @@
-"""US federal holidays by rule, as a small dimension and as a plain expression."""
+"""US federal holidays by rule, as a plain expression for any year and as a small dimension."""
 
 from __future__ import annotations
 
@@ -58,12 +58,26 @@ def holiday_dimension(spark: SparkSession, first_year: int = 2019, last_year: in
     )
 
 
-def holiday_flags(ts, first_year: int = 2019, last_year: int = 2030) -> dict[str, Column]:
-    """Holiday and holiday-eve flags.
+def _fixed_on(day: Column) -> Column:
+    """Whether ``day`` itself is one of the fixed dates."""
+    hit = F.lit(False)
+    for _, month, dom, since in FIXED_DATES:
+        same = (F.month(day) == month) & (F.dayofmonth(day) == dom)
+        hit = hit | (same & (F.year(day) >= since) if since else same)
+    return hit
 
-    About eleven dates per year make an IN set, evaluated inside whole-stage
-    codegen; no join is needed.
-    """
-    dates = [d for d, _ in federal_holidays(first_year, last_year)]
+
+def is_federal_holiday(day: Column) -> Column:
+    """Whether a date is an observed federal holiday, in any year, from its parts alone."""
+    weekday, dom = F.weekday(day), F.dayofmonth(day)
+    hit = (_fixed_on(day) & (weekday < 5)) | (_fixed_on(F.date_add(day, 1)) & (weekday == 4)) | (_fixed_on(F.date_sub(day, 1)) & (weekday == 0))
+    for _, month, wd, which in NTH_WEEKDAYS:
+        place = F.ceil(dom / 7) == which if which > 0 else F.month(F.date_add(day, 7)) != month
+        hit = hit | ((F.month(day) == month) & (weekday == wd) & place)
+    return hit
+
+
+def holiday_flags(ts) -> dict[str, Column]:
+    """Holiday and holiday-eve flags, evaluated inside whole-stage codegen; no join and no range of years."""
     day = col(ts).cast("date")
-    return {"is_holiday": day.isin(dates), "is_holiday_eve": F.date_add(day, 1).isin(dates)}
+    return {"is_holiday": is_federal_holiday(day), "is_holiday_eve": is_federal_holiday(F.date_add(day, 1))}

@@ -179,7 +179,9 @@ def near_events(points: DataFrame, events: DataFrame, key: str, when: str, km: f
 
     Both sides carry ``lat`` and ``lng``.  Events and points meet in a grid cell
     and time slot at least as wide as the search radius; points are listed in
-    the neighbouring cells, and the exact distance and time decide.
+    the neighbouring cells, and the exact distance and time decide.  Events far
+    east or west are listed a full turn further too, so that neighbours across
+    the 180th meridian meet.
     """
     step_lat = km / 110.0
     slot_s = hours * 3600.0
@@ -190,7 +192,8 @@ def near_events(points: DataFrame, events: DataFrame, key: str, when: str, km: f
 
     ev = events.select("event_name", "timestamp_start", "lat", "lng").distinct()
     ev = ev.withColumns({"_r": rows, "_s": F.floor(epoch_seconds("timestamp_start") / slot_s)})
-    ev = ev.withColumn("_c", F.floor(F.col("lng") / (step_lat / band)))
+    turn = F.when(F.abs("lng") > 90, F.array(F.lit(0.0), F.signum("lng") * -360)).otherwise(F.array(F.lit(0.0)))
+    ev = ev.withColumn("_turn", F.explode(turn)).withColumn("_c", F.floor((F.col("lng") + F.col("_turn")) / (step_lat / band))).drop("_turn")
     pt = (
         points.select(key, when, "lat", "lng")
         .withColumn("_r", F.explode(F.transform(around, lambda d: rows + d)))

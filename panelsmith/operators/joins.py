@@ -29,14 +29,17 @@ def monthly_weather(hourly: DataFrame, station: str = "station", ts: str = "ts",
     return sets.agg(*aggs, (F.grouping("station") == 0).alias("station_level"))
 
 
-def weather_or_region(panel: DataFrame, weather: DataFrame, mapping: DataFrame, series: str = "series", ts: str = "ts") -> DataFrame:
+def weather_or_region(panel: DataFrame, weather: DataFrame, mapping: DataFrame | None, series: str = "series", ts: str = "ts") -> DataFrame:
     """Mapped station's month, falling back per value to the regional month.
 
-    ``mapping``: (series, weather_station).
+    ``mapping``: (series, weather_station); without it every series takes the region's.
     """
     values = [c for c in weather.columns if c not in ("station", "month", "station_level")]
     own = weather.where("station_level").select(F.col("station").alias("_ws"), F.col("month").alias("_m"), *[F.col(c).alias(f"_s_{c}") for c in values])
     region = weather.where("not station_level").select(F.col("month").alias("_m"), *[F.col(c).alias(f"_r_{c}") for c in values])
+    if mapping is None:
+        j = panel.withColumn("_m", month_start(ts)).join(region, "_m", "left")
+        return j.select(*panel.columns, *[F.col(f"_r_{c}").alias(c) for c in values])
     keyed = panel.join(mapping.select(series, F.col("weather_station").alias("_ws")), series, "left").withColumn("_m", month_start(ts))
     j = keyed.join(own, ["_ws", "_m"], "left").join(region, "_m", "left")
     return j.select(*panel.columns, *[F.coalesce(f"_s_{c}", f"_r_{c}").alias(c) for c in values])

@@ -2,8 +2,8 @@
 
 Spark's ``percentile`` and an unkeyed ``ORDER BY`` window both hold a whole
 group in one task.  Here equal values are merged first, the merged values are
-counted in fixed buckets (an order-preserving function of the value), the
-bucket that holds the wanted rank is found from that small summary, and only
+counted in buckets (an order-preserving function of the value, cut further
+where the data crowd into one), the bucket that holds the wanted rank is found from that small summary, and only
 the rows of that bucket are ordered.
 """
 
@@ -18,14 +18,33 @@ from ..functions.calendar import col
 from ..functions.scalars import INF
 
 BUCKETS_PER_EFOLD = 1024
+#: Above every -log of a double, so that magnitudes below 1 keep the order.
+_ZERO_SHIFT = 800
+#: Rows that share a bucket before it is cut by the range of its own values.
+CROWDED = 1 << 16
 
 
 def value_bucket(x) -> Column:
-    """Bucket number that never decreases with x; about 0.1 % of the value wide."""
+    """Bucket number that never decreases with x; about 0.1 % of the value wide at any magnitude."""
     x = col(x).cast("double")
-    spread = F.signum(x) * F.log1p(F.abs(x)) * BUCKETS_PER_EFOLD
+    spread = F.signum(x) * (F.floor(F.log(F.abs(x)) * BUCKETS_PER_EFOLD) + _ZERO_SHIFT * BUCKETS_PER_EFOLD)
     edge = F.lit(1 << 40).cast("long")
-    return F.when(x == INF, edge).when(x == -INF, -edge).otherwise(F.floor(spread).cast("long"))
+    return F.when(x == INF, edge).when(x == -INF, -edge).when(x == 0, F.lit(0).cast("long")).otherwise(spread.cast("long"))
+
+
+def with_bucket(df: DataFrame, groups: list[str], value: str, crowded_rows: int | None = None) -> DataFrame:
+    """Add ``_bucket``, an orderable cell of ``value``: its fixed bucket, cut evenly between the least and largest value
+    found in it where more than ``crowded_rows`` (``CROWDED``) rows share it.
+
+    So a flat sensor, ids or epochs, whose values lie within 0.1 % of each other, spread over many tasks too.
+    """
+    most = crowded_rows or CROWDED
+    t = df.withColumn("_b0", value_bucket(value))
+    v = F.col(value).cast("double")
+    full = t.groupBy(*groups, "_b0").agg(F.count(F.lit(1)).alias("_bn"), F.min(v).alias("_blo"), F.max(v).alias("_bhi")).where((F.col("_bn") > most) & (F.col("_blo") < F.col("_bhi")))
+    parts = F.ceil(F.col("_bn") / most)
+    cut = F.least(F.floor((v - F.col("_blo")) / (F.col("_bhi") - F.col("_blo")) * parts), parts - 1)
+    return t.join(full, [*groups, "_b0"], "left").withColumn("_bucket", F.struct("_b0", F.coalesce(cut, F.lit(0).cast("long")).alias("_b1"))).drop("_b0", "_bn", "_blo", "_bhi")
 
 
 def _merged(df: DataFrame, groups: list[str], value: str, mass: Column) -> DataFrame:
@@ -34,13 +53,13 @@ def _merged(df: DataFrame, groups: list[str], value: str, mass: Column) -> DataF
     The (always true) test on the count keeps both aggregates in every use of
     this plan, so its shuffle is written once and reused.
     """
-    return (
+    merged = (
         df.where(F.col(value).isNotNull())
         .groupBy(*groups, F.col(value).cast("double").alias("_v"))
         .agg(F.sum(mass).alias("_mass"), F.count(F.lit(1)).alias("_rows"))
         .where((F.col("_rows") > 0) & F.col("_mass").isNotNull())
-        .withColumn("_bucket", value_bucket("_v"))
     )
+    return with_bucket(merged, groups, "_v")
 
 
 def _bucket_totals(merged: DataFrame, groups: list[str]) -> DataFrame:
@@ -146,7 +165,7 @@ def running_mass(df: DataFrame, groups: list[str], value: str, mass: str, tie: l
     """
     tie = tie or []
     cells = ["_bucket", "_split", "_massb", "_tieb"]
-    b = df.withColumn("_bucket", value_bucket(value)).withColumns({
+    b = with_bucket(df, groups, value).withColumns({
         # Each value is a cell of its own; a heavily repeated one is cut further by mass and tie.
         "_split": F.col(value).cast("double"), "_massb": value_bucket(mass), "_tieb": _tie_bucket(df, tie[0]) if tie else F.lit(0),
     })

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import unicodedata
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -16,13 +18,23 @@ from ..functions.scalars import haversine_km
 DROPPED = ["station", "bart", "the"]
 REWRITTEN = {"street": "st", "avenue": "ave", "boulevard": "blvd", "saint": "st"}
 FUZZY_CUTOFF = 0.88
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinoooooouuuuyy"
+# Latin letters with a stroke or of another shape, which Unicode does not decompose, and their plain letters.
+STROKED = {"ø": "o", "ł": "l", "đ": "d", "ħ": "h", "ŧ": "t", "ı": "i", "ɨ": "i", "ƀ": "b", "ǥ": "g"}
+
+
+def _folded() -> dict[str, str]:
+    """Every lower-case Latin letter whose decomposition begins with an ASCII letter, and that letter."""
+    blocks = itertools.chain(range(0xC0, 0x250), range(0x1E00, 0x1F00))
+    bases = {c: unicodedata.normalize("NFD", c)[0] for c in map(chr, blocks) if c == c.lower()}
+    return {c: b for c, b in bases.items() if b.isascii() and b != c} | STROKED
+
+
+FOLDED = _folded()
 
 
 def tokens(text) -> Column:
     """Lower-case ASCII words, rewritten and without filler, in order."""
-    plain = F.translate(F.lower(F.coalesce(col(text), F.lit(""))), ACCENTED, PLAIN)
+    plain = F.translate(F.lower(F.coalesce(col(text), F.lit(""))), "".join(FOLDED), "".join(FOLDED.values()))
     words = F.filter(F.split(plain, "[^a-z0-9]+"), lambda w: (w != "") & ~w.isin(DROPPED))
     mapping = F.create_map(*[F.lit(x) for kv in REWRITTEN.items() for x in kv])
     return F.transform(words, lambda w: F.coalesce(F.try_element_at(mapping, w), w))
@@ -78,14 +90,17 @@ def fuzzy_candidates(queries: DataFrame, dim: DataFrame, q: str, d: str, cutoff:
 def match_places(queries: DataFrame, dim: DataFrame, name: str, code: str, label: str, aliases: dict[str, str] | None = None, fuzzy: bool = True) -> DataFrame:
     """(name, station, tier) per distinct query name; ambiguous or unknown names give NULL.
 
-    Tiers in order: alias, same tokens, one name's words inside the other's,
+    Tiers in order: alias of a station in ``dim``, same tokens, one name's words inside the other's,
     closest spelling.  A tier with several candidates ends the search.
     """
     q = queries.select(name).distinct().withColumn("_qt", tokens(name)).withColumn("_key", F.array_join("_qt", " "))
     d = dim.select(F.col(code).cast("string").alias("station"), tokens(label).alias("_dt")).withColumn("_key", F.array_join("_dt", " "))
     known = [F.lit(x) for kv in (aliases or {"": ""}).items() for x in kv]
     # An empty name has no answer; it is tier "none" from the start.
-    q = q.withColumn("_alias", F.when(F.col("_key") != "", F.try_element_at(F.create_map(*known), F.col("_key"))))
+    meant = F.when(F.col("_key") != "", F.try_element_at(F.create_map(*known), F.col("_key")))
+    codes = d.select(F.col("station").alias("_alias")).distinct().withColumn("_known", F.lit(True))
+    # An alias counts only if its station is in the dimension.
+    q = q.withColumn("_alias", meant).join(codes, "_alias", "left").withColumn("_alias", F.when(F.col("_known"), F.col("_alias"))).drop("_known")
     live = q.where((F.col("_key") != "") & F.col("_alias").isNull())
 
     exact = live.join(d, "_key").groupBy(name).agg(F.count_distinct("station").alias("_n"), F.min("station").alias("station")).where("_n = 1").select(name, "station")

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from ..functions.calendar import col, month_start
 from ..functions.scalars import known
@@ -16,6 +17,9 @@ from .ordered import first_k
 MAX_PLAUSIBLE = 5_000_000
 SPIKE_MULTIPLE = 10.0
 MIN_SERIES_SHARE = 0.80
+
+#: Width of the ranges that arrival numbers are checked in.
+ARRIVAL_RANGE = 8192
 RESULT = ["check", "severity", "message", "details"]
 
 
@@ -137,6 +141,14 @@ def duplicates(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return result(one, "duplicate_rows", F.when(F.col("n") > 0, "ERROR").otherwise("INFO"), F.concat(F.col("n").cast("string"), F.lit(" duplicate rows")), count=F.col("n"))
 
 
+def _arrival_chunk(df: DataFrame, arrival: str) -> Column | None:
+    """Ranges of the arrival column itself, which never decrease along it; None for types without ranges."""
+    kind = df.schema[arrival].dataType
+    if isinstance(kind, NumericType):
+        return F.floor(F.col(arrival) / ARRIVAL_RANGE)
+    return F.date_trunc("day", arrival) if kind.typeName() in ("date", "timestamp", "timestamp_ntz") else None
+
+
 def run_checks(df: DataFrame, cadence: str = "monthly", arrival: str | None = None, series: str = "series", ts: str = "ts", y: str = "y", step: str = "hour") -> DataFrame:
     """Every check in one result table."""
     sub_daily = cadence != "monthly"
@@ -148,7 +160,7 @@ def run_checks(df: DataFrame, cadence: str = "monthly", arrival: str | None = No
         weather_nulls(df), series_coverage(df, step, MIN_SERIES_SHARE, series, ts), duplicates(df, [series, ts]), target_nulls(df, y),
     ]
     if arrival:
-        parts.insert(1, monotonic(df, arrival, series, ts, chunk))
+        parts.insert(1, monotonic(df, arrival, series, ts, _arrival_chunk(df, arrival) if sub_daily else None))
     if {"is_game_day", "event_proximity_score"} <= set(df.columns):
         parts.append(event_scores(df))
     return reduce(DataFrame.unionByName, parts)

@@ -15,16 +15,32 @@ from ..sources import od as O
 from ..sources.files import write_parquet
 
 
+def refused_months(od: DataFrame) -> DataFrame:
+    """Months that the store refuses: (period, n_total_blocks), the number being other than one."""
+    return O.total_blocks(od)
+
+
 def build_feature_store(
     od: DataFrame, weather: DataFrame | None, events: DataFrame | None, mapping: DataFrame | None = None,
-    spans: DataFrame | None = None, start: str | None = None, end: str | None = None, sub_daily: bool = False,
+    spans: DataFrame | None = None, start: str | None = None, end: str | None = None, sub_daily: bool = False, ambiguous: str = "raise",
 ) -> DataFrame:
     """OD rows, hourly weather and an event archive to one row per (series, ts).
 
     ``od``: period, day_type, origin, riders.  ``weather``: station, ts, measures.
-    ``mapping``: (series, weather_station).  Without an archive event columns are
-    unknown for every row.
+    ``mapping``: (series, weather_station); without it every series takes the
+    regional weather.  Without an archive event columns are unknown for every row.
+
+    A month without exactly one Total block has no defined target.  With
+    ``ambiguous="raise"`` such months end the build (one small job over the months and
+    day types); with ``"drop"`` they are left out and ``refused_months`` lists them.
     """
+    refused = refused_months(od)
+    if ambiguous == "raise":
+        O.require_one_total_block(refused)
+    elif ambiguous == "drop":
+        od = od.join(refused.select("period"), "period", "left_anti")
+    else:
+        raise ValueError(f"ambiguous is 'raise' or 'drop', not {ambiguous!r}")
     total = O.total_rows(od).where(F.length(F.col("origin").cast("string")) <= 4)
     base = O.boardings(total).select(F.col("origin").alias("series"), F.col("period").alias("ts"), F.col("ridership").alias("y"), "ridership_daily")
     base = J.between_dates(base, start, end)

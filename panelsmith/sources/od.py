@@ -110,6 +110,13 @@ def total_blocks(od: DataFrame, period: str = "period", day_type: str = "day_typ
     return od.groupBy(period).agg(F.count_distinct(F.when(contains_ci(day_type, "total"), F.col(day_type))).alias("n_total_blocks")).where("n_total_blocks <> 1")
 
 
+def require_one_total_block(refused: DataFrame) -> None:
+    """Raise if ``refused`` (``total_blocks``) has rows; the message counts them and names the first by period."""
+    found = refused.agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("period", "n_total_blocks")).alias("first")).first()
+    if found.n:
+        raise ValueError(f"{found.n} months without exactly one Total block, first {found.first.period} with {found.first.n_total_blocks}")
+
+
 def total_rows(od: DataFrame, day_type: str = "day_type") -> DataFrame:
     return od.where(contains_ci(day_type, "total"))
 

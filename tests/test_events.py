@@ -76,7 +76,7 @@ def test_alert_periods(spark):
 
 
 def test_place_tiers(spark):
-    dim = spark.createDataFrame([("EM", "Embarcadero"), ("12", "12th St. Oakland City Center"), ("19", "19th St. Oakland"), ("DB", "Downtown Berkeley"), ("NB", "North Berkeley"), ("BE", "Berryessa/North San José")], "code string, label string")
+    dim = spark.createDataFrame([("EM", "Embarcadero"), ("12", "12th St. Oakland City Center"), ("19", "19th St. Oakland"), ("DB", "Downtown Berkeley"), ("NB", "North Berkeley"), ("BE", "Berryessa/North San José"), ("SO", "International Airport")], "code string, label string")
     names = ["embarcadero station", "12th Street / Oakland", "Berkeley", "Oakland", "Embarcadro", "SFO", "north berkley", "xyzzy", "the", "berryessa north san jose"]
     q = spark.createDataFrame([(n,) for n in names], "q string")
     got = {r.q: (r.station, r.tier) for r in PL.match_places(q, dim, "q", "code", "label", {"sfo": "SO"}).collect()}
