@@ -108,18 +108,18 @@ def _(t):
 _A2 = 1 - (1 - LEVEL) / 2
 
 
-@query("cal_fit_rolling", with_(["p6"], f"""SELECT 'rel pooled hl6' AS fit, 'all' AS group_key, n, round(q, 6) AS q_lo, round(q, 6) AS q_hi FROM ({_weighted('pool', "'all'", 's_rel', 'w6', f'{LEVEL} * (tot + 1)')}) UNION ALL
+@query("cal_fit_rolling", with_(["p6"], f"""SELECT *, (SELECT count(*) FROM p6 WHERE y IS NOT NULL AND (p10 IS NULL OR p50 IS NULL OR p90 IS NULL)) AS n_incomplete FROM (SELECT 'rel pooled hl6' AS fit, 'all' AS group_key, n, round(q, 6) AS q_lo, round(q, 6) AS q_hi FROM ({_weighted('pool', "'all'", 's_rel', 'w6', f'{LEVEL} * (tot + 1)')}) UNION ALL
   SELECT 'scaled horizon eq', CAST(g AS VARCHAR), n, round(q, 6), round(q, 6) FROM ({_kth('pool', 'horizon', 's_scaled', LEVEL)}) UNION ALL
-  SELECT 'asym horizon hl6', CAST(h.g AS VARCHAR), h.n, round(-l.q, 6), round(h.q, 6) FROM ({_weighted('pool', 'horizon', 's_asym', 'w6', f'{_A2} * (tot + 1)')}) h JOIN ({_weighted('pool', 'horizon', '-s_asym', 'w6', f'{_A2} * (tot + 1)')}) l ON h.g = l.g""", POOL))
+  SELECT 'asym horizon hl6', CAST(h.g AS VARCHAR), h.n, round(-l.q, 6), round(h.q, 6) FROM ({_weighted('pool', 'horizon', 's_asym', 'w6', f'{_A2} * (tot + 1)')}) h JOIN ({_weighted('pool', 'horizon', '-s_asym', 'w6', f'{_A2} * (tot + 1)')}) l ON h.g = l.g)""", POOL))
 def _(t):
     specs = [K.Spec("rel pooled hl6", "relative", half_life=6.0), K.Spec("scaled horizon eq", "scaled", "horizon"), K.Spec("asym horizon hl6", "asym_relative", "horizon", half_life=6.0)]
-    return plain(K.fit(resolved(t).where("p50 is not null"), specs).select(F.col("candidate").alias("fit"), "group_key", "n", "q_lo", "q_hi"), "q_lo", "q_hi")
+    return plain(K.fit(resolved(t), specs).select(F.col("candidate").alias("fit"), "group_key", "n", "q_lo", "q_hi", "n_incomplete"), "q_lo", "q_hi")
 
 
 @query("cal_fit_aci")
 def _(t):
     specs = [K.Spec("aci scaled"), K.Spec("aci asym", "asym_relative")]
-    return plain(K.fit_adaptive(X.p6(t).where("p50 is not null"), TRAIN_END, specs), "q_lo", "q_hi", "weight_sum", "alpha_lo", "alpha_hi")
+    return plain(K.fit_adaptive(X.p6(t), TRAIN_END, specs), "q_lo", "q_hi", "weight_sum", "alpha_lo", "alpha_hi")
 
 
 _SHIFT = f"""SELECT b.g AS group_key, round(b.q - w.q, 6) AS q_lo, round(b.q + w.q, 6) AS q_hi, round(b.q, 6) AS bias, round(w.q, 6) AS width, {flag('abs(b.q) > w.q', 'clipped')}, w.n"""
@@ -128,7 +128,7 @@ _SHIFT = f"""SELECT b.g AS group_key, round(b.q - w.q, 6) AS q_lo, round(b.q + w
 @query("cal_fit_shift", with_(["p6"], f"""{_SHIFT} FROM b JOIN ({_weighted('(SELECT pool.*, abs(s_asym - b.q) AS dev FROM pool JOIN b ON b.g = CAST(horizon AS VARCHAR))', 'CAST(horizon AS VARCHAR)', 'dev', 'w6', f'{LEVEL} * (tot + 1)')}) w ON w.g = b.g""",
   {**POOL, "b": _weighted("pool", "CAST(horizon AS VARCHAR)", "s_asym", "power(0.5::DOUBLE, age / 4.0::DOUBLE)", "0.5 * tot")}))
 def _(t):
-    s = K.fit_shift(X.p6(t).where("p50 is not null"), TRAIN_END, "horizon", LEVEL, 4.0, 6.0)
+    s = K.fit_shift(X.p6(t), TRAIN_END, "horizon", LEVEL, 4.0, 6.0)
     return plain(s.select("group_key", "q_lo", "q_hi", "bias", "width", "clipped", "n"), "q_lo", "q_hi", "bias", "width")
 
 
@@ -139,13 +139,13 @@ _SEEN = "SELECT a.oi, p.s_asym, power(0.5::DOUBLE, (a.oi - (year(p.ts) * 12 + mo
   {**POOL, "b": _weighted("pool", "'all'", "s_asym", "power(0.5::DOUBLE, age / 4.0::DOUBLE)", "0.5 * tot"), "seen": _SEEN, "bo": _weighted("seen", "oi", "s_asym", "w", "0.5 * tot"),
    "dev": "SELECT pool.*, abs(s_asym - bo.q) AS dev FROM pool LEFT JOIN bo ON bo.g = year(origin) * 12 + month(origin)"}))
 def _(t):
-    s = K.fit_shift(X.p6(t).where("p50 is not null"), TRAIN_END, "pooled", LEVEL, 4.0, 6.0, bias_at="origin")
+    s = K.fit_shift(X.p6(t), TRAIN_END, "pooled", LEVEL, 4.0, 6.0, bias_at="origin")
     return plain(s.select("group_key", "q_lo", "q_hi", "bias", "width", "clipped", "n", "n_no_bias"), "q_lo", "q_hi", "bias", "width")
 
 
 @query("cal_within_window_aci")
 def _(t):
-    out = K.adaptive_within_window(X.p6(t).where("p50 is not null"), X.scored(t), TRAIN_END, [K.Spec("hl6", "scaled", half_life=6.0)])
+    out = K.adaptive_within_window(X.p6(t), X.scored(t), TRAIN_END, [K.Spec("hl6", "scaled", half_life=6.0)])
     return rnd(out.select("candidate", "series", "ts", "y", "p10", "p50", "p90"), 4, "p10", "p90")
 
 
@@ -156,7 +156,7 @@ _CUT = "CASE WHEN k = 0 THEN TIMESTAMP '1999-12-31' ELSE CAST(last_day(DATE '199
   {"cuts": f"SELECT ts, {_CUT} AS cutoff FROM (SELECT ts, CAST(row_number() OVER (ORDER BY ts) - 1 AS INTEGER) AS k FROM (SELECT DISTINCT ts FROM scored))",
    "full_pool": f"SELECT series, ts, origin, {_REL} AS s FROM p6 WHERE y IS NOT NULL AND p50 IS NOT NULL UNION ALL SELECT series, ts, origin, {_REL} FROM scored WHERE y IS NOT NULL AND p50 IS NOT NULL"}))
 def _(t):
-    full = X.p6(t).where("p50 is not null").unionByName(X.scored(t))
+    full = X.p6(t).unionByName(X.scored(t))
     out = K.monthly_recalibration(full, X.scored(t), TRAIN_END, [K.Spec("recal", "relative")])
     return rnd(out.select("series", "ts", "p10", "p90"), 4, "p10", "p90")
 
@@ -189,7 +189,7 @@ CAND_WINDOWS = {"B": "1999-06-30", "V": TRAIN_END}
 
 def candidate_frames(t):
     """Pools and scored rows of two windows with a window column."""
-    pool = X.p6(t).where("p50 is not null")
+    pool = X.p6(t)
     both = pool.withColumn("window", F.explode(F.array(F.lit("B"), F.lit("V"))))
     b = pool.where(F.col("origin") == ts_lit("1999-06-30")).withColumn("window", F.lit("B"))
     return both, b.unionByName(X.scored(t).withColumn("window", F.lit("V")))
@@ -220,7 +220,7 @@ def _(t):
 def _(t):
     from ..session import scratch_dir
 
-    cal = K.fit(resolved(t).where("p50 is not null"), [K.Spec("rolling", "scaled", "horizon")])
+    cal = K.fit(resolved(t), [K.Spec("rolling", "scaled", "horizon")])
     path, prov = scratch_dir(t.spark, "calibrator"), {"model": "naive", "method": "scaled", "group": "horizon", "level": LEVEL, "as_of": TRAIN_END, "checkpoint": None}
     K.save_calibrator(cal, path, **prov)
     return plain(K.load_calibrator(t.spark, path, **prov).select("group_key", "n", "q_lo", "q_hi"), "q_lo", "q_hi")
