@@ -47,9 +47,12 @@ def _(t):
     return FL.latest_wins(df.unionByName(df), ["o_orderkey"]).select("o_orderkey", "o_totalprice")
 
 
-@query("src_newest_forecast_file", "SELECT event_id, event_type AS file_name FROM events WHERE event_type = (SELECT max(event_type) FROM events)")
+@query("src_newest_forecast_file", "SELECT event_id, value FROM events WHERE event_type = (SELECT max(event_type) FROM events)")
 def _(t):
-    return FL.newest_file_only(t.events.select("event_id", F.col("event_type").alias("file_name")))
+    # One folder of part files per event type stands for the forecasts of one run.
+    path = scratch_dir(t.spark, "forecasts")
+    FL.write_parquet(t.events.select("event_id", "value", F.col("event_type").alias("run")), path, ["run"])
+    return FL.read_newest(t.spark, path)
 
 
 _OD_TEXT = "SELECT l_orderkey, l_linenumber, CAST(year(l_shipdate) AS VARCHAR) AS y, month(l_shipdate) AS m, CASE WHEN s_nationkey < 5 THEN CAST(10 + s_nationkey AS VARCHAR) || '.0' WHEN s_nationkey = 24 THEN 'Exits' ELSE 'st' || s_nationkey END AS o, l_returnflag AS d, CASE WHEN l_linenumber = 4 THEN 'n/a' ELSE CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) END AS r FROM lineitem JOIN supplier ON l_suppkey = s_suppkey"

@@ -38,20 +38,20 @@ def unique_keys(cand: DataFrame, series: str = "series", ts: str = "ts") -> Data
 
 
 def station_differences(cand: DataFrame, tracked: DataFrame, series: str = "series", ts: str = "ts") -> DataFrame:
-    """(ts, series, problem): missing or extra series per candidate month, as rows."""
+    """(ts, series, problem): missing or extra series per candidate month, as rows; ``ts`` is the month's start."""
     want = tracked.select(series).distinct()
-    months = cand.select(ts).distinct()
-    have = cand.select(ts, series).distinct()
+    have = cand.select(month_start(ts).alias(ts), series).distinct()
     extra = have.join(want, series, "left_anti").select(ts, series, F.lit("extra").alias("problem"))
     # A month is complete when it holds every expected series: count first, list only incomplete months.
     good = have.join(want, series, "left_semi").groupBy(ts).agg(F.count(F.lit(1)).alias("_have"))
     total = want.agg(F.count(F.lit(1)).alias("_want"))
-    short = months.join(good, ts, "left").join(F.broadcast(total), F.lit(True)).where(F.coalesce("_have", F.lit(0)) < F.col("_want")).select(ts)
-    # Months are a calendar, so each expected series carries the list of short months.
-    listed = short.agg(F.collect_set(ts).alias("_months"))
+    short = have.select(ts).distinct().join(good, ts, "left").join(F.broadcast(total), F.lit(True)).where(F.coalesce("_have", F.lit(0)) < F.col("_want")).select(ts)
+    # Every expected series lists the calendar between the first and the last short month (one row), then keeps the short ones.
+    ends = short.agg(F.min(ts).alias("_a"), F.max(ts).alias("_b")).where("_a is not null")
+    calendar = F.explode(F.sequence("_a", "_b", F.expr("INTERVAL 1 MONTH"))).alias(ts)
     missing = (
-        want.join(F.broadcast(listed), F.lit(True)).select(F.explode("_months").alias(ts), series)
-        .join(have, [ts, series], "left_anti").select(ts, series, F.lit("missing").alias("problem"))
+        want.join(F.broadcast(ends), F.lit(True)).select(calendar, series)
+        .join(short, ts, "left_semi").join(have, [ts, series], "left_anti").select(ts, series, F.lit("missing").alias("problem"))
     )
     return missing.unionByName(extra)
 

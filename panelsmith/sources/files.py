@@ -36,10 +36,17 @@ def latest_wins(df: DataFrame, keys: list[str], version: list[str] | None = None
     return keep_latest(df, keys, version or ["file_mtime", "file_path"])
 
 
-def newest_file_only(df: DataFrame, name_col: str = "file_name") -> DataFrame:
-    """Rows of the last file by name."""
-    last = df.agg(F.max(name_col).alias(name_col))
-    return df.join(F.broadcast(last), name_col, "left_semi")
+def read_newest(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of the last parquet file (or folder of part files) under ``folder`` by name.
+
+    The name comes from a listing that opens no file; only the last is read.
+    """
+    names = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(folder)
+    last = names.agg(F.max("path")).first()[0]
+    if last is None:
+        raise ValueError(f"no parquet file under {folder}")
+    parent, _, leaf = last.rpartition("/")
+    return spark.read.parquet(parent if leaf.startswith("part-") else last)
 
 
 def batch_completeness(df: DataFrame, series: str, ts: str, days: int, columns: list[str]) -> DataFrame:
