@@ -54,8 +54,8 @@ class StableHash:
         return (mixed ^ (mixed >> np.uint64(29))).view(np.int64)
 
 
-def usable_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(``id``, ``v``): the components as bytes of doubles; null for vectors that can't be compared."""
+def usable_vectors(vectors: DataFrame, id_col: str, vector_col: str, kind: str) -> DataFrame:
+    """(``id``, ``v``): the components as bytes of ``kind``; null for vectors that can't be compared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -63,14 +63,14 @@ def usable_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFram
             for v in batch.column("v"):
                 x = np.array(v.as_py(), dtype=np.float64) if v.is_valid else np.zeros(0)
                 norm = np.linalg.norm(x) if len(x) and np.isfinite(x).all() else 0.0
-                out.append((x + 0.0).tobytes() if 0 < norm < np.inf else None)
+                out.append((x + 0.0).astype(kind).tobytes() if 0 < norm < np.inf else None)
             yield pa.record_batch({"id": batch.column("id"), "v": pa.array(out, pa.binary())})
 
     return vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).mapInArrow(run, "id long, v binary")
 
 
-def unit_rows(column: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(column), dtype=np.float64).reshape(len(column), -1)
+def unit_rows(column: list[bytes], kind: str) -> np.ndarray:
+    x = np.frombuffer(b"".join(column), dtype=kind).astype(np.float64).reshape(len(column), -1)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -121,12 +121,14 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, recall: float = 0.97,
     other rows linked directly; ``component_id`` is the smallest id reachable, and
     ``kept`` tells whether it is the row's own.  Other columns are not carried.
     """
-    known = materialise(usable_vectors(vectors, id_col, vector_col), "vectors")
+    # Single-precision components travel as such; all arithmetic is in double precision.
+    kind = "<f4" if vectors.schema[vector_col].dataType.elementType.typeName() == "float" else "<f8"
+    known = materialise(usable_vectors(vectors, id_col, vector_col, kind), "vectors")
     groups = materialise(known.where("v is not null").groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "groups")
     hashing = StableHash.for_rows(groups.count(), least, recall, strangers)
 
     def light(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, keys in _keyed(batches, hashing):
+        for batch, keys in _keyed(batches, hashing, kind):
             n, tables = keys.shape
             yield pa.record_batch({"t": pa.array(np.tile(np.arange(tables, dtype=np.int32), n)), "key": pa.array(keys.ravel())})
 
@@ -134,7 +136,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, recall: float = 0.97,
     crowded = materialise(sizes.where(F.col("n") > block_rows).select("t", "key", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks")), "crowded")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, keys in _keyed(batches, hashing):
+        for batch, keys in _keyed(batches, hashing, kind):
             n, tables = keys.shape
             rows = pa.array(np.repeat(np.arange(n), tables))
             own = pa.array([k.tobytes() for k in keys], pa.binary())
@@ -161,7 +163,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, recall: float = 0.97,
             for s, e in zip(bounds[:-1], bounds[1:], strict=True):
                 if e - s > 1:
                     own = np.frombuffer(b"".join(keys[s:e]), dtype=np.int64).reshape(e - s, -1)
-                    links, a, b = finder.compare(int(tables[s]), bool(same[s]), ids[s:e], copies[s:e], side[s:e], own, unit_rows(vectors[s:e]))
+                    links, a, b = finder.compare(int(tables[s]), bool(same[s]), ids[s:e], copies[s:e], side[s:e], own, unit_rows(vectors[s:e], kind))
                     linked = links > 0
                     out.append((ids[s:e][linked], links[linked], ids[s:e][linked]))
                     out.append((a, np.zeros(len(a), np.int64), b))
@@ -172,12 +174,12 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, recall: float = 0.97,
     found = materialise(cut.repartition(*where).sortWithinPartitions(*where).mapInArrow(search, "a long, n long, b long"), "found")
     links = found.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     roots = connected_components(found.select("a", "b")).select(F.col("node").alias("rep"), "root")
-    classes = groups.join(links, "rep", "left").join(roots, "rep", "left").select("v", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
-    result = known.join(classes, "v", "left").select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
+    classes = groups.join(links.hint("merge"), "rep", "left").join(roots.hint("merge"), "rep", "left").select("v", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
+    result = known.join(classes.hint("merge"), "v", "left").select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
     return result.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False)))
 
 
-def _keyed(batches: Iterator[pa.RecordBatch], hashing: StableHash) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+def _keyed(batches: Iterator[pa.RecordBatch], hashing: StableHash, kind: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
     """Batches of at most 1024 rows with their keys; vectors of each length are hashed together."""
     for whole in batches:
         for s in range(0, whole.num_rows, 1024):
@@ -187,7 +189,7 @@ def _keyed(batches: Iterator[pa.RecordBatch], hashing: StableHash) -> Iterator[t
             keys = np.zeros((len(raw), hashing.tables), dtype=np.int64)
             for n in np.unique(size):
                 rows = np.flatnonzero(size == n)
-                keys[rows] = hashing.keys(unit_rows([raw[r] for r in rows]))
+                keys[rows] = hashing.keys(unit_rows([raw[r] for r in rows], kind))
             yield batch, keys
 
 
