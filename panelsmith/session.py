@@ -15,6 +15,8 @@ SETTINGS = {
     "spark.sql.parquet.filterPushdown": "true",
 }
 
+_taken: list[str] = []
+
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str = "panelsmith") -> SparkSession:
     """A local session for tests and the benchmark; clusters bring their own."""
@@ -37,9 +39,18 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
 
     It lies under the cluster's ``spark.checkpoint.dir``.  Where that is unset
     (tests), it lies under ``spark.sql.warehouse.dir``, which is shared as well;
-    no machine-local temporary folder is ever taken.
+    no machine-local temporary folder is ever taken.  The folder stays until
+    ``release_scratch``, as lazy results may read from it.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    _taken.append(f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}")
+    return _taken[-1]
+
+
+def release_scratch(spark: SparkSession) -> None:
+    """Delete the scratch folders this process has taken; call it once results that read from them are written."""
+    while _taken:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_taken.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
