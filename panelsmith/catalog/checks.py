@@ -19,9 +19,10 @@ def named(df, *details):
     return df.select("check", "severity", *[F.col("details")[d].alias(d) for d in details])
 
 
-@query("dq_required_columns", "SELECT 'required_columns' AS \"check\", CASE WHEN (SELECT count(*) FROM (DESCRIBE orders) WHERE column_name IN ('o_orderkey', 'o_orderdate', 'riders')) < 3 THEN 'ERROR' ELSE 'INFO' END AS severity, 'missing required columns: riders' AS message")
+@query("dq_required_columns", "SELECT 'required_columns' AS \"check\", 'ERROR' AS severity, CAST(count(*) AS VARCHAR) AS rows, count(o_orderkey) || ',' || count(o_custkey) AS filled FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey END AS o_custkey FROM orders)")
 def _(t):
-    return Q.required_columns(t.orders, ["o_orderkey", "o_orderdate", "riders"]).select("check", "severity", "message")
+    df = t.orders.select("o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, F.col("o_custkey")).alias("o_custkey"))
+    return named(Q.required_columns(df, ["o_orderkey", "o_custkey", "riders"]), "rows", "filled")
 
 
 @query("dq_monotonic", """SELECT 'timestamp_monotonic' AS "check", CASE WHEN count(*) > 0 THEN 'WARNING' ELSE 'INFO' END AS severity, CAST(count(*) AS VARCHAR) AS count, string_agg(s, ', ' ORDER BY s) AS examples FROM (SELECT DISTINCT o_orderpriority AS s FROM (SELECT o_orderpriority, o_orderdate, lag(o_orderdate) OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS p FROM orders) WHERE o_orderdate < p)""")
@@ -59,12 +60,11 @@ def _(t):
     return Q.weather_nulls(df).select("check", "severity")
 
 
-@query("dq_event_scores", "SELECT 'event_proximity_score' AS \"check\", CASE WHEN z + m > 50 THEN 'WARNING' ELSE 'INFO' END AS severity, round(z, 4) AS zero_pct, round(m, 4) AS missing_pct FROM (SELECT 100 * avg(CAST(user_id % 3 = 0 AND value >= 20 AS INTEGER)) AS z, 100 * avg(CAST(value < 20 AS INTEGER)) AS m FROM events WHERE event_type IN ('click', 'view'))")
+@query("dq_event_scores", "SELECT 'event_proximity_score' AS \"check\", CASE WHEN z + m > 50 THEN 'WARNING' ELSE 'INFO' END AS severity, round(z, 2) AS zero_pct, round(m, 2) AS missing_pct FROM (SELECT 100 * avg(CAST(user_id % 3 = 0 AND value >= 20 AS INTEGER)) AS z, 100 * avg(CAST(value < 20 AS INTEGER)) AS m FROM events WHERE event_type IN ('click', 'view'))")
 def _(t):
     df = t.events.select(F.when(F.col("event_type") != "error", F.col("event_type").isin("click", "view")).alias("is_game_day"), F.when(F.col("value") >= 20, (F.col("user_id") % 3).cast("double")).alias("event_proximity_score"))
-    a = Q.event_scores(df)
-    pct = df.where("is_game_day").agg((F.avg(F.coalesce(F.col("event_proximity_score") == 0, F.lit(False)).cast("double")) * 100).alias("zero_pct"), (F.avg(F.col("event_proximity_score").isNull().cast("double")) * 100).alias("missing_pct"))
-    return rnd(a.select("check", "severity").join(pct, F.lit(True)), 4, "zero_pct", "missing_pct")
+    shares = [F.col("details")[c].cast("double").alias(c) for c in ("zero_pct", "missing_pct")]
+    return Q.event_scores(df).select("check", "severity", *shares)
 
 
 @query("dq_station_coverage", """SELECT g.w AS "window", count(DISTINCT e.event_type) AS n_series, any_value(tot) AS total, count(DISTINCT e.event_type) / any_value(tot) AS share FROM (SELECT unnest(generate_series(date_trunc('hour', min(ts)), date_trunc('hour', max(ts)), INTERVAL 1 HOUR)) AS w, count(DISTINCT event_type) AS tot FROM events WHERE hour(ts) NOT IN (2, 3)) g
@@ -131,9 +131,9 @@ def _(t):
     return G.station_differences(with_extra(t), tracked(t))
 
 
-@query("gate_columns_present", "SELECT 'tracked_columns' AS \"check\", 'fail' AS status, 'absent: temp_f' AS message WHERE (SELECT count(*) FROM orders) > 0")
+@query("gate_columns_present", with_(["p1"], "SELECT 'tracked_columns' AS \"check\", 'fail' AS status, 'absent: temp_f' AS message, CAST(count(*) AS VARCHAR) AS rows FROM p1"))
 def _(t):
-    return G.columns_present(X.p1(t), tracked(t)).select("check", "status", "message")
+    return G.columns_present(X.p1(t), tracked(t)).select("check", "status", "message", F.col("details")["rows"].alias("rows"))
 
 
 _DIFF = f"SELECT count(*) FILTER (WHERE c.series IS NULL) AS n_missing, count(*) FILTER (WHERE c.series IS NOT NULL AND c.y <> t.y) AS diff_y, count(*) FILTER (WHERE c.series IS NOT NULL AND c.temp_f IS NULL) AS diff_temp_f FROM p1 t LEFT JOIN ({_CAND}) c ON t.series = c.series AND t.ts = c.ts"

@@ -66,9 +66,10 @@ def station_set(cand: DataFrame, tracked: DataFrame, expected: int, series: str
 
 
 def columns_present(cand: DataFrame, tracked: DataFrame) -> DataFrame:
+    """Whether the candidate has every tracked column; details tell its rows."""
     absent = [c for c in tracked.columns if c not in cand.columns]
-    one = cand.sparkSession.range(1)
-    return verdict(one, "tracked_columns", F.lit(bool(absent)), F.lit(f"absent: {', '.join(absent)}" if absent else "all present"))
+    one = cand.agg(F.count(F.lit(1)).alias("n"))
+    return verdict(one, "tracked_columns", F.lit(bool(absent)), F.lit(f"absent: {', '.join(absent)}" if absent else "all present"), rows=F.col("n"))
 
 
 def join_tracked(cand: DataFrame, tracked: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:

@@ -32,11 +32,12 @@ def result(df: DataFrame, check, severity, message, **details) -> DataFrame:
 
 
 def required_columns(df: DataFrame, required: list[str]) -> DataFrame:
+    """Whether all columns are there; details tell the rows and, for each column that is there, how many rows have a value."""
     missing = [c for c in required if c not in df.columns]
-    one = df.sparkSession.range(1)
-    if missing:
-        return result(one, "required_columns", "ERROR", f"missing required columns: {', '.join(missing)}")
-    return result(one, "required_columns", "INFO", "all required columns present")
+    filled = F.concat_ws(",", *[F.count(c).cast("string") for c in required if c in df.columns])
+    one = df.agg(F.count(F.lit(1)).alias("n"), filled.alias("filled"))
+    message = f"missing required columns: {', '.join(missing)}" if missing else "all required columns present"
+    return result(one, "required_columns", "ERROR" if missing else "INFO", message, rows=F.col("n"), filled=F.col("filled"))
 
 
 def monotonic(df: DataFrame, arrival: str, series: str = "series", ts: str = "ts", chunk: Column | None = None) -> DataFrame:
