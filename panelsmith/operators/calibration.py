@@ -279,8 +279,8 @@ class _ScoreIndex:
     """
 
     def __init__(self, rows: DataFrame):
-        self.rows = rows.withColumn("b", value_bucket("s")).persist()
-        # Buckets are about 0.1 % of the score wide: their number depends on the score range, not on the rows.
+        self.rows = rows.withColumn("b", value_bucket("s", 128)).persist()
+        # Buckets are below 1 % of the score wide: their number depends on the score range, not on the rows.
         self.hist = self.rows.groupBy("candidate", "side", "part", "b").agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("n")).toPandas().sort_values("b")
 
     def close(self) -> None:

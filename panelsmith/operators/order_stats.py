@@ -24,10 +24,10 @@ _ZERO_SHIFT = 800
 CROWDED = 1 << 16
 
 
-def value_bucket(x) -> Column:
-    """Bucket number that never decreases with x; about 0.1 % of the value wide at any magnitude."""
+def value_bucket(x, per_efold: int = BUCKETS_PER_EFOLD) -> Column:
+    """Bucket number that never decreases with x; 1 / ``per_efold`` (by default about 0.1 %) of the value wide at any magnitude."""
     x = col(x).cast("double")
-    spread = F.signum(x) * (F.floor(F.log(F.abs(x)) * BUCKETS_PER_EFOLD) + _ZERO_SHIFT * BUCKETS_PER_EFOLD)
+    spread = F.signum(x) * (F.floor(F.log(F.abs(x)) * per_efold) + _ZERO_SHIFT * per_efold)
     edge = F.lit(1 << 40).cast("long")
     return F.when(x == INF, edge).when(x == -INF, -edge).when(x == 0, F.lit(0).cast("long")).otherwise(spread.cast("long"))
 
