@@ -63,7 +63,7 @@ def _(t):
 
 @query("agg_network_month", with_(["p1"], "SELECT ts, sum(y) AS total FROM p1 GROUP BY ts"))
 def _(t):
-    return X.p1(t).groupBy("ts").agg(F.sum("y").alias("total"))
+    return A.network_months(X.p1(t))
 
 
 @query("agg_network_year", with_(["p1"], "SELECT year(ts) AS year, sum(y) AS total, sum(y) / (SELECT sum(y) FROM p1 WHERE year(ts) = 1996) AS share FROM p1 GROUP BY 1"))

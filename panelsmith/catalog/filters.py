@@ -38,7 +38,7 @@ def _(t):
 
 @query("drop_aggregate_codes", "SELECT p_partkey, p_name FROM part WHERE length(p_name) <= 10")
 def _(t):
-    return t.part.where(F.length("p_name") <= 10).select("p_partkey", "p_name")
+    return O.drop_aggregate_codes(t.part.select("p_partkey", "p_name"), "p_name", longest=10)
 
 
 _CODES = "upper(trim(substr(p_type, 1, 2))) AS code FROM part"
@@ -52,12 +52,12 @@ def _(t):
 
 @query("self_loop_filter", with_(["p2"], "SELECT origin, destination, sum(riders) AS riders FROM p2 WHERE origin <> destination GROUP BY 1, 2"))
 def _(t):
-    return X.p2(t).where("origin <> destination").groupBy("origin", "destination").agg(F.sum("riders").alias("riders"))
+    return O.without_self_loops(X.p2(t)).groupBy("origin", "destination").agg(F.sum("riders").alias("riders"))
 
 
 @query("drop_out_of_service", "SELECT event_id, event_type, value FROM events WHERE event_type <> 'error'")
 def _(t):
-    return t.events.where("event_type <> 'error'").select("event_id", "event_type", "value")
+    return O.drop_out_of_service(t.events.select("event_id", "event_type", "value"), "event_type", ["error"])
 
 
 @query("date_range", "SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate >= TIMESTAMP '1997-03-05' AND o_orderdate <= TIMESTAMP '1998-02-10'")

@@ -100,7 +100,7 @@ def _(t):
 
 @query("win_first_last_by_order", """SELECT o_custkey AS series, first(o_totalprice ORDER BY o_orderkey) AS first_value, last(o_totalprice ORDER BY o_orderkey) AS last_value FROM orders GROUP BY 1""")
 def _(t):
-    return t.orders.groupBy(F.col("o_custkey").alias("series")).agg(F.min_by("o_totalprice", "o_orderkey").alias("first_value"), F.max_by("o_totalprice", "o_orderkey").alias("last_value"))
+    return P.first_last_by_order(t.orders.withColumnRenamed("o_custkey", "series"), ["series"], "o_totalprice", "o_orderkey")
 
 
 @query("win_seasonal_naive_index", with_(["actuals", "train"], """SELECT r.series, r.ts, r.i AS idx, v.y AS value FROM (SELECT series, ts, (row_number() OVER (PARTITION BY series ORDER BY ts) - 1) % 12 AS i FROM actuals) r

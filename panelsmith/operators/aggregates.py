@@ -23,6 +23,11 @@ def mean_monthly(od: DataFrame, period: str = "period", key: str = "destination"
     return m.withColumn("year", F.year("month")).groupBy(*keys).agg(F.avg("total").alias("mean_monthly"), F.count(F.lit(1)).alias("n_months"))
 
 
+def network_months(panel: DataFrame, ts: str = "ts", y: str = "y") -> DataFrame:
+    """Sum over all series per time stamp: (ts, total)."""
+    return panel.groupBy(ts).agg(F.sum(y).alias("total"))
+
+
 def network_years(panel: DataFrame, base_year: int, ts: str = "ts", y: str = "y") -> DataFrame:
     """Yearly totals and their share of the base year."""
     yearly = panel.groupBy(F.year(ts).alias("year")).agg(F.sum(y).alias("total"))

@@ -118,6 +118,11 @@ def out_of_order(df: DataFrame, arrival: str, series: str = "series", ts: str =
     return out.where(F.col(ts) < F.col("_prev")).groupBy(series).agg(F.count(F.lit(1)).alias("n_steps_back"))
 
 
+def first_last_by_order(df: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
+    """(keys, first_value, last_value): the values at the least and largest ``order``, by map-side combined aggregates."""
+    return df.groupBy(*keys).agg(F.min_by(value, order).alias("first_value"), F.max_by(value, order).alias("last_value"))
+
+
 def horizon_dense(df: DataFrame, series: str = "series", ts: str = "ts", out: str = "horizon") -> DataFrame:
     """Forecast step of each row in its series (earliest time stamp = 1)."""
     return df.withColumn(out, F.dense_rank().over(Window.partitionBy(series).orderBy(ts)))

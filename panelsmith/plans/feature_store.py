@@ -41,7 +41,7 @@ def build_feature_store(
         od = od.join(refused.select("period"), "period", "left_anti")
     else:
         raise ValueError(f"ambiguous is 'raise' or 'drop', not {ambiguous!r}")
-    total = O.total_rows(od).where(F.length(F.col("origin").cast("string")) <= 4)
+    total = O.drop_aggregate_codes(O.total_rows(od), "origin")
     base = O.boardings(total).select(F.col("origin").alias("series"), F.col("period").alias("ts"), F.col("ridership").alias("y"), "ridership_daily")
     base = J.between_dates(base, start, end)
     if weather is not None:

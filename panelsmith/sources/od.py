@@ -121,6 +121,24 @@ def total_rows(od: DataFrame, day_type: str = "day_type") -> DataFrame:
     return od.where(contains_ci(day_type, "total"))
 
 
+def drop_aggregate_codes(df: DataFrame, *codes: str, longest: int = 4) -> DataFrame:
+    """Rows whose ``codes`` are station codes; sheet totals and labels have longer ones."""
+    kept = df
+    for c in codes:
+        kept = kept.where(F.length(F.col(c).cast("string")) <= longest)
+    return kept
+
+
+def without_self_loops(od: DataFrame, origin: str = "origin", destination: str = "destination") -> DataFrame:
+    """Rows between two different places."""
+    return od.where(F.col(origin) != F.col(destination))
+
+
+def drop_out_of_service(df: DataFrame, status: str, values: list[str]) -> DataFrame:
+    """Rows whose ``status`` is known and none of ``values``."""
+    return df.where(~F.col(status).isin(values))
+
+
 def boardings(od: DataFrame, period: str = "period", origin: str = "origin", riders: str = "riders", extra: list[str] | None = None) -> DataFrame:
     """Monthly target per origin with a daily estimate (22 working days)."""
     g = od.groupBy(period, origin, *(extra or [])).agg(F.sum(riders).alias("ridership"))
