@@ -435,12 +435,12 @@ def monthly_recalibration(pool_full: DataFrame, scored: DataFrame, as_of: str, s
 # ---- folds, runs, provenance ----------------------------------------------------------------------
 
 
-def series_folds(df: DataFrame, n_folds: int = 5, series: str = "series", prefix: int = 2) -> DataFrame:
+def series_folds(df: DataFrame, n_folds: int = 5, series: str = "series") -> DataFrame:
     """Fold = position of the series in text order, modulo ``n_folds``."""
-    from .ordered import row_positions
+    from .ordered import row_positions, with_text_range
 
-    names = df.select(F.col(series).cast("string").alias("_name")).distinct()
-    placed = row_positions(names, [], ["_name"], F.substring("_name", 1, prefix))
+    names = with_text_range(df.select(F.col(series).cast("string").alias("_name")).distinct(), "_name", "_range")
+    placed = row_positions(names, [], ["_name"], F.col("_range"))
     return df.withColumn("_name", F.col(series).cast("string")).join(
         placed.select("_name", (F.col("_pos") % n_folds).cast("int").alias("fold")), "_name"
     ).drop("_name")

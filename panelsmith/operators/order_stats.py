@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import col
 from ..functions.scalars import INF
+from .ordered import with_text_range
 
 BUCKETS_PER_EFOLD = 1024
 #: Above every -log of a double, so that magnitudes below 1 keep the order.
@@ -147,14 +148,14 @@ def exact_quantiles(df: DataFrame, groups: list[str], value: str, probs: dict[st
     return wide.join(sizes, groups) if groups else wide.join(sizes, F.lit(True))
 
 
-def _tie_bucket(df: DataFrame, column: str) -> Column:
-    """A coarse bucket that never decreases along the column's own order."""
+def _with_tie_bucket(df: DataFrame, column: str | None, out: str) -> DataFrame:
+    """Add a coarse bucket that never decreases along the column's own order."""
+    if column is None:
+        return df.withColumn(out, F.lit(0))
     kind = df.schema[column].dataType.typeName()
     if kind == "string":
-        return F.substring(column, 1, 3)
-    if kind in ("timestamp_ntz", "timestamp", "date"):
-        return F.col(column).cast("date")
-    return value_bucket(column)
+        return with_text_range(df, column, out)
+    return df.withColumn(out, F.col(column).cast("date") if kind in ("timestamp_ntz", "timestamp", "date") else value_bucket(column))
 
 
 def running_mass(df: DataFrame, groups: list[str], value: str, mass: str, tie: list[str] | None = None, out: str = "cum") -> DataFrame:
@@ -165,9 +166,9 @@ def running_mass(df: DataFrame, groups: list[str], value: str, mass: str, tie: l
     """
     tie = tie or []
     cells = ["_bucket", "_split", "_massb", "_tieb"]
-    b = with_bucket(df, groups, value).withColumns({
+    b = with_bucket(_with_tie_bucket(df, tie[0] if tie else None, "_tieb"), groups, value).withColumns({
         # Each value is a cell of its own; a heavily repeated one is cut further by mass and tie.
-        "_split": F.col(value).cast("double"), "_massb": value_bucket(mass), "_tieb": _tie_bucket(df, tie[0]) if tie else F.lit(0),
+        "_split": F.col(value).cast("double"), "_massb": value_bucket(mass),
     })
     totals = b.groupBy(*groups, *cells).agg(F.sum(mass).alias("_own"))
     per_bucket = Window.partitionBy(*groups, "_bucket").orderBy("_split", "_massb", "_tieb").rowsBetween(Window.unboundedPreceding, -1)

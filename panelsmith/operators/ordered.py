@@ -42,6 +42,18 @@ def row_positions(df: DataFrame, keys: list[str], order: list, chunk: Column) ->
     )
 
 
+def with_text_range(df: DataFrame, column: str, out: str, letters: int = 3) -> DataFrame:
+    """Add ``out``, a range of ``column`` in text order: its first ``letters`` behind what all texts begin with.
+
+    The shared beginning is that of the least and the largest text (one row).
+    """
+    text = F.col(column).cast("string")
+    ends = df.agg(F.min(text).alias("_least"), F.max(text).alias("_most"))
+    shared = F.length(F.regexp_extract(F.concat("_least", F.lit("\n\n"), "_most"), r"(?s)^(.*).*\n\n\1", 1))
+    chunk = F.substring(text, F.coalesce(shared, F.lit(0)) + 1, F.lit(letters))
+    return df.join(F.broadcast(ends), F.lit(True)).withColumn(out, chunk).drop("_least", "_most")
+
+
 def windowed_by_rows(
     df: DataFrame,
     keys: list[str],

@@ -11,6 +11,8 @@ from panelsmith.operators import joins as J
 from panelsmith.operators import order_stats as OS
 from panelsmith.operators import places as PL
 from panelsmith.operators import quality as Q
+from panelsmith.operators.calibration import series_folds
+from panelsmith.operators.ordered import with_text_range
 from panelsmith.plans import feature_store as FS
 
 
@@ -68,6 +70,17 @@ def test_aliases_need_their_station_and_accents_fold(spark):
     assert got == {"sfo": (None, "none"), "atwn": ("A", "alias"), "Ātown": ("A", "exact"), "Łódź SZEGÉD": ("L", "exact")}
 
 
+def test_names_with_a_common_beginning_spread(spark):
+    names = spark.range(3000).select(F.format_string("Customer#%06d", "id").alias("n"))
+    ranged = with_text_range(names, "n", "r")
+    assert ranged.select("r").distinct().count() >= 30
+    rows = ranged.orderBy("n").collect()
+    assert [r.r for r in rows] == sorted(r.r for r in rows)
+    assert with_text_range(names.limit(1), "n", "r").count() == 1 and with_text_range(names.limit(0), "n", "r").count() == 0
+    folds = {r.n: r.fold for r in series_folds(names, 5, "n").collect()}
+    assert all(folds[f"Customer#{i:06d}"] == i % 5 for i in range(3000))
+
+
 @pytest.mark.parametrize("low, high", [(1e-9, 9e-4), (1e6, 1.0005e6), (-1.0002, -1.0), (1.7e9, 1.7000001e9)])
 def test_cells_follow_the_data(spark, low, high):
     n, most = 4000, 200
