@@ -194,7 +194,7 @@ def pack_documents(
     runs = best_fit_runs({r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, capacity)
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     firsts = counts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    numbered = pieces.join(firsts, ["length", "part"]).withColumn("number", F.col("number") + F.col("before")).drop("part", "before")
+    numbered = pieces.join(firsts.hint("merge"), ["length", "part"]).withColumn("number", F.col("number") + F.col("before")).drop("part", "before")
     order = np.lexsort((runs[:, 1], runs[:, 0])) if len(runs) else np.empty(0, np.int64)
     runs = runs[order]
     keys = runs[:, 0] * (1 << 50) + runs[:, 1]
