@@ -197,11 +197,12 @@ def near_links(
 
     placed = fps.select("node", "fp").mapInArrow(place, "tree int, shard long, home boolean, node long, fp binary")
     sizes = placed.groupBy("tree", "shard").agg(F.sum(F.col("home").cast("long")).alias("held"), F.count("*").alias("asked"))
-    sizes = materialise(
-        sizes.where("held > 0").select("tree", "shard", F.ceil(F.col("held") / block_rows).cast("int").alias("holders"), F.ceil(F.col("asked") / (16 * block_rows)).cast("int").alias("askers")), "shards"
+    crowded = materialise(
+        sizes.where((F.col("held") > block_rows) | (F.col("asked") > 16 * block_rows))
+        .select("tree", "shard", F.ceil(F.col("held") / block_rows).cast("int").alias("h"), F.ceil(F.col("asked") / (16 * block_rows)).cast("int").alias("a")), "crowded"
     )
     salt = F.xxhash64(F.col("node"), F.lit(1))
-    cut = placed.join(sizes, ["tree", "shard"])
+    cut = placed.join(crowded, ["tree", "shard"], "left").withColumns({"holders": F.greatest(F.lit(1), "h"), "askers": F.greatest(F.lit(1), "a")})
     others = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     whole = (F.col("holders") == 1) & (F.col("askers") == 1)
     asks = cut.select("tree", "shard", F.pmod(salt, F.col("askers")).cast("int").alias("asker"), others("holders").alias("holder"), "node", "fp", F.lit(True).alias("asks"), (F.col("home") & whole).alias("holds"))
@@ -224,10 +225,11 @@ def simhash_classes(
     known = materialise(fingerprints(docs, id_col, text_col, shingle, words), "fingerprints")
     groups = materialise(known.groupBy("fp").agg(F.min("id").alias("least_id")).withColumn("node", F.monotonically_increasing_id()), "groups")
     roots = connected_components(near_links(groups, radius, words, runs, reach))
-    rooted = materialise(groups.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("root"), "least_id"), "rooted")
-    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    classes = rooted.join(least, "root").select("fp", "component_id")
-    return known.join(classes, "fp").select(F.col("id").alias(id_col), F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+    rooted = materialise(groups.join(roots.hint("merge"), "node", "left").select("fp", F.coalesce("root", "node").alias("root"), "least_id"), "rooted")
+    # Written by itself, so that a root shared by a third of the fingerprints is split in the join.
+    least = materialise(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "least")
+    classes = rooted.join(least.hint("merge"), "root").select("fp", "component_id")
+    return known.join(classes.hint("merge"), "fp").select(F.col("id").alias(id_col), F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
 #: Five-word shingles, 512 bits.  Sets with a Jaccard similarity of 0.8 differ in 78 of 512 bits on average (angle
@@ -248,5 +250,5 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     kept = classes.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
     text, row = free_name(docs, "text_hash"), free_name(docs, "row")
     order = Window.partitionBy(id_col, text).orderBy(id_col)
-    stay = named.join(kept, id_col, "left_semi").withColumn(text, F.xxhash64(text_col)).withColumn(row, F.row_number().over(order))
+    stay = named.join(kept.hint("merge"), id_col, "left_semi").withColumn(text, F.xxhash64(text_col)).withColumn(row, F.row_number().over(order))
     return stay.where(F.col(row) == 1).drop(row, text).unionByName(docs.where(F.col(id_col).isNull()))
