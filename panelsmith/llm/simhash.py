@@ -19,30 +19,40 @@ BITS = 64
 SEED = 42
 
 
-def fingerprint(text: str | None, shingle: int = 3, words: int = 1) -> bytes:
-    """SimHash of a text in ``words`` * 64 bits, most significant byte first.
-
-    A-Z are lower-cased, words stand between ASCII blanks, repeated shingles
-    count; a text of fewer words is one shingle, one without words has only 0 bits.
-    The first 64 bits are those of the shingles' XXH64; further ones are mixed from it.
-    """
+def shingle_hashes(text: str | None, shingle: int = 3) -> np.ndarray:
+    """XXH64 of each shingle of a text in order, repeats included; of a text of fewer words, of all its words; none without words."""
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not tokens:
-        return bytes(8 * words)
+        return np.empty(0, dtype=np.uint64)
     line = b" ".join(tokens)
     size = min(shingle, len(tokens))
     lengths = np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens))
     ends = np.cumsum(lengths + 1) - 1
     first, last = (ends - lengths)[: len(tokens) - size + 1].tolist(), ends[size - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(line[a:b], SEED) for a, b in zip(first, last, strict=True)), dtype=np.uint64, count=len(first))
+
+
+def fingerprint(text: str | None, shingle: int = 3, words: int = 1) -> bytes:
+    """SimHash of a text in ``words`` * 64 bits, most significant byte first.
+
+    A-Z are lower-cased, words stand between ASCII blanks, repeated shingles
+    count; a text of fewer words is one shingle, one without words has only 0 bits.
+    The first 64 bits are those of the shingles' XXH64; further ones are mixed from it.
+    """
+    return majority_bits(shingle_hashes(text, shingle), words)
+
+
+def majority_bits(hashes: np.ndarray, words: int = 1) -> bytes:
+    """SimHash of hashes, each counted as often as it is there."""
     ones = np.zeros((words, BITS), dtype=np.int64)
-    for s in range(0, len(first), 1 << 14):
-        h = np.array([digest(line[a:b], SEED) for a, b in zip(first[s : s + (1 << 14)], last[s : s + (1 << 14)], strict=True)], dtype=np.uint64)
+    for s in range(0, len(hashes), 1 << 14):
+        h = hashes[s : s + (1 << 14)]
         for w in range(words):
             ones[w] += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
             h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(29)
-    return np.packbits(2 * ones > len(first), axis=1, bitorder="little").view(np.uint64).astype(">u8").tobytes()
+    return np.packbits(2 * ones > len(hashes), axis=1, bitorder="little").view(np.uint64).astype(">u8").tobytes()
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, words: int = 1) -> DataFrame:
@@ -55,6 +65,25 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_columns(source, make, "id long, fp binary", pa.schema([("id", pa.int64()), ("fp", pa.binary())]))
 
 
+def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, words: int = 8) -> DataFrame:
+    """(``id``, ``text``, ``fp`` binary, ``bits`` binary, ``size``) of each row's distinct shingles.
+
+    ``fp`` is a 128-bit hash of the set, the same for texts with the same shingles however often each is
+    repeated; ``bits`` is the SimHash of the set, ``size`` the number of shingles.
+    """
+
+    def make():
+        def rows(ids, texts):
+            sets = [np.unique(shingle_hashes(t, shingle)) for t in texts]
+            return [ids, texts, [xxhash.xxh3_128_digest(x.tobytes()) for x in sets], [majority_bits(x, words) for x in sets], [len(x) for x in sets]]
+
+        return rows
+
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    arrow = pa.schema([("id", pa.int64()), ("text", pa.string()), ("fp", pa.binary()), ("bits", pa.binary()), ("size", pa.int64())])
+    return map_columns(source, make, "id long, text string, fp binary, bits binary, size long", arrow)
+
+
 def as_words(column: list[bytes]) -> np.ndarray:
     """Unsigned 64-bit words, a row for each fingerprint."""
     return np.frombuffer(b"".join(column), dtype=">u8").astype(np.uint64).reshape(len(column), -1)
@@ -210,8 +239,67 @@ def near_links(
     return asks.union(holds).groupBy("tree", "shard", "asker", "holder").applyInPandas(_links_in_shard(radius), "a long, b long")
 
 
+def _similar_in_block(jaccard: float):
+    def search(part: pd.DataFrame) -> pd.DataFrame:
+        """Links that connect all sets of the block, or of its two halves, with a similarity of ``jaccard``; exact on the hashed shingles."""
+        nodes, half = part["node"].to_numpy(), part["half"].to_numpy()
+        sets = [np.frombuffer(x, dtype=np.uint64) for x in part["shingles"]]
+        sizes = np.array([len(x) for x in sets], dtype=np.int64)
+        starts = np.cumsum(sizes) - sizes
+        flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        mark, label = np.zeros(len(flat), dtype=np.int32), np.arange(len(nodes))
+        between = (part["low"] != part["high"]).iloc[0]
+        a, b = [], []
+        for i in range(len(nodes)):
+            wanted = (label != label[i]) & (sizes >= jaccard * sizes[i] - 1e-6) & (sizes[i] >= jaccard * sizes - 1e-6)
+            wanted[: i + 1] = False
+            if between:
+                wanted &= half != half[i]
+            if not wanted.any():
+                continue
+            own = flat[starts[i] : starts[i] + sizes[i]]
+            mark[own] = 1
+            shared = np.add.reduceat(mark[flat], starts)
+            mark[own] = 0
+            found = np.nonzero(wanted & (shared / (sizes + sizes[i] - shared) >= jaccard))[0]
+            if len(found):
+                labels, at = np.unique(label[found], return_index=True)
+                a += [nodes[i]] * len(at)
+                b += nodes[found[at]].tolist()
+                label[np.isin(label, labels)] = label[i]
+        return pd.DataFrame({"a": np.array(a, dtype=np.int64), "b": np.array(b, dtype=np.int64)})
+
+    return search
+
+
+def similar_links(known: DataFrame, groups: DataFrame, candidates: DataFrame, shingle: int, jaccard: float, block_rows: int = 1024, block_shingles: int = 1 << 21) -> DataFrame:
+    """Links (``a``, ``b``) between ``node``s that connect all pairs of sets with a Jaccard similarity of ``jaccard`` that ``candidates`` connect.
+
+    Every pair in a component of candidates is open to comparison, over links or not.  ``known``
+    has the texts by ``row``, ``groups`` the ``size`` by ``node``, the row that stands for a set;
+    pass written tables.  Only texts of sets with a candidate are shingled again.  A component
+    of more than ``block_rows`` sets or ``block_shingles`` shingles is cut into blocks by a hash and
+    every block meets every other.
+    """
+    roots = materialise(connected_components(candidates).join(groups.select("node", "size").hint("merge"), "node"), "candidates")
+    parts = F.greatest(F.ceil(F.count("*") / block_rows), F.ceil(F.sum("size") / block_shingles)).cast("int")
+    roots = roots.join(materialise(roots.groupBy("root").agg(parts.alias("parts")), "parts").hint("merge"), "root").select("node", "root", "parts")
+
+    def make():
+        return lambda node, root, parts, text: [node, root, parts, [np.unique(shingle_hashes(t, shingle)).tobytes() for t in text]]
+
+    texts = roots.join(known.select(F.col("row").alias("node"), "text").hint("merge"), "node").select("node", "root", "parts", "text")
+    arrow = pa.schema([("node", pa.int64()), ("root", pa.int64()), ("parts", pa.int32()), ("shingles", pa.binary())])
+    sets = map_columns(texts, make, "node long, root long, parts int, shingles binary", arrow)
+    own = F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int")
+    met = sets.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    met = met.select("root", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") <= F.col("other")).alias("half"), "node", "shingles")
+    return met.groupBy("root", "low", "high").applyInPandas(_similar_in_block(jaccard), "a long, b long")
+
+
 def simhash_classes(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3, words: int = 1, runs: int = 2, reach: int | None = None
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3, words: int = 1, runs: int = 2, reach: int | None = None,
+    jaccard: float | None = None,
 ) -> DataFrame:
     """One row per input row: (id, ``fingerprint`` in hexadecimal, ``component_id``).
 
@@ -221,10 +309,22 @@ def simhash_classes(
     Null, empty and blank texts have only 0 bits and are linked like any
     other; repeated rows give repeated rows; a null id takes part, but is a
     component's id only where no other is; other columns are not carried.
+
+    With ``jaccard``, documents are linked whose sets of distinct shingles have at least that Jaccard
+    similarity: fingerprints of the sets, repeats not counted, only tell candidates, which are then
+    compared exactly, and ``fingerprint`` is a 128-bit hash of the set.  Texts without words are linked with each other.
     """
-    known = materialise(fingerprints(docs, id_col, text_col, shingle, words), "fingerprints")
-    groups = materialise(known.groupBy("fp").agg(F.min("id").alias("least_id")).withColumn("node", F.monotonically_increasing_id()), "groups")
-    roots = connected_components(near_links(groups, radius, words, runs, reach))
+    if jaccard is None:
+        known = materialise(fingerprints(docs, id_col, text_col, shingle, words), "fingerprints")
+        groups = materialise(known.groupBy("fp").agg(F.min("id").alias("least_id")).withColumn("node", F.monotonically_increasing_id()), "groups")
+        links = near_links(groups, radius, words, runs, reach)
+    else:
+        known = materialise(shingle_sets(docs, id_col, text_col, shingle, words).withColumn("row", F.monotonically_increasing_id()), "sets")
+        firsts = (F.min("id").alias("least_id"), F.min("row").alias("node"), F.first("bits").alias("bits"), F.first("size").alias("size"))
+        groups = materialise(known.groupBy("fp").agg(*firsts), "groups")
+        candidates = near_links(groups.where("size > 0").select("node", F.col("bits").alias("fp")), radius, words, runs, reach)
+        links = similar_links(known, groups, candidates, shingle, jaccard)
+    roots = connected_components(links)
     rooted = materialise(groups.join(roots.hint("merge"), "node", "left").select("fp", F.coalesce("root", "node").alias("root"), "least_id"), "rooted")
     # Written by itself, so that a root shared by a third of the fingerprints is split in the join.
     least = materialise(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "least")
@@ -235,7 +335,7 @@ def simhash_classes(
 #: Five-word shingles, 512 bits.  Sets with a Jaccard similarity of 0.8 differ in 78 of 512 bits on average (angle
 #: acos(2 * 0.8 / 1.8)), with a deviation of 8; 84 takes most of them.  One of 32 runs of 16 bits agrees for 91 % of
 #: such pairs, for 97 % at 0.85, for over 99 % at 0.9.
-NEAR_COPIES = {"shingle": 5, "words": 8, "radius": 84, "runs": 32, "reach": 0}
+NEAR_COPIES = {"shingle": 5, "words": 8, "radius": 84, "runs": 32, "reach": 0, "jaccard": 0.8}
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

@@ -107,6 +107,14 @@ def test_near_copies_by_five_words(spark):
     assert sorted(r.doc_id for r in kept.collect()) == list(range(40))
 
 
+def test_a_repeated_line_makes_no_near_copy(spark):
+    rng = np.random.default_rng(8)
+    line = " ".join(f"l{i}" for i in range(15))
+    texts = [" ".join([*(f"d{d}w{i}" for i in rng.permutation(300)), *[line] * 60]) for d in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_one_of_each(docs).collect()) == list(range(20))
+
+
 def test_op2_matches_plain_patterns(spark):
     docs = read("documents", MIDDLE)
     got = run(spark, "op2_secret_scan", MIDDLE).set_index("doc_id")
