@@ -40,11 +40,7 @@ def fingerprint(text: str | None, shingle: int = 3, words: int = 1) -> bytes:
     count; a text of fewer words is one shingle, one without words has only 0 bits.
     The first 64 bits are those of the shingles' XXH64; further ones are mixed from it.
     """
-    return majority_bits(shingle_hashes(text, shingle), words)
-
-
-def majority_bits(hashes: np.ndarray, words: int = 1) -> bytes:
-    """SimHash of hashes, each counted as often as it is there."""
+    hashes = shingle_hashes(text, shingle)
     ones = np.zeros((words, BITS), dtype=np.int64)
     for s in range(0, len(hashes), 1 << 14):
         h = hashes[s : s + (1 << 14)]
@@ -65,23 +61,59 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_columns(source, make, "id long, fp binary", pa.schema([("id", pa.int64()), ("fp", pa.binary())]))
 
 
-def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, words: int = 8) -> DataFrame:
-    """(``id``, ``text``, ``fp`` binary, ``bits`` binary, ``size``) of each row's distinct shingles.
+#: Runs of least hashes for candidates by sets.  Two sets of Jaccard similarity J agree in a run with
+#: probability J ** 6, whatever their sizes: of pairs at 0.8 five in a million agree in none of 40.
+RUNS, RUN_LENGTH = 40, 6
+_FLIPS, _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, RUNS * RUN_LENGTH, 1), dtype=np.uint64)
+
+
+def least_hash_keys(hashes: np.ndarray) -> np.ndarray:
+    """A key for each of RUNS runs of RUN_LENGTH least hashes (minwise hashing) of a set; none for an empty one."""
+    if not len(hashes):
+        return np.empty(0, dtype=np.int64)
+    least = np.full(RUNS * RUN_LENGTH, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for s in range(0, len(hashes), 1 << 10):
+        h = (hashes[None, s : s + (1 << 10)] ^ _FLIPS) * (_FACTORS | np.uint64(1))
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        least = np.minimum(least, h.min(axis=1))
+    return np.array([xxhash.xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(least.reshape(RUNS, -1))], dtype=np.uint64).view(np.int64)
+
+
+def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
+    """(``id``, ``text``, ``fp`` binary, ``keys`` binary, ``size``) of each row's distinct shingles.
 
     ``fp`` is a 128-bit hash of the set, the same for texts with the same shingles however often each is
-    repeated; ``bits`` is the SimHash of the set, ``size`` the number of shingles.
+    repeated; ``keys`` are those of ``least_hash_keys``, ``size`` the number of shingles.
     """
 
     def make():
         def rows(ids, texts):
             sets = [np.unique(shingle_hashes(t, shingle)) for t in texts]
-            return [ids, texts, [xxhash.xxh3_128_digest(x.tobytes()) for x in sets], [majority_bits(x, words) for x in sets], [len(x) for x in sets]]
+            return [ids, texts, [xxhash.xxh3_128_digest(x.tobytes()) for x in sets], [least_hash_keys(x).tobytes() for x in sets], [len(x) for x in sets]]
 
         return rows
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    arrow = pa.schema([("id", pa.int64()), ("text", pa.string()), ("fp", pa.binary()), ("bits", pa.binary()), ("size", pa.int64())])
-    return map_columns(source, make, "id long, text string, fp binary, bits binary, size long", arrow)
+    arrow = pa.schema([("id", pa.int64()), ("text", pa.string()), ("fp", pa.binary()), ("keys", pa.binary()), ("size", pa.int64())])
+    return map_columns(source, make, "id long, text string, fp binary, keys binary, size long", arrow)
+
+
+def candidate_links(groups: DataFrame) -> DataFrame:
+    """Links (``a``, ``b``) from each ``node`` to the smallest one with which it shares a key of ``keys``; one link a key at most, never pairs."""
+
+    def keyed(batches):
+        for batch in batches:
+            for s in range(0, batch.num_rows, 2048):
+                part = batch.slice(s, 2048)
+                keys = [np.frombuffer(x, dtype=np.int64) for x in part.column("keys").to_pylist()]
+                if keys:
+                    nodes = np.repeat(part.column("node").to_numpy(zero_copy_only=False), [len(x) for x in keys])
+                    yield pa.record_batch({"key": pa.array(np.concatenate(keys)), "node": pa.array(nodes)})
+
+    placed = groups.select("node", "keys").mapInArrow(keyed, "key long, node long")
+    shared = placed.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("key", "least")
+    return placed.join(shared.hint("merge"), "key").where("node > least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
 
 
 def as_words(column: list[bytes]) -> np.ndarray:
@@ -311,19 +343,18 @@ def simhash_classes(
     component's id only where no other is; other columns are not carried.
 
     With ``jaccard``, documents are linked whose sets of distinct shingles have at least that Jaccard
-    similarity: fingerprints of the sets, repeats not counted, only tell candidates, which are then
-    compared exactly, and ``fingerprint`` is a 128-bit hash of the set.  Texts without words are linked with each other.
+    similarity: runs of least hashes of the sets (``least_hash_keys``) tell candidates, which are then
+    compared exactly; ``radius``, ``words``, ``runs`` and ``reach`` have no part in it, and ``fingerprint`` is a 128-bit hash of the set.  Texts without words are linked with each other.
     """
     if jaccard is None:
         known = materialise(fingerprints(docs, id_col, text_col, shingle, words), "fingerprints")
         groups = materialise(known.groupBy("fp").agg(F.min("id").alias("least_id")).withColumn("node", F.monotonically_increasing_id()), "groups")
         links = near_links(groups, radius, words, runs, reach)
     else:
-        known = materialise(shingle_sets(docs, id_col, text_col, shingle, words).withColumn("row", F.monotonically_increasing_id()), "sets")
-        firsts = (F.min("id").alias("least_id"), F.min("row").alias("node"), F.first("bits").alias("bits"), F.first("size").alias("size"))
+        known = materialise(shingle_sets(docs, id_col, text_col, shingle).withColumn("row", F.monotonically_increasing_id()), "sets")
+        firsts = (F.min("id").alias("least_id"), F.min("row").alias("node"), F.first("keys").alias("keys"), F.first("size").alias("size"))
         groups = materialise(known.groupBy("fp").agg(*firsts), "groups")
-        candidates = near_links(groups.where("size > 0").select("node", F.col("bits").alias("fp")), radius, words, runs, reach)
-        links = similar_links(known, groups, candidates, shingle, jaccard)
+        links = similar_links(known, groups, candidate_links(groups), shingle, jaccard)
     roots = connected_components(links)
     rooted = materialise(groups.join(roots.hint("merge"), "node", "left").select("fp", F.coalesce("root", "node").alias("root"), "least_id"), "rooted")
     # Written by itself, so that a root shared by a third of the fingerprints is split in the join.
@@ -332,10 +363,8 @@ def simhash_classes(
     return known.join(classes.hint("merge"), "fp").select(F.col("id").alias(id_col), F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
-#: Five-word shingles, 512 bits.  Sets with a Jaccard similarity of 0.8 differ in 78 of 512 bits on average (angle
-#: acos(2 * 0.8 / 1.8)), with a deviation of 8; 84 takes most of them.  One of 32 runs of 16 bits agrees for 91 % of
-#: such pairs, for 97 % at 0.85, for over 99 % at 0.9.
-NEAR_COPIES = {"shingle": 5, "words": 8, "radius": 84, "runs": 32, "reach": 0, "jaccard": 0.8}
+#: Five-word shingles, a Jaccard similarity of their sets of 0.8.
+NEAR_COPIES = {"shingle": 5, "jaccard": 0.8}
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

@@ -12,6 +12,7 @@ import pandas as pd
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from panelsmith.llm import embeddings, langid, licenses, packing, quality, secret_scan, sentencepiece_bpe, simhash, spotsigs, warc
 from panelsmith.llm.components import connected_components
@@ -115,6 +116,35 @@ def test_a_repeated_line_makes_no_near_copy(spark):
     assert sorted(r.doc_id for r in simhash.keep_one_of_each(docs).collect()) == list(range(20))
 
 
+def test_near_copies_match_brute_force_around_the_limit(spark):
+    rng = np.random.default_rng(9)
+    texts = []
+    for size in [400] * 120 + [12] * 60:
+        words = [f"w{x}" for x in rng.integers(0, 1 << 30, size + 4)]
+        k = 4 + size * 0.889 * (1 + rng.uniform(-0.06, 0.06))
+        texts += [" ".join(words), " ".join(w if i < k else f"v{rng.integers(1 << 30)}" for i, w in enumerate(words))]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    alike = [len(a & b) / len(a | b) for a, b in zip(sets[::2], sets[1::2], strict=True)]
+    assert sum(0.75 < x < 0.8 for x in alike) > 20 and sum(0.8 <= x < 0.85 for x in alike) > 20
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.keep_one_of_each(docs).collect()}
+    assert kept == {2 * i for i in range(len(alike))} | {2 * i + 1 for i, x in enumerate(alike) if x < 0.8}
+
+
+def test_blocks_of_a_component_match_all_pairs(spark):
+    rng = np.random.default_rng(10)
+    base = [f"w{i}" for i in range(120)]
+    texts = [" ".join(w if rng.random() > p else f"v{rng.integers(1 << 30)}" for w in base) for p in rng.uniform(0, 0.06, 90)]
+    known = simhash.shingle_sets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).withColumn("row", F.col("id"))
+    groups = known.select(F.col("row").alias("node"), "size")
+    chain = spark.createDataFrame([(i, i + 1) for i in range(89)], "a long, b long")
+    links = [(r.a, r.b) for r in simhash.similar_links(known, groups, chain, 5, 0.8, block_rows=16).collect()]
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    alike = [(i, j) for i in range(90) for j in range(i) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8]
+    assert {frozenset(x) for x in links} <= {frozenset(x) for x in alike}
+    assert classes_of(90, links) == classes_of(90, alike)
+
+
 def test_op2_matches_plain_patterns(spark):
     docs = read("documents", MIDDLE)
     got = run(spark, "op2_secret_scan", MIDDLE).set_index("doc_id")
