@@ -28,16 +28,23 @@ _UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 #: Names joined by marks or humps: every part a word with a vowel or a short number.
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 _VOWEL = re.compile(r"[aeiouyAEIOUY]")
+_MARKS = "/=._-+"
+#: Letters from which a part is a word only if the vocabulary knows it; by how much a window's
+#: score falls behind its best before the window ends there, some three long words.
+LONG_WORD, FALL = 12, 20.0
+_KNOWN_FORM = re.compile(rf"(?<![A-Za-z0-9])(?:{_UUID.pattern}|[0-9a-f]{{32,}}|[0-9A-F]{{32,}})(?![A-Za-z0-9])")
 
 
-def is_identifier(s: str) -> bool:
-    """Paths, host names, snake, kebab and camel case names, numbers, dates and UUIDs."""
+def is_identifier(s: str, is_word=lambda w: True) -> bool:
+    """Paths, host names, snake, kebab and camel case names, numbers, dates and UUIDs; ``is_word`` judges parts of LONG_WORD letters or more."""
     if _UUID.fullmatch(s) or len(re.findall(r"[A-Za-z]", s)) < 4:
         return True
     runs = re.split(r"[+/_=.-]+", s)
     parts = [p for r in runs for p in _PART.findall(r)]
     words = [p for p in parts if not p.isdigit()]
     humps = len(parts) - len([r for r in runs if r])
+    if not all(is_word(w) for w in words if len(w) >= LONG_WORD):
+        return False
     return all(_VOWEL.search(w) or len(w) <= 3 for w in words) and all(len(p) <= 8 for p in parts if p.isdigit()) and sum(map(len, words)) >= 3 * len(parts) and humps <= max(3, len(s) // 8)
 
 
@@ -66,18 +73,84 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found, key=lambda x: (x[0], x[2]))
 
 
-def random_spans(text: str, encode, most: float, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Candidates with under ``most`` characters a token that are no digest or identifier and overlap no span taken."""
+def low_windows(lengths: list[int], most: float) -> list[tuple[int, int]]:
+    """(start, end) of runs of tokens with under ``most`` characters a token, each as far as its lead over ``most`` grows."""
+    found, i = [], 0
+    while i < len(lengths):
+        if lengths[i] >= most:
+            i += 1
+            continue
+        total = best = 0.0
+        end = i + 1
+        for j in range(i, len(lengths)):
+            total += most - lengths[j]
+            if total > best:
+                best, end = total, j + 1
+            elif total <= 0 or total < best - FALL:
+                break
+        found.append((i, end))
+        i = end
+    return found
+
+
+def _pieces(text: str, a: int, b: int, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """What of a run is left beside spans taken, UUIDs and digests, without marks at its ends."""
+    cuts = [(max(a, x), min(b, y)) for x, y, _ in taken if x < b and a < y]
+    cuts += [m.span() for m in _KNOWN_FORM.finditer(text, a, b) if is_digest(m[0]) or _UUID.fullmatch(m[0])]
+    left = []
+    for x, y in [*sorted(cuts), (b, b)]:
+        if x > a:
+            s = text[a:x]
+            left.append((a + len(s) - len(s.lstrip(_MARKS)), a + len(s.rstrip(".-="))))
+        a = max(a, y)
+    return [(x, y) for x, y in left if y - x >= 20]
+
+
+def random_spans(text: str, encoding, most: float, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Parts of candidate runs with under ``most`` characters a token that are no digest or identifier and overlap no span taken.
+
+    A part is a whole run; or, where the words around it raise the run's figure, a segment between
+    two of ``/ = . _ - +``, or a window of tokens, widened to the ends of the segments it begins and ends in.
+    """
+
+    def low(s):
+        return len(s) / len(encoding.encode_ordinary(s)) < most
+
+    def is_random(s):
+        return len(s) >= 20 and not is_digest(s) and not is_identifier(s, lambda w: not low(w))
+
     found = []
     for m in _CANDIDATE.finditer(text):
-        s = m[0].rstrip(".-=")
-        if len(s) < 20 or s.isalpha() and (s.islower() or s.istitle()) or is_digest(s):
-            continue
-        a, b = m.start(), m.start() + len(s)
-        if any(x < b and a < y for x, y, _ in taken):
+        whole = m[0].rstrip(".-=")
+        clear = not any(x < m.start() + len(whole) and m.start() < y for x, y, _ in taken)
+        if clear and len(whole) >= 20 and not is_digest(whole) and low(whole) and is_random(whole):
+            found.append((m.start(), m.start() + len(whole)))
             continue
-        if len(s) / len(encode(s)) < most and not is_identifier(s):
-            found.append((a, b))
+        parts = []
+        for a, b in _pieces(text, m.start(), m.end(), taken):
+            segments = [(a + x.start(), a + x.end()) for x in re.finditer(r"[A-Za-z0-9]+", text[a:b])]
+            parts += [(x, y) for x, y in segments if y - x >= 20 and low(text[x:y]) and is_random(text[x:y])]
+            if len(segments) == 1 and (segment := text[a:b]).isalpha() and (segment.islower() or segment.istitle()):
+                continue
+            ends = [a]
+            for token in encoding.decode_tokens_bytes(encoding.encode_ordinary(text[a:b])):
+                ends.append(ends[-1] + len(token))
+            for i, j in low_windows([y - x for x, y in zip(ends, ends[1:], strict=False)], most):
+                s = text[ends[i] : ends[j]]
+                x, y = ends[i] + len(s) - len(s.lstrip(_MARKS)), ends[i] + len(s.rstrip(".-="))
+                if is_random(text[x:y]):
+                    while x > a and text[x - 1] not in _MARKS:
+                        x -= 1
+                    while y < b and text[y] not in _MARKS:
+                        y += 1
+                    parts.append((x, y))
+        end = -1
+        for a, b in sorted(parts):
+            if a < end:
+                found[-1] = (found[-1][0], max(end, b))
+            else:
+                found.append((a, b))
+            end = found[-1][1]
     return found
 
 
@@ -91,19 +164,20 @@ def scan_secrets(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "
     Spans are in code points, end exclusive, by start and then kind; kinds
     ``assign``, ``access``, ``hex`` are the fixed patterns, ``random`` are runs of
     20 or more code characters on which the vocabulary spends a token for fewer
-    than ``chars_per_token`` characters, unless they are digests, identifiers or
+    than ``chars_per_token`` characters, or segments and windows of as many characters within
+    longer runs (``random_spans``), unless they are digests, identifiers or
     overlap a fixed pattern.  Null and empty texts have no span; repeated rows
     give repeated rows; other columns are not carried.
     """
 
     def make():
-        encode = load_encoding(ranks_path, pattern).encode_ordinary
+        encoding = load_encoding(ranks_path, pattern)
 
         def one(text):
             if not text:
                 return []
             spans = base_spans(text)
-            out = [(s, k, BASE_KINDS[k], e) for s, e, k in spans] + [(s, 9, "random", e) for s, e in random_spans(text, encode, chars_per_token, spans)]
+            out = [(s, k, BASE_KINDS[k], e) for s, e, k in spans] + [(s, 9, "random", e) for s, e in random_spans(text, encoding, chars_per_token, spans)]
             return [{"kind": kind, "start": s, "end": e} for s, _, kind, e in sorted(out)]
 
         return lambda ids, texts: [ids, [one(t) for t in texts]]
@@ -132,9 +206,9 @@ def redact_secrets(docs: DataFrame, ranks_path: str, pattern: str, text_col: str
 
     @F.pandas_udf("string")
     def masked(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encode = load_encoding(ranks_path, pattern).encode_ordinary
+        encoding = load_encoding(ranks_path, pattern)
         for texts in batches:
-            yield texts.map(lambda t: _masked(t, encode, chars_per_token), na_action="ignore")
+            yield texts.map(lambda t: _masked(t, encoding, chars_per_token), na_action="ignore")
 
     out = docs.withColumn(text_col, masked(F.col(text_col)))
     if size_col is None:
@@ -142,9 +216,9 @@ def redact_secrets(docs: DataFrame, ranks_path: str, pattern: str, text_col: str
     return out.withColumn(size_col, F.coalesce(F.char_length(text_col).cast(docs.schema[size_col].dataType), F.col(size_col)))
 
 
-def _masked(text: str, encode, most: float) -> str:
+def _masked(text: str, encoding, most: float) -> str:
     spans = base_spans(text)
-    more = random_spans(text, encode, most, spans)
+    more = random_spans(text, encoding, most, spans)
     if not spans and not more:
         return text
     return redact(text, sorted([(s, e, BASE_KINDS[k]) for s, e, k in spans] + [(s, e, "random") for s, e in more]))

@@ -169,6 +169,29 @@ def test_random_strings_beside_digests_and_names(spark):
     assert masked[1] == ('key "<random>" end', 18) and masked[8] == (None, 7) and masked[3][0] == rows[3]
 
 
+def test_random_strings_within_longer_runs():
+    rng = np.random.default_rng(6)
+    encoding = secret_scan.load_encoding(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    some = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    lost = collections.Counter()
+    for before, after in [("", ""), ("//hooks.example.com/services/", ""), ("/home/projects/internal/configuration/production/", ""), ("session_identifier=", "/documents/overview.html")]:
+        for letters, size in ((some, 24), (some + "-_", 40), (some + "+/", 40), (some[:26], 32)):
+            for _ in range(100):
+                secret = "".join(rng.choice(list(letters), size))
+                text = f"see {before}{secret}{after} there"
+                a = text.index(secret)
+                spans = secret_scan.random_spans(text, encoding, 2.0, [])
+                kept = secret.strip("/=._-+")
+                a += secret.index(kept)
+                lost[before, size, letters[-1]] += not any(x <= a and a + len(kept) <= y for x, y in spans)
+    assert max(lost.values()) <= 12, lost
+    plain = [
+        "/home/projects/internal/configuration/production/overview.html", "internationalization", "Donaudampfschifffahrtsgesellschaft", "keitstlichschenverpf", "/home/projects/internal/configuration/production/2024-01-01T00.00.00/overview.html",
+        "/home/projects/internal/configuration/production/550e8400-e29b-41d4-a716-446655440000/overview.html", "/home/projects/internal/configuration/production/documents/" + hashlib.sha1(b"x").hexdigest().upper() + "/overview.html", "getHttpResponseCodeFromServerName",
+    ]
+    assert [(t, [t[a:b] for a, b in found]) for t in plain if (found := secret_scan.random_spans(t, encoding, 2.0, []))] == []
+
+
 def test_op3_matches_sql(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{MIDDLE}/pages.parquet')")
