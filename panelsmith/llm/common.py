@@ -68,6 +68,23 @@ class RecentValues:
         return known
 
 
+    def values(self, keys: list) -> list:
+        """The value of each of distinct ``keys``, in order."""
+        if len(self.known) > self.most // 2:
+            self.old, self.known = self.known, {}
+        known, old = self.known, self.old
+        out, new = list(map(known.get, keys)), []
+        for i in [i for i, v in enumerate(out) if v is None]:
+            if (value := old.get(keys[i])) is not None:
+                known[keys[i]] = out[i] = value
+            else:
+                new.append(i)
+        if new:
+            for i, value in zip(new, self.work_out([keys[i] for i in new]), strict=True):
+                known[keys[i]] = out[i] = value
+        return out
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """``wanted``, with as many underscores before it as make it no column of ``df``."""
     taken = {c.lower() for c in df.columns}

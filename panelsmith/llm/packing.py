@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -9,11 +10,32 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SLICE, RecentValues, materialise
+from .common import RecentValues, materialise
+
+#: Signs that tokenizers cut from the letters before them; probed before that is relied on.
+STOPS = ".,;:!?"
+LAST_LETTER = 0x17F
+#: Text worked on at once inside a task.
+SLICE_BYTES = 1 << 23
+
+
+def small_letters(word: str) -> bool:
+    """Whether a word consists of small letters of the Latin blocks up to LAST_LETTER, none of which Unicode composes further."""
+    return word.isalpha() and word.islower() and (word.isascii() or ord(max(word)) <= LAST_LETTER)
+
+
+#: Byte-level vocabularies write a byte as a visible letter: printable ones as themselves, the rest in order from U+0100.
+_SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTE_LETTERS = dict(zip(_SHOWN, map(chr, _SHOWN), strict=True)) | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_SHOWN)))} | {0x20: " "}
+
+
+def in_byte_letters(text: str) -> str:
+    return text.encode("utf-8").decode("latin-1").translate(_BYTE_LETTERS)
 
 
 class WordTokenizer:
@@ -21,7 +43,8 @@ class WordTokenizer:
 
     For tokenizers that drop white space and never join across it, ids of a text
     are those of its words one after the other; ``__init__`` tests this.  Words
-    are cut at ASCII white space.  New words are encoded many at a time, with a
+    are cut at ASCII white space and told apart by Arrow, so that only the distinct
+    words of a batch become Python objects.  New ones are encoded many at a time, with a
     mark between them whose id tells where a word ends.
     """
 
@@ -32,41 +55,78 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.mark = self._ids([self.MARK])[0]
-        probe = "Ab,  c\td.\n<|x é l'a's  9 1.2, ...\x0b#!. z"
-        whole, words = self._ids([probe])[0], self._ids([w.decode() for w in self._words(probe)])
-        self.by_words = whole.tolist() == np.concatenate(words).tolist() and len(self.mark) == 1
+        # For words of small Latin letters alone nothing is to be normalised or split: the same model behind a cut at blanks.
+        plain = json.loads(self.library.to_str()) | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "post_processor": None, "added_tokens": []}
+        self.plain = Tokenizer.from_str(json.dumps(plain))
+        self.mark, self.plain_mark = self._ids(self.library, [self.MARK])[0], self._ids(self.plain, ["!"])[0]
+        small = [c for c in map(chr, range(LAST_LETTER + 1)) if small_letters(c)]
+        letters = [" ".join(a + b for b in "aeiounthzßéüñ") + " ".join(small) for a in small]
+        self.by_letters = len(self.plain_mark) == 1 and [x.tolist() for x in self._ids(self.plain, [in_byte_letters(x) for x in letters])] == [x.tolist() for x in self._ids(self.library, letters)]
+        self.stops = {c: x.tobytes() for c, x in zip(STOPS, self._ids(self.library, list(STOPS)), strict=True)}
+        ended = self._ids(self.library, [f"ab{c} thing{c}" for c in STOPS])
+        apart = self._ids(self.library, [f"ab {c} thing {c}" for c in STOPS])
+        self.by_letters = self.by_letters and [x.tolist() for x in ended] == [x.tolist() for x in apart]
         self.recent = RecentValues(self._work_out, most_words)
+        probe = pa.array(["Ab,  c\td.\n<|x é l'a's  9 1.2, ...\x0b#!. z", " A B ", "", "É Ab"])
+        self.by_words = len(self.mark) == 1
+        ids, ends = self.encode(probe)
+        self.by_words = self.by_words and [x.tolist() for x in np.split(ids, ends[:-1])] == [x.tolist() for x in self._ids(self.library, probe.to_pylist())]
 
     @staticmethod
-    def _words(text: str) -> list[bytes]:
-        data = text.encode("utf-8", "replace")
-        if b"<|" not in data:  # a special token's name keeps its case
-            data = data.lower()
-        return data.split()
-
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, dtype="<u4") for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _work_out(self, words: list[bytes]) -> list[bytes]:
-        out = []
+    def _ids(tokenizer, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype="<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _work_out(self, words: list[str]) -> list[bytes]:
+        """Ids of each word; letters with one stop behind them are two words to the tokenizer, as it cuts letters from other signs."""
+        if not self.by_letters:
+            return self._marked(self.library, self.MARK, self.mark, words)
+        heads = [w[:-1] if w[-1:] in STOPS and len(w) > 1 else w for w in words]
+        letters = list({h for h in heads if small_letters(h)})
+        known = dict(zip(letters, self._marked(self.plain, "!", self.plain_mark, [w if w.isascii() else in_byte_letters(w) for w in letters]), strict=True))
+        rest = [w for w, h in zip(words, heads, strict=True) if h not in known]
+        known.update(zip(rest, self._marked(self.library, self.MARK, self.mark, rest), strict=True))
+        return [known[w] if h is w or h not in known else known[h] + self.stops[w[-1]] for w, h in zip(words, heads, strict=True)]
+
+    def _marked(self, tokenizer, mark: str, mark_id: np.ndarray, words: list[str]) -> list[bytes]:
+        out: list[bytes] = []
         groups = [words[s : s + self.AT_ONCE] for s in range(0, len(words), self.AT_ONCE)]
-        for group, ids in zip(groups, self._ids([f" {self.MARK} ".join([w.decode() for w in g]) for g in groups]), strict=True):
-            ends = np.flatnonzero(ids == self.mark[0])
+        for group, ids in zip(groups, self._ids(tokenizer, [f" {mark} ".join(g) for g in groups]), strict=True):
+            ends = np.flatnonzero(ids == mark_id[0])
             if len(ends) == len(group) - 1:
                 data, cuts = ids.tobytes(), [-4, *(4 * ends).tolist(), 4 * len(ids)]
                 out += [data[a + 4 : b] for a, b in pairwise(cuts)]
             else:  # a word holds the mark itself
-                out += [x.tobytes() for x in self._ids([w.decode() for w in group])]
+                out += [x.tobytes() for x in self._ids(tokenizer, group)]
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
+    def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The unsigned 32-bit ids of all texts in a row, and where each text's ids end."""
         if not self.by_words:
-            return [x.tobytes() for x in self._ids(texts)]
-        words = [self._words(t) for t in texts]
-        known = self.recent.hold(words)
-        return [b"".join([known[w] for w in ws]) for ws in words]
+            ids = self._ids(self.library, texts.to_pylist())
+            return np.concatenate([np.empty(0, dtype="<u4"), *ids]), np.cumsum([len(x) for x in ids], dtype=np.int64)
+        # A special token's name keeps its case; other case is dropped by the tokenizer too.
+        lowered = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+        cut = pc.ascii_split_whitespace(lowered)
+        words = cut.flatten().dictionary_encode()
+        found, at = self.recent.values(words.dictionary.to_numpy(zero_copy_only=False).tolist()), words.indices.to_numpy()
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+        flat, starts = np.frombuffer(b"".join(found), dtype="<u4"), np.cumsum(sizes) - sizes
+        lengths = sizes[at]
+        upto = np.concatenate([[0], np.cumsum(lengths)])
+        ids = flat[np.repeat(starts[at] - upto[:-1], lengths) + np.arange(upto[-1])]
+        offsets = cut.offsets.to_numpy()
+        return ids, upto[offsets[1:] - offsets[0]]
+
+
+def text_slices(batch: pa.RecordBatch) -> Iterator[tuple[list, pa.StringArray]]:
+    """(ids, texts) of consecutive rows with at most SLICE_BYTES of text, or one row with more."""
+    ids, texts = batch.column(0), pc.fill_null(batch.column(1), "")
+    sizes = pc.binary_length(texts).to_numpy()
+    at = 0
+    while at < len(sizes):
+        n = max(1, int(np.searchsorted(np.cumsum(sizes[at:], dtype=np.int64), SLICE_BYTES, side="right")))
+        yield ids.slice(at, n).to_pylist(), texts.slice(at, n)
+        at += n
 
 
 def tokenised_pieces(
@@ -80,13 +140,13 @@ def tokenised_pieces(
         seen = np.zeros(capacity + 1, dtype=np.int64)
         part = TaskContext.get().partitionId()
         for batch in batches:
-            for s in range(0, batch.num_rows, SLICE):
-                ids, texts = (c.to_pylist() for c in batch.slice(s, SLICE).columns)
-                rows = []
-                for doc, data in zip(ids, tokenizer.encode([t or "" for t in texts]), strict=True):
-                    data += end
-                    for k, at in enumerate(range(0, len(data), 4 * capacity)):
-                        piece = data[at : at + 4 * capacity]
+            for docs_here, texts in text_slices(batch):
+                flat, ends = tokenizer.encode(texts)
+                data, rows, start = flat.tobytes(), [], 0
+                for doc, stop in zip(docs_here, (4 * ends).tolist(), strict=True):
+                    own, start = data[start:stop] + end, stop
+                    for k, at in enumerate(range(0, len(own), 4 * capacity)):
+                        piece = own[at : at + 4 * capacity]
                         n = len(piece) // 4
                         rows.append((doc, k, at // 4, n, zlib.crc32(piece), part, int(seen[n]), piece if with_ids else None))
                         seen[n] += 1

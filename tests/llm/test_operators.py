@@ -10,6 +10,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -378,8 +379,9 @@ def test_words_are_tokenised_apart_exactly():
     t = packing.WordTokenizer(public_tokenizers.path("word_bpe_49k.json"), 50)
     odd = ["", "Don't 'Stop' \"'s\" it's.", "<|endoftext|> a<|startoftext|>b <|ENDOFTEXT|>", "É́ é x y\x85z", "\x01 a \x01", "ΑΣ İ ß ﬁ", "1234 5.6,7", "..., !? ###x###", "a\x1cb"]
     for _ in range(2):
-        got = [np.frombuffer(x, "<u4").tolist() for x in t.encode(odd)]
-        assert got == [t.library.encode(x, add_special_tokens=False).ids for x in odd]
+        ids, ends = t.encode(pa.array(odd))
+        assert [x.tolist() for x in np.split(ids, ends[:-1])] == [t.library.encode(x, add_special_tokens=False).ids for x in odd]
+    assert t.by_words and t.by_letters
 
 
 def test_op9_held_out(spark):
