@@ -277,7 +277,7 @@ def turn_table(talks: DataFrame, conv_col: str = "conv_id", turn_col: str = "tur
     role, text = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (role_col, text_col))
     said = [F.col(conv_col).cast("long").alias("conv"), F.col(turn_col).alias("turn"), F.xxhash64(role, text).alias("ta"), F.xxhash64(F.lit(1), text, role).alias("tb"),
             F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("words")]
-    rows = talks.where(F.col(conv_col).isNotNull()).select(*said).withColumn("row", F.monotonically_increasing_id())
+    rows = materialise(talks.where(F.col(conv_col).isNotNull()).select(*said).withColumn("row", F.monotonically_increasing_id()), "turns")
     return ranked(rows, "conv", [F.col("turn").asc_nulls_first(), F.col("ta"), F.col("tb"), F.col("row")], out="pos").drop("row", "turn")
 
 
@@ -311,7 +311,7 @@ def prefix_trie(turns: DataFrame, convs: DataFrame, order: list[str]) -> DataFra
     its own smallest member has above it.
     """
     factors = {"a": ("ta", _FACTORS[0]), "b": ("tb", _FACTORS[1])}
-    placed = ranked(turns, "conv", [F.col(c) for c in order], running=factors, out="place").withColumn("depth", F.col("place") + 1)
+    placed = ranked(materialise(turns, "rebuilt"), "conv", [F.col(c) for c in order], running=factors, out="place").withColumn("depth", F.col("place") + 1)
     runs = materialise(turn_runs(placed), "runs")
     convs = materialise(convs.select("conv").distinct(), "convs")
     zero, none = F.lit(0).cast("long"), F.lit(None).cast("long")
@@ -322,7 +322,7 @@ def prefix_trie(turns: DataFrame, convs: DataFrame, order: list[str]) -> DataFra
     marks = found.where("depth > 0").select(F.col("above_a").alias("a"), F.col("above_b").alias("b"), *[none.alias(c) for c in found.columns[2:]], F.lit(1).alias("child"))
     nodes = found.withColumn("child", F.lit(0)).unionByName(marks).groupBy("a", "b").agg(*[F.max(c).alias(c) for c in found.columns[2:]], F.sum("child").alias("n_children"))
     nodes = nodes.withColumns({"own": (F.col("n") - 1) * F.col("words"), "leaf": (F.col("n_children") == 0).cast("long")})
-    nodes = materialise(ranked(nodes, "conv", [F.col("depth")], running={"tokens_to": ("own", 1), "leaves_to": ("leaf", 1)}, out="place"), "nodes")
+    nodes = materialise(ranked(materialise(nodes, "children"), "conv", [F.col("depth")], running={"tokens_to": ("own", 1), "leaves_to": ("leaf", 1)}, out="place"), "nodes")
 
     of_conv = nodes.groupBy("conv").agg(F.sum("own").alias("tokens"), F.sum("leaf").alias("leaves"))
     weights = trie_sums(runs.join(of_conv.hint("merge"), "conv"), ["tokens", "leaves"]).select("a", "b", "tokens", "leaves")

@@ -33,7 +33,8 @@ def ranked(df: DataFrame, key: str, order: list[Column], running: dict[str, tupl
     ``order`` should end in something that tells rows apart.  Each task numbers its rows
     from 0 while they stream by.  Only a task's last key can go on in the next one, so what earlier
     tasks hold of a key is told by one row a task, which is all that the driver reads.
-    ``key`` must not be null; an empty table stays empty.
+    ``key`` must not be null; an empty table stays empty.  Pass a written table: it is read twice, for
+    the bounds of the ranges and to be sorted.
     """
     running = running or {}
     part = free_name(df, "part")
