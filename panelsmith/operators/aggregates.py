@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import col, month_start
 from ..functions.scalars import known
-from .order_stats import average_ranks, exact_quantiles, positions_by_value, running_mass, trimmed_mean
+from .order_stats import exact_quantiles, merged_values, positions_by_value, running_mass, running_sums, spread, value_ranks
 
 
 def station_months(od: DataFrame, period: str = "period", key: str = "destination", value: str = "riders") -> DataFrame:
@@ -91,9 +91,8 @@ def top_share(panel: DataFrame, k: int, series: str = "series", y: str = "y") ->
 def lorenz(entities: DataFrame, key: str, value: str) -> DataFrame:
     """Ascending cumulative share per entity and the share of entities at or below it (percent)."""
     whole = entities.agg(F.sum(value).alias("_all"), F.count(F.lit(1)).alias("_n"))
-    cum = running_mass(entities.select(key, value), [], value, value, [key], "cum")
-    pos = positions_by_value(cum, [], value, [key], "pos")
-    return pos.join(F.broadcast(whole), F.lit(True)).select(key, value, (F.col("cum") / F.col("_all")).alias("cum_share"), (F.col("pos") / F.col("_n") * 100).alias("entity_pct"))
+    curve = running_sums(entities.select(key, value), [], [value, key], {"cum": F.col(value), "pos": F.lit(1).cast("long")})
+    return curve.join(F.broadcast(whole), F.lit(True)).select(key, value, (F.col("cum") / F.col("_all")).alias("cum_share"), (F.col("pos") / F.col("_n") * 100).alias("entity_pct"))
 
 
 def top_fifth_share(curve: DataFrame) -> DataFrame:
@@ -112,11 +111,8 @@ def describe(entities: DataFrame, value: str, groups: list[str] | None = None, t
         F.when(n > 2, g1 * F.sqrt(n * (n - 1)) / (n - 2)).alias("skew"),
         F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6)).alias("kurtosis"),
     )
-    q = exact_quantiles(e, groups, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}).drop("n")
-    join = lambda a, b: a.join(b, groups) if groups else a.join(b, F.lit(True))
-    dev = join(e, q.select(*groups, "median")).select(*groups, F.abs(F.col(value) - F.col("median")).alias("_d"))
-    mad = exact_quantiles(dev, groups, "_d", {"mad": 0.5}).drop("n")
-    return join(join(join(basic, q), mad), trimmed_mean(e, groups, value, trim)).withColumn("iqr", F.col("q3") - F.col("q1"))
+    q = spread(e, groups, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, "median", trim)
+    return (basic.join(q, groups) if groups else basic.join(q, F.lit(True))).withColumn("iqr", F.col("q3") - F.col("q1"))
 
 
 def daytype_stats(od: DataFrame, day_type: str = "day_type", value: str = "riders") -> DataFrame:
@@ -180,11 +176,18 @@ def full_duplicates(df: DataFrame) -> DataFrame:
 def correlations(df: DataFrame, target: str, features: list[str], least: int = 10) -> DataFrame:
     """Pearson and Spearman of each numeric or boolean column with the target, pairwise complete."""
     long = df.select(F.col(target).cast("double").alias("y"), F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in features])))
-    pairs = long.where("x is not null and y is not null")
-    pearson = pairs.groupBy("feature").agg(F.corr("x", "y").alias("pearson"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    ranked = average_ranks(average_ranks(pairs, ["feature"], "x", "rx"), ["feature"], "y", "ry")
-    spearman = ranked.groupBy("feature").agg(F.corr("rx", "ry").alias("spearman"))
-    return pearson.join(spearman, "feature").select("feature", "pearson", "spearman", F.abs("pearson").alias("abs_pearson"), "n")
+    # The facts are read once: everything else works on the number of rows of each (feature, x, y).
+    pairs = long.where("x is not null and y is not null").groupBy("feature", "x", "y").agg(F.count(F.lit(1)).alias("c"))
+    rank = lambda v: value_ranks(merged_values(pairs, ["feature"], v, F.col("c")), ["feature"]).withColumnsRenamed({"_v": v, "_rank": f"r{v}"})
+    weighed = lambda e: F.sum(F.col("c") * e)
+    # One row per named feature.
+    means = pairs.groupBy("feature").agg(F.sum("c").alias("n"), (weighed(F.col("x")) / F.sum("c")).alias("mx"), (weighed(F.col("y")) / F.sum("c")).alias("my")).where(F.col("n") >= least)
+    j = pairs.join(F.broadcast(means), "feature").join(rank("x"), ["feature", "x"]).join(rank("y"), ["feature", "y"])
+    middle = (F.col("n") + 1) / 2
+    centred = j.select("feature", "n", "c", (F.col("x") - F.col("mx")).alias("x"), (F.col("y") - F.col("my")).alias("y"), (F.col("rx") - middle).alias("rx"), (F.col("ry") - middle).alias("ry"))
+    corr = lambda a, b: F.try_divide(weighed(F.col(a) * F.col(b)), F.sqrt(weighed(F.col(a) * F.col(a)) * weighed(F.col(b) * F.col(b))))
+    out = centred.groupBy("feature").agg(corr("x", "y").alias("pearson"), corr("rx", "ry").alias("spearman"), F.max("n").alias("n"))
+    return out.select("feature", "pearson", "spearman", F.abs("pearson").alias("abs_pearson"), "n")
 
 
 def correlation_matrix(df: DataFrame, entity: str, variable: str, value: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import epoch_seconds, hours_between, month_start, plus_hours
 from ..functions.scalars import haversine_km, unless_null
-from .ordered import nearest_after, nearest_before
+from .ordered import nearest_after, nearest_before, quantile_cuts, with_piece
 from .spans import archive_span, with_coverage
 
 APPROACH_HOURS = 3.0
@@ -19,14 +19,15 @@ def stabbing(points: DataFrame, intervals: DataFrame, ts: str, lo: str, hi: str,
 
     ``aggs``: out -> ("sum" or "max", interval column).  Time is cut into slots
     no longer than the shortest interval, so within a slot an interval opens,
-    closes or covers it whole:
+    closes or covers it whole; slots are cut into pieces at quantiles of the times:
 
     * covering intervals fold into one row per slot;
     * opening ones are a running aggregate from the slot's start, closing ones
-      a running aggregate from its end.
+      a running aggregate from its end: inside a piece, and over the pieces'
+      summaries, one row each.
 
     The work grows with points + intervals x (slots per interval), even where a
-    third of all events share an hour with as many points.
+    third of all events share an hour with as many points, and that hour is many tasks.
     """
     slot = lambda c: F.floor(epoch_seconds(c) / slot_s)
     fold = {"sum": F.sum, "max": F.max}
@@ -36,25 +37,36 @@ def stabbing(points: DataFrame, intervals: DataFrame, ts: str, lo: str, hi: str,
     iv = intervals.select(F.col(lo).alias("_lo"), F.col(hi).alias("_hi"), *values).withColumns({"_a": slot("_lo"), "_b": slot("_hi")})
 
     whole = (
-        iv.where(F.col("_b") > F.col("_a") + 1).withColumn("_slot", F.explode(F.sequence(F.col("_a") + 1, F.col("_b") - 1)))
+        iv.where(F.col("_b") > F.col("_a") + 1).groupBy("_a", "_b").agg(*[fold[k](o).alias(o) for o, (k, _) in aggs.items()])
+        .withColumn("_slot", F.explode(F.sequence(F.col("_a") + 1, F.col("_b") - 1)))
         .groupBy("_slot").agg(*[fold[k](o).alias(f"{o}_whole") for o, (k, _) in aggs.items()])
     )
+    cuts = quantile_cuts(points.select(F.col(ts).alias("_t")).unionByName(iv.select(F.col("_lo").alias("_t"))), F.col("_t"))
     rows = (
         points.select(ts).distinct().select(slot(ts).alias("_slot"), F.col(ts).alias("_t"), F.lit(1).alias("_kind"), *blank)
         .unionByName(iv.select(F.col("_a").alias("_slot"), F.col("_lo").alias("_t"), F.lit(0).alias("_kind"), *names))
         .unionByName(iv.where(F.col("_b") > F.col("_a")).select(F.col("_b").alias("_slot"), F.col("_hi").alias("_t"), F.lit(2).alias("_kind"), *names))
+        # One row per time and kind, however many intervals open or close then.
+        .groupBy("_slot", "_t", "_kind").agg(*[fold[k](o).alias(o) for o, (k, _) in aggs.items()])
     )
+    rows = with_piece(rows, F.col("_t"), cuts, "_piece")
+    ends = {"open": 0, "close": 2}
+    only = lambda o, end: F.when(F.col("_kind") == ends[end], F.col(o))
     # Equal times: openings sort before points, closings after, so both bounds are inclusive.
-    ahead = Window.partitionBy("_slot").orderBy("_t", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    behind = Window.partitionBy("_slot").orderBy("_t", "_kind").rowsBetween(0, Window.unboundedFollowing)
-    near = rows.withColumns(
-        {f"{o}_open": fold[k](F.when(F.col("_kind") == 0, F.col(o))).over(ahead) for o, (k, _) in aggs.items()}
-        | {f"{o}_close": fold[k](F.when(F.col("_kind") == 2, F.col(o))).over(behind) for o, (k, _) in aggs.items()}
-    ).where(F.col("_kind") == 1)
-    out = near.join(whole, "_slot", "left")
+    inside = Window.partitionBy("_slot", "_piece").orderBy("_t", "_kind")
+    beside = Window.partitionBy("_slot").orderBy("_piece")
+    frames = {
+        "open": (inside.rowsBetween(Window.unboundedPreceding, 0), beside.rowsBetween(Window.unboundedPreceding, -1)),
+        "close": (inside.rowsBetween(0, Window.unboundedFollowing), beside.rowsBetween(1, Window.unboundedFollowing)),
+    }
+    each = [(o, k, end) for o, (k, _) in aggs.items() for end in ends]
+    carried = rows.groupBy("_slot", "_piece").agg(*[fold[k](only(o, end)).alias(f"{o}_{end}_all") for o, k, end in each])
+    carried = carried.select("_slot", "_piece", *[fold[k](f"{o}_{end}_all").over(frames[end][1]).alias(f"{o}_{end}_beside") for o, k, end in each])
+    near = rows.withColumns({f"{o}_{end}": fold[k](only(o, end)).over(frames[end][0]) for o, k, end in each}).where(F.col("_kind") == 1)
+    out = near.join(carried, ["_slot", "_piece"]).join(whole, "_slot", "left")
     combined = []
     for o, (k, _) in aggs.items():
-        parts = [F.col(f"{o}_{p}") for p in ("open", "close", "whole")]
+        parts = [F.col(f"{o}_{p}") for p in ("open", "open_beside", "close", "close_beside", "whole")]
         if k == "max":
             combined.append(F.greatest(*parts).alias(o))
         else:

@@ -2,9 +2,8 @@
 
 Spark's ``percentile`` and an unkeyed ``ORDER BY`` window both hold a whole
 group in one task.  Here equal values are merged first, the merged values are
-counted in buckets (an order-preserving function of the value, cut further
-where the data crowd into one), the bucket that holds the wanted rank is found from that small summary, and only
-the rows of that bucket are ordered.
+counted in buckets (an order-preserving function of the value), the bucket that holds the wanted rank is found from
+that small summary, and only the values of that bucket are ordered, cut further where the data crowd into it.
 """
 
 from __future__ import annotations
@@ -16,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import col
 from ..functions.scalars import INF
-from .ordered import with_text_range
+from .ordered import quantile_cuts, with_piece
 
 BUCKETS_PER_EFOLD = 1024
 #: Above every -log of a double, so that magnitudes below 1 keep the order.
@@ -33,22 +32,18 @@ def value_bucket(x, per_efold: int = BUCKETS_PER_EFOLD) -> Column:
     return F.when(x == INF, edge).when(x == -INF, -edge).when(x == 0, F.lit(0).cast("long")).otherwise(spread.cast("long"))
 
 
-def with_bucket(df: DataFrame, groups: list[str], value: str, crowded_rows: int | None = None) -> DataFrame:
-    """Add ``_bucket``, an orderable cell of ``value``: its fixed bucket, cut evenly between the least and largest value
-    found in it where more than ``crowded_rows`` (``CROWDED``) rows share it.
+def within_bucket(value: Column, low: Column, high: Column, rows: Column, most: int | None = None) -> Column:
+    """An even cut of a bucket between its least and largest value; 0 where no more than ``most`` (``CROWDED``) rows share it.
 
     So a flat sensor, ids or epochs, whose values lie within 0.1 % of each other, spread over many tasks too.
     """
-    most = crowded_rows or CROWDED
-    t = df.withColumn("_b0", value_bucket(value))
-    v = F.col(value).cast("double")
-    full = t.groupBy(*groups, "_b0").agg(F.count(F.lit(1)).alias("_bn"), F.min(v).alias("_blo"), F.max(v).alias("_bhi")).where((F.col("_bn") > most) & (F.col("_blo") < F.col("_bhi")))
-    parts = F.ceil(F.col("_bn") / most)
-    cut = F.least(F.floor((v - F.col("_blo")) / (F.col("_bhi") - F.col("_blo")) * parts), parts - 1)
-    return t.join(full, [*groups, "_b0"], "left").withColumn("_bucket", F.struct("_b0", F.coalesce(cut, F.lit(0).cast("long")).alias("_b1"))).drop("_b0", "_bn", "_blo", "_bhi")
+    most = most or CROWDED
+    parts = F.ceil(rows / most)
+    cut = F.least(F.floor((value - low) / (high - low) * parts), parts - 1)
+    return F.when((rows > most) & (low < high), cut).otherwise(F.lit(0).cast("long"))
 
 
-def _merged(df: DataFrame, groups: list[str], value: str, mass: Column) -> DataFrame:
+def merged_values(df: DataFrame, groups: list[str], value: str, mass: Column) -> DataFrame:
     """Equal values of a group merged, with their bucket.
 
     The (always true) test on the count keeps both aggregates in every use of
@@ -60,16 +55,19 @@ def _merged(df: DataFrame, groups: list[str], value: str, mass: Column) -> DataF
         .agg(F.sum(mass).alias("_mass"), F.count(F.lit(1)).alias("_rows"))
         .where((F.col("_rows") > 0) & F.col("_mass").isNotNull())
     )
-    return with_bucket(merged, groups, "_v")
+    return merged.withColumn("_bucket", value_bucket("_v"))
 
 
 def _bucket_totals(merged: DataFrame, groups: list[str]) -> DataFrame:
-    """Per (group, bucket): mass before it, its own mass, and the group's totals."""
+    """Per (group, bucket): mass before it, its own mass, number and range of its values, their sum, and the group's totals."""
     upto = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*groups)
     return (
         merged.groupBy(*groups, "_bucket")
-        .agg(F.sum("_mass").alias("_own"), F.sum("_rows").alias("_n"))
+        .agg(
+            F.sum("_mass").alias("_own"), F.sum("_rows").alias("_n"), F.count(F.lit(1)).alias("_values"), F.min("_v").alias("_low"), F.max("_v").alias("_high"),
+            F.sum(F.col("_v") * F.col("_mass")).alias("_area"),
+        )
         .withColumns({
             "_end": F.sum("_own").over(upto),
             "_total": F.sum("_own").over(whole),
@@ -79,6 +77,21 @@ def _bucket_totals(merged: DataFrame, groups: list[str]) -> DataFrame:
     )
 
 
+def _running(merged: DataFrame, near: DataFrame, groups: list[str], tags: list[str]) -> DataFrame:
+    """The values of the buckets in ``near`` (rows of the totals with ``tags``) with ``_run``, the group's mass up to and with them.
+
+    Only a crowded bucket is cut further, and only if a wanted rank lies in it.
+    """
+    bucket = [*groups, "_bucket", *tags]
+    cell = [*bucket, "_cut"]
+    kept = near.select(*bucket, "_base", "_values", "_low", "_high", *[c for c in near.columns if c not in {*bucket, "_base", "_values", "_low", "_high"}])
+    rows = merged.join(kept, [*groups, "_bucket"]).withColumn("_cut", within_bucket(F.col("_v"), F.col("_low"), F.col("_high"), F.col("_values")))
+    ahead = Window.partitionBy(*bucket).orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)
+    cuts = rows.where(F.col("_values") > CROWDED).groupBy(*cell).agg(F.sum("_mass").alias("_m")).select(*cell, F.sum("_m").over(ahead).alias("_ahead"))
+    inside = Window.partitionBy(*cell).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.join(cuts, cell, "left").withColumn("_run", F.col("_base") + F.coalesce(F.col("_ahead"), F.lit(0)) + F.sum("_mass").over(inside))
+
+
 def select_by_mass(
     df: DataFrame,
     groups: list[str],
@@ -94,7 +107,7 @@ def select_by_mass(
     Where the whole group stays below the threshold the result is +infinity.
     Columns: groups, ``out``, ``n``, ``mass_total``.
     """
-    merged = _merged(df, groups, value, F.lit(1.0) if mass is None else mass)
+    merged = merged_values(df, groups, value, F.lit(1.0) if mass is None else mass)
     totals = _bucket_totals(merged, groups).withColumn("_need", threshold(F.col("_total"), F.col("_count")))
     # A float running sum and a bucket sum may round apart by a few ulps, so the
     # neighbouring bucket is kept too; the exact pick happens below.
@@ -102,10 +115,8 @@ def select_by_mass(
     near = totals.where(
         (F.col("_end") >= F.col("_need") - slack) & (F.col("_base") < F.col("_need") + slack) & (F.col("_need") > 0)
     )
-    inside = Window.partitionBy(*groups, "_bucket").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     hits = (
-        merged.join(near.select(*groups, "_bucket", "_base", "_need"), [*groups, "_bucket"])
-        .withColumn("_run", F.col("_base") + F.sum("_mass").over(inside))
+        _running(merged, near.select(*groups, "_bucket", "_base", "_values", "_low", "_high", "_need"), groups, [])
         # Weights such as 0.5 ** (age / 6) have no exact sum; a tie on the threshold counts as reached.
         .where(F.col("_run") >= F.col("_need") - F.abs(F.col("_need")) * 1e-12)
         .groupBy(*groups).agg(F.min("_v").alias("_q"))
@@ -120,7 +131,10 @@ def exact_quantiles(df: DataFrame, groups: list[str], value: str, probs: dict[st
 
     Columns: groups, one per name in ``probs``, and ``n``.
     """
-    merged = _merged(df, groups, value, F.lit(1))
+    return _quantiles(merged_values(df, groups, value, F.lit(1)), groups, probs)
+
+
+def _quantiles(merged: DataFrame, groups: list[str], probs: dict[str, float]) -> DataFrame:
     totals = _bucket_totals(merged, groups)
     wanted = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), F.lit(float(p)).alias("p")) for k, p in probs.items()]))
     near = (
@@ -128,14 +142,9 @@ def exact_quantiles(df: DataFrame, groups: list[str], value: str, probs: dict[st
         .withColumn("_h", (F.col("_count") - 1) * F.col("_w.p"))
         .withColumns({"_lo": F.floor("_h"), "_hi": F.ceil("_h"), "_frac": F.col("_h") - F.floor("_h"), "_name": F.col("_w.name")})
         .where((F.col("_base") <= F.col("_hi")) & (F.col("_end") > F.col("_lo")))
-        .select(*groups, "_bucket", "_base", "_lo", "_hi", "_frac", "_name")
-    )
-    inside = Window.partitionBy(*groups, "_bucket", "_name").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    run = (
-        merged.join(near, [*groups, "_bucket"])
-        .withColumn("_end", F.col("_base") + F.sum("_mass").over(inside))
-        .withColumn("_start", F.col("_end") - F.col("_mass"))
+        .select(*groups, "_bucket", "_base", "_values", "_low", "_high", "_lo", "_hi", "_frac", "_name")
     )
+    run = _running(merged, near, groups, ["_name"]).select("*", F.col("_run").alias("_end"), (F.col("_run") - F.col("_mass")).alias("_start"))
 
     def at(rank: str) -> Column:
         return F.max(F.when((F.col("_start") <= F.col(rank)) & (F.col("_end") > F.col(rank)), F.col("_v")))
@@ -148,70 +157,66 @@ def exact_quantiles(df: DataFrame, groups: list[str], value: str, probs: dict[st
     return wide.join(sizes, groups) if groups else wide.join(sizes, F.lit(True))
 
 
-def _with_tie_bucket(df: DataFrame, column: str | None, out: str) -> DataFrame:
-    """Add a coarse bucket that never decreases along the column's own order."""
-    if column is None:
-        return df.withColumn(out, F.lit(0))
-    kind = df.schema[column].dataType.typeName()
-    if kind == "string":
-        return with_text_range(df, column, out)
-    return df.withColumn(out, F.col(column).cast("date") if kind in ("timestamp_ntz", "timestamp", "date") else value_bucket(column))
+def running_sums(df: DataFrame, groups: list[str], order: list[str], sums: dict[str, Column]) -> DataFrame:
+    """Every row with inclusive running sums along ``order`` inside its group.
 
+    Rows are cut into pieces at quantiles of the whole ``order``, so a value that fills a third of the table
+    is cut by the columns behind it; one row a piece carries the sums on.
+    """
+    key = F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
+    kept = {o: f"_own_{o}" for o in sums}
+    rows = with_piece(df, key, quantile_cuts(df, key, distinct=False), "_piece").withColumns({k: sums[o] for o, k in kept.items()})
+    ahead = Window.partitionBy(*groups).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*groups, "_piece").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    carried = rows.groupBy(*groups, "_piece").agg(*[F.sum(k).alias(k) for k in kept.values()])
+    carried = carried.select(*groups, "_piece", *[F.coalesce(F.sum(k).over(ahead), F.lit(0)).alias(f"_before_{o}") for o, k in kept.items()])
+    out = rows.join(carried, [*groups, "_piece"]).withColumns({o: F.col(f"_before_{o}") + F.sum(k).over(inside) for o, k in kept.items()})
+    return out.drop("_piece", *kept.values(), *[f"_before_{o}" for o in sums])
 
-def running_mass(df: DataFrame, groups: list[str], value: str, mass: str, tie: list[str] | None = None, out: str = "cum") -> DataFrame:
-    """Every row with its inclusive running mass in value order (ties by ``mass``, then ``tie``).
 
-    A value that fills a third of the table is split further by the mass and the
-    first tie column, so one value is never one task.
-    """
-    tie = tie or []
-    cells = ["_bucket", "_split", "_massb", "_tieb"]
-    b = with_bucket(_with_tie_bucket(df, tie[0] if tie else None, "_tieb"), groups, value).withColumns({
-        # Each value is a cell of its own; a heavily repeated one is cut further by mass and tie.
-        "_split": F.col(value).cast("double"), "_massb": value_bucket(mass),
-    })
-    totals = b.groupBy(*groups, *cells).agg(F.sum(mass).alias("_own"))
-    per_bucket = Window.partitionBy(*groups, "_bucket").orderBy("_split", "_massb", "_tieb").rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = totals.groupBy(*groups, "_bucket").agg(F.sum("_own").alias("_b")).select(
-        *groups, "_bucket", F.coalesce(F.sum("_b").over(upto), F.lit(0.0)).alias("_base")
-    )
-    base = totals.join(buckets, [*groups, "_bucket"]).select(
-        *groups, *cells, (F.col("_base") + F.coalesce(F.sum("_own").over(per_bucket), F.lit(0.0))).alias("_base")
-    )
-    inside = Window.partitionBy(*groups, *cells).orderBy(mass, *tie).rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        b.join(base, [*groups, *cells])
-        .withColumn(out, F.col("_base") + F.sum(mass).over(inside))
-        .drop(*cells, "_base")
-    )
+def running_mass(df: DataFrame, groups: list[str], value: str, mass: str, tie: list[str] | None = None, out: str = "cum") -> DataFrame:
+    """Every row with its inclusive running mass in value order (ties by ``mass``, then ``tie``)."""
+    return running_sums(df, groups, list(dict.fromkeys([value, mass, *(tie or [])])), {out: F.col(mass)})
 
 
 def trimmed_mean(df: DataFrame, groups: list[str], value: str, share: float = 0.1, out: str = "trimmed_mean") -> DataFrame:
-    """Mean without the lowest and highest ``share`` of rows, from merged values only."""
-    merged = _merged(df, groups, value, F.lit(1))
-    base = _bucket_totals(merged, groups).select(*groups, "_bucket", "_base", "_count")
-    inside = Window.partitionBy(*groups, "_bucket").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    """Mean without the lowest and highest ``share`` of rows: sums of whole buckets, and single values of the two that are cut."""
+    return _trimmed(merged_values(df, groups, value, F.lit(1)), groups, share, out)
+
+
+def _trimmed(merged: DataFrame, groups: list[str], share: float, out: str) -> DataFrame:
     cut = F.floor(F.col("_count") * share)
-    run = merged.join(base, [*groups, "_bucket"]).withColumn("_end", F.col("_base") + F.sum("_mass").over(inside))
-    kept = F.greatest(F.least(F.col("_end"), F.col("_count") - cut) - F.greatest(F.col("_end") - F.col("_mass"), cut), F.lit(0))
-    return run.withColumn("_k", kept).groupBy(*groups).agg((F.sum(F.col("_v") * F.col("_k")) / F.sum("_k")).alias(out))
+    first, last = cut, F.col("_count") - cut
+    totals = _bucket_totals(merged, groups)
+    inner = totals.where((F.col("_base") >= first) & (F.col("_end") <= last)).select(*groups, "_area", F.col("_own").alias("_k"))
+    edge = totals.where((F.col("_end") > first) & (F.col("_base") < last) & ((F.col("_base") < first) | (F.col("_end") > last)))
+    run = _running(merged, edge.select(*groups, "_bucket", "_base", "_values", "_low", "_high", "_count"), groups, [])
+    kept = F.greatest(F.least(F.col("_run"), last) - F.greatest(F.col("_run") - F.col("_mass"), first), F.lit(0))
+    parts = inner.unionByName(run.select(*groups, (F.col("_v") * kept).alias("_area"), kept.alias("_k")))
+    return parts.groupBy(*groups).agg((F.sum("_area") / F.sum("_k")).alias(out))
+
+
+def spread(df: DataFrame, groups: list[str], value: str, probs: dict[str, float], centre: str, share: float) -> DataFrame:
+    """Quantiles ``probs``, ``mad`` (the median distance from the quantile named ``centre``) and ``trimmed_mean``, all of one summary of the values."""
+    merged = merged_values(df, groups, value, F.lit(1))
+    quantiles = _quantiles(merged, groups, probs).drop("n")
+    join = lambda a, b: a.join(b, groups) if groups else a.join(b, F.lit(True))
+    away = join(merged.drop("_bucket"), quantiles.select(*groups, centre)).withColumn("_v", F.abs(F.col("_v") - F.col(centre)))
+    away = away.groupBy(*groups, "_v").agg(F.sum("_mass").alias("_mass"), F.sum("_rows").alias("_rows")).withColumn("_bucket", value_bucket("_v"))
+    return join(join(quantiles, _quantiles(away, groups, {"mad": 0.5}).drop("n")), _trimmed(merged, groups, share, "trimmed_mean"))
 
 
 def positions_by_value(df: DataFrame, groups: list[str], value: str, tie: list[str], out: str = "pos") -> DataFrame:
     """1-based position of every row in ascending value order."""
-    numbered = running_mass(df.withColumn("_one", F.lit(1.0)), groups, value, "_one", tie, out)
-    return numbered.withColumn(out, F.col(out).cast("long")).drop("_one")
+    return running_sums(df, groups, [value, *tie], {out: F.lit(1).cast("long")})
 
 
 def average_ranks(df: DataFrame, groups: list[str], value: str, out: str) -> DataFrame:
     """Average rank of each row (ties share the mean of their positions)."""
-    merged = _merged(df, groups, value, F.lit(1.0))
-    base = _bucket_totals(merged, groups).select(*groups, "_bucket", "_base")
-    inside = Window.partitionBy(*groups, "_bucket").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranks = (
-        merged.join(base, [*groups, "_bucket"])
-        .withColumn("_end", F.col("_base") + F.sum("_mass").over(inside))
-        .select(*groups, F.col("_v").alias(value), (F.col("_end") - (F.col("_mass") - 1) / 2).alias(out))
-    )
-    return df.join(ranks, [*groups, value])
+    return df.join(value_ranks(merged_values(df, groups, value, F.lit(1.0)), groups).withColumnsRenamed({"_v": value, "_rank": out}), [*groups, value])
+
+
+def value_ranks(merged: DataFrame, groups: list[str]) -> DataFrame:
+    """(groups, ``_v``, ``_rank``): the average rank of the rows of each merged value."""
+    near = _bucket_totals(merged, groups).select(*groups, "_bucket", "_base", "_values", "_low", "_high")
+    return _running(merged, near, groups, []).select(*groups, "_v", (F.col("_run") - (F.col("_mass") - 1) / 2).alias("_rank"))

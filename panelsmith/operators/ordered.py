@@ -5,7 +5,7 @@ for a monthly series (twelve rows a year) but not for a key that holds a third
 of a huge table.  ``windowed_by_rows`` splits a key into blocks of consecutive
 rows, each carrying the few preceding rows its frames need.  ``nearest_before``
 and ``nearest_after`` answer strict as-of lookups the same way: sort inside
-small time slots, carry one value per slot.
+small time slots, cut further where the times crowd, and carry one value per piece.
 """
 
 from __future__ import annotations
@@ -18,6 +18,28 @@ from pyspark.sql import functions as F
 from ..functions.calendar import col, epoch_seconds
 
 BLOCK_ROWS = 8192
+#: Pieces into which values are cut at their quantiles, and how many sampled values make a piece.
+PIECES, SAMPLED = 256, 16
+
+
+def quantile_cuts(df: DataFrame, value: Column, pieces: int = PIECES, distinct: bool = True) -> DataFrame:
+    """One row: ``_cuts``, the values that cut the ``value``s of ``df`` into ``pieces`` of about equal number, in order.
+
+    They come from the ``pieces`` * SAMPLED values with the least hashes, a sample that is the
+    same whenever it is drawn; fewer values are fewer cuts.  Values that often repeat are to be made ``distinct`` first.
+    """
+    values = df.select(value.alias("_v")).where("_v is not null")
+    least = (values.distinct() if distinct else values).orderBy(F.xxhash64("_v"), "_v").limit(pieces * SAMPLED)
+    drawn = least.agg(F.sort_array(F.collect_list("_v")).alias("_d"))
+    return drawn.select(F.filter("_d", lambda _, i: (i % SAMPLED == SAMPLED - 1) & (i < pieces * SAMPLED - 1)).alias("_cuts"))
+
+
+def with_piece(df: DataFrame, value: Column, cuts: DataFrame, out: str, pieces: int = PIECES) -> DataFrame:
+    """Add ``out``, how many of the ``quantile_cuts`` a value has reached, by bisection; it never decreases with the value."""
+    step = lambda at, w: F.when(F.get("_cuts", at + w - 1) <= value, at + w).otherwise(at)
+    widths = F.array(*[F.lit(1 << i) for i in reversed(range(pieces.bit_length()))])
+    # The cuts are one row of fewer than ``pieces`` values.
+    return df.join(F.broadcast(cuts), F.lit(True)).withColumn(out, F.aggregate(widths, F.lit(0), step)).drop("_cuts")
 
 
 def row_positions(df: DataFrame, keys: list[str], order: list, chunk: Column) -> DataFrame:
@@ -42,16 +64,10 @@ def row_positions(df: DataFrame, keys: list[str], order: list, chunk: Column) ->
     )
 
 
-def with_text_range(df: DataFrame, column: str, out: str, letters: int = 3) -> DataFrame:
-    """Add ``out``, a range of ``column`` in text order: its first ``letters`` behind what all texts begin with.
-
-    The shared beginning is that of the least and the largest text (one row).
-    """
+def with_text_range(df: DataFrame, column: str, out: str) -> DataFrame:
+    """Add ``out``, a range of ``column`` in text order, cut at quantiles of its own values, whatever they begin with."""
     text = F.col(column).cast("string")
-    ends = df.agg(F.min(text).alias("_least"), F.max(text).alias("_most"))
-    shared = F.length(F.regexp_extract(F.concat("_least", F.lit("\n\n"), "_most"), r"(?s)^(.*).*\n\n\1", 1))
-    chunk = F.substring(text, F.coalesce(shared, F.lit(0)) + 1, F.lit(letters))
-    return df.join(F.broadcast(ends), F.lit(True)).withColumn(out, chunk).drop("_least", "_most")
+    return with_piece(df, text, quantile_cuts(df, text), out)
 
 
 def windowed_by_rows(
@@ -84,26 +100,31 @@ def windowed_by_rows(
 
 
 def _nearest(points: DataFrame, marks: DataFrame, ts: str, out: str, keys: list[str], slot_s: int, later: bool, same: str | None) -> DataFrame:
-    """Nearest mark strictly before (or after) every distinct point time; ``same`` flags a mark at that very time."""
+    """Nearest mark strictly before (or after) every distinct point time; ``same`` flags a mark at that very time.
+
+    Times are sorted inside pieces: slots of ``slot_s`` seconds, cut at quantiles of the points' and the marks' times.
+    """
     p = points.select(*keys, ts).distinct().select(*keys, F.col(ts).alias("_t"), F.lit(None).cast("timestamp_ntz").alias("_m"))
     m = marks.select(*keys, ts).distinct().select(*keys, F.col(ts).alias("_t"), F.col(ts).alias("_m"))
+    cuts = quantile_cuts(points.select(ts).unionByName(marks.select(ts)), F.col(ts))
     # A point sorts before a mark of the same time in the scan direction, so equal times do not match.
-    rows = p.unionByName(m).withColumn("_slot", F.floor(epoch_seconds("_t") / slot_s)).withColumn("_k", F.col("_m").isNotNull())
+    rows = with_piece(p.unionByName(m), F.col("_t"), cuts, "_cut").withColumn("_piece", F.struct(F.floor(epoch_seconds("_t") / slot_s).alias("slot"), "_cut")).drop("_cut")
+    rows = rows.withColumn("_k", F.col("_m").isNotNull())
     if later:
         direction = [F.col("_t").desc(), F.col("_k")]
-        slot_order, edge = F.col("_slot").desc(), F.min
+        piece_order, edge = F.col("_piece").desc(), F.min
     else:
         direction = [F.col("_t"), F.col("_k")]
-        slot_order, edge = F.col("_slot"), F.max
-    inside = Window.partitionBy(*keys, "_slot").orderBy(*direction).rowsBetween(Window.unboundedPreceding, 0)
-    prior = Window.partitionBy(*keys).orderBy(slot_order).rowsBetween(Window.unboundedPreceding, -1)
-    # One row per time slot: the carry over slots is small however many rows there are.
-    carry = rows.groupBy(*keys, "_slot").agg(edge("_m").alias("_edge")).withColumn("_carry", edge("_edge").over(prior))
+        piece_order, edge = F.col("_piece"), F.max
+    inside = Window.partitionBy(*keys, "_piece").orderBy(*direction).rowsBetween(Window.unboundedPreceding, 0)
+    prior = Window.partitionBy(*keys).orderBy(piece_order).rowsBetween(Window.unboundedPreceding, -1)
+    # One row per piece: the carry over pieces is small however many rows there are.
+    carry = rows.groupBy(*keys, "_piece").agg(edge("_m").alias("_edge")).withColumn("_carry", edge("_edge").over(prior))
     return (
         rows.withColumn("_near", F.last("_m", ignorenulls=True).over(inside))
-        .withColumns({same: F.max("_m").over(Window.partitionBy(*keys, "_slot", "_t")).isNotNull()} if same else {})
+        .withColumns({same: F.max("_m").over(Window.partitionBy(*keys, "_piece", "_t")).isNotNull()} if same else {})
         .where(~F.col("_k"))
-        .join(carry.drop("_edge"), [*keys, "_slot"])
+        .join(carry.drop("_edge"), [*keys, "_piece"])
         .select(*keys, F.col("_t").alias(ts), F.coalesce("_near", "_carry").alias(out), *([same] if same else []))
     )
 

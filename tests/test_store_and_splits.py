@@ -1,7 +1,9 @@
 """Store builds that must be refused, holidays of any year, order checks, and cells that follow the data."""
 
+import bisect
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from panelsmith.operators import order_stats as OS
 from panelsmith.operators import places as PL
 from panelsmith.operators import quality as Q
 from panelsmith.operators.calibration import series_folds
-from panelsmith.operators.ordered import with_text_range
+from panelsmith.operators.ordered import nearest_after, quantile_cuts, with_piece, with_text_range
 from panelsmith.plans import feature_store as FS
 
 
@@ -81,12 +83,62 @@ def test_names_with_a_common_beginning_spread(spark):
     assert all(folds[f"Customer#{i:06d}"] == i % 5 for i in range(3000))
 
 
+def test_one_outlier_does_not_join_names(spark):
+    # The common beginning of all names is empty here: ranges follow the names themselves.
+    names = spark.range(4000).select(F.when(F.col("id") == 0, F.lit("Zed")).otherwise(F.format_string("Customer#%06d", "id")).alias("n"))
+    sizes = [r["count"] for r in with_text_range(names, "n", "r").groupBy("r").count().collect()]
+    assert len(sizes) > 150 and max(sizes) < 4000 / 25
+
+
+def in_cells(spark, monkeypatch, values, most):
+    """Exact quantiles with buckets that count as crowded above ``most`` values, and the largest cell that they order."""
+    monkeypatch.setattr(OS, "CROWDED", most)
+    df = spark.createDataFrame([(float(v),) for v in values], "v double")
+    merged = OS.merged_values(df, [], "v", F.lit(1))
+    totals = OS._bucket_totals(merged, [])
+    cut = OS.within_bucket(F.col("_v"), F.col("_low"), F.col("_high"), F.col("_values"))
+    cells = merged.join(totals, "_bucket").withColumn("_cut", cut).groupBy("_bucket", "_cut").count().agg(F.max("count")).first()[0]
+    return OS.spread(df, [], "v", {"q1": 0.25, "median": 0.5, "q3": 0.75}, "median", 0.1).first(), cells
+
+
 @pytest.mark.parametrize("low, high", [(1e-9, 9e-4), (1e6, 1.0005e6), (-1.0002, -1.0), (1.7e9, 1.7000001e9)])
-def test_cells_follow_the_data(spark, low, high):
+def test_cells_follow_the_data(spark, monkeypatch, low, high):
     n, most = 4000, 200
-    df = spark.range(n).select((F.lit(low) + (F.lit(high) - F.lit(low)) * F.col("id") / n).alias("v"))
-    cells = OS.with_bucket(df, [], "v", most)
-    sizes = [r["count"] for r in cells.groupBy("_bucket").count().collect()]
-    assert max(sizes) <= 2 * most
-    in_order = [r["_bucket"] for r in cells.orderBy("v").select("_bucket").collect()]
-    assert in_order == sorted(in_order)
+    values = low + (high - low) * np.arange(n) / n
+    got, cells = in_cells(spark, monkeypatch, values, most)
+    assert cells <= 2 * most
+    want = [*np.quantile(values, [0.25, 0.5, 0.75]), np.quantile(np.abs(values - np.median(values)), 0.5), np.sort(values)[400:3600].mean()]
+    np.testing.assert_allclose([got.q1, got.median, got.q3, got.mad, got.trimmed_mean], want, rtol=1e-9)
+
+
+def test_average_ranks_in_crowded_cells(spark, monkeypatch):
+    monkeypatch.setattr(OS, "CROWDED", 50)
+    values = 1e6 + np.repeat(np.arange(900) / 10, 3)
+    df = spark.createDataFrame([(float(v),) for v in values], "v double")
+    got = {r.v: r.r for r in OS.average_ranks(df, [], "v", "r").collect()}
+    assert all(got[v] == 3 * i + 2 for i, v in enumerate(1e6 + np.arange(900) / 10))
+
+
+def test_a_crowded_hour_is_cut(spark):
+    # A third of all distinct times lies in one second of one hour; no piece holds more than twice its share.
+    times = [dt.datetime(2024, 1, 1) + dt.timedelta(hours=i) for i in range(4000)] + [dt.datetime(2024, 1, 9, 5, 0, 0, i * 400) for i in range(2000)]
+    df = spark.createDataFrame([(t,) for t in times], "ts timestamp_ntz")
+    sizes = [r["count"] for r in with_piece(df, F.col("ts"), quantile_cuts(df, F.col("ts"), 64), "p", 64).groupBy("p").count().collect()]
+    assert len(sizes) == 64 and max(sizes) <= 2 * len(times) / 64
+    marks = spark.createDataFrame([(t,) for t in times[1::3]], "ts timestamp_ntz")
+    after = {r.ts: r.m for r in nearest_after(df, marks, "ts", "m").collect()}
+    ordered, marked = sorted(times), sorted(times[1::3])
+    assert all(after[t] == next((m for m in marked[bisect.bisect_right(marked, t):]), None) for t in ordered)
+
+
+def test_events_of_a_crowded_second(spark):
+    # Intervals of different lengths that open in the same second, and points among their ends.
+    t0, rng = dt.datetime(2024, 1, 1, 8), np.random.default_rng(4)
+    ev = [(t0 + dt.timedelta(microseconds=int(m)), t0 + dt.timedelta(hours=2, microseconds=int(k)), bool(b)) for m, k, b in zip(rng.integers(0, 900_000, 700), rng.integers(0, 900_000, 700), rng.random(700) < 0.3, strict=True)]
+    pts = [t0 + dt.timedelta(hours=int(h), microseconds=int(m)) for h, m in zip(rng.choice([-3, 0, 2, 3], 400), rng.integers(0, 900_000, 400), strict=True)]
+    points = spark.createDataFrame([(t,) for t in pts], "ts timestamp_ntz")
+    events = spark.createDataFrame(ev, "lo timestamp_ntz, hi timestamp_ntz, big boolean")
+    found = {r.ts: (r.n or 0, r.last, r.big) for r in E.stabbing(points, events.withColumn("one", F.lit(1)), "ts", "lo", "hi", {"n": ("sum", "one"), "last": ("max", "lo"), "big": ("max", "big")}).collect()}
+    for t in pts:
+        over = [(a, c) for a, b, c in ev if a <= t <= b]
+        assert found[t] == (len(over), max((a for a, _ in over), default=None), any(c for _, c in over) if over else None)
