@@ -8,7 +8,7 @@ exact weighted selection per (candidate, tail, group) gives the quantiles.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -159,10 +159,11 @@ def fit_rolling(pool: DataFrame, as_of, method: str, group: str, level: float =
 
 
 def require_complete(pool: DataFrame, y: str = "y", series: str = "series") -> None:
-    """Strict check (one job): raise if any actual has no forecast or bound."""
-    bad = pool.where(incomplete(y)).groupBy(series).agg(F.count(F.lit(1)).alias("n")).orderBy(series).limit(10).collect()
+    """Strict check (a small job, two if it raises): raise if any actual has no forecast or bound."""
+    gone = pool.where(incomplete(y)).groupBy(series).agg(F.count(F.lit(1)).alias("n"))
+    bad = gone.orderBy(series).limit(10).collect()
     if bad:
-        raise ValueError(f"calibration window incomplete for series {[r[series] for r in bad]}")
+        raise ValueError(f"calibration window incomplete for {gone.count()} series, first: {[r[series] for r in bad]}")
 
 
 def _times(p50: Column, factor: Column) -> Column:
@@ -208,21 +209,33 @@ def own_band(preds: DataFrame, name: str = "own band") -> DataFrame:
 # ---- bias-shifted band ---------------------------------------------------------------------------
 
 
-def bias_at_origins(seen: DataFrame, by: list[str], bias_half_life: float, ts: str = "ts") -> DataFrame:
+def bias_at_origins(seen: DataFrame, by: list[str], ts: str = "ts") -> DataFrame:
     """(by, origin month, bias): weighted median error of the rows resolved by each origin.
 
-    A row counts for every later origin; origins are months, so the list per row
-    is bounded by the calendar.
+    A row's weight at an origin is its weight at the end (``_wb``) times a number of the origin alone, so one
+    histogram of (error bucket, month) serves all origins: its masses are added up over months for every origin,
+    then over buckets to the one that holds half of the origin's mass, and only that bucket's errors are ordered.
+    Rows are not listed for each origin.
     """
-    last = seen.groupBy(*by).agg(F.max(month_index("origin")).alias("_last"))
-    rows = seen.join(last, by) if by else seen.join(F.broadcast(last), F.lit(True))
-    rows = rows.where(month_index(ts) <= F.col("_last"))
-    listed = rows.withColumn("_o", F.explode(F.sequence(month_index(ts), F.col("_last"))))
-    origins = seen.select(*by, month_index("origin").alias("_o")).distinct()
-    weighted = listed.join(origins, [*by, "_o"], "left_semi").withColumn(
-        "_w", F.pow(F.lit(0.5), (F.col("_o") - month_index(ts)).cast("double") / float(bias_half_life))
-    )
-    return weighted_median(weighted, [*by, "_o"], "_r", "_w", "_centre").select(*by, "_o", "_centre")
+    merged = seen.where(F.col("_r").isNotNull()).groupBy(*by, month_index(ts).alias("_at"), F.col("_r").alias("_v")).agg(F.sum("_wb").alias("_m"))
+    merged = merged.withColumn("_bucket", value_bucket("_v"))
+    hist = merged.groupBy(*by, "_bucket", "_at").agg(F.sum("_m").alias("_m"))
+    # Origins are months: a short list for each ``by``.
+    origins = seen.groupBy(*by).agg(F.collect_set(month_index("origin")).alias("_o"))
+    buckets = hist.select(*by, "_bucket").distinct()
+    marks = (buckets.join(origins, by) if by else buckets.join(F.broadcast(origins), F.lit(True))).select(*by, "_bucket", F.explode("_o").alias("_at"), F.lit(0.0).alias("_m"), F.lit(1).alias("_mark"))
+    months = Window.partitionBy(*by, "_bucket").orderBy("_at", "_mark").rowsBetween(Window.unboundedPreceding, 0)
+    masses = hist.withColumn("_mark", F.lit(0)).unionByName(marks).withColumn("_own", F.sum("_m").over(months)).where("_mark = 1 and _own > 0")
+    upto = Window.partitionBy(*by, "_at").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
+    found = masses.withColumns({"_end": F.sum("_own").over(upto), "_need": F.sum("_own").over(Window.partitionBy(*by, "_at")) * 0.5})
+    # Sums in another order may differ in the last bits, so a bucket that ends on the half is joined by its neighbour.
+    half = found.where((F.col("_end") >= F.col("_need") * (1 - 1e-12)) & (F.col("_end") - F.col("_own") < F.col("_need") * (1 + 1e-12)))
+    half = half.select(*by, "_bucket", F.col("_at").alias("_o"), (F.col("_end") - F.col("_own")).alias("_base"), "_need")
+    cell = [*by, "_o", "_bucket"]
+    inside = merged.join(half, [*by, "_bucket"]).where(F.col("_at") <= F.col("_o")).groupBy(*cell, "_base", "_need", "_v").agg(F.sum("_m").alias("_m"))
+    run = F.col("_base") + F.sum("_m").over(Window.partitionBy(*cell).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    reached = inside.withColumn("_run", run).where(F.col("_run") >= F.col("_need") * (1 - 1e-12))
+    return reached.groupBy(*by, "_o").agg(F.min("_v").alias("_centre"))
 
 
 def fit_shift(pool: DataFrame, as_of, group: str = "pooled", level: float = 0.8, bias_half_life: float = 6.0,
@@ -246,7 +259,7 @@ def fit_shift(pool: DataFrame, as_of, group: str = "pooled", level: float = 0.8,
     if bias_at == "as_of":
         centred = seen.join(bias.withColumnRenamed("bias", "_centre"), keys)
     else:
-        centred = seen.withColumn("_o", month_index("origin")).join(bias_at_origins(seen, by, bias_half_life, ts), [*by, "_o"], "left")
+        centred = seen.withColumn("_o", month_index("origin")).join(bias_at_origins(seen, by, ts), [*by, "_o"], "left")
     scored = centred.withColumn("_s", F.abs(F.col("_r") - F.col("_centre")))
     need = lambda total, n: F.when(F.col("_unit"), conformal_rank(F.lit(level), n)).otherwise((total + 1.0) * level)
     width = select_by_mass(scored, [*keys, "_unit"], "_s", need, F.col("_ww"), "width").drop("_unit")
@@ -484,6 +497,44 @@ def load_calibrator(spark, path: str, **expected) -> DataFrame:
     return df.drop(*[f"prov_{k}" for k in PROVENANCE])
 
 
+def serve_bands(preds: DataFrame, calibrators: DataFrame, plans: dict[str, Spec | None], expected: dict[str, dict], origin: str, model: str = "model", series: str = "series", ts: str = "ts") -> DataFrame:
+    """Every forecast of many models with the band its plan assigns and a ``status``; P50 is untouched, own bounds stay as *_raw.
+
+    ``plans``: the spec of each model, None for its own band.  ``calibrators``: rows as ``save_calibrator`` wrote them, the
+    model's name as candidate.  ``expected``: the provenance that a model's calibrator must state.  A band nobody
+    scored is never served; bounds are NULL and the status says why for
+
+    * a row at or before ``origin``: forecasts are made from it, and horizons are counted in months after it;
+    * a model without a plan, or without a calibrator;
+    * a calibrator that states other provenance (the fields that differ are named), or more than one;
+    * a group the calibrator never saw, or that was fitted on an incomplete window.
+    """
+    specs = [replace(s, name=m) for m, s in plans.items() if s is not None]
+    keyed = with_origin_horizon(preds.drop("origin", "horizon"), origin, ts)
+    calibrated = F.col(model).isin([s.name for s in specs])
+    banded = apply(keyed.where(calibrated), calibrators, specs, series=series).where(F.col("candidate") == F.col(model))
+    own = own_band(keyed.where(~calibrated))
+    stated = calibrators.groupBy(F.col("candidate").alias(model)).agg(F.collect_set(F.struct(*[F.col(f"prov_{k}").alias(k) for k in PROVENANCE])).alias("_stated"))
+
+    def differing(name: str, wanted: dict) -> Column:
+        def differs(field: str) -> Column:
+            return F.exists("_stated", lambda p: ~p[field].eqNullSafe(F.lit(wanted.get(field)).cast("string")))
+
+        return F.when(F.col(model) == name, F.concat_ws(", ", *[F.when(differs(k), F.lit(k)) for k in PROVENANCE]))
+
+    wrong = F.coalesce(*[differing(s.name, expected.get(s.name, {})) for s in specs], F.lit("")) if specs else F.lit("")
+    j = banded.unionByName(own, allowMissingColumns=True).join(stated, model, "left").withColumn("_wrong", wrong)
+    planned = F.col(model).isin(list(plans))
+    status = (
+        F.when(F.col("horizon") < 1, "at or before the origin").when(~planned, "no plan").when(~calibrated, "own band").when(F.col("_stated").isNull(), "no calibrator")
+        .when(F.col("_wrong") != "", F.concat(F.lit("calibrator differs in "), F.col("_wrong"))).when(F.size("_stated") > 1, "calibrators of several origins")
+        .when(F.col("p10").isNull() | F.col("p90").isNull(), "no band for this group").otherwise("served")
+    )
+    j = j.withColumn("status", status)
+    kept = F.col("status").isin("served", "own band")
+    return j.withColumns({c: F.when(kept, F.col(c)) for c in ("p10", "p90")}).drop("_stated", "_wrong", "candidate", "group_key", "origin")
+
+
 def clean_forecast(df: DataFrame) -> DataFrame:
     """NaN quantiles become NULL before calibration."""
     return df.withColumns({c: no_nan(c) for c in ("p10", "p50", "p90") if c in df.columns})

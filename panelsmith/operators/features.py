@@ -28,11 +28,10 @@ def add_weather_features(df: DataFrame, series: str = "series", ts: str = "ts",
     """Weather flags, onset and trailing sums; without precipitation nothing is added."""
     if "precip_mm" not in df.columns:
         return df
-    chunk = F.trunc(F.col(ts).cast("date"), "month") if sub_daily else None
     out = df.withColumns(S.weather_flag_columns(df.columns))
     if sub_daily:
-        out = P.precip_sums(out, series, ts, "precip_mm", chunk)
-    return P.rain_onset(out, series, ts, chunk)
+        return P.row_features(out, series, ts, None, "precip_mm", F.trunc(F.col(ts).cast("date"), "month"))
+    return P.rain_onset(out, series, ts)
 
 
 def add_station_features(df: DataFrame, series: str = "series", hubs: list | None = None) -> DataFrame:

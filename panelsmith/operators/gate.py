@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.calendar import NTZ, month_start
 from ..functions.scalars import close_or_both_null
 from .metrics import score_columns
-from .ordered import first_k, keep_first
+from .ordered import first_k, keep_first, quantile_cuts, windowed_by_rows, with_piece
 from .quality import run_checks
 
 DEFAULT_RTOL = 1e-9
@@ -142,7 +142,7 @@ def _guarded(spark, name: str, make: Callable[[], DataFrame]) -> list:
     try:
         return make().collect()
     except Exception as exc:  # noqa: BLE001 - fail closed
-        row = spark.range(1).select(F.lit(name).alias("check"), F.lit("fail").alias("status"), F.lit(f"check raised {type(exc).__name__}: {exc}"[:500]).alias("message"), F.lit(None).cast("map<string,string>").alias("details"))
+        row = spark.range(1).select(F.lit(name).alias("check"), F.lit("fail").alias("status"), F.lit(f"check raised {type(exc).__name__}: {exc}").alias("message"), F.lit(None).cast("map<string,string>").alias("details"))
         return row.collect()
 
 
@@ -195,16 +195,16 @@ def series_revision(new: DataFrame, committed: DataFrame, last_closed: str, mont
 
     Months are 'YYYY-MM' text; ``position`` is the row's place in the file.
     """
-    from pyspark.sql import Window
-
     keys = keys or []
     num = F.expr(f"try_cast({value} as double)")
     n = new.withColumn("_v", num)
-    w = Window.partitionBy(*keys).orderBy(position)
     row = lambda d, text: d.select(*keys, F.lit(text).alias("problem"), F.col(month).alias("month"))
     bad_month = row(n.where(~F.coalesce(F.col(month).rlike(r"^\d{4}-(0[1-9]|1[0-2])$"), F.lit(False))), "month is not YYYY-MM")
     not_number = row(n.where(F.col("_v").isNull()), "value is not a number")
-    order = row(n.withColumn("_p", F.lag(month).over(w)).where(F.col(month) <= F.col("_p")), "months not strictly increasing")
+    # Positions are cut into blocks of rows, so that one long file is many tasks.
+    ranged = with_piece(n, F.col(position), quantile_cuts(n, F.col(position)), "_range")
+    stepped = windowed_by_rows(ranged, keys, [position], 1, lambda w: {"_p": F.lag(month).over(w)}, F.col("_range"))
+    order = row(stepped.where(F.col(month) <= F.col("_p")), "months not strictly increasing")
     late = row(n.where(F.col(month) > last_closed), "month after the last closed month")
     old = committed.select(*keys, month, F.expr(f"try_cast({value} as double)").alias("_old"))
     gone = row(old.join(n, [*keys, month], "left_anti"), "committed month missing")

@@ -48,15 +48,11 @@ def duplicate_months(df: DataFrame, series: str = "series", ts: str = "ts") -> D
     return keyed.groupBy(series, month_start(ts).alias("month")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-def row_lags(df: DataFrame, lags: list[int] = ROW_LAGS, series: str = "series", ts: str = "ts", y: str = "y", chunk: Column | None = None) -> DataFrame:
-    return windowed_by_rows(
-        df, [series], [ts], max(lags), lambda w: {f"{y}_lag_{k}": F.lag(y, k).over(w) for k in lags}, chunk
-    )
-
+def _lag_columns(y: str, lags: list[int]):
+    return lambda w: {f"{y}_lag_{k}": F.lag(y, k).over(w) for k in lags}
 
-def row_rolling(df: DataFrame, series: str = "series", ts: str = "ts", y: str = "y", chunk: Column | None = None) -> DataFrame:
-    """Previous 96 rows mean/std (24 needed) and previous 672 rows mean (96 needed)."""
 
+def _rolling_columns(y: str):
     def columns(w):
         day, week = w.rowsBetween(-96, -1), w.rowsBetween(-672, -1)
         return {
@@ -65,23 +61,42 @@ def row_rolling(df: DataFrame, series: str = "series", ts: str = "ts", y: str =
             f"{y}_rolling_mean_7d": _guarded(F.avg(y), y, week, 96),
         }
 
-    return windowed_by_rows(df, [series], [ts], 672, columns, chunk)
+    return columns
 
 
-def precip_sums(df: DataFrame, series: str = "series", ts: str = "ts", precip: str = "precip_mm", chunk: Column | None = None) -> DataFrame:
-    """Trailing 3, 6 and 24 row sums, current row included."""
+def _precip_columns(precip: str):
+    return lambda w: {f"precip_{n}hr_sum": F.sum(precip).over(w.rowsBetween(1 - n, 0)) for n in (3, 6, 24)}
+
+
+def _onset_columns(w):
+    return {"is_rain_onset": F.col("is_raining") & ~F.lag("is_raining").over(w)}
+
+
+def row_lags(df: DataFrame, lags: list[int] = ROW_LAGS, series: str = "series", ts: str = "ts", y: str = "y", chunk: Column | None = None) -> DataFrame:
+    return windowed_by_rows(df, [series], [ts], max(lags), _lag_columns(y, lags), chunk)
 
-    def columns(w):
-        return {f"precip_{n}hr_sum": F.sum(precip).over(w.rowsBetween(1 - n, 0)) for n in (3, 6, 24)}
 
-    return windowed_by_rows(df, [series], [ts], 23, columns, chunk)
+def row_rolling(df: DataFrame, series: str = "series", ts: str = "ts", y: str = "y", chunk: Column | None = None) -> DataFrame:
+    """Previous 96 rows mean/std (24 needed) and previous 672 rows mean (96 needed)."""
+    return windowed_by_rows(df, [series], [ts], 672, _rolling_columns(y), chunk)
+
+
+def precip_sums(df: DataFrame, series: str = "series", ts: str = "ts", precip: str = "precip_mm", chunk: Column | None = None) -> DataFrame:
+    """Trailing 3, 6 and 24 row sums, current row included."""
+    return windowed_by_rows(df, [series], [ts], 23, _precip_columns(precip), chunk)
 
 
 def rain_onset(df: DataFrame, series: str = "series", ts: str = "ts", chunk: Column | None = None) -> DataFrame:
     """Raining now and not on the previous row; unknown stays unknown unless it is dry now."""
-    return windowed_by_rows(
-        df, [series], [ts], 1, lambda w: {"is_rain_onset": F.col("is_raining") & ~F.lag("is_raining").over(w)}, chunk
-    )
+    return windowed_by_rows(df, [series], [ts], 1, _onset_columns, chunk)
+
+
+def row_features(df: DataFrame, series: str = "series", ts: str = "ts", y: str | None = "y", precip: str | None = "precip_mm", chunk: Column | None = None) -> DataFrame:
+    """``precip_sums``, ``rain_onset``, ``row_lags`` and ``row_rolling`` in one pass: rows are numbered and cut into blocks once."""
+    makers = ([_precip_columns(precip), _onset_columns] if precip else []) + ([_lag_columns(y, ROW_LAGS), _rolling_columns(y)] if y else [])
+    if not makers:
+        return df
+    return windowed_by_rows(df, [series], [ts], 672 if y else 23, lambda w: {n: c for make in makers for n, c in make(w).items()}, chunk)
 
 
 def spikes(
@@ -200,13 +215,13 @@ def add_lags(df: DataFrame, series: str = "series", ts: str = "ts", y: str = "y"
         cadence = "monthly" if is_monthly(df, series, ts) else "rows"
     if cadence == "monthly":
         if strict:
-            bad = duplicate_months(df, series, ts).limit(10).collect()
+            double = duplicate_months(df, series, ts)
+            bad = double.limit(10).collect()
             if bad:
                 listed = ", ".join(f"{r[series]} {r['month']:%Y-%m}" for r in bad)
-                raise ValueError(f"monthly lags are ambiguous, more than one row for: {listed}")
+                raise ValueError(f"monthly lags are ambiguous, more than one row for {double.count()} months; duplicate_months lists them, first: {listed}")
         return calendar_rolling(calendar_lags(df, MONTHLY_LAGS, series, ts, y), series, ts, y)
-    chunk = F.trunc(F.col(ts).cast("date"), "month")
-    return row_rolling(row_lags(df, ROW_LAGS, series, ts, y, chunk), series, ts, y, chunk)
+    return row_features(df, series, ts, y, None, F.trunc(F.col(ts).cast("date"), "month"))
 
 
 def mase_scale(train: DataFrame, season: int, series: str = "series", ts: str = "ts", y: str = "y", by: list[str] | None = None, chunk: Column | None = None) -> DataFrame:

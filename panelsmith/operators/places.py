@@ -87,6 +87,30 @@ def fuzzy_candidates(queries: DataFrame, dim: DataFrame, q: str, d: str, cutoff:
     return pairs.where(fits)
 
 
+def _nested(queries: DataFrame, dim: DataFrame, name: str) -> DataFrame:
+    """(name, station): the only station whose words hold all of the name's or lie all within them, NULL for several.
+
+    Names meet in the rarest word of the smaller one, so a word that a third of all names use is no key unless it is
+    all that a name says.  Then every station with it is meant, and one row a word tells whether that is one.
+    """
+    qw = queries.select(name, F.array_distinct("_qt").alias("_q"))
+    dw = dim.where(F.size("_dt") > 0).select("station", F.array_distinct("_dt").alias("_d"))
+    at_word = dw.select("station", "_d", F.explode("_d").alias("_w"))
+    words = at_word.groupBy("_w").agg(F.count(F.lit(1)).alias("_n"), F.min("station").alias("_s"), F.max("station").alias("_e"))
+
+    def rarest(df, key, column):
+        """Each row with the word of ``column`` that fewest stations have; rows with a word that none has go."""
+        each = df.select(*key, column, F.explode(column).alias("_w")).join(words.select("_w", "_n"), "_w")
+        best = each.groupBy(*key, column).agg(F.min_by("_w", F.struct("_n", "_w")).alias("_w"), F.count(F.lit(1)).alias("_k"))
+        return best.where(F.col("_k") == F.size(column)).drop("_k")
+
+    alone = qw.where(F.size("_q") == 1).select(name, F.get("_q", F.lit(0)).alias("_w")).join(words, "_w").select(name, F.explode(F.array_distinct(F.array("_s", "_e"))).alias("station"))
+    several = qw.where(F.size("_q") > 1)
+    inside = rarest(several, [name], "_q").join(at_word, "_w").where(F.size(F.array_except("_q", "_d")) == 0).select(name, "station")
+    around = several.withColumn("_w", F.explode("_q")).join(rarest(dw, ["station"], "_d"), "_w").where(F.size(F.array_except("_d", "_q")) == 0).select(name, "station")
+    return _unique(alone.unionByName(inside).unionByName(around).distinct(), name)
+
+
 def match_places(queries: DataFrame, dim: DataFrame, name: str, code: str, label: str, aliases: dict[str, str] | None = None, fuzzy: bool = True) -> DataFrame:
     """(name, station, tier) per distinct query name; ambiguous or unknown names give NULL.
 
@@ -105,12 +129,7 @@ def match_places(queries: DataFrame, dim: DataFrame, name: str, code: str, label
 
     exact = live.join(d, "_key").groupBy(name).agg(F.count_distinct("station").alias("_n"), F.min("station").alias("station")).where("_n = 1").select(name, "station")
     rest = live.join(exact, name, "left_anti")
-    qs, ds = F.array_distinct("_qt"), F.array_distinct("_dt")
-    qw = rest.select(name, qs.alias("_q")).withColumn("_qfirst", F.array_min("_q"))
-    dw = d.where(F.size("_dt") > 0).select("station", ds.alias("_d")).withColumn("_dfirst", F.array_min("_d"))
-    inside = qw.join(dw.withColumn("_w", F.explode("_d")), F.col("_qfirst") == F.col("_w")).where(F.size(F.array_except("_q", "_d")) == 0).select(name, "station")
-    around = qw.withColumn("_w", F.explode("_q")).join(dw, F.col("_w") == F.col("_dfirst")).where(F.size(F.array_except("_d", "_q")) == 0).select(name, "station")
-    nested = _unique(inside.unionByName(around).distinct(), name)
+    nested = _nested(rest, d, name)
     out = (
         q.where("_alias is not null").select(name, F.col("_alias").alias("station"), F.lit("alias").alias("tier"))
         .unionByName(exact.withColumn("tier", F.lit("exact")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import calendar_columns, peak_columns
 from ..functions.holidays import holiday_flags
+from ..functions.scalars import weather_flag_columns
 from ..operators import events as E
 from ..operators import joins as J
 from ..operators import panel as P
@@ -61,12 +62,17 @@ def build_feature_store(
 def build_features(df: DataFrame, events: DataFrame | None = None, spans: DataFrame | None = None, cadence: str = "monthly", lags: bool = True, strict: bool = False) -> DataFrame:
     """Time, weather, event, station and lag features in sequence."""
     sub_daily = cadence != "monthly"
+    lagged = lags and "y" in df.columns
     out = add_time_features(df, "ts", sub_daily)
-    out = add_weather_features(out, "series", "ts", sub_daily)
-    if events is not None:
-        out = E.add_event_features(out, events, spans) if sub_daily else E.add_monthly_event_features(out, events, spans)
-    out = add_station_features(out)
-    return P.add_lags(out, cadence=cadence, strict=strict) if lags and "y" in out.columns else out
+    if not sub_daily:
+        out = add_weather_features(out, "series", "ts")
+        out = E.add_monthly_event_features(out, events, spans) if events is not None else out
+        return P.add_lags(add_station_features(out), cadence=cadence, strict=strict) if lagged else add_station_features(out)
+    wet = "precip_mm" in df.columns
+    out = out.withColumns(weather_flag_columns(df.columns)) if wet else out
+    # Everything that looks back over rows, in one pass, before the events' joins are added to the plan.
+    out = P.row_features(out, "series", "ts", "y" if lagged else None, "precip_mm" if wet else None, F.trunc(F.col("ts").cast("date"), "month"))
+    return add_station_features(E.add_event_features(out, events, spans) if events is not None else out)
 
 
 def write_splits(df: DataFrame, root: str, train_end: str, val_end: str, test_end: str, train_start: str | None = None) -> dict[str, str]:
