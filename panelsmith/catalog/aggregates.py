@@ -14,6 +14,7 @@ from .common import flag, rnd
 from .fixtures import with_
 from .joins import hourly_weather
 from .registry import query
+from .scores import interval_sql
 
 
 @query("agg_boardings", with_(["p2"], "SELECT period, origin, sum(riders) AS ridership, sum(riders) / 22 AS ridership_daily FROM p2 WHERE day_type = 'Total Trips' GROUP BY 1, 2"))
@@ -256,13 +257,7 @@ def _(t):
     return rnd(A.mean_std_scatter(X.p1(t), (1996, 2000)), 4, "std")
 
 
-_SCORE = """100 * avg(CAST(y >= p10 AND y <= p90 AS INTEGER)) AS coverage, 100 * avg(CAST(y < p10 AS INTEGER)) AS below_p10, 100 * avg(CAST(y > p90 AS INTEGER)) AS above_p90, 100 * avg((p90 - p10) / p50) AS width_of_p50,
-  100 * sum((p90 - p10) + 10 * (CASE WHEN y < p10 THEN p10 - y WHEN y > p90 THEN y - p90 ELSE 0 END)) / sum(y) AS interval_score"""
-
-
-@query("agg_band_breakdown", with_(["p6"], f"""SELECT origin, n, round(coverage, 2) AS coverage, round(below_p10, 2) AS below_p10, round(above_p90, 2) AS above_p90, round(width_of_p50, 2) AS width_of_p50, round(interval_score, 2) AS interval_score, coverage_by_month, round(width_of_p50, 2) AS width_raw_of_p50, round(q * 100, 2) AS abs_rel_error_q80 FROM
-  (SELECT origin, count(*) AS n, {_SCORE}, quantile_cont(abs(y - p50) / p50, 0.8) AS q FROM p6 WHERE p50 IS NOT NULL GROUP BY origin) JOIN
-  (SELECT origin, string_agg(c, ' ' ORDER BY ts) AS coverage_by_month FROM (SELECT origin, ts, printf('%.0f', 100 * avg(CAST(y >= p10 AND y <= p90 AS INTEGER))) AS c FROM p6 WHERE p50 IS NOT NULL GROUP BY 1, 2) GROUP BY 1) USING (origin)"""))
+@query("agg_band_breakdown", with_(["gp6"], f"""SELECT b.* EXCLUDE (width_all), b.width_all AS width_raw_of_p50, round(r.q * 100, 2) AS abs_rel_error_q80 FROM (SELECT s.*, w.width_all FROM ({interval_sql('origin')}) s JOIN (SELECT origin, round(100 * avg((p90 - p10) / nullif(p50, 0)), 2) AS width_all FROM gp6 GROUP BY 1) w USING (origin)) b
+  JOIN (SELECT origin, quantile_cont(abs(y - p50) / nullif(p50, 0), 0.8) AS q FROM gp6 GROUP BY 1) r USING (origin)"""))
 def _(t):
-    df = X.p6(t).where("p50 is not null").withColumns({"p10_raw": F.col("p10"), "p90_raw": F.col("p90")})
-    return A.band_breakdown(df, ["origin"])
+    return A.band_breakdown(X.gapped(t).withColumns({"p10_raw": F.col("p10"), "p90_raw": F.col("p90")}), ["origin"])

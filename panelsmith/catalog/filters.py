@@ -6,14 +6,16 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import joins as J
+from ..operators import panel as P
 from ..operators import places as PL
 from ..operators import spans as SP
+from ..operators.features import HUB_STATIONS
 from ..plans import feature_store as FS
 from ..sources import od as O
 from . import fixtures as X
 from .common import flag, rnd
 from .fixtures import TRAIN_END, with_
-from .joins import HOURLY_SQL, hourly_weather
+from .joins import ACTIVE_SQL, HOURLY_SQL, hourly_weather
 from .registry import query
 from .scalars import HOLIDAY_SQL
 
@@ -168,11 +170,66 @@ def _(t):
     return FS.refused_months(od_panel(t).withColumn("day_type", changed))
 
 
-@query("build_features", with_(["p1", "p4m", "merged_spans"], f"""SELECT b.series, b.ts, round(sin(2 * pi() * (month(b.ts) - 1) / 12), 6) AS month_sin, CASE WHEN cov THEN coalesce(e.n, 0) / greatest(peak, 1) END AS event_proximity_score,
-  CASE WHEN cov THEN CASE WHEN coalesce(e.big, false) THEN 2.0 WHEN coalesce(e.n, 0) > 0 THEN 1.0 ELSE 0.0 END END AS nearest_event_attendance_tier,
-  first_value(y) OVER (PARTITION BY b.series ORDER BY year(b.ts) * 12 + month(b.ts) RANGE BETWEEN 12 PRECEDING AND 12 PRECEDING) AS y_lag_12
-  FROM (SELECT *, {_COVERED} AS cov FROM p1 b) b LEFT JOIN ({_EVENTS_BY_MONTH}) e ON e.m = b.ts,
-  (SELECT max(n) AS peak FROM ({_EVENTS_BY_MONTH}) e2 WHERE EXISTS (SELECT 1 FROM merged_spans s WHERE s.span_start <= e2.m AND last_day(e2.m) <= s.span_end) AND e2.m IN (SELECT ts FROM p1))"""))
+# Every column that the build adds, in SQL; the panel is ``b`` with its day's holidays.
+_CYCLIC = ", ".join(f"round({f}(2 * pi() * {e} / {n}), 6) + 0.0 AS {k}_{f}" for k, e, n in (("hour", "hour(b.ts)", 24), ("dow", "(isodow(b.ts) - 1)", 7), ("month", "(month(b.ts) - 1)", 12)) for f in ("sin", "cos"))
+_TIME = f"""hour(b.ts) AS hour_of_day, isodow(b.ts) - 1 AS day_of_week, month(b.ts) AS month, weekofyear(b.ts) AS week_of_year, quarter(b.ts) AS quarter, year(b.ts) AS year,
+  {flag('isodow(b.ts) >= 6', 'is_weekend')}, {flag('isodow(b.ts) = 1', 'is_monday')}, {flag('isodow(b.ts) = 5', 'is_friday')}, {_CYCLIC}, d.is_holiday, d.is_holiday_eve"""
+_HUB = flag("CAST(b.series AS VARCHAR) IN (" + ", ".join(f"'{x}'" for x in HUB_STATIONS) + ")", "is_hub_station")
+
+
+def _days(panel: str) -> str:
+    """Holiday flags of each day of a panel."""
+    return f"""SELECT t.day, t.v AS is_holiday, e.v AS is_holiday_eve FROM (SELECT d AS day, {flag(f'({HOLIDAY_SQL})', 'v')} FROM (SELECT DISTINCT date_trunc('day', ts)::TIMESTAMP AS d FROM {panel})) t
+      JOIN (SELECT d - INTERVAL 1 DAY AS day, {flag(f'({HOLIDAY_SQL})', 'v')} FROM (SELECT DISTINCT date_trunc('day', ts)::TIMESTAMP + INTERVAL 1 DAY AS d FROM {panel})) e ON e.day = t.day"""
+
+
+def _months_back(k: int, least: int, fn: str) -> str:
+    frame = "PARTITION BY b.series ORDER BY year(b.ts) * 12 + month(b.ts) RANGE BETWEEN {} PRECEDING AND 1 PRECEDING".format(k)
+    return f"round(CASE WHEN count(y) OVER ({frame}) >= {least} THEN {fn}(y) OVER ({frame}) END, 3)"
+
+
+_LAGS = ", ".join(f"first_value(y) OVER (PARTITION BY b.series ORDER BY year(b.ts) * 12 + month(b.ts) RANGE BETWEEN {k} PRECEDING AND {k} PRECEDING) AS y_lag_{k}" for k in P.MONTHLY_LAGS)
+_MONTHLY = f"{_LAGS}, {_months_back(3, 2, 'avg')} AS y_rolling_mean_3mo, {_months_back(3, 2, 'stddev_samp')} AS y_rolling_std_3mo, {_months_back(12, 6, 'avg')} AS y_rolling_mean_12mo"
+_CYCLES = [f"{k}_{f}" for k in ("hour", "dow", "month") for f in ("sin", "cos")]
+
+
+def _plain(df, *names):
+    """Rounded to 6 places, with the sign of a rounded zero folded."""
+    return df.withColumns({c: F.round(c, 6) + 0.0 for c in names})
+
+
+@query("build_features", with_(["p1", "p4m", "merged_spans"], f"""SELECT b.series, b.ts, y, {_TIME}, {flag('CASE WHEN cov THEN coalesce(e.n > 0, false) END', 'is_any_event_day')}, {flag('CASE WHEN cov THEN coalesce(e.big, false) END', 'is_sharks_game_window')},
+  {flag('CASE WHEN cov THEN false END', 'is_pre_event_window')}, {flag('CASE WHEN cov THEN false END', 'is_post_event_window')}, CASE WHEN cov THEN coalesce(e.n, 0) / greatest(peak, 1) END AS event_proximity_score,
+  CASE WHEN cov THEN CASE WHEN coalesce(e.big, false) THEN 2.0 WHEN coalesce(e.n, 0) > 0 THEN 1.0 ELSE 0.0 END END AS nearest_event_attendance_tier, NULL::DOUBLE AS hours_to_next_event, NULL::DOUBLE AS hours_since_last_event, {_HUB}, {_MONTHLY}
+  FROM (SELECT *, {_COVERED} AS cov FROM p1 b) b JOIN days d ON d.day = date_trunc('day', b.ts) LEFT JOIN ({_EVENTS_BY_MONTH}) e ON e.m = b.ts,
+  (SELECT max(n) AS peak FROM ({_EVENTS_BY_MONTH}) e2 WHERE EXISTS (SELECT 1 FROM merged_spans s WHERE s.span_start <= e2.m AND last_day(e2.m) <= s.span_end) AND e2.m IN (SELECT ts FROM p1))""", {"days": _days("p1")}))
 def _(t):
     out = FS.build_features(X.p1(t), X.p4_monthly(t), X.spans(t))
-    return rnd(out, 6, "month_sin").select("series", "ts", "month_sin", "event_proximity_score", "nearest_event_attendance_tier", "y_lag_12")
+    return rnd(_plain(out, *_CYCLES), 3, "y_rolling_mean_3mo", "y_rolling_std_3mo", "y_rolling_mean_12mo")
+
+
+def _rows_back(n: int, least: int, fn: str) -> str:
+    frame = f"PARTITION BY b.series ORDER BY b.ts ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING"
+    return f"round(CASE WHEN count(y) OVER ({frame}) >= {least} THEN {fn}(y) OVER ({frame}) END, 6)"
+
+
+_HOURLY = f"""{", ".join(f"lag(y, {k}) OVER (PARTITION BY b.series ORDER BY b.ts) AS y_lag_{k}" for k in P.ROW_LAGS)}, {_rows_back(96, 24, 'avg')} AS y_rolling_mean_24h, {_rows_back(96, 24, 'stddev_samp')} AS y_rolling_std_24h, {_rows_back(672, 96, 'avg')} AS y_rolling_mean_7d,
+  {", ".join(f"round(sum(precip_mm) OVER (PARTITION BY b.series ORDER BY b.ts ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW), 6) AS precip_{n}hr_sum" for n in (3, 6, 24))}"""
+_RAINFALL = "CASE WHEN precip_mm <= 0.1 THEN 0.0 WHEN precip_mm <= 2.5 THEN 1.0 WHEN precip_mm <= 7.6 THEN 2.0 WHEN precip_mm <= 15 THEN 3.0 ELSE 4.0 END"
+_WEATHER = f"""{flag('precip_mm > 0.1', 'is_raining')}, {_RAINFALL}::DOUBLE AS precip_intensity, {flag('temp_f < 40', 'is_very_cold')}, {flag('temp_f > 90', 'is_very_hot')}, round(temp_f - 65, 6) AS temp_deviation, {flag('windspeed_mph > 20', 'is_windy')},
+  2 * {_RAINFALL} + 1.5 * CAST(temp_f < 40 AS INTEGER) + CAST(temp_f > 90 AS INTEGER) + 0.5 * CAST(windspeed_mph > 20 AS INTEGER) AS weather_discomfort, {flag('precip_mm > 0.1 AND NOT lag(precip_mm > 0.1) OVER (PARTITION BY b.series ORDER BY b.ts)', 'is_rain_onset')}"""
+_PEAKS = f"{flag('hour(b.ts) BETWEEN 7 AND 9', 'is_am_peak')}, {flag('hour(b.ts) BETWEEN 16 AND 19', 'is_pm_peak')}, {flag('hour(b.ts) BETWEEN 10 AND 15', 'is_midday')}, {flag('hour(b.ts) >= 22 OR hour(b.ts) <= 5', 'is_late_night')}"
+
+
+@query("build_features_sub_daily", with_(["p3", "p4"], f"""SELECT b.series, b.ts, b.temp_f, b.precip_mm, b.windspeed_mph, b.y, {_TIME}, {_PEAKS}, {_WEATHER}, {_HUB}, {_HOURLY}, {flag('coalesce(w.pre, false)', 'is_pre_event_window')}, {flag('coalesce(w.post, false)', 'is_post_event_window')},
+  {flag('coalesce(w.big, false)', 'is_sharks_game_window')}, round(coalesce(w.prox, 0), 6) AS event_proximity_score, {flag('w.ts IS NOT NULL', 'is_any_event_day')}, CASE WHEN coalesce(w.big, false) THEN 2.0 WHEN w.ts IS NOT NULL THEN 1.0 ELSE 0.0 END AS nearest_event_attendance_tier,
+  round(epoch(n.timestamp_start - b.ts) / 3600.0, 6) AS hours_to_next_event, round(epoch(b.ts - l.timestamp_end) / 3600.0, 6) AS hours_since_last_event
+  FROM panel b JOIN days d ON d.day = date_trunc('day', b.ts) LEFT JOIN around w ON w.ts = b.ts ASOF LEFT JOIN (SELECT DISTINCT timestamp_start FROM p4) n ON b.ts < n.timestamp_start ASOF LEFT JOIN (SELECT DISTINCT timestamp_end FROM p4) l ON b.ts > l.timestamp_end""",
+  {"panel": "SELECT station AS series, ts, temp_f, precip_mm, windspeed_mph, temp_f AS y FROM p3", "days": _days("p3"),
+   "around": f"SELECT ts, bool_or(ds >= 0 AND ds <= 3) AS pre, bool_or(de < 0 AND de >= -1.5) AS post, bool_or(is_sharks_game) AS big, max(exp(-0.5 * (ds / 3) * (ds / 3))) AS prox FROM ({ACTIVE_SQL}) GROUP BY ts"}))
+def _(t):
+    """The whole build of an hourly panel: row lags, peaks, rain sums and events around the hour."""
+    panel = X.p3(t).select(F.col("station").alias("series"), "ts", "temp_f", "precip_mm", "windspeed_mph", F.col("temp_f").alias("y"))
+    out = FS.build_features(panel, X.p4(t), cadence="rows")
+    rounded = ["temp_deviation", "event_proximity_score", "hours_to_next_event", "hours_since_last_event", "y_rolling_mean_24h", "y_rolling_std_24h", "y_rolling_mean_7d", *(f"precip_{n}hr_sum" for n in (3, 6, 24))]
+    return rnd(_plain(out, *_CYCLES), 6, *rounded)

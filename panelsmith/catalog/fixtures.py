@@ -18,6 +18,7 @@ from .registry import Tables
 TRAIN_END, TEST_END, HORIZON = "1999-12-31", "2000-06-30", 6
 FIRST_ORIGIN = "1998-12-31"
 ORIGINS = FC.month_end_origins(FIRST_ORIGIN, TRAIN_END)
+GAP_ORIGIN = ORIGINS[4]
 SPANS = [("1995-11-10", "1997-04-30"), ("1997-05-01", "1998-02-28"), ("1998-06-01", "1999-09-15"), ("1999-01-01", "1999-10-31")]
 LABELS = {"N": "Total Trips", "A": "Avg Weekday", "R": "Avg Saturday"}
 
@@ -104,6 +105,13 @@ def p6(t: Tables) -> DataFrame:
     return FC.rolling_pool(p1(t), ORIGINS, HORIZON, TRAIN_END)
 
 
+def gapped(t: Tables) -> DataFrame:
+    """The rolling pool without actuals of one series and without another's first forecasts from one origin."""
+    gone = (F.col("series") == 9) & (F.col("origin") == F.lit(GAP_ORIGIN).cast(NTZ)) & (F.col("horizon") < 4)
+    bands = {c: F.when(~gone, F.col(c)) for c in ("p10", "p50", "p90")}
+    return p6(t).withColumns({"y": F.when(F.col("series") != 4, F.col("y")), **bands})
+
+
 def scored(t: Tables) -> DataFrame:
     """Test months with actuals, naive forecasts, origin and horizon."""
     from ..operators.calibration import with_origin_horizon
@@ -154,6 +162,8 @@ CTE: dict[str, tuple[list[str], str]] = {
         (SELECT p1.*, origin, (year(ts) * 12 + month(ts)) - (year(origin) * 12 + month(origin)) AS horizon FROM p1 JOIN origins ON ts > origin
           AND (year(ts) * 12 + month(ts)) - (year(origin) * 12 + month(origin)) <= {HORIZON} AND ts <= TIMESTAMP '{TRAIN_END}') a
         LEFT JOIN (SELECT * FROM hist WHERE n >= 12) h ON a.series = h.series AND a.origin = h.origin AND h.rn = 12 - (a.horizon - 1) % 12"""),
+    "gp6": (["p6"], f"""SELECT series, ts, origin, horizon, CASE WHEN series <> 4 THEN y END AS y, CASE WHEN ok THEN p10 END AS p10, CASE WHEN ok THEN p50 END AS p50, CASE WHEN ok THEN p90 END AS p90
+        FROM (SELECT *, NOT (series = 9 AND origin = TIMESTAMP '{GAP_ORIGIN}' AND horizon < 4) AS ok FROM p6)"""),
     "scored": (["actuals", "p5"], f"""SELECT a.series, a.ts, a.y, f.p10, f.p50, f.p90, TIMESTAMP '{TRAIN_END}' AS origin, (year(a.ts) * 12 + month(a.ts)) - (1999 * 12 + 12) AS horizon
         FROM actuals a LEFT JOIN p5 f ON a.series = f.series AND a.ts = f.ts"""),
     "p7": ([], "SELECT CAST(n_nationkey AS BIGINT) AS series, n_name AS name, r_name AS region, CASE r_regionkey WHEN 0 THEN 'click' WHEN 1 THEN 'error' WHEN 2 THEN 'purchase' WHEN 3 THEN 'signup' END AS weather_station FROM nation JOIN region ON n_regionkey = r_regionkey"),

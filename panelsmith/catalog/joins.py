@@ -66,12 +66,12 @@ def _(t):
     return SP.with_coverage(X.p1(t), X.spans(t)).select("series", "ts", "covered")
 
 
-_ACTIVE = """SELECT g.ts, epoch(e.timestamp_start - g.ts) / 3600.0 AS ds, epoch(e.timestamp_end - g.ts) / 3600.0 AS de, e.is_sharks_game
+ACTIVE_SQL = """SELECT g.ts, epoch(e.timestamp_start - g.ts) / 3600.0 AS ds, epoch(e.timestamp_end - g.ts) / 3600.0 AS de, e.is_sharks_game
   FROM (SELECT DISTINCT ts FROM p3) g JOIN p4 e ON e.timestamp_start <= g.ts + INTERVAL 3 HOUR AND e.timestamp_end >= g.ts - INTERVAL 90 MINUTE"""
 
 
 @query("join_event_window", with_(["p3", "p4"], f"""SELECT ts, {flag('bool_or(ds >= 0 AND ds <= 3)', 'is_pre_event_window')}, {flag('bool_or(de < 0 AND de >= -1.5)', 'is_post_event_window')},
-  {flag('bool_or(is_sharks_game)', 'is_sharks_game_window')}, count(*) AS n_active FROM ({_ACTIVE}) GROUP BY ts""", ))
+  {flag('bool_or(is_sharks_game)', 'is_sharks_game_window')}, count(*) AS n_active FROM ({ACTIVE_SQL}) GROUP BY ts""", ))
 def _(t):
     # Distinct (start, end) pairs; the stream's time stamps are distinct, so each row is one event.
     return E.event_windows(X.p3(t), X.p4(t)).select("ts", "is_pre_event_window", "is_post_event_window", "is_sharks_game_window", "n_active")
@@ -87,11 +87,14 @@ def _(t):
     return rnd(E.hours_since_last(X.p3(t), X.p4(t)), 6, "hours_since_last_event")
 
 
-@query("add_event_features", with_(["p3", "p4"], f"""SELECT g.station, g.ts, round(coalesce(w.prox, 0), 6) AS event_proximity_score, CASE WHEN coalesce(w.big, false) THEN 2.0 WHEN w.ts IS NOT NULL THEN 1.0 ELSE 0.0 END AS nearest_event_attendance_tier
-  FROM p3 g LEFT JOIN (SELECT ts, max(exp(-0.5 * (ds / 3) * (ds / 3))) AS prox, bool_or(is_sharks_game) AS big FROM ({_ACTIVE}) GROUP BY ts) w ON w.ts = g.ts"""))
+@query("add_event_features", with_(["p3", "p4"], f"""SELECT g.station, g.ts, {flag('coalesce(w.pre, false)', 'is_pre_event_window')}, {flag('coalesce(w.post, false)', 'is_post_event_window')}, {flag('coalesce(w.big, false)', 'is_sharks_game_window')}, {flag('w.ts IS NOT NULL', 'is_any_event_day')},
+  round(coalesce(w.prox, 0), 6) AS event_proximity_score, CASE WHEN coalesce(w.big, false) THEN 2.0 WHEN w.ts IS NOT NULL THEN 1.0 ELSE 0.0 END AS nearest_event_attendance_tier,
+  round(epoch(n.timestamp_start - g.ts) / 3600.0, 6) AS hours_to_next_event, round(epoch(g.ts - l.timestamp_end) / 3600.0, 6) AS hours_since_last_event
+  FROM p3 g LEFT JOIN (SELECT ts, bool_or(ds >= 0 AND ds <= 3) AS pre, bool_or(de < 0 AND de >= -1.5) AS post, max(exp(-0.5 * (ds / 3) * (ds / 3))) AS prox, bool_or(is_sharks_game) AS big FROM ({ACTIVE_SQL}) GROUP BY ts) w ON w.ts = g.ts
+  ASOF LEFT JOIN (SELECT DISTINCT timestamp_start FROM p4) n ON g.ts < n.timestamp_start ASOF LEFT JOIN (SELECT DISTINCT timestamp_end FROM p4) l ON g.ts > l.timestamp_end"""))
 def _(t):
-    out = E.add_event_features(X.p3(t), X.p4(t))
-    return rnd(out, 6, "event_proximity_score").select("station", "ts", "event_proximity_score", "nearest_event_attendance_tier")
+    out = E.add_event_features(X.p3(t).select("station", "ts"), X.p4(t))
+    return rnd(out, 6, "event_proximity_score", "hours_to_next_event", "hours_since_last_event")
 
 
 @query("join_asof_regime", with_(["p1"], "SELECT series, ts, coalesce((SELECT max(p) FROM (VALUES ('1996-03-01'), ('1998-01-01'), ('1999-09-01')) v(p) WHERE CAST(p AS TIMESTAMP) <= ts), '1996-03-01') AS method_period FROM p1"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import metrics as M
 from ..operators import panel as P
+from ..operators.calibration import incomplete
 from ..plans import backtest as B
 from . import fixtures as X
 from .common import flag, rnd, ts_lit
@@ -55,14 +56,29 @@ def _(t):
     return M.score(X.p6(t), ["horizon"], ["width"], 3)
 
 
-_IS = """round(100 * avg(CAST(y >= p10 AND y <= p90 AS INTEGER)), 2) AS coverage, round(100 * avg(CAST(y < p10 AS INTEGER)), 2) AS below_p10, round(100 * avg(CAST(y > p90 AS INTEGER)), 2) AS above_p90, round(100 * avg((p90 - p10) / p50), 2) AS width_of_p50,
-  round(100 * sum((p90 - p10) + 10 * (CASE WHEN y < p10 THEN p10 - y WHEN y > p90 THEN y - p90 ELSE 0 END)) / sum(y), 2) AS interval_score"""
+_COMPLETE = "count(*) FILTER (WHERE y IS NOT NULL AND (p10 IS NULL OR p90 IS NULL)) = 0 AND count(y) > 0"
+_MISS = "CASE WHEN y < p10 THEN p10 - y WHEN y > p90 THEN y - p90 ELSE 0 END"
+_BAND = {
+    "coverage": "100 * avg(CASE WHEN y IS NOT NULL THEN CAST(y >= p10 AND y <= p90 AS INTEGER) END)", "below_p10": "100 * avg(CASE WHEN y < p10 THEN 1 ELSE 0 END)",
+    "above_p90": "100 * avg(CASE WHEN y > p90 THEN 1 ELSE 0 END)", "width_of_p50": "100 * avg((p90 - p10) / nullif(p50, 0))", "interval_score": f"100 * sum((p90 - p10) + 10 * ({_MISS})) / sum(y)",
+}
+
+
+_IS = ", ".join(f"round({e}, 2) AS {n}" for n, e in _BAND.items())
+
+
+def interval_sql(by: str, source: str = "gp6") -> str:
+    """Interval scores of a pool by the columns ``by``; groups with a forecast missing where there is an actual have none."""
+    scores = ", ".join(f"CASE WHEN {_COMPLETE} THEN round({e}, 2) END AS {n}" for n, e in _BAND.items())
+    return f"""SELECT a.*, CASE WHEN a.coverage IS NOT NULL THEN b.months END AS coverage_by_month FROM (SELECT {by}, count(*) AS n, {scores} FROM {source} GROUP BY {by}) a JOIN (SELECT {by}, string_agg(c, ' ' ORDER BY ts) AS months FROM
+  (SELECT {by}, ts, printf('%.0f', 100 * avg(coalesce(CAST(y >= p10 AND y <= p90 AS INTEGER), 0))) AS c FROM {source} GROUP BY {by}, ts) GROUP BY {by}) b USING ({by})"""
 
 
-@query("m_interval_score", with_(["p6"], f"""SELECT a.*, b.coverage_by_month FROM (SELECT horizon, count(*) AS n, {_IS} FROM p6 WHERE p50 IS NOT NULL GROUP BY horizon) a JOIN (SELECT horizon, string_agg(c, ' ' ORDER BY ts) AS coverage_by_month FROM
-  (SELECT horizon, ts, printf('%.0f', 100 * avg(CAST(y >= p10 AND y <= p90 AS INTEGER))) AS c FROM p6 WHERE p50 IS NOT NULL GROUP BY 1, 2) GROUP BY 1) b ON a.horizon = b.horizon"""))
+@query("m_interval_score", with_(["gp6"], f"SELECT s.*, i.n_incomplete FROM ({interval_sql('horizon')}) s JOIN (SELECT horizon, count(*) FILTER (WHERE y IS NOT NULL AND p50 IS NULL) AS n_incomplete FROM gp6 GROUP BY 1) i USING (horizon)"))
 def _(t):
-    return M.interval_scores(X.p6(t).where("p50 is not null"), ["horizon"])
+    pool = X.gapped(t)
+    missing = pool.groupBy("horizon").agg(F.count_if(incomplete()).alias("n_incomplete"))
+    return M.interval_scores(pool, ["horizon"]).join(missing, "horizon")
 
 
 _SLICED = """SELECT 'overall' AS slice, 'all' AS slice_value, * FROM hp UNION ALL SELECT 'series', CAST(series AS VARCHAR), * FROM hp UNION ALL SELECT 'hour', CAST(hour(ts) AS VARCHAR), * FROM hp UNION ALL SELECT 'weekday', CAST(isodow(ts) - 1 AS VARCHAR), * FROM hp

@@ -21,16 +21,38 @@ from .fixtures import with_
 from .registry import query
 
 
-@query("src_od_months", "SELECT 'orders.parquet' AS file_name, count(*) AS n FROM orders")
+def named_files(df, column: str, folder: str, kind: str = "parquet") -> str:
+    """One file of a kind for each value of ``column``, named by it: Spark writes a folder a value, its file is then moved up."""
+    spark, staged = df.sparkSession, scratch_dir(df.sparkSession, "staged")
+    df.repartition(column).write.partitionBy(column).format(kind).save(staged)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    files = hadoop.Path(staged).getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(hadoop.Path(folder))
+    for found in files.globStatus(hadoop.Path(f"{staged}/{column}=*/part-*")):
+        files.rename(found.getPath(), hadoop.Path(f"{folder}/{found.getPath().getParent().getName().partition('=')[2]}"))
+    return folder
+
+
+@query("src_od_months", "SELECT 'bart_od_' || strftime(l_shipdate, '%Y_%m') || '.parquet' AS file_name, count(*) AS n, sum(l_quantity) AS riders FROM lineitem GROUP BY 1")
 def _(t):
-    df = FL.read_matching(t.spark, t.folder, "order[s].parquet")
-    return df.select(F.col("_metadata.file_name").alias("file_name")).groupBy("file_name").agg(F.count(F.lit(1)).alias("n"))
+    # A file a month, and beside them one a year that holds the same rows again.
+    rows = t.lineitem.select("l_quantity", F.concat(F.lit("bart_od_"), F.date_format("l_shipdate", "yyyy_MM"), F.lit(".parquet")).alias("file"))
+    years = t.lineitem.select("l_quantity", F.concat(F.lit("bart_od_all_"), F.year("l_shipdate").cast("string"), F.lit(".parquet")).alias("file"))
+    folder = named_files(rows.unionByName(years), "file", scratch_dir(t.spark, "od-months"))
+    df = FL.read_matching(t.spark, folder).withColumn("file_name", F.col("_metadata.file_name"))
+    return df.groupBy("file_name").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("riders"))
 
 
-@query("src_skip_corrupt", "SELECT 'events.parquet' AS source, count(*) AS n, round(sum(value), 2) AS total FROM events")
+@query("src_skip_corrupt", """SELECT 'weather_' || event_type || '.parquet' AS source, 'read' AS status, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1
+  UNION ALL SELECT 'weather_damaged_' || r_regionkey || '.parquet', 'skipped', 0, NULL FROM region""")
 def _(t):
-    df = FL.read_skipping_corrupt(t.spark, t.folder, t.events.schema, "event*.parquet")
-    return df.groupBy(F.element_at(F.split("source_file", "/"), -1).alias("source")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
+    folder = named_files(t.events.select("value", F.concat(F.lit("weather_"), "event_type", F.lit(".parquet")).alias("file")), "file", scratch_dir(t.spark, "weather"))
+    # Texts under the name of parquet files: what a broken download leaves.
+    named_files(t.region.select("r_name", F.concat(F.lit("weather_damaged_"), F.col("r_regionkey").cast("string"), F.lit(".parquet")).alias("file")), "file", folder, "text")
+    rows = FL.read_skipping_corrupt(t.spark, folder, "value double", "weather_*.parquet")
+    read = rows.groupBy(F.element_at(F.split("source_file", "/"), -1).alias("source")).agg(F.lit("read").alias("status"), F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
+    unread = FL.unread_files(t.spark, folder, rows, "weather_*.parquet")
+    return read.unionByName(unread.select(F.col("file_name").alias("source"), F.lit("skipped").alias("status"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("double").alias("total")))
 
 
 @query("src_latest_wins", with_(["p3"], "SELECT station, ts, temp_f + 100 AS temp_f, 2 AS version FROM p3 WHERE station <> 'error' UNION ALL SELECT station, ts, temp_f, 1 FROM p3 WHERE station = 'error'"))
@@ -40,11 +62,14 @@ def _(t):
     return FL.latest_wins(old.unionByName(new), ["station", "ts"], ["version"])
 
 
-@query("src_latest_wins_files", "SELECT o_orderkey, o_totalprice FROM orders")
+@query("src_latest_wins_files", "SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 1 THEN o_totalprice + 2 WHEN o_orderkey % 2 = 1 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM orders")
 def _(t):
-    # The same file read twice: one row per key survives, whatever the read order.
-    df = FL.with_file_version(t.orders)
-    return FL.latest_wins(df.unionByName(df), ["o_orderkey"]).select("o_orderkey", "o_totalprice")
+    # Three fetches, each of fewer orders and with new values; the newest file that has an order wins.
+    folder = scratch_dir(t.spark, "fetches")
+    for i, (kept, added) in enumerate((("true", 0), ("o_orderkey % 2 = 1", 1), ("o_orderkey % 4 = 1", 2))):
+        FL.write_parquet(t.orders.where(kept).select("o_orderkey", (F.col("o_totalprice") + added).alias("o_totalprice")), f"{folder}/fetch_{i}")
+    df = t.spark.read.option("recursiveFileLookup", "true").parquet(folder)
+    return FL.latest_wins(FL.with_file_version(df), ["o_orderkey"]).select("o_orderkey", "o_totalprice")
 
 
 @query("src_newest_forecast_file", "SELECT event_id, value FROM events WHERE event_type = (SELECT max(event_type) FROM events)")
@@ -99,14 +124,15 @@ def _(t):
     return O.od_melt(wide, ["period", "origin"], _NATIONS[:20])
 
 
-@query("od_workbook_union", "SELECT CASE l_returnflag WHEN 'N' THEN 'Total Trips' WHEN 'A' THEN 'Avg Weekday' ELSE 'Avg Saturday' END AS day_type, TIMESTAMP '1998-03-01' AS period, n_name AS origin_name, sum(l_quantity) AS riders FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE l_shipdate >= TIMESTAMP '1998-03-01' AND l_shipdate < TIMESTAMP '1998-04-01' GROUP BY 1, 2, 3")
+@query("od_workbook_union", """SELECT CASE l_returnflag WHEN 'N' THEN 'Total Trips' WHEN 'A' THEN 'Avg Weekday' ELSE 'Avg Saturday' END AS day_type, date_trunc('month', l_shipdate)::TIMESTAMP AS period, year(l_shipdate) AS year, month(l_shipdate) AS month,
+  n_name AS origin_name, sum(l_quantity) AS riders, count(*) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2, 3, 4, 5""")
 def _(t):
-    rows = t.lineitem.where("l_shipdate >= timestamp_ntz'1998-03-01' and l_shipdate < timestamp_ntz'1998-04-01'").join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey"))
-    rows = rows.select(F.col("s_nationkey").alias("origin"), F.col("s_nationkey").alias("destination"), F.col("l_quantity").alias("riders"), "l_returnflag")
+    rows = t.lineitem.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+    rows = rows.select(F.col("s_nationkey").alias("origin"), F.col("s_nationkey").alias("destination"), F.col("l_quantity").alias("riders"), "l_returnflag", "l_shipdate")
     sheets = {"Total Trips": "N", "Avg Weekday": "A", "Avg Saturday": "R"}
     names = t.nation.select(F.col("n_nationkey").alias("code"), F.col("n_name").alias("name"))
-    out = O.union_sheets({k: rows.where(F.col("l_returnflag") == f).drop("l_returnflag") for k, f in sheets.items()}, 1998, 3, names)
-    return out.groupBy("day_type", "period", "origin_name").agg(F.sum("riders").alias("riders"))
+    out = O.union_sheets({k: rows.where(F.col("l_returnflag") == f).drop("l_returnflag") for k, f in sheets.items()}, F.col("l_shipdate"), names)
+    return out.groupBy("day_type", "period", "year", "month", "origin_name").agg(F.sum("riders").alias("riders"), F.count(F.lit(1)).alias("n"))
 
 
 @query("day_type_of_sheet", "SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'Avg Weekday' WHEN 1 THEN 'Avg Saturday' WHEN 2 THEN 'Avg Sunday' ELSE 'Total Trips' END AS day_type FROM part")

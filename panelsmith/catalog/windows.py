@@ -117,14 +117,14 @@ def _(t):
     return rows.join(tail.select("series", F.col("_idx").cast("long").alias("idx"), F.col("_value").alias("value")), ["series", "idx"])
 
 
-_SCORED_POOL = "SELECT *, abs(y - p50) / p50 AS s, power(0.5, ((1999 * 12 + 12) - (year(ts) * 12 + month(ts))) / 6.0) AS w FROM p6 WHERE y IS NOT NULL AND p50 > 0"
+_SCORED_POOL = "SELECT *, CASE WHEN y IS NULL OR p50 IS NULL THEN NULL WHEN p50 <> 0 THEN abs((y - p50) / p50) WHEN y = p50 THEN 0 ELSE 'inf'::DOUBLE END AS s, power(0.5, ((1999 * 12 + 12) - (year(ts) * 12 + month(ts))) / 6.0) AS w FROM gp6"
 
 
-@query("win_weighted_cumsum", with_(["p6"], f"SELECT series, ts, origin, horizon, round(sum(w) OVER (PARTITION BY horizon ORDER BY s, w, series, ts, origin ROWS UNBOUNDED PRECEDING), 6) AS cum FROM ({_SCORED_POOL})"))
+@query("win_weighted_cumsum", with_(["gp6"], f"SELECT series, ts, origin, horizon, round(sum(w) OVER (PARTITION BY horizon ORDER BY s NULLS FIRST, w, series, ts, origin ROWS UNBOUNDED PRECEDING), 6) AS cum FROM ({_SCORED_POOL})"))
 def _(t):
     from ..operators.calibration import decay, resolved_pool
 
-    pool = resolved_pool(X.p6(t), X.TRAIN_END).where("y is not null and p50 > 0").withColumns({"s": F.abs(safe_ratio(F.col("y") - F.col("p50"), "p50")), "w": decay(6.0)})
+    pool = resolved_pool(X.gapped(t), X.TRAIN_END).withColumns({"s": F.abs(safe_ratio(F.col("y") - F.col("p50"), "p50")), "w": decay(6.0)})
     return rnd(running_mass(pool, ["horizon"], "s", "w", ["series", "ts", "origin"]), 6, "cum").select("series", "ts", "origin", "horizon", "cum")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import INF, no_nan
@@ -26,6 +26,22 @@ def read_skipping_corrupt(spark: SparkSession, folder: str, schema, glob: str =
     return df.withColumn("source_file", F.col("_metadata.file_path"))
 
 
+def file_manifest(spark: SparkSession, folder: str, glob: str = "*.parquet") -> DataFrame:
+    """(file_name, path, bytes, modified) of every file that matches; a listing, no file is opened."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(folder)
+    return listed.select(_name_of("path").alias("file_name"), "path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
+
+
+def unread_files(spark: SparkSession, folder: str, rows: DataFrame, glob: str = "*.parquet") -> DataFrame:
+    """The manifest's files that gave none of ``rows`` (of ``read_skipping_corrupt``): damaged ones, and ones without rows."""
+    gave = rows.select(_name_of("source_file").alias("file_name")).distinct()
+    return file_manifest(spark, folder, glob).join(gave, "file_name", "left_anti")
+
+
+def _name_of(path: str) -> Column:
+    return F.element_at(F.split(path, "/"), -1)
+
+
 def with_file_version(df: DataFrame) -> DataFrame:
     """Tag rows with their own file's modification time and path."""
     return df.withColumns({"file_mtime": F.col("_metadata.file_modification_time"), "file_path": F.col("_metadata.file_path")})

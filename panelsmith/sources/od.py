@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.calendar import NTZ
+from ..functions.calendar import NTZ, month_start
 from ..functions.scalars import clean_code, congestion_level, contains_ci, is_station_code
 
 OD_CSV_SCHEMA = "year string, month string, day_type string, origin string, destination string, riders string"
@@ -54,11 +54,14 @@ def od_melt(wide: DataFrame, ids: list[str], codes: list[str], name: str = "dest
     return long.withColumn(value, F.coalesce(F.expr(f"try_cast({value} as double)"), F.lit(0.0)))
 
 
-def union_sheets(sheets: dict[str, DataFrame], year: int, month: int, names: DataFrame | None = None) -> DataFrame:
-    """Sheets tagged with their day type, period columns added, names joined if given."""
+def union_sheets(sheets: dict[str, DataFrame], period: Column, names: DataFrame | None = None) -> DataFrame:
+    """Sheets of any number of workbooks tagged with their day type, period columns added, names joined if given.
+
+    ``period`` is any time in the workbook's month: a literal for one workbook, a column of the sheets for many.
+    """
     parts = [df.withColumn("day_type", F.lit(k)) for k, df in sheets.items()]
     out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    out = out.withColumns({"year": F.lit(year), "month": F.lit(month), "period": F.make_date(F.lit(year), F.lit(month), F.lit(1)).cast(NTZ)})
+    out = out.withColumns({"year": F.year(period), "month": F.month(period), "period": month_start(period)})
     if names is not None:
         for side in ("origin", "destination"):
             out = out.join(names.select(F.col("code").alias(side), F.col("name").alias(f"{side}_name")), side, "left")
