@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -14,6 +14,12 @@ from .common import map_columns
 
 GRAMS, DIMENSIONS = (1, 2, 3), 1 << 13
 UNKNOWN = "und"
+#: Code points from which a text says enough to be told from all learnt languages.
+LONG_ENOUGH = 100
+#: An n-gram is familiar if at least this share of the learnt rows has it.
+FAMILIAR = 0.01
+#: A long text may have FLOOR_SLACK times the unfamiliar n-grams that all but FLOOR_QUANTILE of a language's texts stay below.
+FLOOR_SLACK, FLOOR_QUANTILE, FLOOR_ROWS = 1.5, 0.001, 50
 _MULTIPLIERS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
 
 
@@ -43,6 +49,11 @@ def presence_matrix(texts: list[str]) -> np.ndarray:
     return m / np.sqrt(np.maximum(m.sum(axis=1, keepdims=True), 1))
 
 
+def familiar_share(bits: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Of each row's n-grams, the share that is common."""
+    return (bits & common).sum(axis=1) / np.maximum(bits.sum(axis=1), 1)
+
+
 @dataclass(frozen=True)
 class KernelRidge:
     """Landmarks, Nystrom map and weights, multiplied out to one column of n-gram weights for each language.
@@ -54,6 +65,21 @@ class KernelRidge:
     languages: tuple[str, ...]
     columns: np.ndarray
     bias: np.ndarray
+    #: N-grams that a good many of the learnt rows have, and for each language the share of familiar n-grams below which a
+    #: long text is in none of them; empty: not measured.
+    common: np.ndarray | None = None
+    floors: tuple[float, ...] = ()
+
+    def explains(self, texts: list[str | None]) -> list[bool]:
+        """Whether a text may be in a learnt language: false for texts without a letter, and for long ones with too few familiar n-grams."""
+        found = [has_letter(t) for t in texts]
+        rows = [i for i, t in enumerate(texts) if found[i] and self.floors and len(t) >= LONG_ENOUGH]
+        if rows:
+            bits = np.stack([presence(texts[i]) for i in rows])
+            best = (bits.astype(np.float32) / np.sqrt(np.maximum(bits.sum(axis=1, keepdims=True), 1)) @ self.columns + self.bias).argmax(axis=1)
+            for i, b, share in zip(rows, best, familiar_share(bits, self.common), strict=True):
+                found[i] = bool(share >= self.floors[b])
+        return found
 
     def scores(self, texts: list[str]) -> np.ndarray:
         return presence_matrix(texts) @ self.columns + self.bias
@@ -108,8 +134,36 @@ def held_out(id_col: Column) -> Column:
 def learn_languages(docs: DataFrame, most_rows: int = 4000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", landmarks: int = 256) -> KernelRidge:
     """Fit on at most ``most_rows`` rows with a language and a letter outside the held-out fold, chosen by a hash of the id.
 
-    Executors make the presence vectors; the driver gets those of the sample only.
+    Executors make the presence vectors; the driver gets those of the sample only.  Without such rows no language is learnt.
+    """
+    bits, langs, _ = _learnable(docs, most_rows, id_col, text_col, lang_col)
+    return fit_ridge(bits, langs, landmarks)
+
+
+def learn_with_floors(docs: DataFrame, most_rows: int = 4000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", landmarks: int = 256) -> KernelRidge:
+    """``learn_languages`` with the share of familiar n-grams below which a long text is in none of the languages.
+
+    It is measured for each language on sampled rows that did not make the n-grams familiar: half of them do, the others
+    are measured, and the other way round.  A language with fewer than FLOOR_ROWS long rows gets no floor.
     """
+    bits, langs, sizes = _learnable(docs, most_rows, id_col, text_col, lang_col)
+    model = fit_ridge(bits, langs, landmarks)
+    if not model.languages:
+        return model
+    bits, of, odd = bits.astype(bool), np.array(langs), np.arange(len(langs)) % 2 == 1
+    share = np.ones(len(langs))
+    for fold in (odd, ~odd):
+        if fold.any():
+            share[~fold] = familiar_share(bits[~fold], bits[fold].mean(axis=0) >= FAMILIAR)
+    floors = []
+    for name in model.languages:
+        own = share[(of == name) & (sizes >= LONG_ENOUGH)]
+        floors.append(1 - FLOOR_SLACK * (1 - float(np.quantile(own, FLOOR_QUANTILE))) if len(own) >= FLOOR_ROWS else -np.inf)
+    return replace(model, common=bits.mean(axis=0) >= FAMILIAR, floors=tuple(floors))
+
+
+def _learnable(docs: DataFrame, most_rows: int, id_col: str, text_col: str, lang_col: str) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """Presence vectors, languages and lengths of the sampled rows, in the order they were drawn."""
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}") & ~held_out(F.col(id_col)))
     keys = rows.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("lang"))
     drawn = keys.withColumn("draw", F.xxhash64("id", "lang"))
@@ -117,12 +171,13 @@ def learn_languages(docs: DataFrame, most_rows: int = 4000, id_col: str = "doc_i
     texts = rows.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).join(F.broadcast(sample.distinct()), ["id", "lang"])
 
     def make():
-        return lambda text, lang, draw: [[np.packbits(presence(t)).tobytes() for t in text], lang, draw]
+        return lambda text, lang, draw: [[np.packbits(presence(t)).tobytes() for t in text], lang, draw, [len(t) for t in text]]
 
-    made = map_columns(texts.select("text", "lang", "draw"), make, "bits binary, lang string, draw long", pa.schema([("bits", pa.binary()), ("lang", pa.string()), ("draw", pa.int64())]))
-    got = sorted(made.limit(most_rows).collect(), key=lambda r: (r.draw, r.lang, bytes(r.bits)))
+    arrow = pa.schema([("bits", pa.binary()), ("lang", pa.string()), ("draw", pa.int64()), ("size", pa.int64())])
+    made = map_columns(texts.select("text", "lang", "draw"), make, "bits binary, lang string, draw long, size long", arrow)
+    got = made.orderBy("draw", "lang", "bits", "size").limit(most_rows).collect()
     bits = np.unpackbits(np.frombuffer(b"".join(r.bits for r in got), np.uint8).reshape(len(got), -1), axis=1) if got else np.zeros((0, DIMENSIONS), np.uint8)
-    return fit_ridge(bits, [r.lang for r in got], landmarks)
+    return bits, [r.lang for r in got], np.array([r.size for r in got], dtype=np.int64)
 
 
 def predict_languages(docs: DataFrame, model: KernelRidge, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -140,14 +195,21 @@ def predict_languages(docs: DataFrame, model: KernelRidge, id_col: str = "doc_id
     return map_columns(source, make, "id long, lang_pred string, score double", arrow).withColumnRenamed("id", id_col)
 
 
-def keep_identified(docs: DataFrame, model: KernelRidge, least: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose language is told with a score above ``least``, with all their columns; ``und`` goes."""
+def keep_identified(docs: DataFrame, model: KernelRidge, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that may be in a language of the model, with all their columns.
+
+    Null texts and texts without a letter go, and so do texts of at least LONG_ENOUGH code points with fewer familiar n-grams
+    than the floor of their best language: other scripts and languages, random letters.  Texts in several learnt languages
+    are familiar and stay.  Shorter texts say too little to be refused and stay.  A model without languages can refuse nothing: all rows stay.  Repeated rows are treated alike.
+    """
+    if not model.languages:
+        return docs
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        found: list[float] = []
+    @F.pandas_udf("boolean")
+    def explained(texts: pd.Series) -> pd.Series:
+        found: list[bool] = []
         for s in range(0, len(texts), 256):
-            found += model.predict(texts.iloc[s : s + 256].tolist())[1]
-        return pd.Series(found, dtype="float64")
+            found += model.explains(texts.iloc[s : s + 256].tolist())
+        return pd.Series(found, dtype="bool")
 
-    return docs.where(score(F.col(text_col)) > least)
+    return docs.where(explained(F.col(text_col)))

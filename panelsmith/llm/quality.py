@@ -138,7 +138,7 @@ def learn_quality(docs: DataFrame, labels: DataFrame, most_rows: int = 6000, id_
         return fn
 
     made = map_columns(texts.select("text", "size", "y"), make, "i binary, v binary, y int", pa.schema([("i", pa.binary()), ("v", pa.binary()), ("y", pa.int32())]))
-    rows = sorted(made.dropDuplicates().limit(most_rows).collect(), key=lambda r: (zlib.crc32(r.i), bytes(r.i), r.y))
+    rows = sorted(made.dropDuplicates().orderBy("i", "v", "y").limit(most_rows).collect(), key=lambda r: (zlib.crc32(r.i), bytes(r.i), r.y))
     return fit_machine([(np.frombuffer(r.i, "<u4").astype(np.int64), np.frombuffer(r.v, "<f4").astype(np.float64), r.y) for r in rows])
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, replace
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -33,14 +34,11 @@ def shingle_hashes(text: str | None, shingle: int = 3) -> np.ndarray:
     return np.fromiter((digest(line[a:b], SEED) for a, b in zip(first, last, strict=True)), dtype=np.uint64, count=len(first))
 
 
-def fingerprint(text: str | None, shingle: int = 3, words: int = 1) -> bytes:
-    """SimHash of a text in ``words`` * 64 bits, most significant byte first.
+def simhash_bits(hashes: np.ndarray, words: int = 1) -> bytes:
+    """SimHash of 64-bit hashes in ``words`` * 64 bits, most significant byte first: a bit is 1 if set in over half of them.
 
-    A-Z are lower-cased, words stand between ASCII blanks, repeated shingles
-    count; a text of fewer words is one shingle, one without words has only 0 bits.
-    The first 64 bits are those of the shingles' XXH64; further ones are mixed from it.
+    The first 64 bits are those of the hashes; further ones are mixed from them.
     """
-    hashes = shingle_hashes(text, shingle)
     ones = np.zeros((words, BITS), dtype=np.int64)
     for s in range(0, len(hashes), 1 << 14):
         h = hashes[s : s + (1 << 14)]
@@ -51,6 +49,15 @@ def fingerprint(text: str | None, shingle: int = 3, words: int = 1) -> bytes:
     return np.packbits(2 * ones > len(hashes), axis=1, bitorder="little").view(np.uint64).astype(">u8").tobytes()
 
 
+def fingerprint(text: str | None, shingle: int = 3, words: int = 1) -> bytes:
+    """``simhash_bits`` of the shingles of a text.
+
+    A-Z are lower-cased, words stand between ASCII blanks, repeated shingles
+    count; a text of fewer words is one shingle, one without words has only 0 bits.
+    """
+    return simhash_bits(shingle_hashes(text, shingle), words)
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, words: int = 1) -> DataFrame:
     """(``id``, ``fp`` binary); null and blank texts have 0 bits only."""
 
@@ -61,6 +68,15 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_columns(source, make, "id long, fp binary", pa.schema([("id", pa.int64()), ("fp", pa.binary())]))
 
 
+#: Words of 64 bits of the fingerprint of a set of shingles.
+SET_WORDS = 16
+#: Two sets of Jaccard similarity J and equal size differ in a share acos(2 J / (1 + J)) / pi of the bits: at 0.8 in 155 of 1024, with a
+#: standard deviation of 11.5.  212 is five of them more; of pairs at 0.5 (274 bits) one in 100,000 is as near.
+NEAR_BITS = 212
+#: Smaller sets have fingerprints that spread wider and are compared as sets at once.
+LEAST_SHINGLES = 64
+
+
 #: Runs of least hashes for candidates by sets.  Two sets of Jaccard similarity J agree in a run with
 #: probability J ** 6, whatever their sizes: of pairs at 0.8 five in a million agree in none of 40.
 RUNS, RUN_LENGTH = 40, 6
@@ -81,22 +97,22 @@ def least_hash_keys(hashes: np.ndarray) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """(``id``, ``text``, ``fp`` binary, ``keys`` binary, ``size``) of each row's distinct shingles.
+    """(``id``, ``text``, ``fp`` binary, ``keys`` binary, ``size``, ``bits`` binary) of each row's distinct shingles.
 
     ``fp`` is a 128-bit hash of the set, the same for texts with the same shingles however often each is
-    repeated; ``keys`` are those of ``least_hash_keys``, ``size`` the number of shingles.
+    repeated; ``keys`` are those of ``least_hash_keys``, ``size`` is the number of shingles, ``bits`` their SimHash.
     """
 
     def make():
         def rows(ids, texts):
             sets = [np.unique(shingle_hashes(t, shingle)) for t in texts]
-            return [ids, texts, [xxhash.xxh3_128_digest(x.tobytes()) for x in sets], [least_hash_keys(x).tobytes() for x in sets], [len(x) for x in sets]]
+            return [ids, texts, [xxhash.xxh3_128_digest(x.tobytes()) for x in sets], [least_hash_keys(x).tobytes() for x in sets], [len(x) for x in sets], [simhash_bits(x, SET_WORDS) for x in sets]]
 
         return rows
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    arrow = pa.schema([("id", pa.int64()), ("text", pa.string()), ("fp", pa.binary()), ("keys", pa.binary()), ("size", pa.int64())])
-    return map_columns(source, make, "id long, text string, fp binary, keys binary, size long", arrow)
+    arrow = pa.schema([("id", pa.int64()), ("text", pa.string()), ("fp", pa.binary()), ("keys", pa.binary()), ("size", pa.int64()), ("bits", pa.binary())])
+    return map_columns(source, make, "id long, text string, fp binary, keys binary, size long, bits binary", arrow)
 
 
 def candidate_links(groups: DataFrame) -> DataFrame:
@@ -271,62 +287,115 @@ def near_links(
     return asks.union(holds).groupBy("tree", "shard", "asker", "holder").applyInPandas(_links_in_shard(radius), "a long, b long")
 
 
-def _similar_in_block(jaccard: float):
-    def search(part: pd.DataFrame) -> pd.DataFrame:
-        """Links that connect all sets of the block, or of its two halves, with a similarity of ``jaccard``; exact on the hashed shingles."""
-        nodes, half = part["node"].to_numpy(), part["half"].to_numpy()
-        sets = [np.frombuffer(x, dtype=np.uint64) for x in part["shingles"]]
-        sizes = np.array([len(x) for x in sets], dtype=np.int64)
-        starts = np.cumsum(sizes) - sizes
-        flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
-        mark, label = np.zeros(len(flat), dtype=np.int32), np.arange(len(nodes))
-        between = (part["low"] != part["high"]).iloc[0]
-        a, b = [], []
-        for i in range(len(nodes)):
-            wanted = (label != label[i]) & (sizes >= jaccard * sizes[i] - 1e-6) & (sizes[i] >= jaccard * sizes - 1e-6)
-            wanted[: i + 1] = False
-            if between:
-                wanted &= half != half[i]
-            if not wanted.any():
-                continue
-            own = flat[starts[i] : starts[i] + sizes[i]]
-            mark[own] = 1
-            shared = np.add.reduceat(mark[flat], starts)
-            mark[own] = 0
-            found = np.nonzero(wanted & (shared / (sizes + sizes[i] - shared) >= jaccard))[0]
-            if len(found):
-                labels, at = np.unique(label[found], return_index=True)
-                a += [nodes[i]] * len(at)
-                b += nodes[found[at]].tolist()
-                label[np.isin(label, labels)] = label[i]
-        return pd.DataFrame({"a": np.array(a, dtype=np.int64), "b": np.array(b, dtype=np.int64)})
+class _Block:
+    """Sets of a component: those of one block, or of two whose halves are compared with each other only."""
+
+    def __init__(self, part: pa.Table):
+        self.nodes, self.sizes, self.half = (part.column(c).to_numpy(zero_copy_only=False) for c in ("node", "size", "half"))
+        self.bits = np.frombuffer(b"".join(part.column("bits").to_pylist()), dtype=np.uint64).reshape(len(self.nodes), -1)
+        self.between = part.column("low")[0].as_py() != part.column("high")[0].as_py()
+        self.label = np.arange(len(self.nodes))
+
+    def open_to(self, i: int, jaccard: float) -> np.ndarray:
+        """Later sets not yet connected to ``i`` that sizes and fingerprints allow to be as similar as ``jaccard``."""
+        wanted = self.label != self.label[i]
+        wanted[: i + 1] = False
+        if self.between:
+            wanted &= self.half != self.half[i]
+        at = np.flatnonzero(wanted)
+        sizes, own = self.sizes[at], self.sizes[i]
+        at = at[(sizes >= jaccard * own - 1e-6) & (own >= jaccard * sizes - 1e-6)]
+        if own < LEAST_SHINGLES or not len(at):
+            return at
+        apart = np.bitwise_count(self.bits[at] ^ self.bits[i]).sum(axis=1, dtype=np.int64)
+        return at[(apart <= NEAR_BITS) | (self.sizes[at] < LEAST_SHINGLES)]
+
+    def connect(self, i: int, found: np.ndarray) -> list[tuple[int, int]]:
+        """Links from ``i`` to one of each newly connected class."""
+        labels, first = np.unique(self.label[found], return_index=True)
+        self.label[np.isin(self.label, labels)] = self.label[i]
+        return [(int(self.nodes[i]), int(self.nodes[j])) for j in found[first]]
+
+
+def _allowed_links(part: pa.Table, jaccard: float) -> list[tuple[int, int]]:
+    block = _Block(part)
+    return [link for i in range(len(block.nodes)) if len(found := block.open_to(i, jaccard)) for link in block.connect(i, found)]
+
+
+def _similar_links(part: pa.Table, jaccard: float) -> list[tuple[int, int]]:
+    """Links that connect all sets of the block, or of its two halves, with a similarity of ``jaccard``; exact on the hashed shingles."""
+    block, links = _Block(part), []
+    sets = [np.frombuffer(x, dtype=np.uint64) for x in part.column("shingles").to_pylist()]
+    for i, own in enumerate(sets):
+        similar = []
+        for j in block.open_to(i, jaccard):
+            shared = np.intersect1d(own, sets[j], assume_unique=True).size
+            if shared >= jaccard * (len(own) + len(sets[j]) - shared) - 1e-9 if len(own) else not len(sets[j]):
+                similar.append(j)
+        if similar:
+            links += block.connect(i, np.array(similar))
+    return links
+
+
+def _links_in_groups(rows: DataFrame, work, jaccard: float) -> DataFrame:
+    """``work`` on every (``root``, ``low``, ``high``) of ``rows``, which stream by sorted; links (``a``, ``b``)."""
+    by = ["root", "low", "high"]
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+
+        def done():
+            links = work(pa.Table.from_batches(held), jaccard)
+            return pa.record_batch([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["a", "b"])
 
-    return search
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            keys = np.stack([batch.column(c).to_numpy() for c in by])
+            cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), n]
+            for start, stop in pairwise(cuts):
+                if held and [held[-1].column(c)[0].as_py() for c in by] != keys[:, start].tolist():
+                    yield done()
+                    held = []
+                held.append(batch.slice(start, stop - start))
+        if held:
+            yield done()
+
+    return rows.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "a long, b long")
+
+
+def _in_blocks(roots: DataFrame, most: dict[str, int]) -> DataFrame:
+    """Each set of a component in every pair of blocks that its own block has a part in: ``low``, ``high`` and which ``half`` it is."""
+    parts = F.ceil(F.array_max(F.array(*[F.sum(F.lit(1) if c == "*" else F.col(c)) / n for c, n in most.items()]))).cast("int")
+    sized = roots.join(materialise(roots.groupBy("root").agg(parts.alias("parts")), "parts").hint("merge"), "root")
+    own = F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int")
+    met = sized.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return met.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other"), "half": F.col("own") <= F.col("other")}).drop("own", "other", "parts")
 
 
-def similar_links(known: DataFrame, groups: DataFrame, candidates: DataFrame, shingle: int, jaccard: float, block_rows: int = 1024, block_shingles: int = 1 << 21) -> DataFrame:
+def similar_links(known: DataFrame, groups: DataFrame, candidates: DataFrame, shingle: int, jaccard: float, block_rows: int = 256, block_shingles: int = 1 << 19) -> DataFrame:
     """Links (``a``, ``b``) between ``node``s that connect all pairs of sets with a Jaccard similarity of ``jaccard`` that ``candidates`` connect.
 
-    Every pair in a component of candidates is open to comparison, over links or not.  ``known``
-    has the texts by ``row``, ``groups`` the ``size`` by ``node``, the row that stands for a set;
-    pass written tables.  Only texts of sets with a candidate are shingled again.  A component
-    of more than ``block_rows`` sets or ``block_shingles`` shingles is cut into blocks by a hash and
-    every block meets every other.
+    Candidates only say which sets may be similar.  Those whose sizes and 1024-bit fingerprints forbid it are told apart first, on
+    rows of some 150 bytes; sets with a boilerplate in common fall apart here.  What stays connected is compared exactly: texts are
+    shingled again, pairs that a fingerprint forbids or that are connected already are not compared.  ``known``
+    has the texts by ``row``, ``groups`` the ``size`` and ``bits`` by ``node``, the row that stands for a set; pass written tables.
+    A component is cut into blocks by a hash and every block meets every other, at most ``block_rows`` sets (twice as many where
+    only fingerprints are compared) or ``block_shingles`` shingles each on average.
     """
-    roots = materialise(connected_components(candidates).join(groups.select("node", "size").hint("merge"), "node"), "candidates")
-    parts = F.greatest(F.ceil(F.count("*") / block_rows), F.ceil(F.sum("size") / block_shingles)).cast("int")
-    roots = roots.join(materialise(roots.groupBy("root").agg(parts.alias("parts")), "parts").hint("merge"), "root").select("node", "root", "parts")
+    shown = groups.select("node", "size", "bits")
+    loose = materialise(connected_components(candidates).join(shown.hint("merge"), "node"), "loose")
+    allowed = materialise(_links_in_groups(_in_blocks(loose, {"*": 2 * block_rows}), _allowed_links, jaccard), "allowed")
+    tight = materialise(connected_components(allowed).join(shown.hint("merge"), "node"), "tight")
 
     def make():
-        return lambda node, root, parts, text: [node, root, parts, [np.unique(shingle_hashes(t, shingle)).tobytes() for t in text]]
+        return lambda *columns: [*columns[:-1], [np.unique(shingle_hashes(t, shingle)).tobytes() for t in columns[-1]]]
 
-    texts = roots.join(known.select(F.col("row").alias("node"), "text").hint("merge"), "node").select("node", "root", "parts", "text")
-    arrow = pa.schema([("node", pa.int64()), ("root", pa.int64()), ("parts", pa.int32()), ("shingles", pa.binary())])
-    sets = map_columns(texts, make, "node long, root long, parts int, shingles binary", arrow)
-    own = F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int")
-    met = sets.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    met = met.select("root", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") <= F.col("other")).alias("half"), "node", "shingles")
-    return met.groupBy("root", "low", "high").applyInPandas(_similar_in_block(jaccard), "a long, b long")
+    texts = tight.join(known.select(F.col("row").alias("node"), "text").hint("merge"), "node").select("node", "root", "size", "bits", "text")
+    arrow = pa.schema([("node", pa.int64()), ("root", pa.int64()), ("size", pa.int64()), ("bits", pa.binary()), ("shingles", pa.binary())])
+    sets = materialise(map_columns(texts, make, "node long, root long, size long, bits binary, shingles binary", arrow), "shingles")
+    return _links_in_groups(_in_blocks(sets, {"*": block_rows, "size": block_shingles}), _similar_links, jaccard)
 
 
 def simhash_classes(
@@ -352,7 +421,7 @@ def simhash_classes(
         links = near_links(groups, radius, words, runs, reach)
     else:
         known = materialise(shingle_sets(docs, id_col, text_col, shingle).withColumn("row", F.monotonically_increasing_id()), "sets")
-        firsts = (F.min("id").alias("least_id"), F.min("row").alias("node"), F.first("keys").alias("keys"), F.first("size").alias("size"))
+        firsts = (F.min("id").alias("least_id"), F.min("row").alias("node"), F.first("keys").alias("keys"), F.first("size").alias("size"), F.first("bits").alias("bits"))
         groups = materialise(known.groupBy("fp").agg(*firsts), "groups")
         links = similar_links(known, groups, candidate_links(groups), shingle, jaccard)
     roots = connected_components(links)

@@ -2,6 +2,7 @@
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from panelsmith.llm import embeddings, langid, licenses, packing, quality, secret_scan, sentencepiece_bpe, simhash, spotsigs
 
@@ -73,6 +74,12 @@ def test_learning_from_odd_tables(spark):
     assert langid.learn_languages(docs.limit(0)).predict(["the"]) == (["und"], [0.0])
     model = langid.learn_languages(docs)
     assert set(model.languages) <= {"en", "de"}
+    for empty in (docs.limit(0), docs.withColumn("lang", F.lit(None).cast("string"))):
+        nothing = langid.learn_with_floors(empty)
+        assert nothing.languages == () and langid.keep_identified(docs, nothing).count() == len(TEXTS)
+    # Too few long rows for floors: only texts without a letter go.
+    few = langid.learn_with_floors(docs)
+    assert langid.keep_identified(docs, few).count() == (6 if few.languages else len(TEXTS))
 
 
 def test_embeddings_edges(spark):

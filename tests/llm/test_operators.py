@@ -137,7 +137,7 @@ def test_blocks_of_a_component_match_all_pairs(spark):
     base = [f"w{i}" for i in range(120)]
     texts = [" ".join(w if rng.random() > p else f"v{rng.integers(1 << 30)}" for w in base) for p in rng.uniform(0, 0.06, 90)]
     known = simhash.shingle_sets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).withColumn("row", F.col("id"))
-    groups = known.select(F.col("row").alias("node"), "size")
+    groups = known.select(F.col("row").alias("node"), "size", "bits")
     chain = spark.createDataFrame([(i, i + 1) for i in range(89)], "a long, b long")
     links = [(r.a, r.b) for r in simhash.similar_links(known, groups, chain, 5, 0.8, block_rows=16).collect()]
     sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
@@ -146,6 +146,50 @@ def test_blocks_of_a_component_match_all_pairs(spark):
     assert classes_of(90, links) == classes_of(90, alike)
 
 
+def test_texts_with_a_boilerplate_in_common_stay_apart(spark):
+    rng = np.random.default_rng(12)
+    shared = [f"s{i}" for i in range(140)]
+    texts = [" ".join([*shared, *(f"v{x}" for x in rng.integers(0, 1 << 40, 60))]) for _ in range(1200)]
+    texts += [texts[0].rsplit(" ", 5)[0] + " five other words stand here"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    known = simhash.shingle_sets(docs).withColumn("row", F.col("id")).persist()
+    loose = simhash.candidate_links(known.select(F.col("row").alias("node"), "keys"))
+    groups = known.select(F.col("row").alias("node"), "size", "bits")
+    blocks = simhash._in_blocks(connected_components(loose).join(groups, "node"), {"*": 512})
+    # The texts' similarity is 0.53: one pair in 6000 has fingerprints as near as the limit.
+    assert simhash._links_in_groups(blocks, simhash._allowed_links, 0.8).count() < 300 < loose.count()
+    assert sorted(r.doc_id for r in simhash.keep_one_of_each(docs).collect()) == list(range(1200))
+
+
+def test_fingerprints_allow_what_is_similar(spark):
+    """Pairs at a similarity of 0.8 stay below the limit of bits; sets of unequal size too."""
+    rng = np.random.default_rng(13)
+    apart = []
+    for n in [64, 100, 400, 3000] * 50:
+        both, own = rng.integers(0, 1 << 63, (2, n), dtype=np.uint64)
+        k = round(n * 0.8)
+        some, other = (both, both[:k]) if rng.random() < 0.3 else (both, np.concatenate([both[: -(-n * 8 // 9)], own[: n - -(-n * 8 // 9)]]))
+        a, b = (np.frombuffer(simhash.simhash_bits(x, simhash.SET_WORDS), np.uint64) for x in (some, other))
+        apart.append(int(np.bitwise_count(a ^ b).sum()))
+    assert max(apart) <= simhash.NEAR_BITS and 140 < np.mean(apart) < 170
+
+
+def test_texts_in_no_learnt_language_go(spark):
+    folder = "/root/testdata/sf0.1"
+    docs, held = spark.read.parquet(f"{folder}/documents.parquet"), read("documents", folder)
+    model = langid.learn_with_floors(docs)
+    assert len(model.floors) == len(model.languages) == 4 and all(0.7 < f < 0.95 for f in model.floors)
+    rng = np.random.default_rng(14)
+    random_words = " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 9))) for _ in range(200))
+    odd = ["東京は日本の首都であり、世界最大の都市の一つです。" * 8, "Это предложение написано на русском языке и никем не выучено. " * 4, random_words]
+    assert model.explains(odd) == [False] * 3 and model.explains(["zq", "7 8", None, ""]) == [True, False, False, False]
+    # A text in two learnt languages stays.
+    two = [held[held.lang == x].text.str.slice(0, 2000).iloc[3] for x in ("en", "de")]
+    assert model.explains([" ".join(two)]) == [True]
+    kept = langid.keep_identified(docs, model)
+    assert kept.columns == docs.columns and kept.count() >= 0.9995 * sum(langid.has_letter(t) for t in held.text)
+
+
 def test_op2_matches_plain_patterns(spark):
     docs = read("documents", MIDDLE)
     got = run(spark, "op2_secret_scan", MIDDLE).set_index("doc_id")
