@@ -237,7 +237,7 @@ def typical_lift(forecast: DataFrame, history: DataFrame, sub_daily: bool, event
     Season: hour and weekday for sub-daily panels, calendar month otherwise.
     The reason comes from the first history row at or after the forecast.
     """
-    season = {"_h": F.hour(ts), "_d": F.weekday(ts)} if sub_daily else {"_m": F.month(ts)}
+    season = {"_season_hour": F.hour(ts), "_season_day": F.weekday(ts)} if sub_daily else {"_season_month": F.month(ts)}
     keys = [series, *season]
     first = forecast.groupBy(series).agg(F.min_by(F.struct(F.col(ts), F.col("p50")), ts).alias("_f")).select(series, F.col(f"_f.{ts}").alias(ts), "_f.p50")
     plain = history.where(F.coalesce(~F.col(event), F.lit(False))) if event in history.columns else history

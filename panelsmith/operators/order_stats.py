@@ -87,7 +87,7 @@ def _running(merged: DataFrame, near: DataFrame, groups: list[str], tags: list[s
     kept = near.select(*bucket, "_base", "_values", "_low", "_high", *[c for c in near.columns if c not in {*bucket, "_base", "_values", "_low", "_high"}])
     rows = merged.join(kept, [*groups, "_bucket"]).withColumn("_cut", within_bucket(F.col("_v"), F.col("_low"), F.col("_high"), F.col("_values")))
     ahead = Window.partitionBy(*bucket).orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)
-    cuts = rows.where(F.col("_values") > CROWDED).groupBy(*cell).agg(F.sum("_mass").alias("_m")).select(*cell, F.sum("_m").over(ahead).alias("_ahead"))
+    cuts = rows.where(F.col("_values") > CROWDED).groupBy(*cell).agg(F.sum("_mass").alias("_cut_mass")).select(*cell, F.sum("_cut_mass").over(ahead).alias("_ahead"))
     inside = Window.partitionBy(*cell).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     return rows.join(cuts, cell, "left").withColumn("_run", F.col("_base") + F.coalesce(F.col("_ahead"), F.lit(0)) + F.sum("_mass").over(inside))
 
@@ -139,8 +139,8 @@ def _quantiles(merged: DataFrame, groups: list[str], probs: dict[str, float]) ->
     wanted = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), F.lit(float(p)).alias("p")) for k, p in probs.items()]))
     near = (
         totals.withColumn("_w", wanted)
-        .withColumn("_h", (F.col("_count") - 1) * F.col("_w.p"))
-        .withColumns({"_lo": F.floor("_h"), "_hi": F.ceil("_h"), "_frac": F.col("_h") - F.floor("_h"), "_name": F.col("_w.name")})
+        .withColumn("_rank", (F.col("_count") - 1) * F.col("_w.p"))
+        .withColumns({"_lo": F.floor("_rank"), "_hi": F.ceil("_rank"), "_frac": F.col("_rank") - F.floor("_rank"), "_name": F.col("_w.name")})
         .where((F.col("_base") <= F.col("_hi")) & (F.col("_end") > F.col("_lo")))
         .select(*groups, "_bucket", "_base", "_values", "_low", "_high", "_lo", "_hi", "_frac", "_name")
     )
