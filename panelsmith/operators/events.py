@@ -52,12 +52,12 @@ def stabbing(points: DataFrame, intervals: DataFrame, ts: str, lo: str, hi: str,
     rows = with_piece(rows, F.col("_t"), cuts, "_piece")
     ends = {"open": 0, "close": 2}
     only = lambda o, end: F.when(F.col("_kind") == ends[end], F.col(o))
-    # Equal times: openings sort before points, closings after, so both bounds are inclusive.
-    inside = Window.partitionBy("_slot", "_piece").orderBy("_t", "_kind")
-    beside = Window.partitionBy("_slot").orderBy("_piece")
+    # Equal times: openings sort before points, closings after, so both bounds are inclusive.  Both run from
+    # their first row: a frame that ends unbounded is computed anew for each row, the square of a piece's rows.
+    inside, beside = Window.partitionBy("_slot", "_piece"), Window.partitionBy("_slot")
     frames = {
-        "open": (inside.rowsBetween(Window.unboundedPreceding, 0), beside.rowsBetween(Window.unboundedPreceding, -1)),
-        "close": (inside.rowsBetween(0, Window.unboundedFollowing), beside.rowsBetween(1, Window.unboundedFollowing)),
+        "open": (inside.orderBy("_t", "_kind").rowsBetween(Window.unboundedPreceding, 0), beside.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)),
+        "close": (inside.orderBy(F.col("_t").desc(), F.col("_kind").desc()).rowsBetween(Window.unboundedPreceding, 0), beside.orderBy(F.col("_piece").desc()).rowsBetween(Window.unboundedPreceding, -1)),
     }
     each = [(o, k, end) for o, (k, _) in aggs.items() for end in ends]
     carried = rows.groupBy("_slot", "_piece").agg(*[fold[k](only(o, end)).alias(f"{o}_{end}_all") for o, k, end in each])
@@ -82,28 +82,67 @@ def event_profile(
 
     An event is active from ``approach`` hours before its start to ``departure``
     hours after its end.  Its effects depend on the time only, so times are made
-    distinct and equal events merged first.  The closest start is the next one
+    distinct and events that begin or end at once merged.  The closest start is the next one
     (if inside the approach) or the latest one still active.
+
+    Starts and ends are laid beside the times (and the times moved by both margins) and swept
+    once in order, piece by piece: active events are those begun by then less those ended.
+    The latest start still active is nearly always the latest one.  Another can be it only if
+    its event outlasts that of a later start; these few are searched as intervals.
     """
-    ev = (
-        events.groupBy(F.col(start).alias("_start"), F.greatest(start, end).alias("_end"))
-        .agg(F.max(F.coalesce(F.col(major), F.lit(False))).alias("_major"), F.count(F.lit(1)).alias("_n"))
-        .withColumns({"_lo": plus_hours("_start", -approach), "_hi": plus_hours("_end", departure)})
+    points = times.select(ts).where(F.col(ts).isNotNull()).distinct()
+    begin, over = F.col(start), F.greatest(start, end)
+    one, big = F.when(begin.isNotNull(), 1).otherwise(0).cast("long"), F.when(begin.isNotNull() & F.col(major), 1).otherwise(0).cast("long")
+    row = lambda t, kind, hi: F.struct(t.alias("_t"), F.lit(kind).alias("_kind"), one.alias("_n"), big.alias("_big"), hi.alias("_hi"))
+    hi = plus_hours(over, departure)
+    marks = events.select(F.inline(F.array(row(begin, 0, hi), row(over, 2, F.when(F.lit(False), hi))))).where("_t is not null")
+    moved = {"now": F.col(ts), "opened": plus_hours(ts, approach), "closed": plus_hours(ts, -departure)}
+    asked = points.select(ts, F.inline(F.array(*[F.struct(t.alias("_t"), F.lit(w).alias("_which")) for w, t in moved.items()])))
+    zero = F.lit(0).cast("long")
+    rows = (
+        asked.select("_t", F.lit(1).alias("_kind"), zero.alias("_n"), zero.alias("_big"), F.lit(None).cast(marks.schema["_hi"].dataType).alias("_hi")).unionByName(marks)
+        # One row per time and kind, however many events begin or end then.
+        .groupBy("_t", "_kind").agg(F.sum("_n").alias("_n"), F.sum("_big").alias("_big"), F.max("_hi").alias("_hi"))
+        # Always true: it keeps all columns in every use of this plan, so its shuffle is written once and reused.
+        .where(F.col("_n").isNotNull() | F.col("_big").isNotNull() | F.col("_hi").isNotNull())
+    )
+    cuts = quantile_cuts(rows, F.col("_t"), distinct=False)
+    rows = with_piece(rows, F.col("_t"), cuts, "_cut").withColumn("_piece", F.struct(F.date_trunc("hour", "_t").alias("slot"), "_cut")).drop("_cut")
+    # Equal times: starts sort before the times asked for, ends after; what has ended has ended before.
+    inside, back = Window.partitionBy("_piece").orderBy("_t", "_kind"), Window.partitionBy("_piece").orderBy(F.col("_t").desc(), F.col("_kind").desc())
+    upto, after = Window.orderBy("_piece"), Window.orderBy(F.col("_piece").desc())
+    of = lambda kind, c: F.when(F.col("_kind") == kind, F.col(c))
+    found = {  # name: (of the rows of a piece, window in a piece, of the pieces, window over the pieces)
+        "begun": (F.sum(of(0, "_n")), inside, F.sum, upto), "big_begun": (F.sum(of(0, "_big")), inside, F.sum, upto),
+        "over": (F.sum(of(2, "_n")), inside, F.sum, upto), "big_over": (F.sum(of(2, "_big")), inside, F.sum, upto),
+        "last": (F.max(of(0, "_t")), inside, F.max, upto), "ended": (F.max(of(2, "_t")), inside, F.max, upto), "next": (F.min(of(0, "_t")), back, F.min, after),
+    }
+    so_far = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
+    beside = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    # One row per piece: the carry over pieces is small however many rows there are.
+    carried = rows.groupBy("_piece").agg(*[c.alias(f"_all_{o}") for o, (c, *_) in found.items()], F.max_by(of(0, "_hi"), of(0, "_t")).alias("_all_hi"))
+    carried = carried.select("_piece", *[fold(f"_all_{o}").over(beside(w)).alias(f"_carried_{o}") for o, (_, _, fold, w) in found.items()], F.last("_all_hi", ignorenulls=True).over(beside(upto)).alias("_carried_hi"))
+    near = rows.withColumns({f"_here_{o}": c.over(so_far(w)) for o, (c, w, *_) in found.items()} | {"_here_hi": F.last(of(0, "_hi"), ignorenulls=True).over(so_far(inside))}).where("_kind = 1")
+    either = lambda o: F.coalesce(f"_here_{o}", f"_carried_{o}").alias(o)
+    total = lambda o: (F.coalesce(f"_here_{o}", F.lit(0)) + F.coalesce(f"_carried_{o}", F.lit(0))).alias(o)
+    swept = near.join(carried, "_piece").select("_t", *[total(o) for o in ("begun", "big_begun", "over", "big_over")], *[either(o) for o in ("last", "hi", "ended", "next")])
+    at = lambda which, c: F.max(F.when(F.col("_which") == which, F.col(c)))
+    swept = asked.join(swept, "_t").groupBy(ts).agg(
+        (at("opened", "begun") - at("closed", "over")).alias("n_active"), (at("opened", "big_begun") - at("closed", "big_over") > 0).alias("_big"),
+        *[at("now", c).alias(f"_{c}") for c in ("last", "hi", "ended", "next")],
     )
+    later = F.lead("_hi").over(Window.partitionBy("_piece").orderBy("_t"))
+    outlast = rows.where("_kind = 0").withColumn("_later", later).where("_later is null or _hi > _later").select(F.col("_t").alias("_start"), "_hi")
     slot_s = int(min(3600.0, departure * 3600.0)) or 60
-    points = times.select(ts).distinct()
-    active = stabbing(points, ev, ts, "_lo", "_hi", {"n_active": ("sum", "_n"), "_big": ("max", "_major")}, slot_s)
-    begun = stabbing(points, ev, ts, "_start", "_hi", {"_latest": ("max", "_start")}, slot_s)
-    nxt = nearest_after(points, ev.select(F.col("_start").alias(ts)), ts, "_next", same="_now")
-    last = nearest_before(points, ev.select(F.col("_end").alias(ts)), ts, "_ended")
-    j = active.join(begun, ts).join(nxt, ts).join(last, ts)
+    older = stabbing(points, outlast, ts, "_start", "_hi", {"_older": ("max", "_start")}, slot_s)
+    j = swept.join(older, ts).withColumns({"_now": F.coalesce(F.col("_last") == F.col(ts), F.lit(False)), "_latest": F.when(F.col("_hi") >= F.col(ts), F.col("_last")).otherwise(F.col("_older"))})
     ahead, gone = F.when(F.col("_now"), F.lit(0.0)).otherwise(hours_between(ts, "_next")), hours_between("_ended", ts)
     pre = F.coalesce(ahead <= approach, F.lit(False))
     near = F.least(F.when(pre, ahead), hours_between("_latest", ts))
     return j.select(
         ts, pre.alias("is_pre_event_window"), F.coalesce(gone <= departure, F.lit(False)).alias("is_post_event_window"),
         F.coalesce("_big", F.lit(False)).alias("is_sharks_game_window"), F.coalesce(F.exp(F.pow(near / approach, 2) * -0.5), F.lit(0.0)).alias("event_proximity_score"),
-        F.coalesce("n_active", F.lit(0)).alias("n_active"), hours_between(ts, "_next").alias("hours_to_next_event"), gone.alias("hours_since_last_event"),
+        "n_active", hours_between(ts, "_next").alias("hours_to_next_event"), gone.alias("hours_since_last_event"),
     )
 
 

@@ -36,10 +36,11 @@ def quantile_cuts(df: DataFrame, value: Column, pieces: int = PIECES, distinct:
 
 def with_piece(df: DataFrame, value: Column, cuts: DataFrame, out: str, pieces: int = PIECES) -> DataFrame:
     """Add ``out``, how many of the ``quantile_cuts`` a value has reached, by bisection; it never decreases with the value."""
-    step = lambda at, w: F.when(F.get("_cuts", at + w - 1) <= value, at + w).otherwise(at)
-    widths = F.array(*[F.lit(1 << i) for i in reversed(range(pieces.bit_length()))])
-    # The cuts are one row of fewer than ``pieces`` values.
-    return df.join(F.broadcast(cuts), F.lit(True)).withColumn(out, F.aggregate(widths, F.lit(0), step)).drop("_cuts")
+    # The cuts are one row of fewer than ``pieces`` values.  One column a step, which Spark compiles; a fold over an array it would not.
+    df = df.join(F.broadcast(cuts), F.lit(True)).withColumns({"_cut_value": value, out: F.lit(0)})
+    for w in (1 << i for i in reversed(range(pieces.bit_length()))):
+        df = df.withColumn(out, F.when(F.get("_cuts", F.col(out) + (w - 1)) <= F.col("_cut_value"), F.col(out) + w).otherwise(F.col(out)))
+    return df.drop("_cuts", "_cut_value")
 
 
 def row_positions(df: DataFrame, keys: list[str], order: list, chunk: Column) -> DataFrame:

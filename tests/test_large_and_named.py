@@ -1,11 +1,14 @@
 """Names that meet, and operators that must not grow with the square of a crowd."""
 
 import datetime as dt
+import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from panelsmith.operators import aggregates as A
+from panelsmith.operators import events as E
 from panelsmith.operators import order_stats as OS
 
 T0 = dt.datetime(2024, 1, 1)
@@ -35,3 +38,33 @@ def test_typical_lift_is_against_the_same_season(spark, sub_daily):
     got = A.typical_lift(forecast, history, sub_daily).collect()
     assert [(r.ts, r.typical_median, r.reason) for r in got] == [(at, round(want, 1), "")]
     assert got[0].lift_pct == pytest.approx((500.0 - want) / max(want, 1.0) * 100, abs=0.051)
+
+
+def test_events_of_any_length_and_with_nulls(spark):
+    rng = np.random.default_rng(9)
+    at = lambda m: T0 + dt.timedelta(minutes=int(m))
+    ev = [(at(a), at(a + d), bool(b)) for a, d, b in zip(rng.integers(0, 6000, 60), rng.choice([-30, 0, 5, 60, 900, 3000], 60), rng.random(60) < 0.3, strict=True)]
+    ev += ev[:5] + [(at(300), None, True), (None, at(400), True), (at(500), at(560), None), (None, None, True)]
+    times = [at(m) for m in range(-600, 7000, 20)] + [at(m) for m in range(-600, 7000, 90)]
+    panel = spark.createDataFrame([(t,) for t in [*times, None]], "ts timestamp_ntz")
+    events = spark.createDataFrame(ev, "timestamp_start timestamp_ntz, timestamp_end timestamp_ntz, is_sharks_game boolean")
+    got = {r.ts: r for r in E.event_profile(panel, events).collect()}
+    assert set(got) == set(times)
+    hours = lambda a, b: (a - b).total_seconds() / 3600
+    begun = [(a, max(a, b or a), bool(c)) for a, b, c in ev if a]
+    ends = [b for _, b, _ in begun] + [b for a, b, _ in ev if not a and b]
+    for t in times:
+        active = [(hours(a, t), c) for a, b, c in begun if hours(a, t) <= 3 and hours(t, b) <= 1.5]
+        nearest = max([math.exp(-0.5 * (d / 3) ** 2) for d, _ in active], default=0.0)
+        r, nxt, last = got[t], min([hours(a, t) for a, _, _ in begun if a > t], default=None), min([hours(t, b) for b in ends if b < t], default=None)
+        assert (r.n_active, r.is_sharks_game_window, r.is_pre_event_window) == (len(active), any(c for _, c in active), any(0 <= hours(a, t) <= 3 for a, _, _ in begun))
+        assert r.is_post_event_window == (last is not None and last <= 1.5) and r.event_proximity_score == pytest.approx(nearest, abs=1e-12)
+        assert (r.hours_to_next_event, r.hours_since_last_event) == (pytest.approx(nxt) if nxt else None, pytest.approx(last) if last else None)
+
+
+def test_no_frame_ends_unbounded(spark, capsys):
+    """Such a frame is computed anew for each row: the square of the rows of a crowded hour."""
+    events = spark.createDataFrame([(T0, T0 + dt.timedelta(hours=2), True)], "timestamp_start timestamp_ntz, timestamp_end timestamp_ntz, is_sharks_game boolean")
+    E.event_windows(events.select(F.col("timestamp_start").alias("ts")), events).explain("extended")
+    plan = capsys.readouterr().out
+    assert "unboundedpreceding$" in plan and "unboundedfollowing$" not in plan
