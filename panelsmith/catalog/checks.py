@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.calendar import epoch_seconds
+from ..llm.common import materialise
 from ..operators import aggregates as A
 from ..operators import gate as G
 from ..operators import metrics as M
@@ -217,9 +218,9 @@ _REFIT = f"""SELECT round(sum(abs(f.y - b.y)) / sum(f.y) * 100, 2) AS wape FROM
   WHERE f.ts > TIMESTAMP '{TRAIN_END}' AND f.ts <= TIMESTAMP '{TRAIN_END}' + INTERVAL 6 MONTH"""
 
 
-def full_panel(t):
+def full_panel(t, p=None):
     """Every series in every month, in thousands: a panel that may be published."""
-    p = X.p1(t)
+    p = X.p1(t) if p is None else p
     grid = p.select("series").distinct().join(F.broadcast(p.agg(F.collect_set("ts").alias("_m"))), F.lit(True)).select("series", F.explode("_m").alias("ts"))
     y = F.coalesce("y", F.lit(1.0))
     return grid.join(p, ["series", "ts"], "left").select("series", "ts", (y / 1000).alias("y"), (y / 2000).alias("temp_f"))
@@ -231,13 +232,15 @@ def full_panel(t):
   {"full_panel": _FULL, "cand": _CAND, "kept": "SELECT series, ts, y, y / 2 AS temp_f FROM p1", "bad": _verdicts("cand", "kept"), "good": _verdicts("full_panel", "full_panel"), "refit": _REFIT}))
 def _(t):
     """A candidate with faults, one without, and one whose refit does not give the published figure."""
-    served, full = X.p1(t).select("ts"), full_panel(t)
+    # The checks run one by one: the panel is written once, so they don't all join the orders with the customers again.
+    panel = materialise(X.p1(t), "gate_panel")
+    served, full = panel.select("ts"), full_panel(t, panel)
     # The figure published before is that of the leaderboard: one number.
     at = ts_lit(TRAIN_END)
     refit = naive(full.where(F.col("ts") <= at).withColumn("origin", at), 6, ["series", "origin"])
     published = M.score(full.join(refit.select("series", "ts", "p10", "p50", "p90"), ["series", "ts"]), only=["wape"], decimals=2).first()["wape"]
     spec = {"as_of": TRAIN_END, "horizon": 6, "forecaster": naive}
-    runs = {"failing": (candidate(t), tracked(t), published), "passing": (full, full, published), "other figure": (full, full, published + 1)}
+    runs = {"failing": (candidate(t, panel), tracked(t, panel), published), "passing": (full, full, published), "other figure": (full, full, published + 1)}
     reports = [
         G.run_gate(cand, kept, served, 25, LAST_CLOSED, spec | {"expected_wape": figure}).select(F.lit(name).alias("run"), "check", F.col("position").cast("long").alias("position"), "status", F.col("details")["wape"].cast("double").alias("wape"))
         for name, (cand, kept, figure) in runs.items()

@@ -134,16 +134,16 @@ def _(t):
 _CAND = "SELECT series, ts, CASE WHEN month(ts) = 7 THEN y + 1 ELSE y END AS y, CASE WHEN series = 5 THEN NULL ELSE y / 2 END AS temp_f FROM p1 WHERE NOT (series = 3 AND month(ts) = 2)"
 
 
-def candidate(t):
+def candidate(t, p=None):
     """P8: the panel with a changed July, a NULL covariate and missing keys."""
-    p = X.p1(t)
+    p = X.p1(t) if p is None else p
     return p.where(~((F.col("series") == 3) & (F.month("ts") == 2))).select(
         "series", "ts", F.when(F.month("ts") == 7, F.col("y") + 1).otherwise(F.col("y")).alias("y"), F.when(F.col("series") != 5, F.col("y") / 2).alias("temp_f")
     )
 
 
-def tracked(t):
-    return X.p1(t).withColumn("temp_f", F.col("y") / 2)
+def tracked(t, p=None):
+    return (X.p1(t) if p is None else p).withColumn("temp_f", F.col("y") / 2)
 
 
 @query("join_tracked_candidate", with_(["p1"], f"SELECT t.series, t.ts, t.y AS y_t, c.y AS y_c, {flag('c.series IS NOT NULL', 'present')} FROM p1 t LEFT JOIN ({_CAND}) c ON t.series = c.series AND t.ts = c.ts"))
