@@ -12,6 +12,8 @@ from .spans import archive_span, with_coverage
 
 APPROACH_HOURS = 3.0
 DEPARTURE_HOURS = 1.5
+#: Events listed in one cell and time slot before it is cut.
+CROWDED = 1 << 16
 
 
 def stabbing(points: DataFrame, intervals: DataFrame, ts: str, lo: str, hi: str, aggs: dict[str, tuple[str, str]], slot_s: int = 3600) -> DataFrame:
@@ -228,36 +230,47 @@ def add_monthly_event_features(df: DataFrame, events: DataFrame, spans: DataFram
 def near_events(points: DataFrame, events: DataFrame, key: str, when: str, km: float = 1.5, hours: float = 3.0) -> DataFrame:
     """Events within ``km`` and ``hours`` of each point, one row per (point, name, start).
 
-    Both sides carry ``lat`` and ``lng``.  Events and points meet in a grid cell
-    and time slot at least as wide as the search radius; points are listed in
-    the neighbouring cells, and the exact distance and time decide.  Events far
-    east or west are listed a full turn further too, so that neighbours across
-    the 180th meridian meet.
+    Both sides carry ``lat`` and ``lng``.  Cells are twice the search radius wide and time
+    slots ``hours``: an event is listed in all cells that its radius touches (at most four) and
+    a point in its own, in the slots around its time, so all that a point row finds at a start lies
+    together and the nearest is picked where the pairs arise; pairs are never dealt anew, except
+    those of keys that several points share.  The exact distance and time decide.  Events far
+    east or west are listed a full turn further too, so that neighbours across the 180th
+    meridian meet; rows of cells at the poles are one cell.  Crowded cells are cut by the event's name and start.
     """
-    step_lat = km / 110.0
+    reach = km / 110.0
+    step = 2 * reach
     slot_s = hours * 3600.0
-    rows = F.floor(F.col("lat") / step_lat)
-    # A longitude step that stays wide enough within the row's latitude band.
-    band = F.cos(F.radians(F.least(F.abs(rows) + 2, F.lit(89.0 / step_lat)) * step_lat))
-    around = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-
-    ev = events.select("event_name", "timestamp_start", "lat", "lng").distinct()
-    ev = ev.withColumns({"_r": rows, "_s": F.floor(epoch_seconds("timestamp_start") / slot_s)})
+    cell_row = lambda lat: F.floor(lat / step)
+    # The cosine at a latitude beyond the row's own and its neighbour's: a longitude step that stays wide enough.
+    edge = lambda r: (F.abs(r) + 2) * step
+    width = lambda r: F.cos(F.radians(F.least(edge(r), F.lit(89.0))))
+    column = lambda lng, r: F.when(edge(r) >= 89.0, F.lit(0).cast("long")).otherwise(F.floor(lng / (step / width(r))))
+    cell = ["_r", "_c", "_s"]
+
+    ev = events.select("event_name", "timestamp_start", "lat", "lng").distinct().withColumn("_s", F.floor(epoch_seconds("timestamp_start") / slot_s))
     turn = F.when(F.abs("lng") > 90, F.array(F.lit(0.0), F.signum("lng") * -360)).otherwise(F.array(F.lit(0.0)))
-    ev = ev.withColumn("_turn", F.explode(turn)).withColumn("_c", F.floor((F.col("lng") + F.col("_turn")) / (step_lat / band))).drop("_turn")
-    pt = (
-        points.select(key, when, "lat", "lng")
-        .withColumn("_r", F.explode(F.transform(around, lambda d: rows + d)))
-    )
-    row_band = F.cos(F.radians(F.least(F.abs(F.col("_r")) + 2, F.lit(89.0 / step_lat)) * step_lat))
-    pt = (
-        pt.withColumn("_c", F.explode(F.transform(around, lambda d: F.floor(F.col("lng") / (step_lat / row_band)) + d)))
-        .withColumn("_s", F.explode(F.transform(around, lambda d: F.floor(epoch_seconds(when) / slot_s) + d)))
-        .withColumnsRenamed({"lat": "_plat", "lng": "_plng"})
-    )
-    hit = pt.join(ev, ["_r", "_c", "_s"]).withColumn("km", haversine_km("_plat", "_plng", "lat", "lng"))
-    hit = hit.where((F.col("km") <= km) & (F.abs(hours_between(when, "timestamp_start")) <= hours))
-    return hit.groupBy(key, "event_name", "timestamp_start").agg(F.min("km").alias("km"))
+    ev = ev.withColumn("_r", F.explode(F.array_distinct(F.array(cell_row(F.col("lat") - reach), cell_row(F.col("lat") + reach))))).withColumn("_at", F.explode(F.transform(turn, lambda d: F.col("lng") + d)))
+    touched = [column(F.col("_at") + sign * reach / width(F.col("_r")), F.col("_r")) for sign in (-1, 1)]
+    ev = ev.withColumn("_c", F.explode(F.array_distinct(F.array(*touched)))).drop("_at")
+    # At most one row for every CROWDED listed events.
+    crowds = ev.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > CROWDED).select(*cell, F.ceil(F.col("_n") / CROWDED).cast("int").alias("_cuts"))
+    crowds = F.broadcast(crowds)
+    ev = ev.join(crowds, cell, "left").withColumn("_cut", F.pmod(F.hash("event_name", "timestamp_start"), F.coalesce("_cuts", F.lit(1)))).drop("_cuts")
+
+    pt = points.select(key, when, F.col("lat").alias("_plat"), F.col("lng").alias("_plng")).withColumn("_r", cell_row(F.col("_plat"))).withColumn("_c", column(F.col("_plng"), F.col("_r")))
+    pt = pt.withColumn("_s", F.explode(F.transform(F.array(*[F.lit(i) for i in (-1, 0, 1)]), lambda d: F.floor(epoch_seconds(when) / slot_s) + d)))
+    pt = pt.join(crowds, cell, "left").withColumn("_cut", F.explode(F.sequence(F.lit(0), F.coalesce("_cuts", F.lit(1)) - 1))).drop("_cuts")
+    shared = points.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col(key).alias("_key"))
+    same = F.col(key).eqNullSafe(F.col("_key"))
+
+    def nearest(some: DataFrame) -> DataFrame:
+        hit = some.join(ev.hint("merge"), [*cell, "_cut"]).withColumn("km", haversine_km("_plat", "_plng", "lat", "lng"))
+        hit = hit.where((F.col("km") <= km) & (F.abs(hours_between(when, "timestamp_start")) <= hours))
+        return hit.groupBy(*cell, "_cut", key, "event_name", "timestamp_start").agg(F.min("km").alias("km")).drop(*cell, "_cut")
+
+    several = nearest(pt.join(shared, same, "left_semi")).groupBy(key, "event_name", "timestamp_start").agg(F.min("km").alias("km"))
+    return nearest(pt.join(shared, same, "left_anti")).unionByName(several)
 
 
 def active_alerts(alerts: DataFrame, at_epoch: int, labels: dict[str, str], wanted: list[str]) -> DataFrame:

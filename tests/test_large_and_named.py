@@ -68,3 +68,53 @@ def test_no_frame_ends_unbounded(spark, capsys):
     E.event_windows(events.select(F.col("timestamp_start").alias("ts")), events).explain("extended")
     plan = capsys.readouterr().out
     assert "unboundedpreceding$" in plan and "unboundedfollowing$" not in plan
+
+
+@pytest.mark.parametrize("crowded", [None, 3])
+@pytest.mark.parametrize("lat, lng", [(37.3, -121.9), (-60.0, 179.99), (-0.01, 0.0), (89.99, 10.0)])
+def test_near_events_of_keys_and_starts_met_again(spark, monkeypatch, lat, lng, crowded):
+    if crowded:
+        monkeypatch.setattr(E, "CROWDED", crowded)
+    rng = np.random.default_rng(6)
+    wrap = lambda x: (x + 180) % 360 - 180
+    spot = lambda: (min(lat + float(rng.uniform(0, 0.05)), 90.0), wrap(lng + float(rng.uniform(0, 0.05 / max(math.cos(math.radians(lat)), 0.01)))))
+    points = [(k, T0 + dt.timedelta(hours=float(rng.uniform(0, 9))), *spot()) for k in [*range(30), *range(5), None, None]]
+    events = [(f"e{i % 40}", T0 + dt.timedelta(hours=i % 20 / 2), *spot()) for i in range(160)]
+
+    def km(a, b):
+        la, lo, lb, lc = map(math.radians, (a[2], a[3], b[2], b[3]))
+        h = math.sin((lb - la) / 2) ** 2 + math.cos(la) * math.cos(lb) * math.sin((lc - lo) / 2) ** 2
+        return 2 * 6371.0088 * math.asin(math.sqrt(h))
+
+    want = {}
+    for p in points:
+        for e in events:
+            if (d := km(p, e)) <= 1.5 and abs((p[1] - e[1]).total_seconds()) <= 3 * 3600:
+                want[p[0], e[0], e[1]] = min(d, want.get((p[0], e[0], e[1]), 9))
+    kinds = "timestamp_ntz, lat double, lng double"
+    rows = E.near_events(spark.createDataFrame(points, f"id int, at {kinds}"), spark.createDataFrame(events, f"event_name string, timestamp_start {kinds}"), "id", "at").collect()
+    assert len(rows) == len(want) > 20 and {(r.id, r.event_name, r.timestamp_start): pytest.approx(r.km, abs=1e-6) for r in rows} == want
+
+
+def test_pairs_of_near_events_are_not_dealt_anew(spark):
+    points = spark.createDataFrame([(i, T0, 37.3, -121.9) for i in range(300)], "id int, at timestamp_ntz, lat double, lng double")
+    events = spark.createDataFrame([(f"e{i}", T0, 37.3, -121.9) for i in range(300)], "event_name string, timestamp_start timestamp_ntz, lat double, lng double")
+    near = E.near_events(points, events, "id", "at")
+    assert near.count() == 90000
+    lines = near._jdf.queryExecution().executedPlan().toString().splitlines()
+    join = next(i for i, line in enumerate(lines) if "Join [_r" in line)
+    assert not [line for line in lines[:join] if "Exchange" in line]
+
+
+def test_the_gate_reads_the_orders_once(spark, monkeypatch):
+    """Its checks run one by one; each would join the orders with all customers, sent out by the driver, again."""
+    from panelsmith.catalog import checks as C
+    from panelsmith.catalog import fixtures as X
+    from panelsmith.catalog import load
+    from panelsmith.catalog.registry import QUERIES, Tables
+
+    load()
+    made, p1 = [], X.p1
+    monkeypatch.setattr(X, "p1", lambda t: made.append(p1(t)) or made[-1])
+    assert C.X is X and QUERIES["gate_run"](Tables(spark, "/root/testdata/sf0.001")).count() == 30
+    assert len(made) == 1
