@@ -230,7 +230,7 @@ def add_monthly_event_features(df: DataFrame, events: DataFrame, spans: DataFram
 def near_events(points: DataFrame, events: DataFrame, key: str, when: str, km: float = 1.5, hours: float = 3.0) -> DataFrame:
     """Events within ``km`` and ``hours`` of each point, one row per (point, name, start).
 
-    Both sides carry ``lat`` and ``lng``.  Cells are twice the search radius wide and time
+    Both sides carry ``lat`` and ``lng``.  Cells are a little over twice the search radius wide and time
     slots ``hours``: an event is listed in all cells that its radius touches (at most four) and
     a point in its own, in the slots around its time, so all that a point row finds at a start lies
     together and the nearest is picked where the pairs arise; pairs are never dealt anew, except
@@ -239,7 +239,8 @@ def near_events(points: DataFrame, events: DataFrame, key: str, when: str, km: f
     meridian meet; rows of cells at the poles are one cell.  Crowded cells are cut by the event's name and start.
     """
     reach = km / 110.0
-    step = 2 * reach
+    # A little wider than what an event reaches, so that this never spans three cells by rounding.
+    step = 2.001 * reach
     slot_s = hours * 3600.0
     cell_row = lambda lat: F.floor(lat / step)
     # The cosine at a latitude beyond the row's own and its neighbour's: a longitude step that stays wide enough.

@@ -96,6 +96,15 @@ def test_near_events_of_keys_and_starts_met_again(spark, monkeypatch, lat, lng,
     assert len(rows) == len(want) > 20 and {(r.id, r.event_name, r.timestamp_start): pytest.approx(r.km, abs=1e-6) for r in rows} == want
 
 
+def test_near_events_in_the_middle_of_a_cell(spark):
+    spots = [(37.3 + i * 0.01, -121.9 + j * 0.01) for i in range(31) for j in range(31)]
+    points = spark.createDataFrame([(i, T0, *p) for i, p in enumerate(spots)], "id int, at timestamp_ntz, lat double, lng double")
+    events = spark.createDataFrame([(str(i), T0, *p) for i, p in enumerate(spots)], "event_name string, timestamp_start timestamp_ntz, lat double, lng double")
+    # Steps are 1.11 km in latitude and 0.88 in longitude, 1.42 across.
+    near = sum(1 for a in range(31) for b in range(31) for c in (-1, 0, 1) for d in (-1, 0, 1) if 0 <= a + c < 31 and 0 <= b + d < 31)
+    assert E.near_events(points, events, "id", "at").count() == near
+
+
 def test_pairs_of_near_events_are_not_dealt_anew(spark):
     points = spark.createDataFrame([(i, T0, 37.3, -121.9) for i in range(300)], "id int, at timestamp_ntz, lat double, lng double")
     events = spark.createDataFrame([(f"e{i}", T0, 37.3, -121.9) for i in range(300)], "event_name string, timestamp_start timestamp_ntz, lat double, lng double")
