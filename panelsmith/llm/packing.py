@@ -21,7 +21,7 @@ from .common import RecentValues, materialise
 STOPS = ".,;:!?"
 LAST_LETTER = 0x17F
 #: Text worked on at once inside a task.
-SLICE_BYTES = 1 << 23
+SLICE_BYTES = 1 << 21
 
 
 def small_letters(word: str) -> bool:
