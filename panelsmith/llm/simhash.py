@@ -77,59 +77,35 @@ NEAR_BITS = 212
 LEAST_SHINGLES = 64
 
 
-#: Runs of least hashes for candidates by sets.  Two sets of Jaccard similarity J agree in a run with
-#: probability J ** 6, whatever their sizes: of pairs at 0.8 five in a million agree in none of 40.
-RUNS, RUN_LENGTH = 40, 6
-_FLIPS, _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, RUNS * RUN_LENGTH, 1), dtype=np.uint64)
-
-
-def least_hash_keys(hashes: np.ndarray) -> np.ndarray:
-    """A key for each of RUNS runs of RUN_LENGTH least hashes (minwise hashing) of a set; none for an empty one."""
-    if not len(hashes):
-        return np.empty(0, dtype=np.int64)
-    least = np.full(RUNS * RUN_LENGTH, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for s in range(0, len(hashes), 1 << 10):
-        h = (hashes[None, s : s + (1 << 10)] ^ _FLIPS) * (_FACTORS | np.uint64(1))
-        h ^= h >> np.uint64(32)
-        h *= np.uint64(0x9E3779B97F4A7C15)
-        least = np.minimum(least, h.min(axis=1))
-    return np.array([xxhash.xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(least.reshape(RUNS, -1))], dtype=np.uint64).view(np.int64)
+#: Candidates by sets come from one tree for each of so many runs of fingerprint bits that a pair is within SET_REACH bits in one of them.
+#: Of the pairs at 0.8 those of four and five shingles differ most, in a share 3 / 16 of the bits; of them LOST agree in none.
+SET_REACH, SET_DIFFERENCE, LOST = 1, 3 / 16, 5e-6
+#: Bits of a run: at least, at most, and otherwise one a level of the trees.
+LEAST_WIDTH, MOST_WIDTH = 5, 14
+#: Last words of a set's fingerprint, by which candidates are told where they meet, and the bits that may differ there: of pairs of
+#: four and five shingles (48 bits on average) 10 in a million differ in more, of unrelated pairs (128) none are as near.
+MET_WORDS, MET_BITS = 4, 75
+#: Sets at home in a shard of these trees, on average, and those beyond which it is cut into blocks.
+SET_SHARD_ROWS, SET_BLOCK_ROWS = 1 << 13, 1 << 15
 
 
 def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """(``id``, ``text``, ``fp`` binary, ``keys`` binary, ``size``, ``bits`` binary) of each row's distinct shingles.
+    """(``id``, ``text``, ``fp`` binary, ``size``, ``bits`` binary, ``keys`` binary) of each row's distinct shingles.
 
     ``fp`` is a 128-bit hash of the set, the same for texts with the same shingles however often each is
-    repeated; ``keys`` are those of ``least_hash_keys``, ``size`` is the number of shingles, ``bits`` their SimHash.
+    repeated; ``size`` is the number of shingles, ``bits`` their SimHash in SET_WORDS words, ``keys`` the same, as ``candidate_links`` takes it.
     """
 
     def make():
         def rows(ids, texts):
             sets = [np.unique(shingle_hashes(t, shingle)) for t in texts]
-            return [ids, texts, [xxhash.xxh3_128_digest(x.tobytes()) for x in sets], [least_hash_keys(x).tobytes() for x in sets], [len(x) for x in sets], [simhash_bits(x, SET_WORDS) for x in sets]]
+            return [ids, texts, [xxhash.xxh3_128_digest(x.tobytes()) for x in sets], [len(x) for x in sets], [simhash_bits(x, SET_WORDS) for x in sets]]
 
         return rows
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    arrow = pa.schema([("id", pa.int64()), ("text", pa.string()), ("fp", pa.binary()), ("keys", pa.binary()), ("size", pa.int64()), ("bits", pa.binary())])
-    return map_columns(source, make, "id long, text string, fp binary, keys binary, size long, bits binary", arrow)
-
-
-def candidate_links(groups: DataFrame) -> DataFrame:
-    """Links (``a``, ``b``) from each ``node`` to the smallest one with which it shares a key of ``keys``; one link a key at most, never pairs."""
-
-    def keyed(batches):
-        for batch in batches:
-            for s in range(0, batch.num_rows, 2048):
-                part = batch.slice(s, 2048)
-                keys = [np.frombuffer(x, dtype=np.int64) for x in part.column("keys").to_pylist()]
-                if keys:
-                    nodes = np.repeat(part.column("node").to_numpy(zero_copy_only=False), [len(x) for x in keys])
-                    yield pa.record_batch({"key": pa.array(np.concatenate(keys)), "node": pa.array(nodes)})
-
-    placed = groups.select("node", "keys").mapInArrow(keyed, "key long, node long")
-    shared = placed.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("key", "least")
-    return placed.join(shared.hint("merge"), "key").where("node > least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
+    arrow = pa.schema([("id", pa.int64()), ("text", pa.string()), ("fp", pa.binary()), ("size", pa.int64()), ("bits", pa.binary())])
+    return map_columns(source, make, "id long, text string, fp binary, size long, bits binary", arrow).withColumn("keys", F.col("bits"))
 
 
 def as_words(column: list[bytes]) -> np.ndarray:
@@ -155,11 +131,23 @@ class VantageTree:
     def own(self, fps: np.ndarray) -> np.ndarray:
         return (fps[:, self.word] >> np.uint64(self.shift)) & np.uint64((1 << self.width) - 1)
 
-    def visit(self, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def home(self, own: np.ndarray) -> np.ndarray:
+        """The shard of each run of bits: the sides of the radii on which it lies."""
+        home = np.zeros(own.shape, dtype=np.int64)
+        for level, (point, radius) in enumerate(zip(self.points, self.radii, strict=True)):
+            home |= (np.bitwise_count(own ^ np.uint64(point)) > radius).astype(np.int64) << level
+        return home
+
+    def visit(self, fps: np.ndarray, one_way: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, shard, whether it is the row's home) of every shard that may hold a partner.
 
         A branch is pruned when the triangle bound keeps the ball of ``reach``
         around the row on the other side of the node's radius.
+
+        ``one_way`` leaves to the partner what it sees as well: of two rows with
+        different homes, the one inside the radius that first parts them visits the
+        other.  It also prunes shards that the bounds of single levels let pass,
+        but no point of a ball of 1 bit reaches.
         """
         rows, shards = np.arange(len(fps)), np.zeros(len(fps), dtype=np.int64)
         home = np.zeros(len(fps), dtype=np.int64)
@@ -170,19 +158,28 @@ class VantageTree:
                 here = d[rows, level]
                 near, far = here - self.reach <= radius, here + self.reach > radius
                 rows, shards = np.concatenate([rows[near], rows[far]]), np.concatenate([shards[near], shards[far] | (1 << level)])
+        if one_way:
+            apart = home[rows] ^ shards
+            keep = (apart & -apart & home[rows]) == 0
+            rows, shards = rows[keep], shards[keep]
+            if self.reach == 1:
+                own = self.own(fps)
+                reached = np.stack([home, *(self.home(own ^ np.uint64(1 << b)) for b in range(self.width))], axis=1)
+                keep = (reached[rows] == shards[:, None]).any(axis=1)
+                rows, shards = rows[keep], shards[keep]
         return rows, shards, home[rows] == shards
 
 
-def fit_trees(sample: np.ndarray, levels: int, words: int, runs: int, reach: int, candidates: int = 192) -> list[VantageTree]:
-    """One tree for each of ``runs`` equal runs of bits.
+def fit_trees(sample: np.ndarray, levels: int, words: int, runs: int, reach: int, candidates: int = 192, width: int | None = None) -> list[VantageTree]:
+    """One tree for each of ``runs`` equal runs of bits, or of the first ``runs`` of ``width`` bits, none of them across words.
 
     Vantage points come from the sample; taken are those whose median shell few
     balls cross, and whose sides tell most beside the levels before.  The sample
     decides balance only, never what is found.
     """
-    width, trees = words * BITS // runs, []
+    width, trees = width or words * BITS // runs, []
     for run in range(runs):
-        tree = VantageTree(run * width // BITS, run * width % BITS, width, reach)
+        tree = VantageTree(run // (BITS // width), run % (BITS // width) * width, width, reach)
         if levels and len(sample):
             own = tree.own(sample)
             points = np.unique(own[:candidates])
@@ -219,20 +216,33 @@ def spanning_links(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return nodes[apart], nodes[label[apart]]
 
 
-def _links_in_shard(radius: int):
+def _links_in_shard(radius: int, ratio: float = 0.0):
+    """Links that connect a shard's questions with the rows at home there within ``radius`` bits, and of sizes in a ratio of at least ``ratio``."""
+
     def search(part: pd.DataFrame) -> pd.DataFrame:
+        if ratio:
+            part = part.sort_values("size", kind="stable")
         fps, nodes = as_words(part["fp"].tolist()), part["node"].to_numpy()
+        sizes = part["size"].to_numpy() if ratio else np.zeros(len(part), np.int64)
         asking, holding = part["asks"].to_numpy(), part["holds"].to_numpy()
-        asks, holds, ask_nodes, hold_nodes = fps[asking], fps[holding], nodes[asking], nodes[holding]
+        asks, holds, ask_nodes, hold_nodes, ask_sizes, hold_sizes = fps[asking], fps[holding], nodes[asking], nodes[holding], sizes[asking], sizes[holding]
         a, b = np.empty(0, np.int64), np.empty(0, np.int64)
-        step = max(1, (1 << 20) // max(1, len(holds)))
+        step = max(1, (1 << (17 if ratio else 20)) // max(1, len(holds)))
         for s in range(0, len(asks), step):
-            apart = np.zeros((len(asks[s : s + step]), len(holds)), dtype=np.uint16)
+            if ratio:
+                least, most = ask_sizes[s] * ratio - 1e-6, ask_sizes[s : s + step][-1] / ratio + 1e-6
+                start, stop = np.searchsorted(hold_sizes, least), np.searchsorted(hold_sizes, most, "right")
+            else:
+                start, stop = 0, len(holds)
+            apart = np.zeros((len(asks[s : s + step]), stop - start), dtype=np.uint16)
             for w in range(fps.shape[1]):
-                apart += np.bitwise_count(asks[s : s + step, None, w] ^ holds[None, :, w])
+                apart += np.bitwise_count(asks[s : s + step, None, w] ^ holds[None, start:stop, w])
             i, j = np.nonzero(apart <= radius)
-            x, y = ask_nodes[s + i], hold_nodes[j]
+            x, y = ask_nodes[s + i], hold_nodes[start + j]
             other = x != y
+            if ratio:
+                p, q = ask_sizes[s + i], hold_sizes[start + j]
+                other &= np.minimum(p, q) >= ratio * np.maximum(p, q) - 1e-6
             if other.any():
                 a, b = spanning_links(np.concatenate([a, x[other]]), np.concatenate([b, y[other]]))
         return pd.DataFrame({"a": a, "b": b})
@@ -255,24 +265,57 @@ def near_links(
     questions meets every block of homes, so that no task holds more than one of
     each.  ``sample_rows`` bounds the sample the vantage points come from.
     """
+    sample, levels = _sample_and_levels(fps, words, shard_rows, sample_rows)
+    trees = fit_trees(sample, levels, words, runs, radius // runs if reach is None else reach)
+    return _links_of_trees(fps, trees, _links_in_shard(radius), block_rows)
+
+
+def candidate_links(groups: DataFrame, jaccard: float = 0.8, sample_rows: int = 4096) -> DataFrame:
+    """Links (``a``, ``b``) between ``node``s that connect the sets whose SimHash fingerprints ``keys`` are near, found by vantage-point trees.
+
+    A tree stands over each of the first runs of bits, as many runs as let all but LOST of the
+    pairs at 0.8 be within SET_REACH bits in one of them; bounds, shards and blocks are those of ``near_links``, but of two sets
+    only one visits the other.  Sets that meet are linked if their last MET_WORDS words differ in at most MET_BITS bits
+    and, where ``groups`` has their ``size``, sizes allow a similarity of ``jaccard``.  Pass a written table.
+    """
+    sample, levels = _sample_and_levels(groups.select(F.col("keys").alias("fp")), SET_WORDS, SET_SHARD_ROWS, sample_rows)
+    width = min(MOST_WIDTH, max(LEAST_WIDTH, levels))
+    same = 1 - SET_DIFFERENCE
+    found = sum(math.comb(width, d) * SET_DIFFERENCE**d * same ** (width - d) for d in range(SET_REACH + 1))
+    trees = fit_trees(sample, levels, SET_WORDS, math.ceil(math.log(LOST) / math.log(1 - found)), SET_REACH, width=width)
+    sized = "size" in groups.columns
+    fps = groups.select("node", F.col("keys").alias("fp"), *(["size"] if sized else []))
+    return _links_of_trees(fps, trees, _links_in_shard(MET_BITS, jaccard if sized else 0.0), SET_BLOCK_ROWS, one_way=True, shown=8 * MET_WORDS)
+
+
+def _sample_and_levels(fps: DataFrame, words: int, shard_rows: int, sample_rows: int) -> tuple[np.ndarray, int]:
+    """Fingerprints to take vantage points from, and the levels that leave ``shard_rows`` in a shard."""
     n = fps.count()
     sample = as_words([bytes(r.fp) for r in fps.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(sample_rows).collect()] or [bytes(8 * words)])
-    levels = max(0, math.ceil(math.log2(max(1, n) / shard_rows)))
-    trees = fit_trees(sample, levels, words, runs, radius // runs if reach is None else reach)
+    return sample, max(0, math.ceil(math.log2(max(1, n) / shard_rows)))
+
+
+def _links_of_trees(fps: DataFrame, trees: list[VantageTree], search, block_rows: int, one_way: bool = False, shown: int | None = None) -> DataFrame:
+    """``search`` in every shard of the trees, on the last ``shown`` bytes of ``fp`` (all by default), ``node`` and further columns."""
+    others_of = [f for f in fps.schema.fields if f.name not in ("node", "fp")]
+    carried = [f.name for f in others_of]
 
     def place(batches):
         for batch in batches:
             for s in range(0, batch.num_rows, 2048):
                 part = batch.slice(s, 2048)
-                fp = as_words(part.column("fp").to_pylist())
+                whole = part.column("fp").to_pylist()
+                fp = as_words(whole)
+                kept = pa.array([x[-shown:] for x in whole] if shown else whole, pa.binary())
                 for t, tree in enumerate(trees):
-                    rows, shard, home = tree.visit(fp)
+                    rows, shard, home = tree.visit(fp, one_way)
                     yield pa.record_batch({
                         "tree": pa.array(np.full(len(rows), t, np.int32)), "shard": pa.array(shard), "home": pa.array(home),
-                        "node": part.column("node").take(pa.array(rows)), "fp": part.column("fp").take(pa.array(rows)),
+                        "node": part.column("node").take(pa.array(rows)), "fp": kept.take(pa.array(rows)), **{c: part.column(c).take(pa.array(rows)) for c in carried},
                     })
 
-    placed = fps.select("node", "fp").mapInArrow(place, "tree int, shard long, home boolean, node long, fp binary")
+    schema = ", ".join(["tree int, shard long, home boolean, node long, fp binary", *(f"{f.name} {f.dataType.simpleString()}" for f in others_of)])
+    placed = fps.select("node", "fp", *carried).mapInArrow(place, schema)
     sizes = placed.groupBy("tree", "shard").agg(F.sum(F.col("home").cast("long")).alias("held"), F.count("*").alias("asked"))
     crowded = materialise(
         sizes.where((F.col("held") > block_rows) | (F.col("asked") > 16 * block_rows))
@@ -282,9 +325,9 @@ def near_links(
     cut = placed.join(crowded, ["tree", "shard"], "left").withColumns({"holders": F.greatest(F.lit(1), "h"), "askers": F.greatest(F.lit(1), "a")})
     others = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     whole = (F.col("holders") == 1) & (F.col("askers") == 1)
-    asks = cut.select("tree", "shard", F.pmod(salt, F.col("askers")).cast("int").alias("asker"), others("holders").alias("holder"), "node", "fp", F.lit(True).alias("asks"), (F.col("home") & whole).alias("holds"))
-    holds = cut.where(F.col("home") & ~whole).select("tree", "shard", others("askers").alias("asker"), F.pmod(salt, F.col("holders")).cast("int").alias("holder"), "node", "fp", F.lit(False).alias("asks"), F.lit(True).alias("holds"))
-    return asks.union(holds).groupBy("tree", "shard", "asker", "holder").applyInPandas(_links_in_shard(radius), "a long, b long")
+    asks = cut.select("tree", "shard", F.pmod(salt, F.col("askers")).cast("int").alias("asker"), others("holders").alias("holder"), "node", "fp", *carried, F.lit(True).alias("asks"), (F.col("home") & whole).alias("holds"))
+    holds = cut.where(F.col("home") & ~whole).select("tree", "shard", others("askers").alias("asker"), F.pmod(salt, F.col("holders")).cast("int").alias("holder"), "node", "fp", *carried, F.lit(False).alias("asks"), F.lit(True).alias("holds"))
+    return asks.union(holds).groupBy("tree", "shard", "asker", "holder").applyInPandas(search, "a long, b long")
 
 
 class _Block:
@@ -412,7 +455,7 @@ def simhash_classes(
     component's id only where no other is; other columns are not carried.
 
     With ``jaccard``, documents are linked whose sets of distinct shingles have at least that Jaccard
-    similarity: runs of least hashes of the sets (``least_hash_keys``) tell candidates, which are then
+    similarity: the sets' own SimHash fingerprints, searched through vantage-point trees (``candidate_links``), tell candidates, which are then
     compared exactly; ``radius``, ``words``, ``runs`` and ``reach`` have no part in it, and ``fingerprint`` is a 128-bit hash of the set.  Texts without words are linked with each other.
     """
     if jaccard is None:
@@ -420,10 +463,10 @@ def simhash_classes(
         groups = materialise(known.groupBy("fp").agg(F.min("id").alias("least_id")).withColumn("node", F.monotonically_increasing_id()), "groups")
         links = near_links(groups, radius, words, runs, reach)
     else:
-        known = materialise(shingle_sets(docs, id_col, text_col, shingle).withColumn("row", F.monotonically_increasing_id()), "sets")
-        firsts = (F.min("id").alias("least_id"), F.min("row").alias("node"), F.first("keys").alias("keys"), F.first("size").alias("size"), F.first("bits").alias("bits"))
+        known = materialise(shingle_sets(docs, id_col, text_col, shingle).drop("keys").withColumn("row", F.monotonically_increasing_id()), "sets")
+        firsts = (F.min("id").alias("least_id"), F.min("row").alias("node"), F.first("size").alias("size"), F.first("bits").alias("bits"))
         groups = materialise(known.groupBy("fp").agg(*firsts), "groups")
-        links = similar_links(known, groups, candidate_links(groups), shingle, jaccard)
+        links = similar_links(known, groups, candidate_links(groups.withColumn("keys", F.col("bits")), jaccard), shingle, jaccard)
     roots = connected_components(links)
     rooted = materialise(groups.join(roots.hint("merge"), "node", "left").select("fp", F.coalesce("root", "node").alias("root"), "least_id"), "rooted")
     # Written by itself, so that a root shared by a third of the fingerprints is split in the join.

@@ -132,6 +132,43 @@ def test_near_copies_match_brute_force_around_the_limit(spark):
     assert kept == {2 * i for i in range(len(alike))} | {2 * i + 1 for i, x in enumerate(alike) if x < 0.8}
 
 
+def test_candidates_by_sets_come_from_the_trees(spark, monkeypatch):
+    """Fingerprints alone make candidates: pairs as far apart as at 0.8 are connected, strays are not; deep trees with small shards."""
+    rng = np.random.default_rng(14)
+    base = rng.integers(0, 1 << 63, (1500, 16), dtype=np.uint64) * np.uint64(2)
+    flips = np.packbits(rng.random((500, 1024)) < 0.1515, axis=1).view(np.uint64)
+    every = np.concatenate([base, base[:500] ^ flips])
+    rows = [(i, x.astype(">u8").tobytes()) for i, x in enumerate(every)]
+    groups = spark.createDataFrame(rows, "node long, keys binary")
+    for shard_rows in (64, 1 << 13):
+        monkeypatch.setattr(simhash, "SET_SHARD_ROWS", shard_rows)
+        links = {(min(r), max(r)) for r in simhash.candidate_links(groups).collect()}
+        assert links == {(i, 1500 + i) for i in range(500)}
+    sized = groups.withColumn("size", F.when(F.col("node") >= 1600, 100).otherwise(70).cast("long"))
+    assert {(min(r), max(r)) for r in simhash.candidate_links(sized).collect()} == {(i, 1500 + i) for i in range(100)}
+    # Without trees only equal sets are found.
+    monkeypatch.setattr(simhash, "fit_trees", lambda *a, **k: [])
+    docs = spark.createDataFrame([(1, "a b c d e f g h i"), (2, "a b c d e f g h i"), (3, "a b c d e f g h i j")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_one_of_each(docs).collect()) == [1, 3]
+
+
+def test_one_of_two_near_rows_visits_the_other():
+    rng = np.random.default_rng(15)
+    x = rng.integers(0, 1 << 63, (3000, 1), dtype=np.uint64)
+    for width, levels in ((5, 3), (5, 5), (8, 8), (12, 9)):
+        tree = simhash.fit_trees(x, levels, 1, 2, 1, width=width)[1]
+        y = x ^ (np.uint64(1) << rng.integers(tree.shift, tree.shift + width, (3000, 1), dtype=np.uint64))
+        seen, homes = [], []
+        for z in (x, y):
+            rows, shards, home = tree.visit(z, one_way=True)
+            seen.append(set(zip(rows.tolist(), shards.tolist(), strict=True)))
+            homes.append(dict(zip(rows[home].tolist(), shards[home].tolist(), strict=True)))
+        assert len(homes[0]) == len(homes[1]) == 3000
+        met = [((i, homes[1][i]) in seen[0]) + ((i, homes[0][i]) in seen[1]) for i in range(3000)]
+        assert all(n == (2 if homes[0][i] == homes[1][i] else 1) for i, n in enumerate(met))
+        assert len(seen[0]) < len(tree.visit(x)[0])
+
+
 def test_blocks_of_a_component_match_all_pairs(spark):
     rng = np.random.default_rng(10)
     base = [f"w{i}" for i in range(120)]
