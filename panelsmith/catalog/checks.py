@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.calendar import epoch_seconds
-from ..llm.common import materialise
 from ..operators import aggregates as A
 from ..operators import gate as G
 from ..operators import metrics as M
 from ..operators import quality as Q
+from ..session import materialise
 from . import fixtures as X
 from .common import flag, rnd, ts_lit
 from .fixtures import BT_SQL, TRAIN_END, naive, with_
