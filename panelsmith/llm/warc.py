@@ -17,11 +17,10 @@ _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def base32_sha1(data: Column) -> Column:
-    """Upper-case base 32 of the SHA-1 of a binary column."""
-    digits = F.sha1(data)
-    groups = [F.conv(F.substring(digits, 5 * g + 1, 5), 16, 10).cast("int") for g in range(8)]
-    return F.concat(*(F.substring(F.lit(BASE32), F.shiftright(v, 15 - 5 * k).bitwiseAND(31) + 1, F.lit(1)) for v in groups for k in range(4)))
+def base32(digits: Column) -> Column:
+    """Upper-case base 32 of a SHA-1 given as its 40 hexadecimal digits; 15 of them are 12 digits of base 32."""
+    parts = [F.lpad(F.conv(F.substring(digits, 1 + 15 * g, n), 16, 32), n * 4 // 5, "0") for g, n in enumerate((15, 15, 10))]
+    return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", BASE32)
 
 
 def with_record_types(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
@@ -177,11 +176,13 @@ def read_warc(spark: SparkSession, path: str, with_data: bool = True) -> DataFra
 
 def page_records(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0, chunk_bytes: int = 1 << 16) -> None:
     """Write one record per row of ``pages`` under ``path``; a null payload is empty, a null address is made from the id."""
-    payload = F.encode(F.coalesce(F.col(html_col), F.lit("")), "utf-8")
+    payload = F.coalesce(F.encode(F.col(html_col), "utf-8"), F.lit(b""))
     uri = F.coalesce(F.col(url_col), F.concat(F.lit("urn:page:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
     rows = pages.select(F.col(id_col).cast("long").alias("id"), uri.alias("uri"), payload.alias("payload"))
-    rows = rows.withColumn("payload_digest", base32_sha1(F.col("payload"))).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
-    write_warc(with_record_types(rows, least_bytes), path, chunk_bytes)
+    # Rows meet by hexadecimal digits, which are never null: base 32 before the join would be worked out again, each time from new SHA-1s, in the filter of keys that Spark adds.
+    rows = rows.withColumn("payload_digest", F.sha1("payload")).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
+    typed = with_record_types(rows, least_bytes).withColumn("payload_digest", base32(F.col("payload_digest")))
+    write_warc(typed, path, chunk_bytes)
 
 
 def resolved_records(chunks: DataFrame) -> DataFrame:

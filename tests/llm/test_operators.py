@@ -1,5 +1,6 @@
 """The text operators against brute force on small tables."""
 
+import base64
 import collections
 import hashlib
 import itertools
@@ -307,6 +308,29 @@ def test_archives_round_trip_in_chunks(spark, tmp_path):
         reader.end()
 
 
+def test_base32_of_hexadecimal_digits(spark):
+    digits = ["0" * 40, "f" * 40, "0" * 15 + "1" + "0" * 24, "0" * 39 + "1", *(hashlib.sha1(bytes([i])).hexdigest() for i in range(200))]
+    got = spark.createDataFrame([(d,) for d in digits], "d string").select("d", warc.base32(F.col("d"))).collect()
+    assert all(b == base64.b32encode(bytes.fromhex(d)).decode() for d, b in got) and len(got) == len(digits)
+
+
+def test_payloads_are_hashed_once_a_side(spark, monkeypatch):
+    texts = [(1, "é" * 9), (2, None), (3, ""), (4, "same"), (5, "same"), (None, "same"), (5, "same"), (6, "\ufffdA")]
+    pages = spark.createDataFrame([(i, None, b"\xffA" if i == 6 else None if t is None else t.encode()) for i, t in texts], "page_id long, url string, html binary")
+    taken = []
+    monkeypatch.setattr(warc, "write_warc", lambda records, *_: taken.append(records))
+    warc.page_records(pages.withColumn("html", F.col("html").cast("string")), "unused")
+    plan = taken[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sha1(") == 2, plan
+    rows = [(r.id, bytes(r.payload).decode(), r.payload_digest, r.record_type, r.refers_to) for r in taken[0].collect()]
+    holders = {"": 3, "same": 5, "é" * 9: 1, "\ufffdA": 6}
+    want = []
+    for i, t in ((i, t or "") for i, t in texts):
+        digest = base64.b32encode(hashlib.sha1(t.encode()).digest()).decode()
+        want.append((i, t, digest, "response", None) if i == holders[t] else (i, t, digest, "revisit", holders[t]))
+    assert sorted(rows, key=str) == sorted(want, key=str)
+
+
 def test_op4_matches_the_library(spark):
     import sentencepiece
 
