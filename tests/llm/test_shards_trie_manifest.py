@@ -257,3 +257,21 @@ def test_versions_share_all_but_a_path(spark):
     tree = merkle.PersistentTree([sha(str(i)) for i in range(11)], False)
     before = [list(level) for level in tree.levels]
     assert tree.version(10, sha("x"))[-1] == slow_levels([*tree.levels[0][:10], sha("x")])[-1][0] and tree.levels == before
+
+
+def test_rows_not_tampered_are_folded_too(spark, monkeypatch):
+    """Their roots come from leaf and siblings: rows whose proofs don't fit are not verified."""
+    rows = [(i, "s", "en", i, f"text {i}") for i in range(1100)]
+    assert manifest(spark, rows).set_index("doc_id").verified.to_dict() == {i: zlib.crc32(str(i).encode()) % 7 != 0 for i in range(1100)}
+
+    class OneWrong(merkle.PersistentTree):
+        """Puts a wrong sibling into the proof of each block's sixth node."""
+
+        def paths(self, above=""):
+            found = merkle.PersistentTree.paths(self, above)
+            return [p[0] + "0" * 64 + p[65:] if i == 5 else p for i, p in enumerate(found)]
+
+    monkeypatch.setattr(merkle, "PersistentTree", OneWrong)
+    got = manifest(spark, rows).set_index("doc_id")
+    assert [i for i in range(1100) if zlib.crc32(str(i).encode()) % 7 and not got.verified[i]] == [i for i in (5, 1029) if zlib.crc32(str(i).encode()) % 7] != []
+    assert (got.folded_root[~got.verified] != got.root[~got.verified]).all()
