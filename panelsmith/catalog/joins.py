@@ -200,7 +200,7 @@ def _(t):
     start = F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), (s * 7 % 700).cast("int"))
     pts = t.supplier.select("s_suppkey", start.alias("at"), (s % 17 * F.lit(0.01) + 37.3).alias("lat"), (s % 13 * F.lit(0.01) - 121.9).alias("lng"))
     ev = t.events.select(F.col("event_type").alias("event_name"), F.col("ts").alias("timestamp_start"), (u % 19 * F.lit(0.01) + 37.3).alias("lat"), (u % 11 * F.lit(0.01) - 121.9).alias("lng"))
-    return rnd(E.near_events(pts, ev, "s_suppkey", "at"), 6, "km")
+    return E.near_events(pts, ev, "s_suppkey", "at", digits=6)
 
 
 @query("active_alerts", """SELECT DISTINCT CASE id WHEN 'click' THEN 'BART' WHEN 'error' THEN 'VTA' WHEN 'signup' THEN 'Caltrain' END AS agency, 'user ' || user_id AS header FROM

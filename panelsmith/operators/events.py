@@ -14,6 +14,8 @@ APPROACH_HOURS = 3.0
 DEPARTURE_HOURS = 1.5
 #: Events listed in one cell and time slot before it is cut.
 CROWDED = 1 << 16
+#: Keys at one place and time that a row of ``near_events`` carries, give or take.
+CARRIED = 64
 
 
 def stabbing(points: DataFrame, intervals: DataFrame, ts: str, lo: str, hi: str, aggs: dict[str, tuple[str, str]], slot_s: int = 3600) -> DataFrame:
@@ -227,17 +229,21 @@ def add_monthly_event_features(df: DataFrame, events: DataFrame, spans: DataFram
     )
 
 
-def near_events(points: DataFrame, events: DataFrame, key: str, when: str, km: float = 1.5, hours: float = 3.0) -> DataFrame:
-    """Events within ``km`` and ``hours`` of each point, one row per (point, name, start).
+def near_events(points: DataFrame, events: DataFrame, key: str, when: str, km: float = 1.5, hours: float = 3.0, digits: int | None = None) -> DataFrame:
+    """Events within ``km`` and ``hours`` of each point, one row per (point, name, start), ``km`` rounded to ``digits``.
 
     Both sides carry ``lat`` and ``lng``.  Cells are a little over twice the search radius wide and time
     slots ``hours``: an event is listed in all cells that its radius touches (at most four) and
     a point in its own, in the slots around its time, so all that a point row finds at a start lies
-    together and the nearest is picked where the pairs arise; pairs are never dealt anew, except
-    those of keys that several points share.  The exact distance and time decide.  Events far
-    east or west are listed a full turn further too, so that neighbours across the 180th
-    meridian meet; rows of cells at the poles are one cell.  Crowded cells are cut by the event's name and start.
+    together; pairs are never dealt anew, except those of keys that several points share.  The
+    exact distance and time decide.  Keys at one place and time are searched for as one row, at most
+    some ``CARRIED`` of them, and told apart where pairs are put out.  Events whose name and start are met
+    at one place only (nearly all) need no nearest one, so their pairs are put out as they arise; of
+    the others the nearest is picked where the pairs arise.  Events whose
+    radius crosses the 180th meridian are listed a full turn further too, so that neighbours across it
+    meet; rows of cells at the poles are one cell.  Crowded cells are cut by the event's name and start.
     """
+    # A degree of latitude is more than 110 km, so no event within ``km`` is further north or south than this.
     reach = km / 110.0
     # A little wider than what an event reaches, so that this never spans three cells by rounding.
     step = 2.001 * reach
@@ -247,31 +253,60 @@ def near_events(points: DataFrame, events: DataFrame, key: str, when: str, km: f
     edge = lambda r: (F.abs(r) + 2) * step
     width = lambda r: F.cos(F.radians(F.least(edge(r), F.lit(89.0))))
     column = lambda lng, r: F.when(edge(r) >= 89.0, F.lit(0).cast("long")).otherwise(F.floor(lng / (step / width(r))))
-    cell = ["_r", "_c", "_s"]
-
-    ev = events.select("event_name", "timestamp_start", "lat", "lng").distinct().withColumn("_s", F.floor(epoch_seconds("timestamp_start") / slot_s))
-    turn = F.when(F.abs("lng") > 90, F.array(F.lit(0.0), F.signum("lng") * -360)).otherwise(F.array(F.lit(0.0)))
-    ev = ev.withColumn("_r", F.explode(F.array_distinct(F.array(cell_row(F.col("lat") - reach), cell_row(F.col("lat") + reach))))).withColumn("_at", F.explode(F.transform(turn, lambda d: F.col("lng") + d)))
-    touched = [column(F.col("_at") + sign * reach / width(F.col("_r")), F.col("_r")) for sign in (-1, 1)]
-    ev = ev.withColumn("_c", F.explode(F.array_distinct(F.array(*touched)))).drop("_at")
+    cell, name, start = ["_r", "_c", "_s"], "event_name", "timestamp_start"
+
+    east = lambda lng: F.pmod(F.col(lng) + 180.0, F.lit(360.0)) - 180.0
+    either = lambda a, b: F.when(a == b, F.array(a)).otherwise(F.array(a, b))
+
+    def listed(ev: DataFrame) -> DataFrame:
+        """In all cells that the event's radius touches."""
+        ev = ev.withColumn("_r", F.explode(either(cell_row(F.col("lat") - reach), cell_row(F.col("lat") + reach)))).withColumn("_at", east("lng"))
+        beyond = F.abs("_at") + reach / width(F.col("_r")) >= 180.0
+        ev = ev.withColumn("_at", F.explode(F.when(beyond, F.array(F.col("_at"), F.col("_at") - F.signum("_at") * 360.0)).otherwise(F.array("_at"))))
+        touched = [column(F.col("_at") + sign * reach / width(F.col("_r")), F.col("_r")) for sign in (-1, 1)]
+        return ev.withColumn("_c", F.explode(either(*touched))).drop("_at")
+
+    ev = events.select(name, start, "lat", "lng", epoch_seconds(start).alias("_begun")).withColumn("_s", F.floor(F.col("_begun") / slot_s))
+    ev = ev.where(" and ".join(f"{c} is not null" for c in (start, "lat", "lng", "_begun", "_s")))
+    # Least and greatest are the place itself where a name and start have one; these events are read off their own summary.
+    met = ev.groupBy(name, start, "_begun", "_s").agg(F.min("lat").alias("lat"), F.min("lng").alias("lng"), F.max("lat").alias("_lat"), F.max("lng").alias("_lng"))
+    one = (F.col("lat") == F.col("_lat")) & (F.col("lng") == F.col("_lng"))
+    alone = met.where(one).drop("_lat", "_lng")
+    others = met.where(~one).select(F.col(name).alias("_name"), F.col(start).alias("_start"))
+    several = ev.join(others, F.col(name).eqNullSafe(F.col("_name")) & (F.col(start) == F.col("_start")), "left_semi").distinct()
+    slots = alone.select("lat", "lng", "_s").unionByName(several.select("lat", "lng", "_s")).groupBy("lat", "lng", "_s").agg(F.count(F.lit(1)).alias("_n"))
     # At most one row for every CROWDED listed events.
-    crowds = ev.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > CROWDED).select(*cell, F.ceil(F.col("_n") / CROWDED).cast("int").alias("_cuts"))
+    crowds = listed(slots).groupBy(*cell).agg(F.sum("_n").alias("_n")).where(F.col("_n") > CROWDED).select(*cell, F.ceil(F.col("_n") / CROWDED).cast("int").alias("_cuts"))
     crowds = F.broadcast(crowds)
-    ev = ev.join(crowds, cell, "left").withColumn("_cut", F.pmod(F.hash("event_name", "timestamp_start"), F.coalesce("_cuts", F.lit(1)))).drop("_cuts")
-
-    pt = points.select(key, when, F.col("lat").alias("_plat"), F.col("lng").alias("_plng")).withColumn("_r", cell_row(F.col("_plat"))).withColumn("_c", column(F.col("_plng"), F.col("_r")))
-    pt = pt.withColumn("_s", F.explode(F.transform(F.array(*[F.lit(i) for i in (-1, 0, 1)]), lambda d: F.floor(epoch_seconds(when) / slot_s) + d)))
-    pt = pt.join(crowds, cell, "left").withColumn("_cut", F.explode(F.sequence(F.lit(0), F.coalesce("_cuts", F.lit(1)) - 1))).drop("_cuts")
-    shared = points.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col(key).alias("_key"))
-    same = F.col(key).eqNullSafe(F.col("_key"))
-
-    def nearest(some: DataFrame) -> DataFrame:
-        hit = some.join(ev.hint("merge"), [*cell, "_cut"]).withColumn("km", haversine_km("_plat", "_plng", "lat", "lng"))
-        hit = hit.where((F.col("km") <= km) & (F.abs(hours_between(when, "timestamp_start")) <= hours))
-        return hit.groupBy(*cell, "_cut", key, "event_name", "timestamp_start").agg(F.min("km").alias("km")).drop(*cell, "_cut")
-
-    several = nearest(pt.join(shared, same, "left_semi")).groupBy(key, "event_name", "timestamp_start").agg(F.min("km").alias("km"))
-    return nearest(pt.join(shared, same, "left_anti")).unionByName(several)
+    cut = lambda ev: listed(ev).join(crowds, cell, "left").withColumn("_cut", F.pmod(F.hash(name, start), F.coalesce("_cuts", F.lit(1)))).drop("_cuts")
+    alone, several = cut(alone), cut(several)
+
+    spot = ["_when", "_plat", "_plng"]
+    pt = points.select(F.col(key).alias("_key"), F.col(when).alias("_when"), F.col("lat").alias("_plat"), F.col("lng").alias("_plng")).where("_when is not null and _plat is not null and _plng is not null").distinct()
+    shared = pt.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col("_key").alias("_again"))
+    same = F.col("_key").eqNullSafe(F.col("_again"))
+
+    def spots(some: DataFrame) -> DataFrame:
+        """Points at one place and time as rows of some CARRIED keys, in their cells."""
+        many = some.groupBy(*spot).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > CARRIED).select(*spot, F.ceil(F.col("_n") / CARRIED).alias("_parts"))
+        some = some.join(many, spot, "left").withColumn("_part", F.pmod(F.hash("_key"), F.coalesce("_parts", F.lit(1))))
+        some = some.groupBy(*spot, "_part").agg(F.collect_list(F.struct("_key")).alias("_keys")).drop("_part")
+        some = some.withColumn("_r", cell_row(F.col("_plat"))).withColumn("_c", column(east("_plng"), F.col("_r"))).withColumn("_time", epoch_seconds("_when"))
+        some = some.withColumn("_s", F.explode(F.transform(F.array(*[F.lit(i) for i in (-1, 0, 1)]), lambda d: F.floor(F.col("_time") / slot_s) + d)))
+        return some.join(crowds, cell, "left").withColumn("_cut", F.explode(F.sequence(F.lit(0), F.coalesce("_cuts", F.lit(1)) - 1))).drop("_cuts")
+
+    def hits(some: DataFrame, ev: DataFrame) -> DataFrame:
+        pairs = some.join(ev.hint("merge"), [*cell, "_cut"])
+        # The plain tests come first, so the distance is worked out for few pairs beside the near ones; times are seconds by now.
+        pairs = pairs.where((F.abs((F.col("_begun") - F.col("_time")) / 3600.0) <= hours) & (F.abs(F.col("_plat") - F.col("lat")) <= reach))
+        return pairs.withColumn("km", haversine_km("_plat", "_plng", "lat", "lng")).where(F.col("km") <= km)
+
+    rounded = F.col("km") if digits is None else F.round("km", digits).alias("km")
+    each = lambda hit: hit.select("_keys", name, start, rounded).select(F.inline("_keys"), name, start, "km").withColumnRenamed("_key", key)
+    own, common = spots(pt.join(shared, same, "left_anti")), spots(pt.join(shared, same, "left_semi"))
+    nearest = hits(own, several).groupBy(*cell, "_cut", "_keys", name, start).agg(F.min("km").alias("km"))
+    again = each(hits(common, alone)).unionByName(each(hits(common, several))).groupBy(key, name, start).agg(F.min("km").alias("km"))
+    return each(hits(own, alone)).unionByName(each(nearest)).unionByName(again)
 
 
 def active_alerts(alerts: DataFrame, at_epoch: int, labels: dict[str, str], wanted: list[str]) -> DataFrame:

@@ -115,6 +115,37 @@ def test_pairs_of_near_events_are_not_dealt_anew(spark):
     assert not [line for line in lines[:join] if "Exchange" in line]
 
 
+def test_near_events_of_places_shared_by_many_keys(spark, monkeypatch):
+    monkeypatch.setattr(E, "CARRIED", 3)
+    spots = [(37.3 + i * 0.01, -121.9 + j * 0.01) for i in range(3) for j in range(3)]
+    points = [(k, T0 + dt.timedelta(hours=k % 2 * 4), *spots[k % 3]) for k in range(40)] + [(None, T0, *spots[0]), (3, T0, *spots[8]), (7, T0, 37.3, 238.1), (8, None, *spots[0]), (9, T0, None, -121.9)]
+    events = [(n, T0 + dt.timedelta(hours=h), *spots[p]) for n, h, p in [("a", 1, 0), ("a", 1, 0), ("b", 1, 1), ("b", 1, 4), ("b", 1, 8), ("c", 1, 1), ("c", 2, 4), (None, 3, 0), (None, 3, 1), ("d", 9, 0)]] + [("e", T0, None, 1.0), ("f", None, *spots[0])]
+
+    def km(a, b):
+        la, lo, lb, lc = map(math.radians, (a[2], a[3], b[2], b[3]))
+        return 2 * 6371.0088 * math.asin(math.sqrt(math.sin((lb - la) / 2) ** 2 + math.cos(la) * math.cos(lb) * math.sin((lc - lo) / 2) ** 2))
+
+    want = {}
+    for p in points:
+        for e in events:
+            if None not in (*p[1:], *e[1:]) and (d := km(p, e)) <= 1.5 and abs((p[1] - e[1]).total_seconds()) <= 3 * 3600:
+                want[p[0], e[0], e[1]] = min(d, want.get((p[0], e[0], e[1]), 9))
+    kinds = "timestamp_ntz, lat double, lng double"
+    sides = spark.createDataFrame(points * 2, f"id int, at {kinds}"), spark.createDataFrame(events, f"event_name string, timestamp_start {kinds}")
+    for digits in (None, 2):
+        rows = E.near_events(*sides, "id", "at", digits=digits).collect()
+        assert len(rows) == len(want) > 100 and {(r.id, r.event_name, r.timestamp_start): r.km for r in rows} == {k: pytest.approx(d if digits is None else round(d, digits), abs=1e-6) for k, d in want.items()}
+
+
+def test_pairs_of_near_events_are_put_out_as_they_arise(spark):
+    """Where an event is met at one place no pair is grouped, and keys at one place and time are told apart after the search."""
+    points = spark.createDataFrame([(i, T0, 37.3, -121.9) for i in range(300)], "id int, at timestamp_ntz, lat double, lng double")
+    events = spark.createDataFrame([(f"e{i}", T0, 37.3, -121.9) for i in range(300)], "event_name string, timestamp_start timestamp_ntz, lat double, lng double")
+    lines = E.near_events(points, events, "id", "at")._jdf.queryExecution().executedPlan().toString().splitlines()
+    above = lines[: next(i for i, line in enumerate(lines) if "Join [_r" in line)]
+    assert [line for line in above if "Generate inline(_keys" in line] and not [line for line in above if "Aggregate" in line]
+
+
 def test_the_gate_reads_the_orders_once(spark, monkeypatch):
     """Its checks run one by one; each would join the orders with all customers, sent out by the driver, again."""
     from panelsmith.catalog import checks as C
