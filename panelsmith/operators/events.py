@@ -261,10 +261,13 @@ def near_events(points: DataFrame, events: DataFrame, key: str, when: str, km: f
     def listed(ev: DataFrame) -> DataFrame:
         """In all cells that the event's radius touches."""
         ev = ev.withColumn("_r", F.explode(either(cell_row(F.col("lat") - reach), cell_row(F.col("lat") + reach)))).withColumn("_at", east("lng"))
-        beyond = F.abs("_at") + reach / width(F.col("_r")) >= 180.0
-        ev = ev.withColumn("_at", F.explode(F.when(beyond, F.array(F.col("_at"), F.col("_at") - F.signum("_at") * 360.0)).otherwise(F.array("_at"))))
-        touched = [column(F.col("_at") + sign * reach / width(F.col("_r")), F.col("_r")) for sign in (-1, 1)]
-        return ev.withColumn("_c", F.explode(either(*touched))).drop("_at")
+        wide = reach / width(F.col("_r"))
+        turned = F.col("_at") - F.signum("_at") * 360.0
+        touched = lambda at: [column(at - wide, F.col("_r")), column(at + wide, F.col("_r"))]
+        # Each cell once, as pairs are put out as they arise: at the poles both turns are in one.
+        around = F.array_distinct(F.array(*touched(F.col("_at")), *touched(turned)))
+        cells = F.when(F.abs("_at") + wide >= 180.0, around).otherwise(either(*touched(F.col("_at"))))
+        return ev.withColumn("_c", F.explode(cells)).drop("_at")
 
     ev = events.select(name, start, "lat", "lng", epoch_seconds(start).alias("_begun")).withColumn("_s", F.floor(F.col("_begun") / slot_s))
     ev = ev.where(" and ".join(f"{c} is not null" for c in (start, "lat", "lng", "_begun", "_s")))

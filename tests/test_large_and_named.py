@@ -137,6 +137,15 @@ def test_near_events_of_places_shared_by_many_keys(spark, monkeypatch):
         assert len(rows) == len(want) > 100 and {(r.id, r.event_name, r.timestamp_start): r.km for r in rows} == {k: pytest.approx(d if digits is None else round(d, digits), abs=1e-6) for k, d in want.items()}
 
 
+@pytest.mark.parametrize("lat", [89.99, 0.0])
+def test_near_events_across_the_180th_meridian_are_put_out_once(spark, lat):
+    points = [(i, T0, lat, lng) for i, lng in enumerate((179.999, -180.0, 180.0, -179.999, 180.001))]
+    events = [(str(i), T0, lat, lng) for i, lng in enumerate((179.998, -179.998, 180.0, -180.0, 539.999))]
+    kinds = "timestamp_ntz, lat double, lng double"
+    got = E.near_events(spark.createDataFrame(points, f"id int, at {kinds}"), spark.createDataFrame(events, f"event_name string, timestamp_start {kinds}"), "id", "at").collect()
+    assert sorted((r.id, r.event_name) for r in got) == [(i, str(j)) for i in range(5) for j in range(5)]
+
+
 def test_pairs_of_near_events_are_put_out_as_they_arise(spark):
     """Where an event is met at one place no pair is grouped, and keys at one place and time are told apart after the search."""
     points = spark.createDataFrame([(i, T0, 37.3, -121.9) for i in range(300)], "id int, at timestamp_ntz, lat double, lng double")
